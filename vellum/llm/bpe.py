@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from vellum.llm.common import map_arrow
+
 #: Unicode White_Space: what the vocabulary's normaliser collapses.
 SPACE = "\t-\r \x85\xa0  -     　"
 LONG_WORD = 64
@@ -204,4 +206,4 @@ def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(memoryview(flat), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists, pa.array(texts, pa.string())], [*rows.schema.names, ids, decoded])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellum.session import ship
+
 #: A word is a run of characters other than the space and tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]++"
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -45,6 +49,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """df.mapInArrow, with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -66,3 +76,31 @@ def n_words(text: Column) -> Column:
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as decimal text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
+
+
+def complete_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, list[tuple[int, int]]]]:
+    """Tables of whole groups, with the bounds of each, from a task's batches of rows sorted by keys.
+
+    For groups of bounded size: a task holds a batch and one group that goes on
+    in the next one.
+    """
+
+    def bounds(table: pa.Table) -> list[tuple[int, int]]:
+        differ = np.zeros(max(0, table.num_rows - 1), bool)
+        for k in keys:
+            x = table.column(k).to_numpy()
+            differ |= x[1:] != x[:-1]
+        cuts = (np.flatnonzero(differ) + 1).tolist()
+        return list(zip([0, *cuts], [*cuts, table.num_rows]))
+
+    held: pa.Table | None = None
+    for batch in batches:
+        if batch.num_rows:
+            now = pa.Table.from_batches([batch])
+            held = now if held is None else pa.concat_tables([held, now])
+            *whole, (last, _) = bounds(held)
+            if whole:
+                yield held.slice(0, last).combine_chunks(), whole
+                held = held.slice(last)
+    if held is not None:
+        yield held.combine_chunks(), bounds(held)

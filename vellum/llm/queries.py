@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, common, fingerprints, licenses, line_dedup, mixing, token_files
+from vellum.llm import bpe, common, fingerprints, language, licenses, line_dedup, mixing, near_dup, neighbours, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_odd_sketch_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.link(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner, outer = fingerprints.with_next(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     outer = outer.withColumn("print", fingerprints.fingerprint(F.col("text"))).withColumn("next_print", fingerprints.fingerprint(F.col("next_text")))
@@ -60,14 +64,33 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.pmod("vec_id", F.lit(50)) == 0)
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    net = toxicity.fit(docs, labels.where(common.crc_mod(F.col("doc_id"), 5) != 0))
+    held_out = F.coalesce(common.crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    return toxicity.score(docs, net).select("doc_id", held_out.alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "notices")
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    coder = language.fit(docs.where(common.crc_mod(F.col("doc_id"), 3) != 1))
+    held_out = F.coalesce(common.crc_mod(F.col("doc_id"), 3) == 1, F.lit(False))
+    return language.identify(docs.select("doc_id", "text"), coder).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.new_path(spark, "wavelet-shards")
     token_files.write(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), path, end_id=0)
@@ -75,7 +98,18 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_round_trip, op3_multiset_fingerprints, op4_source_mix, op6_line_dedup, op8_license_scan, op10_wavelet_shards)
+    f.__name__: f for f in (
+        op1_bpe_round_trip,
+        op2_odd_sketch_near_duplicates,
+        op3_multiset_fingerprints,
+        op4_source_mix,
+        op5_nn_descent,
+        op6_line_dedup,
+        op7_toxicity,
+        op8_license_scan,
+        op9_language,
+        op10_wavelet_shards,
+    )
 }
 
 ORACLES: dict[str, str] = {

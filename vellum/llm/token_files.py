@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vellum.llm.common import n_partitions
+from vellum.llm.common import map_arrow, n_partitions
 
 SHARD_TOKENS = 1 << 20
 MAGIC = b"VWM1"
@@ -308,7 +308,7 @@ def write(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, doc_id
         if raw:
             yield shard()
 
-    dealt.mapInArrow(run, SHARD_SCHEMA).write.mode("overwrite").parquet(path)
+    map_arrow(dealt, run, SHARD_SCHEMA).write.mode("overwrite").parquet(path)
 
 
 def shards(spark, path: str) -> DataFrame:
@@ -341,4 +341,4 @@ def read(spark, path: str) -> DataFrame:
                 crcs = [zlib.crc32(tokens[a:b]) for a, b in zip(begins, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begins + start), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], schema=schema)
 
-    return table.join(starts, ["part", "block"]).select("doc_ids", "lengths", "payload", "start").mapInArrow(run, out)
+    return map_arrow(table.join(starts, ["part", "block"]).select("doc_ids", "lengths", "payload", "start"), run, out)
