@@ -300,9 +300,10 @@ def _subset(features: tuple[np.ndarray, np.ndarray, np.ndarray], of: np.ndarray)
 
 
 def _calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope (at least 0.2) and intercept of a logistic fit, each class weighing as much, with smoothed targets."""
+    """Slope (at least 0.2) and intercept of a logistic fit with smoothed targets; the rarer class weighs more, by the root of its rarity."""
     t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    w = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
+    w = np.where(y == 1, np.sqrt((1 - y).sum() / max(y.sum(), 1)), 1.0)
+    w /= w.sum()
     a, c = 1.0, -float(np.median(logit))
     for _ in range(200):
         p = _sigmoid(a * logit + c)
