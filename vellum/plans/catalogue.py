@@ -1,4 +1,543 @@
-"""Named queries over the driver tables and their SQL."""
+"""Named queries over the driver tables, and their SQL.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+A document stands for a dossier's file (its source names the dossier, its id the
+module), a line for a page, a benchmark item for a checklist item, a page's URL
+for an archive member, a part for an approved product.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vellum.functions import text as T
+from vellum.operators import cases, consistency, entities, files, geometry, matching, paging, registry
+from vellum.plans import fixtures
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+SALT = "review"
+#: Thresholds that give all statuses on the unrelated vectors of the driver tables.
+STRICT, PARTIAL, GAP, FALLBACK = 0.35, 0.25, 0.10, 0.22
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if it has any."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+def detected(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] | None = ("EMAIL", "IP_ADDRESS")) -> DataFrame:
+    return entities.detect(documents(spark, sf_dir).select("doc_id", "text"), kinds=kinds)
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_change_report(spark, sf_dir)
+
+
+# --- entities ---------------------------------------------------------------------------------------------------------------------
+
+_EMAIL = r"[\w.+-]+@[\w-]+\.[a-zA-Z]{2,}"
+_IP = r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_FOUND = rf"""found AS (
+  SELECT doc_id, 'EMAIL' AS entity_type, unnest(regexp_extract_all(text, '\b({_EMAIL})\b', 1)) AS v, 0.96 AS score FROM documents
+  UNION ALL SELECT doc_id, 'IP_ADDRESS', unnest(regexp_extract_all(text, '\b({_IP})\b', 1)), 0.82 FROM documents
+)"""
+
+
+@query(rf"SELECT doc_id, v AS value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b({_EMAIL})\b', 1)) AS v FROM documents) GROUP BY ALL")
+def pii_email_values(spark, sf_dir):
+    return entities.exploded(detected(spark, sf_dir, ("EMAIL",))).groupBy("doc_id", F.col("text").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH one AS (SELECT doc_id, text, regexp_extract_all(text, '\b({_EMAIL})\b', 1) AS vs FROM documents)
+SELECT doc_id, vs[1] AS value, CAST(instr(text, vs[1]) - 1 AS INTEGER) AS "start", CAST(instr(text, vs[1]) - 1 + length(vs[1]) AS INTEGER) AS "end" FROM one WHERE len(vs) = 1""")
+def pii_email_offsets(spark, sf_dir):
+    return detected(spark, sf_dir, ("EMAIL",)).where(F.size("entities") == 1).select("doc_id", F.inline("entities")).select("doc_id", F.col("text").alias("value"), "start", "end")
+
+
+@query(rf"SELECT doc_id, v AS value, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '\b({_IP})\b', 1)) AS v FROM documents) GROUP BY ALL")
+def pii_ipv4_values(spark, sf_dir):
+    return entities.exploded(detected(spark, sf_dir, ("IP_ADDRESS",))).groupBy("doc_id", F.col("text").alias("value")).agg(F.count("*").alias("n"))
+
+
+@query()
+def pii_fused_entities(spark, sf_dir):
+    """All definitions over all texts."""
+    return entities.exploded(detected(spark, sf_dir, None))
+
+
+@query(rf"SELECT doc_id, regexp_replace(regexp_replace(text, '\b[\w.+-]+@([\w-]+\.[a-zA-Z]{{2,}})\b', '****@\1', 'g'), '\b{_IP}\b', 'XXX.XXX.XXX.XXX', 'g') AS full_text FROM documents")
+def pii_full_anonymise(spark, sf_dir):
+    return entities.anonymise(detected(spark, sf_dir), SALT, "full").select("doc_id", "full_text")
+
+
+@query()
+def pii_pseudonymise(spark, sf_dir):
+    return entities.anonymise(detected(spark, sf_dir), SALT, "pseudo").select("doc_id", "pseudo_text", F.size("mapping").cast("long").alias("n_tokens"))
+
+
+@query("SELECT doc_id, text AS restored FROM documents")
+def mapping_reidentify(spark, sf_dir):
+    done = entities.anonymise(detected(spark, sf_dir), SALT, "pseudo")
+    return done.select("doc_id", entities.reidentified(F.col("pseudo_text"), F.col("mapping")).alias("restored"))
+
+
+@query(rf"""WITH {_FOUND}
+SELECT doc_id, entity_type, v AS original_value,
+  CASE entity_type WHEN 'EMAIL' THEN '****@' || split_part(v, '@', 2) ELSE 'XXX.XXX.XXX.XXX' END AS full_anon_value, 'regex' AS detection_source, CAST(score AS DOUBLE) AS confidence, count(*) AS occurrences
+FROM found GROUP BY ALL""")
+def pii_change_report(spark, sf_dir):
+    report = entities.change_report(entities.anonymise(detected(spark, sf_dir), SALT))
+    return report.select("doc_id", "entity_type", "original_value", "full_anon_value", "detection_source", "confidence", "occurrences")
+
+
+@query()
+def pii_change_report_tokens(spark, sf_dir):
+    return entities.change_report(entities.anonymise(detected(spark, sf_dir), SALT)).select("doc_id", "serial_no", "pseudo_value")
+
+
+@query(f"WITH {_FOUND} SELECT entity_type, count(*) AS n, count(DISTINCT v) AS n_values FROM found GROUP BY 1")
+def pii_type_summary(spark, sf_dir):
+    return entities.type_summary(entities.exploded(detected(spark, sf_dir)))
+
+
+@query(f"WITH {_FOUND} SELECT 'regex' AS source, count(*) AS n FROM found")
+def pii_source_summary(spark, sf_dir):
+    return entities.source_summary(entities.exploded(detected(spark, sf_dir)))
+
+
+@query(f"WITH {_FOUND} SELECT count(DISTINCT v) AS unique_values, count(DISTINCT entity_type) AS unique_types, count(*) AS spans FROM found")
+def pii_totals(spark, sf_dir):
+    return entities.totals(entities.exploded(detected(spark, sf_dir)))
+
+
+@query(f"WITH {_FOUND} SELECT entity_type, count(*) AS n, CASE entity_type WHEN 'IP_ADDRESS' THEN 'PII' ELSE '' END AS category FROM found GROUP BY 1")
+def pii_legend(spark, sf_dir):
+    return entities.legend(entities.exploded(detected(spark, sf_dir)))
+
+
+@query(f"WITH {_FOUND} SELECT CASE entity_type WHEN 'IP_ADDRESS' THEN 'IP ADDRESS' ELSE entity_type END AS label, count(*) AS n FROM found GROUP BY 1")
+def ui_label_rollup(spark, sf_dir):
+    return entities.label_rollup(entities.exploded(detected(spark, sf_dir)))
+
+
+@query(rf"""WITH {_FOUND}, lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents), inside AS (
+  SELECT doc_id, unnest(regexp_extract_all(l, '\b({_EMAIL})\b', 1)) AS v FROM lines)
+SELECT doc_id, v AS value, count(*) AS n FROM inside GROUP BY ALL""")
+def spans_in_paragraphs(spark, sf_dir):
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    spans = entities.exploded(detected(spark, sf_dir, ("EMAIL",))).withColumnRenamed("text", "value")
+    hit = docs.join(spans.select("doc_id").distinct(), "doc_id", "left_semi")
+    return entities.spans_in_paragraphs(spans, entities.paragraph_offsets(hit)).where(F.substring("paragraph", F.col("local_start") + 1, F.length("value")) == F.col("value")).groupBy("doc_id", "value").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT d.doc_id, CAST(i AS INTEGER) AS para, CAST(coalesce(list_sum(list_transform(ls[1:i], lambda x: length(x) + 1)), 0) AS INTEGER) AS p_start
+FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) d, unnest(range(len(ls))) AS r(i)""")
+def paragraph_offsets(spark, sf_dir):
+    return entities.paragraph_offsets(documents(spark, sf_dir)).select("doc_id", "para", "p_start")
+
+
+# --- pages ------------------------------------------------------------------------------------------------------------------------
+
+_PAGES = "pages_ AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS raw_text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS page FROM documents)"
+_MEMBERS = f"""WITH {_PAGES}, o AS (SELECT *, page - 1 AS ord, count(*) OVER (PARTITION BY file) AS n FROM pages_),
+c AS (SELECT *, greatest(1, CAST(ceil((n - 1) / 19.0) AS BIGINT)) AS k FROM o),
+m AS (SELECT file, page, ord, raw_text, ord // 19 AS chunk, k FROM c UNION ALL SELECT file, page, ord, raw_text, ord // 19 - 1, k FROM c WHERE ord % 19 = 0)"""
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paging.lines_as_pages(documents(spark, sf_dir))
+
+
+@query(f"{_MEMBERS} SELECT file, CAST(page AS INTEGER) AS page, chunk FROM m WHERE chunk >= 0 AND chunk < k")
+def chunk_membership(spark, sf_dir):
+    return paging.window_members(pages(spark, sf_dir)).select("file", "page", "chunk")
+
+
+@query(f"{_MEMBERS} SELECT file, chunk, count(*) AS n_pages, string_agg(chr(10) || '--- [FILE: ' || file || ' | PAGE: ' || page || '] ---' || chr(10) || raw_text, '' ORDER BY ord) AS text FROM m WHERE chunk >= 0 AND chunk < k GROUP BY ALL")
+def chunk_text(spark, sf_dir):
+    return paging.window_texts(paging.window_members(pages(spark, sf_dir))).drop("mapping")
+
+
+@query("""WITH o AS (SELECT conv_id AS file, turn, row_number() OVER (ORDER BY conv_id, turn) - 1 AS ord, count(*) OVER () AS n FROM conversations),
+m AS (SELECT *, ord // 19 AS chunk FROM o UNION ALL SELECT *, ord // 19 - 1 FROM o WHERE ord % 19 = 0)
+SELECT chunk, count(*) AS n_pages, count(DISTINCT file) AS n_files FROM m WHERE chunk >= 0 AND chunk < greatest(1, CAST(ceil((n - 1) / 19.0) AS BIGINT)) GROUP BY 1""")
+def chunk_global(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("file"), F.col("turn").alias("page"), F.col("text").alias("raw_text"))
+    return paging.window_members(turns, across_files=True).groupBy("chunk").agg(F.count("*").alias("n_pages"), F.count_distinct("file").alias("n_files"))
+
+
+@query(f"""{_MEMBERS}, one AS (SELECT file, chunk, arg_min(trim(raw_text), ord) FILTER (WHERE trim(raw_text) <> '') AS partial FROM m WHERE chunk >= 0 AND chunk < k GROUP BY ALL)
+SELECT file, string_agg(coalesce(partial, ''), chr(10) ORDER BY chunk) AS summary, count(*) AS n_chunks FROM one GROUP BY 1""")
+def summaries(spark, sf_dir):
+    """Map each window, reduce each file, with the stand-in model."""
+    windows = paging.window_texts(paging.window_members(pages(spark, sf_dir)))
+    return paging.reduced(paging.map_windows(windows, paging.first_line))
+
+
+@query("SELECT doc_id AS file, CAST(i AS INTEGER) AS page, substring(text, (i - 1) * 3000 + 1, 3000) AS raw_text FROM documents, unnest(range(1, CAST(ceil(length(text) / 3000.0) AS BIGINT) + 1)) AS r(i) WHERE trim(substring(text, (i - 1) * 3000 + 1, 3000), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''")
+def pseudo_pages_chars(spark, sf_dir):
+    return paging.pages_of_chars(documents(spark, sf_dir))
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '[\s]+'), lambda x: x <> '') AS ws FROM documents)
+SELECT doc_id AS file, CAST(i AS INTEGER) AS page, array_to_string(ws[(i - 1) * 400 + 1 : i * 400], ' ') AS raw_text FROM w, unnest(range(1, CAST(ceil(len(ws) / 400.0) AS BIGINT) + 1)) AS r(i)""")
+def pseudo_pages_words(spark, sf_dir):
+    return paging.pages_of_words(documents(spark, sf_dir))
+
+
+@query(rf"""WITH {_PAGES}, g AS (SELECT file, page, len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda x: x <> '')) > 80 AND length(trim(raw_text)) > 40 AS good FROM pages_),
+a AS (SELECT *, bool_or(good) OVER (PARTITION BY file) AS any_good FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY page) AS rn FROM a WHERE good OR NOT any_good)
+SELECT file, CAST(page AS INTEGER) AS page FROM r WHERE rn <= 3""")
+def page_substantive_filter(spark, sf_dir):
+    return paging.substantive_pages(pages(spark, sf_dir)).select("file", "page")
+
+
+@query(rf"""WITH {_PAGES}, b AS (SELECT *, max(CAST(len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda x: x <> '')) >= 15 AS INTEGER)) OVER (PARTITION BY file ORDER BY page ROWS UNBOUNDED PRECEDING) AS begun FROM pages_),
+t AS (SELECT *, coalesce(sum(length(raw_text)) OVER (PARTITION BY file ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM b WHERE begun = 1)
+SELECT file, CAST(page AS INTEGER) AS i FROM t WHERE taken < 4000""")
+def docx_prefix_filter(spark, sf_dir):
+    rows = pages(spark, sf_dir).select("file", F.col("page").alias("i"), F.col("raw_text").alias("paragraph"))
+    return paging.lead_paragraphs(rows).select("file", "i")
+
+
+@query("""WITH f AS (SELECT source AS module, CAST(doc_id AS VARCHAR) AS path, chr(10) || chr(10) || '=== ' || doc_id || ' ===' || chr(10) || left(text, 120000) AS block FROM documents),
+s AS (SELECT *, 400000 - coalesce(sum(length(block)) OVER (PARTITION BY module ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM f),
+k AS (SELECT module, path, left(block, CAST(room AS BIGINT)) AS block FROM s WHERE length(block) <= room OR room > 500)
+SELECT module, md5(string_agg(block, '' ORDER BY path)) AS text_md5, count(*) AS n_files FROM k GROUP BY 1""")
+def module_text_aggregate(spark, sf_dir):
+    rows = documents(spark, sf_dir).select(F.col("source").alias("module"), F.col("doc_id").cast("string").alias("path"), "text")
+    return paging.module_texts(rows).select("module", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_files")
+
+
+# --- matching ---------------------------------------------------------------------------------------------------------------------
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Vectors of small ids as checklist items, the others as documents, dealt to five modules."""
+    e = table(spark, sf_dir, "embeddings").withColumn("module", F.concat(F.lit("m"), F.col("vec_id") % 5 + 1))
+    items = e.where("vec_id < 50").select("module", F.col("vec_id").alias("item"), F.col("vec_id").alias("item_ord"), F.col("embedding").alias("item_vec"))
+    docs = e.where("vec_id >= 50").select("module", F.col("vec_id").alias("doc"), F.col("vec_id").alias("doc_ord"), F.col("embedding").alias("doc_vec"))
+    return items, docs
+
+
+def sims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.similarity(*_vectors(spark, sf_dir))
+
+
+def checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("item") % 3 == 0, "Mandatory").when(F.col("item") % 3 == 1, "Conditional").otherwise("Optional")
+    return _vectors(spark, sf_dir)[0].select("module", "item", kind.alias("applicability"))
+
+
+_SIMS = """sims AS (SELECT 'm' || (d.vec_id % 5 + 1) AS module, i.vec_id AS item, d.vec_id AS doc, round(list_dot_product(CAST(i.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS sim
+  FROM embeddings d JOIN embeddings i ON d.vec_id % 5 = i.vec_id % 5 WHERE i.vec_id < 50 AND d.vec_id >= 50)"""
+_RANKS = f"WITH {_SIMS}, ranks AS (SELECT *, row_number() OVER (PARTITION BY module, doc ORDER BY sim DESC, item) AS rk FROM sims)"
+_MATCH = f"""{_RANKS},
+best AS (SELECT module, item, arg_max(doc, struct_pack(s := sim, o := -doc)) AS doc, max(sim) AS sim FROM sims WHERE sim > 0 GROUP BY ALL),
+clear AS (SELECT module, doc, round(max(sim) FILTER (WHERE rk = 1) - max(sim) FILTER (WHERE rk = 2), 6) AS clarity FROM ranks WHERE rk <= 2 GROUP BY ALL),
+nom AS (SELECT module, item, count(DISTINCT doc) AS n FROM ranks WHERE rk <= 3 GROUP BY ALL),
+pen AS (SELECT b.*, coalesce(n, 0) AS n, CASE WHEN clarity < 0.08 THEN sim * 0.88 ELSE sim END AS p FROM best b LEFT JOIN clear USING (module, doc) LEFT JOIN nom USING (module, item)),
+sc AS (SELECT *, round(CASE WHEN n >= 2 THEN least(1.0, p + 0.12) ELSE p END, 6) AS score FROM pen),
+st AS (SELECT *, CASE WHEN score >= {STRICT} THEN 'matched' WHEN score >= {STRICT - GAP} THEN 'needs_user_confirmation' ELSE 'missing' END AS status FROM sc),
+sec AS (SELECT module, item, arg_max(doc, struct_pack(s := sim, o := -doc)) AS doc2, max(sim) AS sim2 FROM ranks WHERE rk BETWEEN 2 AND 3 AND sim >= {FALLBACK} GROUP BY ALL),
+items AS (SELECT 'm' || (vec_id % 5 + 1) AS module, vec_id AS item, CASE vec_id % 3 WHEN 0 THEN 'Mandatory' WHEN 1 THEN 'Conditional' ELSE 'Optional' END AS applicability FROM embeddings WHERE vec_id < 50),
+res AS (SELECT i.module, i.item, i.applicability, coalesce(status, 'missing') = 'missing' AND doc2 IS NOT NULL AS fb, doc, doc2, sim2, coalesce(status, 'missing') AS status0, coalesce(score, 0.0) AS score0, coalesce(n, 0) AS n FROM items i LEFT JOIN st USING (module, item) LEFT JOIN sec USING (module, item)),
+matched AS (SELECT module, item, applicability, CASE WHEN fb THEN doc2 WHEN status0 <> 'missing' THEN doc END AS doc, CASE WHEN fb THEN sim2 ELSE score0 END AS score, CASE WHEN fb THEN 'needs_user_confirmation' ELSE status0 END AS status,
+  CASE WHEN fb THEN 'secondary_fallback' ELSE 'primary' END AS match_method, n AS nominations FROM res)"""
+
+
+@query(f"WITH {_SIMS} SELECT * FROM sims")
+def dense_similarity(spark, sf_dir):
+    return sims(spark, sf_dir).select("module", "item", "doc", "sim")
+
+
+@query(f"{_RANKS} SELECT module, doc, item, sim, CAST(rk AS INTEGER) AS rank FROM ranks WHERE rk <= 3")
+def topk_per_doc(spark, sf_dir):
+    return matching.ranked(sims(spark, sf_dir)).where("rank <= 3").select("module", "doc", "item", "sim", "rank")
+
+
+@query(f"{_RANKS} SELECT module, item, count(DISTINCT doc) AS nominations FROM ranks WHERE rk <= 3 GROUP BY ALL")
+def nomination_count(spark, sf_dir):
+    return matching.nominations(matching.ranked(sims(spark, sf_dir)))
+
+
+@query(f"{_RANKS} SELECT module, doc, round(max(sim) FILTER (WHERE rk = 1) - max(sim) FILTER (WHERE rk = 2), 6) AS clarity FROM ranks WHERE rk <= 2 GROUP BY ALL")
+def match_clarity(spark, sf_dir):
+    return matching.clarity(matching.ranked(sims(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {_SIMS}, ords AS (SELECT module, item, row_number() OVER (PARTITION BY module ORDER BY item) AS o FROM (SELECT DISTINCT module, item FROM sims)),
+walk AS (
+  SELECT DISTINCT module, CAST(0 AS BIGINT) AS o, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS item, CAST(NULL AS BIGINT) AS doc, CAST(0 AS DOUBLE) AS sim FROM ords
+  UNION ALL
+  SELECT w.module, w.o + 1, CASE WHEN b.sim >= {PARTIAL} THEN list_append(w.used, b.doc) ELSE w.used END, n.item, b.doc, coalesce(b.sim, 0)
+  FROM walk w JOIN ords n ON n.module = w.module AND n.o = w.o + 1
+  LEFT JOIN LATERAL (SELECT arg_max(s.doc, struct_pack(a := s.sim, b := -s.doc)) AS doc, max(s.sim) AS sim FROM sims s WHERE s.module = n.module AND s.item = n.item AND s.sim > 0 AND NOT list_contains(w.used, s.doc)) b ON true
+)
+SELECT module, item, CASE WHEN sim >= {PARTIAL} THEN doc ELSE -1 END AS doc, sim, CASE WHEN sim >= {STRICT} THEN 'matched' WHEN sim >= {PARTIAL} THEN 'needs_user_confirmation' ELSE 'missing' END AS status FROM walk WHERE o > 0""")
+def greedy_assignment(spark, sf_dir):
+    return matching.greedy(sims(spark, sf_dir), STRICT, PARTIAL).select("module", "item", F.coalesce("doc", F.lit(-1)).cast("long").alias("doc"), "sim", "status")
+
+
+def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match(checklist(spark, sf_dir), sims(spark, sf_dir), STRICT, GAP, FALLBACK)
+
+
+@query(f"{_MATCH} SELECT module, item, coalesce(doc, -1) AS doc, score, status, match_method, nominations FROM matched")
+def match_status(spark, sf_dir):
+    return matched(spark, sf_dir).withColumn("doc", F.coalesce("doc", F.lit(-1)).cast("long"))
+
+
+@query(f"{_MATCH} SELECT module, item FROM matched WHERE status = 'missing' AND applicability = 'Mandatory'")
+def missing_items(spark, sf_dir):
+    return matching.missing_mandatory(checklist(spark, sf_dir), matched(spark, sf_dir)).select("module", "item")
+
+
+@query(f"{_MATCH} SELECT 'm' || (vec_id % 5 + 1) AS module, vec_id AS doc FROM embeddings WHERE vec_id >= 50 AND vec_id NOT IN (SELECT doc FROM matched WHERE doc IS NOT NULL)")
+def extra_docs(spark, sf_dir):
+    return matching.extras(_vectors(spark, sf_dir)[1].select("module", "doc"), matched(spark, sf_dir))
+
+
+@query(f"{_MATCH} SELECT module, count(*) AS total, count(*) FILTER (WHERE status <> 'missing') AS submitted, NOT bool_or(applicability = 'Mandatory' AND status = 'missing') AS mandatory_complete FROM matched GROUP BY ROLLUP (module)")
+def completeness_rollup(spark, sf_dir):
+    return matching.completeness(checklist(spark, sf_dir), matched(spark, sf_dir))
+
+
+@query(f"{_MATCH} SELECT module, list(item ORDER BY item) AS items FROM matched WHERE applicability <> 'Mandatory' AND status <> 'matched' GROUP BY 1")
+def items_to_review(spark, sf_dir):
+    return matching.to_review(checklist(spark, sf_dir), matched(spark, sf_dir))
+
+
+@query("""WITH i AS (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2)) AS ws FROM benchmark),
+iw AS (SELECT item_id, len(ws) AS n, unnest(ws) AS w FROM i), d AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 2))) AS w FROM documents),
+p AS (SELECT item_id, doc_id, n, count(*) AS shared FROM iw JOIN d USING (w) GROUP BY ALL)
+SELECT item_id, doc_id, round(shared / n, 6) AS overlap FROM p WHERE shared >= 0.35 * n""")
+def relevance_join(spark, sf_dir):
+    titles = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("title"))
+    return matching.relevance(titles, documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("""WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '[\\s]+', ' ', 'g')) AS t FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\\s]+', ' ', 'g')) AS t FROM documents)
+SELECT item_id, doc_id, strpos(d.t, b.t) AS pos FROM b JOIN d ON contains(d.t, b.t)""".replace("\\\\", "\\"))
+def snippet_locate(spark, sf_dir):
+    """Where passages of the benchmark stand in normalised documents; both meet over a passage's first five words."""
+    norm = lambda c: F.btrim(F.regexp_replace(F.lower(c), r"[\s]+", " "))
+    words = lambda c: F.split(c, " ")
+    b = table(spark, sf_dir, "benchmark").select("item_id", norm(F.col("text")).alias("b")).where("b <> ''")
+    b = b.withColumn("key", F.slice(words(F.col("b")), 2, 4))  # inner words: the first one may end another word of the text
+    b = b.where(F.size(words(F.col("b"))) > 5).withColumn("key", F.xxhash64(F.array_join("key", " ")))
+    d = documents(spark, sf_dir).select("doc_id", norm(F.col("text")).alias("d"))
+    grams = T.let(words(F.col("d")), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(4)), " ")))))
+    hits = d.select("doc_id", F.explode(grams).alias("key")).join(F.broadcast(b.select("item_id", "key")), "key").select("doc_id", "item_id").distinct()
+    at = F.instr(F.col("d"), F.col("b"))
+    return d.join(hits, "doc_id").join(b.select("item_id", "b"), "item_id").where(F.col("d").contains(F.col("b"))).select("item_id", "doc_id", at.cast("long").alias("pos"))
+
+
+# --- files ------------------------------------------------------------------------------------------------------------------------
+
+_URLS = "u AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages)"
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+
+
+@query(f"""WITH {_URLS}, m AS (SELECT CASE page_id % 2 WHEN 0 THEN 'a' ELSE 'b' END AS archive, path, lower(regexp_extract(path, '[^/]*$')) AS key FROM u WHERE path <> '' AND NOT ends_with(path, '/'))
+SELECT archive AS only_in, path, key FROM m WHERE key NOT IN (SELECT key FROM m GROUP BY key HAVING count(DISTINCT archive) = 2)""")
+def version_diff(spark, sf_dir):
+    return files.version_diff(_members(spark, sf_dir).select(F.when(F.col("page_id") % 2 == 0, "a").otherwise("b").alias("archive"), "path"))
+
+
+@query(f"""WITH {_URLS}, p AS (SELECT DISTINCT list_filter(string_split(path, '/'), lambda x: x <> '') AS p FROM u),
+n AS (SELECT p, unnest(range(1, len(p) + 1)) AS depth FROM p), t AS (SELECT array_to_string(p[1:depth], '/') AS path, array_to_string(p[1:depth - 1], '/') AS parent, p[depth] AS name, depth, depth < len(p) AS inner_ FROM n)
+SELECT path, parent, name, depth, CASE WHEN bool_or(inner_) THEN 'folder' ELSE 'file' END AS type, CASE WHEN bool_or(inner_) THEN '' ELSE lower(regexp_extract(name, '\\.([^.]+)$', 1)) END AS extension FROM t GROUP BY path, parent, name, depth""".replace("\\\\", "\\"))
+def path_tree(spark, sf_dir):
+    return files.tree(_members(spark, sf_dir))
+
+
+@query(f"WITH {_URLS}, k AS (SELECT page_id, path, array_to_string(list_transform(regexp_extract_all(path, '(\\d+|\\D+)', 1), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 12, '0') ELSE lower(x) END), '') AS key FROM u) SELECT page_id, key, CAST(row_number() OVER (ORDER BY key, page_id) AS BIGINT) AS place FROM k")
+def natural_sort(spark, sf_dir):
+    """Places of paths in natural order: a sort by range, counts of its parts, then places within a part."""
+    rows = _members(spark, sf_dir).select("page_id", files.natural_key(F.col("path")).alias("key"))
+    dealt = rows.withColumn("bucket", F.left("key", F.lit(8)))
+    counts = dealt.groupBy("bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("key", "page_id"))
+    return dealt.join(counts.select("bucket", before.alias("before")), "bucket").select("page_id", "key", place.cast("long").alias("place"))
+
+
+@query(f"WITH {_URLS} SELECT page_id, lower(regexp_extract(path, '[^/]*$')) AS base, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '\\.([^.]+)$', 1)) AS extension FROM u")
+def file_names(spark, sf_dir):
+    return _members(spark, sf_dir).select("page_id", F.lower(files.basename(F.col("path"))).alias("base"), files.extension(F.col("path")).alias("extension"))
+
+
+@query()
+def filename_fuzzy_match(spark, sf_dir):
+    names = _members(spark, sf_dir).select("page_id", files.basename(F.col("path")).alias("name"))
+    sources = names.where(F.col("page_id") % 2 == 0).select(F.upper("name").alias("source_name")).distinct()
+    return files.best_files(sources, names.where(F.col("page_id") % 2 == 1).select("name", F.col("page_id").alias("ord")))
+
+
+@query(fixtures.values("paths_out") + " SELECT path, m AS module, usable FROM paths_out")
+def module_detection(spark, sf_dir):
+    return fixtures.frame(spark, "paths").select("path", files.module_of(F.col("path")).alias("module"), files.safe(F.col("path")).alias("usable"))
+
+
+# --- registry, cases --------------------------------------------------------------------------------------------------------------
+
+
+@query("""WITH q AS (SELECT p_partkey AS query_id, lower(split_part(p_name, ' ', 1)) AS name FROM part)
+SELECT query_id, min(p_partkey) AS row_id FROM q JOIN part ON contains(lower(p_name), name) GROUP BY 1""")
+def drug_lookup(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    queries = part.select(F.col("p_partkey").alias("query_id"), F.split("p_name", " ")[0].alias("name"), F.lit(None).cast("string").alias("strength"))
+    known = part.select(F.col("p_partkey").alias("row_id"), F.col("p_name").alias("drug_name"), F.col("p_type").alias("strength"))
+    return registry.look_up(queries, known).select("query_id", "row_id")
+
+
+_SEVERITY = """WITH s AS (SELECT doc_id, lower(text) AS t FROM documents),
+r AS (SELECT doc_id, CASE WHEN contains(t, 'death') OR contains(t, 'fatal') THEN 'Death' WHEN contains(t, 'disability') OR contains(t, 'disabled') THEN 'Disability' WHEN contains(t, 'hospitalization') OR contains(t, 'hospitalisation') OR contains(t, 'admitted') THEN 'Hospitalisation' END AS event FROM s),
+v AS (SELECT *, CASE event WHEN 'Hospitalisation' THEN 'Medium' WHEN 'Death' THEN 'High' WHEN 'Disability' THEN 'High' END AS severity FROM r)"""
+
+
+@query(f"{_SEVERITY} SELECT * FROM v")
+def severity_rules(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", cases.severity(F.col("text")).alias("s")).select("doc_id", "s.event", "s.severity")
+
+
+@query(f"{_SEVERITY} SELECT coalesce(severity, 'Unknown') AS bucket, count(*) AS n FROM v GROUP BY 1")
+def severity_histogram(spark, sf_dir):
+    return cases.histogram(documents(spark, sf_dir).select(cases.severity(F.col("text"))["severity"].alias("severity")))
+
+
+@query("""WITH c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(text)) AS first_sig, min(doc_id) OVER (PARTITION BY source || '-' || (n_chars // 10)) AS first_name FROM documents)
+SELECT doc_id, CASE WHEN least(first_sig, first_name) < doc_id THEN least(first_sig, first_name) ELSE -1 END AS duplicate_of,
+  CAST(CASE WHEN first_name < doc_id AND first_name <= first_sig THEN 1.0 WHEN first_sig < doc_id THEN 0.95 WHEN first_name < doc_id THEN 1.0 ELSE 0.0 END AS DOUBLE) AS similarity FROM c""")
+def duplicate_cases(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.concat("source", F.lit("-"), F.floor(F.col("n_chars") / 10)).alias("file_name"), F.col("text").alias("signature"), F.col("doc_id").alias("case_ord"))
+    return cases.duplicates(rows).select("doc_id", F.coalesce("duplicate_of", F.lit(-1)).cast("long").alias("duplicate_of"), "similarity")
+
+
+@query("""WITH h AS (SELECT doc_id, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split('SAE-' || doc_id || '|' || source, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: (a * 31 + c) % 4294967296) AS h FROM documents),
+l AS (SELECT d.doc_id, h.h, CASE d.doc_id % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' WHEN 2 THEN 'low' ELSE 'none' END AS level FROM documents d JOIN h USING (doc_id))
+SELECT doc_id, round(CASE level WHEN 'high' THEN 8.5 + 1.5 * ((h % 1000) / CAST(1000 AS DOUBLE)) WHEN 'medium' THEN 5.5 + 2.5 * ((h % 1000) / CAST(1000 AS DOUBLE)) WHEN 'low' THEN 1.5 + 3.5 * ((h % 1000) / CAST(1000 AS DOUBLE)) ELSE 2.0 END, 1) AS priority FROM l""")
+def priority_score(spark, sf_dir):
+    level = F.when(F.col("doc_id") % 4 == 0, "high").when(F.col("doc_id") % 4 == 1, "medium").when(F.col("doc_id") % 4 == 2, "low").otherwise("none")
+    return documents(spark, sf_dir).select("doc_id", cases.priority(level, F.concat(F.lit("SAE-"), "doc_id", F.lit("|"), "source")).alias("priority"))
+
+
+@query("""SELECT doc_id, doc_id % 5 = 4 OR coalesce(contains(lower(left(text, 1500)), 'with'), false) AS classified FROM documents""")
+def module_gate(spark, sf_dir):
+    rows = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("Module "), F.col("doc_id") % 5 + 1).alias("module"), F.lower(F.left("text", F.lit(1500))).contains("with").alias("sae_applicable"))
+    return cases.gated(rows).select("doc_id", "classified")
+
+
+@query("SELECT doc_id AS file, left(string_agg(left(l, 1500), chr(10) ORDER BY i), 3000) AS sample FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE i < 2 GROUP BY 1")
+def module_sample(spark, sf_dir):
+    return cases.detection_sample(pages(spark, sf_dir))
+
+
+# --- consistency ------------------------------------------------------------------------------------------------------------------
+
+
+def _fields(spark: SparkSession) -> DataFrame:
+    return consistency.with_normal(fixtures.frame(spark, "fields"))
+
+
+@query(fixtures.values("fields_out") + " SELECT * FROM fields_out")
+def field_normal_forms(spark, sf_dir):
+    return _fields(spark).select("dossier_id", "module", "field_number", F.col("v.canonical").alias("canonical"))
+
+
+@query(fixtures.values("verdicts_out") + " SELECT * FROM verdicts_out")
+def field_compare(spark, sf_dir):
+    rows = _fields(spark)
+    return consistency.refined(consistency.compare(rows), rows).select("dossier_id", "field_number", "result")
+
+
+@query(fixtures.values("verdicts_out") + " SELECT dossier_id, count(*) FILTER (WHERE result = 'CONSISTENT') AS consistent, count(*) AS total FROM verdicts_out GROUP BY 1")
+def consistent_ratio(spark, sf_dir):
+    rows = _fields(spark)
+    return consistency.consistent_ratio(consistency.refined(consistency.compare(rows), rows), "dossier_id")
+
+
+@query()
+def anchor_fields(spark, sf_dir):
+    """Fields found by their anchors in the modules of dossiers."""
+    rows = fixtures.frame(spark, "dossiers")
+    return consistency.extract_fields(rows).where("raw <> ''")
+
+
+# --- geometry ---------------------------------------------------------------------------------------------------------------------
+
+_BOXES = fixtures.values("blocks", "lines")
+
+
+@query(_BOXES + """, p AS (SELECT a.page_id, a.block_id AS a, b.block_id AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
+ (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM blocks a JOIN blocks b ON a.page_id = b.page_id AND a.block_ord < b.block_ord)
+SELECT page_id, a, b, round(i / (s - i + 1e-6), 6) AS iou FROM p""")
+def box_iou(spark, sf_dir):
+    a = fixtures.frame(spark, "blocks").select("page_id", F.col("block_id").alias("a"), F.col("block_ord").alias("ao"), geometry.box().alias("x"))
+    b = fixtures.frame(spark, "blocks").select("page_id", F.col("block_id").alias("b"), F.col("block_ord").alias("bo"), geometry.box().alias("y"))
+    return a.join(b, "page_id").where("ao < bo").select("page_id", "a", "b", F.round(geometry.iou(F.col("x"), F.col("y")), 6).alias("iou"))
+
+
+@query(_BOXES + """, n AS (SELECT DISTINCT a.page_id, a.block_id FROM blocks a JOIN blocks b ON a.page_id = b.page_id AND a.type = b.type AND a.block_id <> b.block_id
+ WHERE (a.x2 - a.x1) * (a.y2 - a.y1) < (b.x2 - b.x1) * (b.y2 - b.y1)
+ AND greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) + 1e-6) > 0.8)
+SELECT page_id, block_id FROM blocks WHERE (page_id, block_id) NOT IN (SELECT (page_id, block_id) FROM n)""")
+def nested_blocks(spark, sf_dir):
+    return geometry.without_nested(fixtures.frame(spark, "blocks")).select("page_id", "block_id")
+
+
+@query(_BOXES + """, p AS (SELECT l.page_id, l.line_ord, b.block_id, b.block_ord, greatest(0, least(l.x2, b.x2) - greatest(l.x1, b.x1)) * greatest(0, least(l.y2, b.y2) - greatest(l.y1, b.y1)) AS i,
+ (l.x2 - l.x1) * (l.y2 - l.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s, (l.x1 + l.x2) / 2 BETWEEN b.x1 AND b.x2 AND (l.y1 + l.y2) / 2 BETWEEN b.y1 AND b.y2 AS c FROM lines l JOIN blocks b ON l.page_id = b.page_id),
+q AS (SELECT *, i / (s - i + 1e-6) + CASE WHEN c THEN 0.5 ELSE 0 END AS score FROM p), r AS (SELECT page_id, line_ord, arg_max(block_id, struct_pack(a := score, b := -block_ord)) AS block_id FROM q WHERE score > 0.3 GROUP BY ALL)
+SELECT l.page_id, l.line_ord, r.block_id FROM lines l LEFT JOIN r USING (page_id, line_ord)""")
+def line_assignment(spark, sf_dir):
+    return geometry.assigned(fixtures.frame(spark, "lines"), fixtures.frame(spark, "blocks")).select("page_id", "line_ord", "block_id")
+
+
+@query()
+def line_dedup_boxes(spark, sf_dir):
+    return geometry.assigned_once(geometry.deduplicated_strictly(geometry.deduplicated(fixtures.frame(spark, "lines"))), fixtures.frame(spark, "blocks")).select("page_id", "line_ord", "block_id")
+
+
+@query(_BOXES + """, o AS (SELECT page_id, block_id, CASE type WHEN 'table' THEN 0 WHEN 'image' THEN 1 WHEN 'seal' THEN 1 WHEN 'unassigned' THEN 3 ELSE 2 END AS layer, y1, x1 FROM blocks)
+SELECT page_id, block_id, row_number() OVER (PARTITION BY page_id ORDER BY layer, y1, x1, block_id) AS place FROM o""")
+def draw_order(spark, sf_dir):
+    return geometry.draw_list(fixtures.frame(spark, "blocks")).select("page_id", "block_id", "place")
+
+
+@query("SELECT * FROM (VALUES (1, 0, 'Name John'), (1, 1, 'Age' || chr(9) || '47 years')) t(page_id, row_no, row_text)")
+def row_cluster(spark, sf_dir):
+    return geometry.rows_of_words(fixtures.frame(spark, "words")).select(F.col("page_id").cast("int").alias("page_id"), F.col("row_no").cast("int").alias("row_no"), "row_text")
+
+
+# --- JSON -------------------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, json_keys(CAST(props AS JSON))[1] AS first_key FROM events WHERE props IS NOT NULL AND contains(props, '{')")
+def json_extract(spark, sf_dir):
+    """The outer object of a model's answer, here wrapped in prose and fences, and its first key."""
+    events = table(spark, sf_dir, "events").where(F.col("props").contains("{"))
+    answer = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone."))
+    return events.select("event_id", F.get(F.json_object_keys(T.outer_json(answer)), F.lit(0)).alias("first_key"))

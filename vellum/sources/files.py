@@ -1,0 +1,166 @@
+"""Files as tables: folders, archives, Word documents, text, checklists and registries."""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vellum.functions.text import clean_cell, decoded
+from vellum.operators import files as paths
+from vellum.session import ship
+
+_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def binary_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Files below a folder: path, length, content.  Listing alone doesn't read contents."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", "length", "content")
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path and length of the files below a folder."""
+    return binary_files(spark, folder, pattern).select("path", "length")
+
+
+def archive_members(archives: DataFrame, most_bytes: int = 60_000 * 2**20) -> DataFrame:
+    """Usable members of ZIP archives (path, content): archive, member, content, error.
+
+    A file that is no readable archive, or is too large, gives one row with its
+    error.  Members come one by one, so a task holds an archive and one member.
+    """
+    ship(archives.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    if len(content) > most_bytes:
+                        raise ValueError("archive is too large")
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        for name in z.namelist():
+                            yield pd.DataFrame({"archive": [path], "member": [name], "content": [None if name.endswith("/") else z.read(name)], "error": [None]})
+                except Exception as e:
+                    yield pd.DataFrame({"archive": [path], "member": [None], "content": [None], "error": [f"{type(e).__name__}: {e}"]})
+
+    rows = archives.select("path", "content").mapInPandas(run, "archive string, member string, content binary, error string")
+    rows = rows.withColumn("member", paths.normalised(F.col("member")))
+    return rows.where(F.col("error").isNotNull() | paths.safe(F.col("member")))
+
+
+def _paragraphs(root: ElementTree.Element) -> list[str]:
+    out = []
+    for p in root.iter(f"{_W}p"):
+        text = "".join(x.text or "" if x.tag == f"{_W}t" else "\f" if x.attrib.get(f"{_W}type") == "page" else "\n" if x.tag == f"{_W}br" else "\t" for x in p.iter() if x.tag in (f"{_W}t", f"{_W}br", f"{_W}tab"))
+        if text.strip():
+            out.append(text)
+    return out
+
+
+def word_text(content: bytes, least: int = 200) -> str:
+    """Text of a Word document: its body with its tables, then headers and footers; from bare runs if that is short."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        names = z.namelist()
+        body = ElementTree.fromstring(z.read("word/document.xml"))
+        parts = _paragraphs(body)
+        for name in sorted(n for n in names if re.fullmatch(r"word/(header|footer)\d*\.xml", n)):
+            parts += _paragraphs(ElementTree.fromstring(z.read(name)))
+        text = "\n".join(parts)
+        bare = " ".join(t.text for t in body.iter(f"{_W}t") if t.text)
+        return text if len(text) >= least or len(bare) <= len(text) else bare
+
+
+def word_documents(files: DataFrame) -> DataFrame:
+    """Word files (path, content) as path, text, error."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    yield pd.DataFrame({"path": [path], "text": [word_text(content)], "error": [None]})
+                except Exception as e:
+                    yield pd.DataFrame({"path": [path], "text": [None], "error": [f"{type(e).__name__}: {e}"]})
+
+    return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
+
+
+def is_pdf(content: Column) -> Column:
+    return F.substring(content, 1, 5) == F.encode(F.lit("%PDF-"), "utf-8")
+
+
+def guarded(files: DataFrame, most_bytes: int) -> DataFrame:
+    """files with ``error`` where one is too large or, by its name, a PDF that isn't one."""
+    error = F.when(F.col("length") > most_bytes, "file is too large").when((paths.extension(F.col("path")) == "pdf") & ~is_pdf(F.col("content")), "not a PDF file")
+    return files.withColumn("error", error)
+
+
+def text_files(files: DataFrame, most_chars: int | None = None) -> DataFrame:
+    """Text files as path and text: UTF-8 where valid, else Latin-1."""
+    text = decoded(F.col("content"))
+    return files.select("path", (text if most_chars is None else F.left(text, F.lit(most_chars))).alias("text"))
+
+
+def pdf_pages(files: DataFrame, reader=None, keep_blank: bool = False) -> DataFrame:
+    """PDF files as file, page (from 1), raw_text, by a reader: a function of bytes that gives the pages' texts.
+
+    No PDF library is part of this package, so a reader must be given.
+    """
+    if reader is None:
+        raise NotImplementedError("give a reader: a function of bytes that gives a list of page texts")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                pages = [(path, i, t) for i, t in enumerate(reader(content), 1) if keep_blank or t.strip()]
+                yield pd.DataFrame(pages, columns=["file", "page", "raw_text"])
+
+    return files.select("path", "content").mapInPandas(run, "file string, page int, raw_text string")
+
+
+def checklist(cells: DataFrame) -> DataFrame:
+    """Checklist items from sheets' cells (sheet, row, section_id, title, description, applicability as text).
+
+    Rows count from the header row, the first that names a section id and a
+    document title, to a row of totals.  Cells are cleaned, and rows of unknown
+    applicability are left out.
+    """
+    columns = ("section_id", "title", "description", "applicability")
+    rows = cells.select(paths.sheet_key(F.col("sheet")).alias("module"), "row", *[clean_cell(F.col(c)).alias(c) for c in columns])
+    head = F.lower("section_id").contains("section") & F.lower("title").contains("title")
+    total = F.lower(F.concat_ws(" ", "section_id", "title")).contains("total documents")
+    bounds = rows.groupBy("module").agg(F.min(F.when(head, F.col("row"))).alias("first"))
+    rows = rows.join(bounds, "module").where(F.col("row") > F.col("first"))
+    ends = rows.groupBy("module").agg(F.min(F.when(total, F.col("row"))).alias("end"))
+    rows = rows.join(ends, "module").where(F.col("end").isNull() | (F.col("row") < F.col("end")))
+    known = F.initcap("applicability")
+    return rows.where(known.isin("Mandatory", "Conditional", "Optional") & (F.col("title") != "")).select("module", F.col("row").alias("item_ord"), "section_id", "title", "description", known.alias("applicability"))
+
+
+def saved_pages(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("file string, page int, raw_text string").json(folder)
+
+
+def save_pages(pages: DataFrame, folder: str) -> None:
+    """Pages as JSON, a folder for each file."""
+    pages.write.mode("overwrite").partitionBy("file").json(folder)
+
+
+def save_report(rows: DataFrame, folder: str, form: str = "json") -> None:
+    rows.write.mode("overwrite").format(form).save(folder)
+
+
+def upload(files: DataFrame, put, at_once: int = 12) -> None:
+    """Hand files (path, content) to ``put(path, content)``, at most ``at_once`` of them at a time."""
+
+    def send(rows) -> None:
+        for r in rows:
+            put(r["path"], bytes(r["content"]))
+
+    files.select("path", "content").repartition(at_once).foreachPartition(send)
