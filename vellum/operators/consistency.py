@@ -136,10 +136,11 @@ def months(t: Column) -> Column:
     """The first duration of a text, in months; of several kinds, months before years before days before "36M"."""
     s = F.btrim(F.lower(t))
     part = lambda p: F.nullif(F.regexp_extract(s, p, 1), F.lit("")).cast("double")
+    days = part(r"(\d+(?:\.\d+)?)\s*(?:day|days)\b")
     return F.coalesce(
         F.floor(part(r"(\d+(?:\.\d+)?)\s*(?:month|months|mo\b|m\b)")),
         F.bround(part(r"(\d+(?:\.\d+)?)\s*(?:year|years|yr|yrs)\b") * 12),
-        F.greatest(F.lit(1), F.bround(part(r"(\d+(?:\.\d+)?)\s*(?:day|days)\b") / 30.5)),
+        F.when(days.isNotNull(), F.greatest(F.lit(1), F.bround(days / 30.5))),
         part(r"\b(\d{2,3})\s*m\b"),
     ).cast("int")
 
