@@ -11,12 +11,14 @@ the threshold are then confirmed on the full sets.
 Documents with equal sets form one class and only its representative is banded.
 Candidates within a band's bucket are not paired with each other:
 
-* first each member meets the bucket's least one; of those pairs the best by
-  odd sketch is confirmed.  This joins a group of thousands of near copies with
-  as many pairs as it has members;
+* first each member looks for the closest odd sketch among the others, in
+  blocks of at most ``BLOCK`` members, so no task ever gets a whole bucket, and
+  that one pair is confirmed.  This joins most of a group of thousands of near
+  copies with no more pairs than it has members;
 * then only buckets that still hold more than one component are looked at, and
-  in them only pairs across components, by odd sketch, in blocks of at most
-  ``BLOCK`` members, so no task ever gets a whole bucket.
+  in them only pairs across components, in the same blocks.  These are tested
+  where they are, the closest first, and a pair that has been joined meanwhile is
+  passed over, so a block gives no more links than it has components.
 
 So each pair that shares a bucket is either tested or already in one component.
 A pair at the threshold shares no bucket with probability (1 - 0.75**5)**48,
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import complete_groups, fresh, map_arrow, saved
@@ -41,8 +43,8 @@ PERCENT = 75
 BANDS, BAND_ROWS = 48, 5
 SAMPLES = BANDS * BAND_ROWS
 SKETCH_BITS = 1024
-#: Odd sketches of a pair at the threshold differ in about 107 bits; this is more than six standard deviations above.
-MOST_BITS = 185
+#: Odd sketches of a pair at the threshold differ in about 107 bits; this is about five standard deviations above.
+MOST_BITS = 172
 BLOCK = 256
 
 _SEED = np.random.Generator(np.random.PCG64(20240607))
@@ -167,92 +169,132 @@ def full_sets(df: DataFrame, nodes: DataFrame, doc_id: str = "doc_id", text: str
     return map_arrow(source.join(nodes, "node").select("node", "text", "digest"), run, "node bigint, n bigint, shingles array<bigint>")
 
 
-def differing_bits(a: Column, b: Column) -> Column:
-    """Population count of the XOR of two odd sketches."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
 def similarity(bits: float) -> float:
     """Jaccard similarity that odd sketches with so many differing bits point to."""
     odd = min(2 * bits / SKETCH_BITS, 1 - 1e-9)
     return max(0.0, 1 + SKETCH_BITS / 4 / SAMPLES * float(np.log(1 - odd)))
 
 
-def _sizes_fit(n: Column, m: Column) -> Column:
-    """A necessary condition for the threshold."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
-
-
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that are linked by their full sets."""
+    """Those of pairs (a, b and other columns) that are linked by their full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * PERCENT).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * PERCENT).select(*pairs.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for each node of edges (a, b): the least node it is connected to.
 
-    Alternating large and small stars; every round's edges are written as a
-    table, so nothing is ever held in one place, and a node with many edges is
-    spread by the join.
+    In each round a node takes the least label among its neighbours and then the
+    label of that label, so a path's length halves.  A round's labels are written
+    as a table; the least is taken before the shuffle, and no join gathers a node's
+    edges in a place that Spark cannot split.
     """
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = saved(edges.where("a <> b").select(F.inline(ways)), "cc-edges")
+    now = saved(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(True).alias("moved")), "cc-labels")
+    while not now.where("moved").isEmpty():
+        labels = now.select("node", "label")
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        low = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("upper"))
+        new = low.join(jump, "label", "left").select("node", F.least("label", F.coalesce("upper", "label")).alias("label"), "old")
+        now = saved(new.select("node", "label", (F.col("label") < F.col("old")).alias("moved")), "cc-labels")
+    return now.select("node", "label")
+
+
+def _dealt(members: DataFrame, *columns: str) -> DataFrame:
+    """members (key, n_bucket, node and columns) dealt out by bucket, a large bucket as pairs (i, j) of blocks, and sorted so within tasks."""
+    blocks = F.ceil(F.col("n_bucket") / BLOCK).cast("int")
+    rows = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *columns)
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
-    def large(e: DataFrame) -> DataFrame:
-        both = saved(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-both")
-        least = saved(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-least")
-        return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
-    def small(e: DataFrame) -> DataFrame:
-        down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        least = saved(down.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
-        out = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        return out.unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.ndarray], pa.Table, int, int, int]]:
+    """Groups of dealt members: columns, table, and the bounds of the first and the second block (the same one, if a block meets itself)."""
+    for table, cuts in complete_groups(batches, ["key", "i", "j"]):
+        cols = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("sketch", "shingles")}
+        cols["sketch"] = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).view(np.uint64)
+        for s, e in cuts:
+            yield cols, table, s, s + int(np.searchsorted(cols["own"][s:e], cols["j"][s])) if cols["i"][s] != cols["j"][s] else e, e
 
-    def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
-    edges = saved(edges.where("a <> b").select("a", "b"), "cc-edges")
-    before = None
-    while (now := state(edges)) != before and now[0]:
-        before, edges = now, saved(small(saved(large(edges), "cc-large")), "cc-edges")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+def _bits(cols: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Differing bits of odd sketches; where sizes rule a pair out, or it is one row, more than any can be."""
+    bits = np.bitwise_count(cols["sketch"][first][:, None] ^ cols["sketch"][second][None]).sum(axis=2, dtype=np.int32)
+    n, m = cols["n"][first][:, None], cols["n"][second]
+    return np.where((np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT) & (first[:, None] != second), bits, SKETCH_BITS)
+
+
+def _nearest(members: DataFrame) -> DataFrame:
+    """For each node the one of its buckets with the closest odd sketch, if that is close enough: a, b, bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, _, s, split, e in _groups(batches):
+            first, second = np.arange(s, split), np.arange(s if split == e else split, e)
+            for r in range(0, len(first), 64):
+                some = first[r : r + 64]
+                bits = _bits(cols, some, second)
+                for x, best, axis in ((some, bits.argmin(axis=1), 1), (second, bits.argmin(axis=0), 0)):
+                    least = bits.min(axis=axis)
+                    other = (second if axis else some)[best]
+                    good = least <= MOST_BITS
+                    if good.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(cols["node"][x[good]]), pa.array(cols["node"][other[good]]), pa.array(least[good], pa.int32())], ["a", "b", "bits"])
+                    if split == e:
+                        break  # a block by itself: the other direction is the same again
+
+    found = map_arrow(_dealt(members, "n", "sketch"), run, "a bigint, b bigint, bits int")
+    return found.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select("a", "best.b")
 
 
 def _across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one bucket with different labels whose sketches are close enough.
+    """Links between the components of buckets: (a, b), labels that are linked by a pair of members.
 
-    members: key, n_bucket, node, label, n, sketch.  A bucket of more than BLOCK
-    members is dealt out as pairs of blocks.
+    members: key, n_bucket, node, label, n, sketch, shingles.  Pairs of different
+    labels come by their odd sketches, the closest first, and are tested on the
+    full sets unless they have been joined before; so what leaves a group is no
+    more than joins its components.
     """
-    blocks = F.ceil(F.col("n_bucket") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "sketch")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, cuts in complete_groups(batches, ["key", "i", "j"]):
-            i, j, own, node, label, n = (table.column(c).to_numpy() for c in ("i", "j", "own", "node", "label", "n"))
-            sketch = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(node), -1).view(np.uint64)
-            for s, e in cuts:
-                # Two blocks meet each other (own is sorted), or a block meets itself.
-                split = s + int(np.searchsorted(own[s:e], j[s])) if i[s] != j[s] else e
-                second = np.arange(s if split == e else split, e)
-                for r in range(s, split, 64):
-                    first = np.arange(r, min(r + 64, split))
-                    bits = np.bitwise_count(sketch[first][:, None] ^ sketch[second][None]).sum(axis=2, dtype=np.int32)
-                    small, big = np.minimum(n[first][:, None], n[second]), np.maximum(n[first][:, None], n[second])
-                    x, y = np.nonzero((bits <= MOST_BITS) & (label[first][:, None] != label[second]) & (small * 100 >= big * PERCENT))
-                    keep = first[x] < second[y]
-                    if keep.any():
-                        a, b = first[x[keep]], second[y[keep]]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[a], node[b], label[a], label[b], bits[x[keep], y[keep]])], ["a", "b", "label_a", "label_b", "bits"])
-
-    found = map_arrow(rows, run, "a bigint, b bigint, label_a bigint, label_b bigint, bits int")
-    low, high = F.least("a", "b"), F.greatest("a", "b")
-    return found.select(low.alias("a"), high.alias("b"), F.least("label_a", "label_b").alias("label_a"), F.greatest("label_a", "label_b").alias("label_b"), "bits").distinct()
+        for cols, table, s, split, e in _groups(batches):
+            first, second, label = np.arange(s, split), np.arange(s if split == e else split, e), cols["label"]
+            found = []
+            for r in range(0, len(first), 64):
+                some = first[r : r + 64]
+                bits = _bits(cols, some, second)
+                x, y = np.nonzero((bits <= MOST_BITS) & (label[some][:, None] != label[second]))
+                found.append(np.stack([bits[x, y], some[x], second[y]]))
+            pairs = np.concatenate(found, axis=1)
+            if not pairs.shape[1]:
+                continue
+            parent: dict[int, int] = {}
+
+            def root(v: int) -> int:
+                while v in parent:
+                    v = parent[v]
+                return v
+
+            sets: dict[int, np.ndarray] = {}
+            out = []
+            for _, a, b in pairs[:, np.argsort(pairs[0], kind="stable")].T.tolist():
+                p, q = root(int(label[a])), root(int(label[b]))
+                if p == q:
+                    continue
+                for v in (a, b):
+                    if v not in sets:
+                        sets[v] = table.column("shingles")[v].values.to_numpy()
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both * 100 >= (len(sets[a]) + len(sets[b]) - both) * PERCENT:
+                    parent[max(p, q)] = min(p, q)
+                    out.append((int(label[a]), int(label[b])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    return map_arrow(_dealt(members, "label", "n", "sketch", "shingles"), run, "a bigint, b bigint").distinct()
 
 
 def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -269,39 +311,22 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     classes = live.groupBy("digest").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "sketch")])
     classes = saved(classes.withColumnRenamed("n_shingles", "n"), "classes")
     banded = classes.select("node", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n_bucket")).where("n_bucket > 1")
+    buckets = banded.groupBy("key").agg(F.count("*").alias("n_bucket")).where("n_bucket > 1")
     buckets = saved(buckets, "buckets")
     members = saved(banded.join(buckets, "key"), "members")
     sketches = classes.select("node", "n", "sketch")
     candidates = classes.select("node", "digest").join(members.select("node").distinct(), "node", "left_semi")
     sets = saved(full_sets(df, candidates, doc_id, text), "shingle-sets")
-    # Each member and the least one of its buckets.
-    stars = members.where("node <> pivot").select("node", "pivot").distinct()
-    stars = stars.join(sketches, "node").withColumnsRenamed({"n": "n_node", "sketch": "sketch_node"})
-    stars = stars.join(sketches.withColumnRenamed("node", "pivot"), "pivot").where(_sizes_fit(F.col("n"), F.col("n_node")))
-    stars = stars.select("node", "pivot", differing_bits(F.col("sketch_node"), F.col("sketch")).alias("bits")).where(F.col("bits") <= MOST_BITS)
-    best = stars.groupBy("node").agg(F.min(F.struct("bits", "pivot")).alias("best"))
-    edges = saved(confirmed(best.select(F.col("best.pivot").alias("a"), F.col("node").alias("b")), sets), "links")
-    labels = saved(components(edges), "labels")
-    # What is still apart in a bucket, compared across components: the closest pair of two components first, then all others.
-    labelled = members.join(labels, "node", "left").select("key", "n_bucket", "node", F.coalesce("label", "node").alias("label"))
-    labelled = saved(labelled, "labelled-members")
+    nearest = saved(_nearest(members.join(sketches, "node")), "nearest")
+    labels = components(saved(confirmed(nearest, sets), "links"))
+    # What is still apart in a bucket, compared across components.
+    labelled = saved(members.join(labels, "node", "left").select("key", "n_bucket", "node", F.coalesce("label", "node").alias("label")), "labelled-members")
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    apart = labelled.join(saved(mixed, "mixed-buckets"), "key").join(sketches, "node")
-    pairs = saved(_across(apart), "pairs-across")
-    closest = pairs.groupBy("label_a", "label_b").agg(F.min(F.struct("bits", "a", "b")).alias("p")).select("p.a", "p.b")
-    edges = saved(edges.unionByName(confirmed(closest, sets)), "links")
-    labels = saved(components(edges), "labels")
-
-    def labelled_as(side: str) -> DataFrame:
-        return labels.select(F.col("node").alias(side), F.col("label").alias(f"now_{side}"))
-
-    rest = pairs.select("a", "b").join(labelled_as("a"), "a", "left").join(labelled_as("b"), "b", "left")
-    rest = rest.where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b")).select("a", "b")
-    more = saved(confirmed(rest, sets), "links")
-    if not more.isEmpty():
-        labels = saved(components(edges.unionByName(more)), "labels")
-    named = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id"))
+    apart = saved(labelled.join(saved(mixed, "mixed-buckets"), "key"), "apart")
+    merged = components(_across(apart.join(sketches, "node").join(sets.select("node", "shingles"), "node")))
+    upper = merged.select(F.col("node").alias("label"), F.col("label").alias("upper"))
+    named = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
+    named = named.join(upper, "label", "left").select("digest", F.coalesce("upper", "label").alias("component_id"))
     named = saved(named, "components")
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))

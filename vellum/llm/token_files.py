@@ -13,7 +13,7 @@ plane from the lowest up.
 Shards hold the documents in ascending doc_id order: rows are dealt by range,
 and each task cuts its sorted run of documents into shards of about
 ``SHARD_TOKENS`` tokens, so a task's memory is bounded by a shard.  Shards are
-rows of a Parquet table (key, documents and their lengths, payload), so that
+rows of a Parquet table (place, documents and their lengths, payload), so that
 Spark's own committer writes them: a lost executor or a second attempt leaves
 no half-written file, and any file system that Spark knows will do.
 """
@@ -37,13 +37,13 @@ SHARD_TOKENS = 1 << 20
 MAGIC = b"VWM1"
 BLOCK = 512
 #: Pieces remembered by a Python worker before it starts afresh.
-CACHE_PIECES = 900_000
+CACHE_PIECES = 1_300_000
 #: Texts whose unknown pieces are learnt together, and pieces in one call of the library.
 LEARN_TEXTS, LEARN_PIECES = 64, 100
 #: Rows are encoded in slices of so many.
 SLICE_ROWS = 256
 
-SHARD_SCHEMA = "part int, block int, doc_ids array<bigint>, lengths array<int>, payload binary"
+SHARD_SCHEMA = "part int, block int, before bigint, doc_ids array<bigint>, lengths array<int>, payload binary"
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -63,7 +63,7 @@ class WaveletMatrix:
         now = (np.cumsum(present) - 1).astype(kind)[values]
         zeros, planes, ones = [], [], []
         for k in range(width - 1, -1, -1):
-            bit = (now >> k) & 1 == 1
+            bit = (now & kind(1 << k)) != 0
             plane = np.packbits(bit)
             plane = np.concatenate([plane, np.zeros(-len(plane) % (BLOCK // 8) + BLOCK // 8, np.uint8)])
             counts = _POPCOUNT[plane].reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
@@ -279,7 +279,7 @@ def write(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, doc_id
         spec = spark.sparkContext.broadcast(f.read())
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
     dealt = docs.repartitionByRange(n_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -288,12 +288,12 @@ def write(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, doc_id
         end = np.array([end_id], coder.dtype).tobytes()
         ids: list[int | None] = []
         raw: list[bytes] = []
-        held = 0
+        before, held = 0, 0
 
         def shard() -> pa.RecordBatch:
             payload = WaveletMatrix.build(np.frombuffer(b"".join(raw), coder.dtype)).dump()
             lengths = [len(x) // coder.dtype.itemsize for x in raw]
-            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "doc_ids": ids, "lengths": lengths, "payload": payload}], schema)
+            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "before": before, "doc_ids": ids, "lengths": lengths, "payload": payload}], schema)
 
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE_ROWS):
@@ -304,7 +304,7 @@ def write(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, doc_id
                     held += len(raw[-1]) // coder.dtype.itemsize
                     if held >= SHARD_TOKENS:
                         yield shard()
-                        block, held, ids, raw = block + 1, 0, [], []
+                        block, before, held, ids, raw = block + 1, before + held, 0, [], []
         if raw:
             yield shard()
 
@@ -318,16 +318,14 @@ def shards(spark, path: str) -> DataFrame:
 def read(spark, path: str) -> DataFrame:
     """Documents of the shards under path: doc_id, start (tokens of all documents before), n_tokens, token_ids as raw bytes.
 
-    Starts come from sums: shards are summed by part, parts are few (one for
-    each task that wrote) and are summed up in order, shards within their part.
+    A shard knows the tokens before it in its part.  Parts are few, one for each
+    task that wrote, so the sums of those before a part go to all readers.
     """
     table = shards(spark, path)
-    sums = table.select("part", "block", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
-    parts = sums.groupBy("part").agg(F.sum("n").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("part", before.alias("part_start"))
-    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select("part", "block", within.alias("within")).join(parts, "part").select("part", "block", (F.col("part_start") + F.col("within")).alias("start"))
+    n = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
+    parts = table.select("part", n.alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    earlier = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(parts.select("part", earlier.alias("earlier")))  # as many rows as shuffle partitions, at most
     out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -341,4 +339,4 @@ def read(spark, path: str) -> DataFrame:
                 crcs = [zlib.crc32(tokens[a:b]) for a, b in zip(begins, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begins + start), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], schema=schema)
 
-    return map_arrow(table.join(starts, ["part", "block"]).select("doc_ids", "lengths", "payload", "start"), run, out)
+    return map_arrow(table.join(starts, "part").select("doc_ids", "lengths", "payload", (F.col("earlier") + F.col("before")).alias("start")), run, out)
