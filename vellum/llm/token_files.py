@@ -201,22 +201,23 @@ class PieceEncoder:
         at = np.flatnonzero(np.frombuffer(raw, self.dtype) == np.frombuffer(feed, self.dtype)) * self.dtype.itemsize
         return [raw[a:b] for a, b in zip([0, *(at + len(feed)).tolist()], [*at.tolist(), len(raw)])]
 
+    def joined(self, text: str) -> bytes | None:
+        """Ids of a text, if all its pieces are known."""
+        known, (head, *pieces) = self.known, text.split(" ")
+        try:
+            return self.heads[head] + b"".join([known[p] for p in pieces])
+        except KeyError:
+            return None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.dtype."""
-        known, out = self.known, []
-        for t in texts:
-            head, *pieces = t.split(" ")
-            try:
-                out.append(self.heads[head] + b"".join([known[p] for p in pieces]))
-            except KeyError:
-                out.append(None)
+        out = [self.joined(t) for t in texts]
         for k in range(0, len(texts), LEARN_TEXTS):
             missed = [i for i in range(k, min(k + LEARN_TEXTS, len(texts))) if out[i] is None]
             self.learn([texts[i] for i in missed])
             for i in missed:
-                head, *pieces = texts[i].split(" ")
-                whole = head in self.heads and all(p in known for p in pieces)
-                out[i] = self.heads[head] + b"".join([known[p] for p in pieces]) if whole else self.library(texts[i])
+                found = self.joined(texts[i])
+                out[i] = self.library(texts[i]) if found is None else found
         return out
 
     def learn(self, texts: list[str]) -> None:
@@ -226,8 +227,8 @@ class PieceEncoder:
             head, *pieces = t.split(" ")
             if not head or not head[-1].isspace():
                 heads[head] = None
-            for p in pieces:
-                if p not in self.known and p and not p[0].isspace() and not p[-1].isspace():
+            for p in set(pieces).difference(self.known):
+                if p and not p[0].isspace() and not p[-1].isspace():
                     first, *rest = lines = p.split("\n")
                     if rest and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
                         broken[p] = lines  # a line feed between two such characters is a token of its own
