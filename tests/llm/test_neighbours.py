@@ -44,3 +44,28 @@ def test_small_tables(spark):
     assert neighbours.nearest(frame(spark, [(0, [1.0] * 8)]), ask).count() == 0
     out = neighbours.nearest(frame(spark, [(0, [1.0] * 8), (1, [2.0] * 8), (2, [-1.0] * 8)]), ask).collect()
     assert [(r.query_id, r["rank"], r.vec_id) for r in sorted(out, key=lambda r: r["rank"])] == [(0, 1, 1), (0, 2, 2)]
+
+
+def share(out, want):
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    return sum(len(got.get(q, set()) & set(want[q])) for q in want) / sum(map(len, want.values()))
+
+
+def exact(x, asked, k=5):
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = unit[asked] @ unit.T
+    sims[np.arange(len(asked)), asked] = -2
+    return {q: row.tolist() for q, row in zip(asked, np.argsort(-sims, axis=1)[:, :k])}
+
+
+def test_beam_grows_with_the_graph(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BEAM", 6)
+    monkeypatch.setattr(neighbours, "BEAM_NODES", 20, raising=False)
+    monkeypatch.setattr(neighbours, "CELL", 64)
+    monkeypatch.setattr(neighbours.search, "__defaults__", (6,))
+    x = np.random.default_rng(4).standard_normal((3000, 48)).astype(np.float32)
+    want = exact(x, list(range(0, 3000, 50)))
+    out = neighbours.nearest(frame(spark, list(enumerate(x.tolist()))), F.col("vec_id") % 50 == 0).collect()
+    assert share(out, want) > 0.9

@@ -19,6 +19,7 @@ copies is no hot spot; only the k + 1 smallest ids of a node can be answers.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +34,13 @@ DEGREE, REVERSE = 24, 24
 TABLES, CELL = 6, 512
 #: NN-descent ends when under this share of all entries is new, or after so many rounds.
 SETTLED, ROUNDS = 0.02, 8
-#: Nodes in a query's beam, and most hops.
-BEAM, HOPS = 96, 24
+#: Nodes in a query's beam, for up to ``BEAM_NODES`` nodes (it grows with the root of their number), and most hops.
+BEAM, BEAM_NODES, HOPS = 96, 10_000, 24
+
+
+def beam_for(count: int) -> int:
+    """Nodes in a query's beam over a graph of count nodes: a fixed beam loses recall as the graph grows."""
+    return max(BEAM, math.ceil(BEAM * math.sqrt(count / BEAM_NODES)))
 
 
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -230,7 +236,7 @@ def nearest(df: DataFrame, asked: Column, k: int = 5, vec_id: str = "vec_id", ve
     asking = rows.join(df.where(asked).select(F.col(f"`{vec_id}`").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
     asking = saved(asking.select("vec_id", "key").distinct().join(nodes.select("key", "node"), "key").select(F.col("vec_id").alias("query_id"), F.col("node").alias("q")), "nn-queries")
     edges = graph(nodes)
-    found = search(edges, codes, asking.select(F.col("q").alias("node")).distinct())
+    found = search(edges, codes, asking.select(F.col("q").alias("node")).distinct(), beam_for(nodes.count()))
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
     # A few more than k: half precision may order close ones otherwise.
     found = found.withColumn("place", place).where(F.col("place") <= 2 * k + 6).select("q", "node")
