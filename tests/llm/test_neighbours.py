@@ -69,3 +69,13 @@ def test_beam_grows_with_the_graph(spark, monkeypatch):
     want = exact(x, list(range(0, 3000, 50)))
     out = neighbours.nearest(frame(spark, list(enumerate(x.tolist()))), F.col("vec_id") % 50 == 0).collect()
     assert share(out, want) > 0.9
+
+
+def test_outliers_get_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 4)
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((20, 16)) * 10
+    x = np.concatenate([rng.standard_normal((30, 16)) * 10, np.repeat(centres, 40, axis=0) + rng.standard_normal((800, 16)) * 0.01]).astype(np.float32)
+    out = neighbours.nearest(frame(spark, list(enumerate(x.tolist()))), F.col("vec_id") < 30).collect()
+    assert len(out) == 30 * 5
+    assert share(out, exact(x, list(range(30)))) > 0.9

@@ -36,6 +36,8 @@ TABLES, CELL = 6, 512
 SETTLED, ROUNDS = 0.02, 8
 #: Nodes in a query's beam, for up to ``BEAM_NODES`` nodes (it grows with the root of their number), and most hops.
 BEAM, BEAM_NODES, HOPS = 96, 10_000, 24
+#: Nodes by hash that every query's beam starts with, beside the query's own neighbours.
+ENTRIES = 32
 
 
 def beam_for(count: int) -> int:
@@ -105,7 +107,11 @@ def _top(edges: DataFrame, n: int = DEGREE) -> DataFrame:
 
 
 def _start(nodes: DataFrame, count: int) -> DataFrame:
-    """First lists: exact neighbours within cells of random hyperplanes, TABLES times; a crowded cell is split at random."""
+    """First lists: exact neighbours within cells of random hyperplanes, TABLES times; a crowded cell is split at random.
+
+    A node with fewer than DEGREE neighbours in its cells gets others at random,
+    so that it is reached by the rounds and every list is full (or holds all others).
+    """
     bits = max(0, int(np.ceil(np.log2(max(1, 2 * count / CELL)))))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,8 +138,20 @@ def _start(nodes: DataFrame, count: int) -> DataFrame:
                         best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
                         yield _edges(np.repeat(node[r : r + len(sims)], k), node[s:e][best].ravel(), np.take_along_axis(sims, best, 1).ravel())
 
-    found = map_arrow(rows.repartition("cell", "part").sortWithinPartitions("cell", "part"), nearest, EDGES)
-    return saved(_top(found.withColumn("fresh", F.lit(True))), "nn-start")
+    def met(rows: DataFrame) -> DataFrame:
+        return map_arrow(rows.repartition("cell", "part").sortWithinPartitions("cell", "part"), nearest, EDGES).withColumn("fresh", F.lit(True))
+
+    edges = saved(_top(met(rows)), "nn-start")
+    full = edges.groupBy("u").count().where(F.col("count") >= min(DEGREE, count - 1)).select(F.col("u").alias("node"))
+    lacking = saved(nodes.select("node").join(full, "node", "left_anti"), "nn-lacking")
+    if count < 2 or lacking.isEmpty():
+        return edges
+    # Dealt by hash, about 4 * DEGREE nodes to a cell: one with too few for a list is out of the question.
+    deal = F.pmod(F.xxhash64(F.lit("deal"), "node"), F.lit(max(1, count // (4 * DEGREE))))
+    cells_of = lacking.select(deal.alias("cell")).distinct()
+    dealt = nodes.select(deal.alias("cell"), "node", "code", F.lit(0).alias("part")).join(cells_of, "cell", "left_semi")
+    more = met(dealt).join(lacking.select(F.col("node").alias("u")), "u", "left_semi")
+    return saved(_top(edges.unionByName(more)), "nn-start")
 
 
 def _both_ways(edges: DataFrame, limit: int = REVERSE) -> DataFrame:
@@ -201,8 +219,10 @@ def search(edges: DataFrame, codes: DataFrame, queries: DataFrame, beam: int = B
     around = saved(_both_ways(edges, 2 * REVERSE).select(F.col("u").alias("node"), F.col("v").alias("next")), "nn-around")
     asked = queries.select(F.col("node").alias("q")).join(codes, F.col("q") == F.col("node")).select("q", F.col("code").alias("code_q"))
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
-    begin = edges.join(queries.select(F.col("node").alias("u")), "u", "left_semi")
-    pool = saved(begin.select(F.col("u").alias("q"), F.col("v").alias("node"), "sim", F.lit(False).alias("expanded")), "nn-beam")
+    begin = edges.join(queries.select(F.col("node").alias("u")), "u", "left_semi").select(F.col("u").alias("q"), F.col("v").alias("node"), "sim")
+    entries = codes.orderBy(F.xxhash64(F.lit("entry"), "node"), "node").limit(ENTRIES)
+    shared = _scored(asked.crossJoin(F.broadcast(entries)).where("q <> node").join(begin.select("q", "node"), ["q", "node"], "left_anti"))
+    pool = saved(begin.unionByName(shared).withColumn("expanded", F.lit(False)), "nn-beam")
     for _ in range(HOPS):
         front = pool.where("NOT expanded").select("q", "node")
         if front.isEmpty():
