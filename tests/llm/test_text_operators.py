@@ -252,6 +252,37 @@ def test_line_dedup_equals_brute_force(spark):
     assert sorted((r.doc_id or 0, r.text) for r in line_dedup.dedup(twice).collect()) == [(0, "x\ny\nz"), (1, ""), (1, "")]
 
 
+def brute_passages(texts, size=3, long=50):
+    """Lines left and removed where runs of fewer lines count too if they have over so many words."""
+    places, wins = {}, []
+    for i, t in enumerate(texts):
+        ls = [x.strip(" ") for x in t.split("\n")]
+        whole = min(len(ls), size)
+        for n in range(1, whole + 1):
+            for p in range(len(ls) - n + 1):
+                w = tuple(ls[p : p + n])
+                if n == whole or sum(len(x.split()) for x in w) > long:
+                    wins.append((w, i, p))
+                    places[w] = min(places.get(w, (i, p)), (i, p))
+    gone = [set() for _ in texts]
+    for w, i, p in wins:
+        if (i, p) > places[w]:
+            gone[i].update(range(p, p + len(w)))
+    return [("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i])) for i, t in enumerate(texts)]
+
+
+def test_line_dedup_finds_long_passages_between_other_lines(spark):
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    long, half, other, few = words("a", 60), words("b", 30), words("c", 25), words("d", 20)
+    texts = [f"p\n{long}\nq", f"r\n{long} \ns", long, f"t\n{half}\n{other}\nu", f"v\n{half}\n{other}\nw", f"{half}\n{other}", f"x\n{few}\ny", f"z\n{few}\nk", few]
+    rnd = random.Random(11)
+    texts += ["\n".join(rnd.choice([long, half, other, few, "e", "f"]) for _ in range(rnd.randrange(1, 6))) for _ in range(40)]
+    rows = {r.doc_id: r for r in line_dedup.dedup(docs(spark, texts)).collect()}
+    assert [rows[i].text for i in range(9)] == [texts[0], "r\ns", "", texts[3], "v\nw", "", *texts[6:9]]
+    for i, want in enumerate(brute_passages(texts)):
+        assert (rows[i].text, rows[i].removed_lines) == want, i
+
+
 # --- 7 ---
 
 

@@ -5,8 +5,11 @@ window that occurs more than once in the corpus stays where it occurs first, by
 document id and then by line; each later occurrence covers its three lines, and
 the covered lines of a document, merged over all its windows, are removed.
 
-A document of one or two lines has one window, of all its lines, that meets
-only windows of as many lines.  Lines are compared without the blanks at their
+A run of one or two lines of over ``LONG`` words is a window as well, in every
+document, so a long passage is found between differing neighbours.  Apart from
+that, a document of one or two lines has one window, of all its lines, that
+meets only windows of as many lines.  With ``long=None`` only the former count;
+the SQL below states that rule.  Lines are compared without the blanks at their
 ends; what stays keeps them.
 
 A frequent passage is counted with partial sums before the shuffle, and the
@@ -19,30 +22,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import fresh, saved
+from vellum.llm.common import fresh, n_words, saved
 
 WINDOW = 3
+#: A run of fewer lines is a window of its own if it has more words than this.
+LONG = 50
 
 
-def windows(text: Column, size: int = WINDOW) -> Column:
+def windows(text: Column, size: int = WINDOW, long: int | None = LONG) -> Column:
     """Array of structs (pos, n, h1, h2): first line from 0, number of lines, hash of the window's lines."""
-    lines = F.transform(F.split(text, "\n"), F.btrim)
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b")))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(x))  # F.btrim itself would take the index as what to trim
+    words = n_words if long is not None else lambda x: F.lit(0).cast("long")
+    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"), words(x).alias("w")))
     span = lambda h: F.least(F.size(h), F.lit(size))
-    one = lambda h, i: F.struct(i.alias("pos"), span(h).alias("n"), F.xxhash64(F.slice(h["a"], i + 1, span(h))).alias("h1"), F.xxhash64(F.slice(h["b"], i + 1, span(h))).alias("h2"))
-    return F.transform(F.array(hashed), lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - span(h)), lambda i: one(h, i)))[0]
+    one = lambda h, i, n: F.struct(i.alias("pos"), n.alias("n"), F.xxhash64(F.slice(h["a"], i + 1, n)).alias("h1"), F.xxhash64(F.slice(h["b"], i + 1, n)).alias("h2"))
+    runs = lambda h, n: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: one(h, i, n))
 
+    def short(h: Column, n: int) -> Column:
+        total = lambda i: sum((F.get(h["w"], i + k) for k in range(1, n)), F.get(h["w"], i))
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), lambda i: total(i) > long)
+        return F.when(F.size(h) > n, F.transform(starts, lambda i: one(h, i, F.lit(n)))).otherwise(F.slice(runs(h, span(h)), 1, 0))
 
-def later_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW) -> DataFrame:
+    every = lambda h: runs(h, span(h)) if long is None else F.concat(runs(h, span(h)), *[short(h, n) for n in range(1, size)])
+    return F.transform(F.array(hashed), every)[0]
+
+
+def later_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW, long: int | None = LONG) -> DataFrame:
     """Windows that occur earlier in the corpus: doc_id, pos, n."""
-    found = df.where(F.col(f"`{text}`").isNotNull() & (F.col(f"`{text}`") != "")).select(F.col(f"`{doc_id}`").alias("doc_id"), F.inline(windows(F.col(f"`{text}`"), size)))
+    found = df.where(F.col(f"`{text}`").isNotNull() & (F.col(f"`{text}`") != "")).select(F.col(f"`{doc_id}`").alias("doc_id"), F.inline(windows(F.col(f"`{text}`"), size, long)))
     first = F.min(F.struct("doc_id", "pos"))
     repeated = found.groupBy("n", "h1", "h2").agg(F.count("*").alias("times"), first.alias("first")).where("times > 1").drop("times")
     repeated = saved(repeated, "repeated-windows")
     return found.join(repeated, ["n", "h1", "h2"]).where(F.struct("doc_id", "pos") > F.col("first")).select("doc_id", "pos", "n")
 
 
-def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str = "removed_lines", size: int = WINDOW) -> DataFrame:
+def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: str = "removed_lines", size: int = WINDOW, long: int | None = LONG) -> DataFrame:
     """df with repeated passages removed from the text, and the number of lines removed from each row.
 
     No row is dropped: a document of which nothing is left has an empty text.
@@ -53,7 +67,7 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: st
     """
     kept = df.select(*[f"`{c}`" for c in df.columns if c.lower() != removed.lower()])
     positions, key = fresh(kept.columns, "covered"), fresh(kept.columns, "covered_id")
-    later = later_windows(kept, doc_id, text, size)
+    later = later_windows(kept, doc_id, text, size, long)
     covered = later.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("line"))
     covered = covered.groupBy("doc_id").agg(F.collect_set("line").alias(positions)).withColumnRenamed("doc_id", key)
     rows = kept.join(covered, F.col(f"`{doc_id}`").eqNullSafe(F.col(key)), "left")

@@ -69,6 +69,11 @@ def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By windows of three lines only, as its SQL has it; op6_line_dedup_passages has no such limit."""
+    return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), long=None)
+
+
+def op6_line_dedup_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_source_mix,
         op5_nn_descent,
         op6_line_dedup,
+        op6_line_dedup_passages,
         op7_toxicity,
         op8_license_scan,
         op9_language,
