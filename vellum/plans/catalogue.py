@@ -43,12 +43,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def detected(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] | None = ("EMAIL", "IP_ADDRESS")) -> DataFrame:
+def detected(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] | None = None) -> DataFrame:
     return entities.detect(documents(spark, sf_dir).select("doc_id", "text"), kinds=kinds)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_change_report(spark, sf_dir)
+    return pii_change_report_all(spark, sf_dir)
+
+
+#: The types that the SQL of some queries names; each has a companion ``_all`` over all definitions, which SQL cannot follow.
+_SQL_KINDS = ("EMAIL", "IP_ADDRESS")
 
 
 # --- entities ---------------------------------------------------------------------------------------------------------------------
@@ -85,6 +89,11 @@ def pii_fused_entities(spark, sf_dir):
 
 @query(rf"SELECT doc_id, regexp_replace(regexp_replace(text, '\b[\w.+-]+@([\w-]+\.[a-zA-Z]{{2,}})\b', '****@\1', 'g'), '\b{_IP}\b', 'XXX.XXX.XXX.XXX', 'g') AS full_text FROM documents")
 def pii_full_anonymise(spark, sf_dir):
+    return entities.anonymise(detected(spark, sf_dir, _SQL_KINDS), SALT, "full").select("doc_id", "full_text")
+
+
+@query()
+def pii_full_anonymise_all(spark, sf_dir):
     return entities.anonymise(detected(spark, sf_dir), SALT, "full").select("doc_id", "full_text")
 
 
@@ -104,6 +113,12 @@ SELECT doc_id, entity_type, v AS original_value,
   CASE entity_type WHEN 'EMAIL' THEN '****@' || split_part(v, '@', 2) ELSE 'XXX.XXX.XXX.XXX' END AS full_anon_value, 'regex' AS detection_source, CAST(score AS DOUBLE) AS confidence, count(*) AS occurrences
 FROM found GROUP BY ALL""")
 def pii_change_report(spark, sf_dir):
+    report = entities.change_report(entities.anonymise(detected(spark, sf_dir, _SQL_KINDS), SALT))
+    return report.select("doc_id", "entity_type", "original_value", "full_anon_value", "detection_source", "confidence", "occurrences")
+
+
+@query()
+def pii_change_report_all(spark, sf_dir):
     report = entities.change_report(entities.anonymise(detected(spark, sf_dir), SALT))
     return report.select("doc_id", "entity_type", "original_value", "full_anon_value", "detection_source", "confidence", "occurrences")
 
@@ -115,26 +130,63 @@ def pii_change_report_tokens(spark, sf_dir):
 
 @query(f"WITH {_FOUND} SELECT entity_type, count(*) AS n, count(DISTINCT v) AS n_values FROM found GROUP BY 1")
 def pii_type_summary(spark, sf_dir):
+    return entities.type_summary(entities.exploded(detected(spark, sf_dir, _SQL_KINDS)))
+
+
+@query()
+def pii_type_summary_all(spark, sf_dir):
     return entities.type_summary(entities.exploded(detected(spark, sf_dir)))
 
 
 @query(f"WITH {_FOUND} SELECT 'regex' AS source, count(*) AS n FROM found")
 def pii_source_summary(spark, sf_dir):
+    return entities.source_summary(entities.exploded(detected(spark, sf_dir, _SQL_KINDS)))
+
+
+@query()
+def pii_source_summary_all(spark, sf_dir):
     return entities.source_summary(entities.exploded(detected(spark, sf_dir)))
 
 
 @query(f"WITH {_FOUND} SELECT count(DISTINCT v) AS unique_values, count(DISTINCT entity_type) AS unique_types, count(*) AS spans FROM found")
 def pii_totals(spark, sf_dir):
+    return entities.totals(entities.exploded(detected(spark, sf_dir, _SQL_KINDS)))
+
+
+@query()
+def pii_totals_all(spark, sf_dir):
     return entities.totals(entities.exploded(detected(spark, sf_dir)))
 
 
 @query(f"WITH {_FOUND} SELECT entity_type, count(*) AS n, CASE entity_type WHEN 'IP_ADDRESS' THEN 'PII' ELSE '' END AS category FROM found GROUP BY 1")
 def pii_legend(spark, sf_dir):
+    return entities.legend(entities.exploded(detected(spark, sf_dir, _SQL_KINDS)))
+
+
+@query()
+def pii_legend_all(spark, sf_dir):
     return entities.legend(entities.exploded(detected(spark, sf_dir)))
 
 
+@query()
+def pii_category_rollup(spark, sf_dir):
+    """Spans and types found by category; those outside the catalogue have an empty one."""
+    return pii_legend_all(spark, sf_dir).groupBy("category").agg(F.sum("n").alias("n"), F.count("*").alias("n_types"))
+
+
+@query()
+def pii_randomization_spans(spark, sf_dir):
+    spans = entities.exploded(detected(spark, sf_dir, ("RANDOMIZATION_CODE",)))
+    return spans.select("doc_id", F.col("text").alias("value"), "start", "end")
+
+
 @query(f"WITH {_FOUND} SELECT CASE entity_type WHEN 'IP_ADDRESS' THEN 'IP ADDRESS' ELSE entity_type END AS label, count(*) AS n FROM found GROUP BY 1")
 def ui_label_rollup(spark, sf_dir):
+    return entities.label_rollup(entities.exploded(detected(spark, sf_dir, _SQL_KINDS)))
+
+
+@query()
+def ui_label_rollup_all(spark, sf_dir):
     return entities.label_rollup(entities.exploded(detected(spark, sf_dir)))
 
 
