@@ -29,6 +29,11 @@ def small(spark, tmp_path_factory):
     return path
 
 
+def test_email_spans_of_all_documents(spark, small):
+    got = sorted((r.doc_id, r.value, r.start, r.end) for r in C.pii_email_spans(spark, small).collect())
+    assert got == [(0, "x@y.io", 23, 29), (2, "x@y.io", 5, 11), (2, "x@y.io", 12, 18)]
+
+
 def test_report_counts_all_kinds(spark, small, few):
     assert {(r.doc_id, r.entity_type, r.original_value): r.occurrences for r in C.entry(spark, small).collect()} == Counter(SPANS)
 
