@@ -30,10 +30,10 @@ def test_stages(stages):
 
 
 def test_stages_equal_brute_force(stages):
-    from tests.llm.test_text_operators import brute_components, brute_lines
+    from tests.llm.test_text_operators import brute_components, brute_passages
 
     _, clean, lines, unique, *_ = [s.select("doc_id", "text").orderBy("doc_id").collect() for s in stages[:-1]]
-    want = [(r.doc_id, t) for r, (t, n) in zip(clean, brute_lines([r.text for r in clean])) if n == 0 or t]
+    want = [(r.doc_id, t) for r, (t, n) in zip(clean, brute_passages([r.text for r in clean])) if n == 0 or t]
     assert [(r.doc_id, r.text) for r in lines] == want
     component, _ = brute_components([r.text for r in lines])
     assert [r.doc_id for r in unique] == [lines[i].doc_id for i in sorted(set(component))]

@@ -185,7 +185,7 @@ def test_mix_meets_targets(spark):
         assert target <= 2 * size + 1e-9 and taken == int(target)
     again = mixing.mix(given, slots=512).collect()
     assert sorted(out, key=repr) == sorted(again, key=repr)
-    kept = mixing.mixed(given)
+    kept = mixing.mixed(given, slots=512)
     assert kept.columns == given.columns
     copies = {}
     for r in kept.collect():
@@ -193,14 +193,43 @@ def test_mix_meets_targets(spark):
     assert copies == {r.doc_id: -(-r.taken // r["size"]) for r in out if r.taken}
 
 
+def test_schedule_decides_the_mix(spark, monkeypatch):
+    """Where sources are large, their shares and the order of the mix are those of the points."""
+    monkeypatch.setattr(mixing, "SMALL", 0)
+    rnd = random.Random(12)
+    sources = [f"s{i % 3}" for i in range(300)]
+    texts = [" ".join(["w"] * rnd.randrange(1, 60)) for _ in range(300)]
+    given = docs(spark, texts, source=sources).select("*", F.lit(1).alias("mix_id"), F.lit(2).alias("mix_copy"), F.lit("k").alias("mix_key"))
+    out = mixing.mix(given, slots=2048).collect()
+    total = sum(r["size"] for r in out)
+    length = -(-int(1.5 * total) // 2048)
+    for s in ("s0", "s1", "s2"):
+        own = [r for r in out if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 8 * length
+        assert all(r.taken <= 2 * r["size"] for r in own)
+        ranked = sorted((r.key, r.slots[0]) for r in own if r.slots)
+        assert [x[1] for x in ranked] == sorted(x[1] for x in ranked)  # a stream goes into the mix in its own order
+    first = sorted((slot, r.source, r["size"]) for r in out for slot in r.slots)
+    share = {s: sum(n for slot, x, n in first if x == s and slot < 1024) for s in ("s0", "s1", "s2")}
+    goal = {r.source: r.target / 2 for r in out}
+    assert all(abs(share[s] - goal[s]) < 0.1 * goal[s] + 60 for s in goal)
+    kept = mixing.mixed(given, slots=2048)
+    assert kept.columns == given.columns and {(r.mix_id, r.mix_copy, r.mix_key) for r in kept.collect()} == {(1, 2, "k")}
+    order = [r.doc_id for r in kept.collect()]
+    slots = sorted((slot, r.doc_id) for r in out for slot in r.slots)
+    assert order == [d for _, d in slots]
+
+
 def test_schedule_spreads_sources(spark):
     half = mixing.POINTS // 2
-    quotas = spark.createDataFrame([(1, 600, 0, half), (2, 400, half, mixing.POINTS)], "source_no int, n_slots long, low long, high long")
+    quotas = spark.createDataFrame([(1, 600, 0, half, True), (2, 400, half, mixing.POINTS, True)], "source_no int, n_slots long, low long, high long, small boolean")
     rows = mixing.schedule(spark, quotas, 1024).collect()
     for source, n in ((1, 600), (2, 400)):
         assert sorted(r["rank"] for r in rows if r.source_no == source) == list(range(n))
-    first = [r for r in rows if r.slot is not None and r.slot < 100]
-    assert abs(sum(r.source_no == 1 for r in first) - 50) <= 3
+    first = [r for r in rows if r.slot < 100]
+    assert abs(sum(r.source_no == 1 for r in first) - 50) <= 9  # the ranks past 512 are spread among the others
+    rows = mixing.schedule(spark, quotas.withColumn("small", F.lit(False)), 1024).collect()
+    assert sum(r.source_no == 2 for r in rows) == 400 and abs(sum(r.source_no == 1 for r in rows) - 512) <= 3
 
 
 def test_mix_odd_tables(spark):
@@ -216,28 +245,6 @@ def test_mix_odd_tables(spark):
 # --- 6 ---
 
 
-def brute_lines(texts):
-    seen, out = {}, []
-    for i, t in enumerate(texts):
-        if not t:
-            continue
-        lines = [x.strip(" ") for x in t.split("\n")]
-        n = min(3, len(lines))
-        for p in range(len(lines) - n + 1):
-            seen.setdefault((n, *lines[p : p + n]), (i, p))
-    for i, t in enumerate(texts):
-        if not t:
-            out.append((t, 0))
-            continue
-        lines = [x.strip(" ") for x in t.split("\n")]
-        n, gone = min(3, len(lines)), set()
-        for p in range(len(lines) - n + 1):
-            if seen[(n, *lines[p : p + n])] < (i, p):
-                gone |= set(range(p, p + n))
-        out.append(("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone), len(gone)))
-    return out
-
-
 def test_line_dedup_equals_brute_force(spark):
     rnd = random.Random(9)
     texts = ODD + ["\n".join(rnd.choice(["a", "b ", "c", " d"]) for _ in range(rnd.randrange(1, 14))) for _ in range(80)]
@@ -245,7 +252,7 @@ def test_line_dedup_equals_brute_force(spark):
     out = line_dedup.dedup(given)
     same_columns(out, given, "removed_lines")
     rows = {r.doc_id: r for r in out.collect()}
-    for i, (text, n) in enumerate(brute_lines(texts)):
+    for i, (text, n) in enumerate(brute_passages(texts)):
         assert (rows[i].text, rows[i].removed_lines) == (text, n), i
     assert line_dedup.dedup(empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, "x\ny\nz", None, None, None, 1, 1)] * 2 + [(None, "x\ny\nz", None, None, None, 1, 1)], SCHEMA)
@@ -374,6 +381,33 @@ def test_licenses(spark):
     assert licenses.scan(empty(spark)).count() == 0
 
 
+def test_licenses_in_blocks(spark, monkeypatch):
+    """A license of several lines within a document, between blank lines or comment marks, and texts as tables."""
+    mit = licenses.KNOWN[2][1]
+    wrapped = [mit[k : k + 60] for k in range(0, len(mit), 60)]
+    wrapped = "\n".join(" ".join(mit.split()[k : k + 9]) for k in range(0, len(mit.split()), 9))
+    commented = "#!/bin/sh\n#\n# " + wrapped.replace("\n", "\n# ") + "\n#\nexit 0"
+    texts = ["intro\n\n" + wrapped + "\n\nmore", commented, "x " + wrapped]
+    extra = spark.createDataFrame([(i, t, "a", "b") for i, t in [*enumerate(texts), (0, texts[0]), (None, texts[1])]], "doc_id long, text string, license string, Notices string")
+    for most in (licenses.BROADCAST, 0):
+        monkeypatch.setattr(licenses, "BROADCAST", most)
+        rows = sorted(((r.doc_id, r.license, r.notices) for r in licenses.scan(extra).collect()), key=repr)
+        assert rows == sorted([(0, None, "MIT"), (0, None, "MIT"), (1, None, "MIT"), (2, None, ""), (None, None, "MIT")], key=repr)
+    table = spark.createDataFrame([("Own", "Take it and leave")], "license string, text string")
+    assert [r.license for r in licenses.scan(docs(spark, ["take, it AND leave!"]), table).collect()] == ["Own"]
+
+
+def test_full_standard_licenses(spark):
+    import pathlib
+
+    files = {"Apache-2.0": "Apache-2.0", "GPL-3": "GPL-3.0", "GPL-2": "GPL-2.0", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1", "CC0-1.0": "CC0-1.0"}
+    found = [(pathlib.Path("/usr/share/common-licenses") / f, name) for f, name in files.items()]
+    if not all(f.exists() for f, _ in found):
+        pytest.skip("the standard texts are not on this machine")
+    texts = [f.read_text(encoding="utf-8").replace("license", "licence") for f, _ in found]
+    assert {r.doc_id: r.license for r in licenses.scan(docs(spark, texts)).collect()} == {i: name for i, (_, name) in enumerate(found)}
+
+
 # --- 9 ---
 
 
@@ -419,6 +453,8 @@ def test_wavelet_matrix():
         w.access(n)
     with pytest.raises(ValueError):
         token_files.WaveletMatrix.load(b"nothing here")
+    with pytest.raises(ValueError):
+        token_files.Shard.load(b"nothing here")
 
 
 def test_token_files(spark, monkeypatch):
@@ -434,6 +470,10 @@ def test_token_files(spark, monkeypatch):
         ids = lib.encode(t or "", add_special_tokens=False).ids + [0]
         assert (out[i].start, out[i].n_tokens, out[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())), repr(t)
         start += len(ids)
+    every = [(i, k, t) for i, x in enumerate(texts) for k, t in enumerate(lib.encode(x or "", add_special_tokens=False).ids + [0])]
+    assert sorted((r.doc_id, r.place, r.position) for r in token_files.locate(spark, path, 0).collect()) == [(i, k, p) for p, (i, k, t) in enumerate(every) if t == 0]
+    some = [0, 220, 50256, 49999, 70000]
+    assert {r.token: r.n for r in token_files.count(spark, path, some).collect()} == {s: sum(t == s for _, _, t in every) for s in some}
     path = common.new_path(spark, "test-shards")
     token_files.write(empty(spark), BYTES, path)
     assert token_files.read(spark, path).count() == 0

@@ -8,6 +8,10 @@ short, so scanning a dozen numbers beats any heap; a word of more than
 ``LONG_WORD`` parts, where scanning would be quadratic, goes through a heap of
 the same ranks, with the same result.
 
+Words beyond ASCII are normalised and cut into pieces by the tokenizers
+library's own normaliser and splitter, so letters, digits and cases are those of
+its Unicode tables, whatever Python's are; every piece is merged here.
+
 The vocabulary file is a parameter.  It is read once on the driver (a few MB,
 whatever the size of the corpus) and broadcast.  Texts stay where they are: the
 operator is one pass of ``mapInArrow`` without a shuffle.
@@ -17,13 +21,13 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
+import os
+import re
 from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -32,8 +36,8 @@ from vellum.llm.common import map_arrow
 #: Unicode White_Space: what the vocabulary's normaliser collapses.
 SPACE = "\t-\r \x85\xa0  -     　"
 LONG_WORD = 64
-#: Words remembered by a Python worker, about 200 bytes each, before it starts afresh.
-CACHE_WORDS = 600_000
+#: Words, and pieces of words, in each of the two generations that a task remembers: some 220 bytes each, 60 MB at most.
+CACHE_WORDS, CACHE_PIECES = 90_000, 50_000
 #: Rows leave a task in slices of about so many characters.
 SLICE_CHARS = 4_000_000
 NO_RANK = 1 << 60
@@ -66,12 +70,23 @@ class RankArrayBPE:
         for a, b in model["merges"]:
             self.ranks.setdefault(vocab[a] * self.n + vocab[b], len(self.merged))
             self.merged.append(vocab[a + b])
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-        self.blank = regex.compile(f"[{SPACE}]+")
-        self.odd_blank = regex.compile("[\x1c-\x1f]")
-        self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self.pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\t-\r ]+")  # of lower-case ASCII
+        self.blank = re.compile(f"[{SPACE}]+")
+        self.odd_blank = re.compile("[\x1c-\x1f]")
+        self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        lib = Tokenizer.from_str(spec)
+        self.normalise, self.cut = lib.normalizer.normalize_str, lib.pre_tokenizer[0].pre_tokenize_str
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the words remembered: a generation in use and the one before it."""
         self.words: dict[str, tuple[int, ...]] = {}
+        self.old_words: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
+        self.old_parts: dict[str, tuple[int, ...]] = {}
 
     def merge(self, piece: str) -> tuple[int, ...]:
         """Ids of one piece: the contiguous rank array."""
@@ -117,19 +132,20 @@ class RankArrayBPE:
         return tuple(i for i, live in zip(ids, alive) if live)
 
     def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a run of characters without white space."""
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        plain = word if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ")
-        ids: tuple[int, ...] = ()
-        for piece in self.pieces.findall(plain.lower()):
-            found = self.parts.get(piece)
-            if found is None:
-                if len(self.parts) >= CACHE_WORDS:
-                    self.parts.clear()
-                found = self.parts[piece] = self.merge(piece)
-            ids += found
-        if len(word) <= 64:
+        """Ids of a run of characters without white space that isn't in the generation in use."""
+        ids = self.old_words.get(word)
+        if ids is None:
+            ids = ()
+            for piece in self.pieces.findall(word.lower()) if word.isascii() else [p for p, _ in self.cut(self.normalise(word))]:
+                found = self.parts.get(piece) or self.old_parts.get(piece) or self.merge(piece)
+                if len(piece) <= LONG_WORD:
+                    self.parts[piece] = found
+                ids += found
+            if len(self.parts) >= CACHE_PIECES:
+                self.parts, self.old_parts = {}, self.parts
+        if len(word) <= LONG_WORD:
+            if len(self.words) >= CACHE_WORDS:
+                self.words, self.old_words = {}, self.words
             self.words[word] = ids
         return ids
 
@@ -139,12 +155,10 @@ class RankArrayBPE:
             if self.special and part in self.special:
                 ids.append(self.special[part])
                 continue
-            known = self.words
             for w in part.split() if part.isascii() and not self.odd_blank.search(part) else self.blank.split(part):
-                if w in known:
-                    ids += known[w]
-                elif w:
-                    ids += self.word(w)
+                if w:
+                    found = self.words.get(w)
+                    ids += self.word(w) if found is None else found
         return ids
 
     def decode(self, ids: list[int]) -> str:
@@ -153,7 +167,7 @@ class RankArrayBPE:
         return " ".join([tokens[i] for i in ids])
 
 
-#: One encoder for each vocabulary in a Python worker: its word cache outlives a task.
+#: One encoder for each vocabulary in a Python worker: its tables outlive a task, its words don't.
 _ENCODERS: dict[int, RankArrayBPE] = {}
 
 
@@ -164,6 +178,11 @@ def _encoder(spec: str) -> RankArrayBPE:
     return _ENCODERS[key]
 
 
+def _forget() -> None:
+    for coder in _ENCODERS.values():
+        coder.forget()
+
+
 def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about SLICE_CHARS bytes of the column, a row at least."""
     start, chars = 0, 0
@@ -206,4 +225,4 @@ def round_trip(df: DataFrame, tokenizer_path: str, text: str = "text", ids: str
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(memoryview(flat), pa.int32()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, lists, pa.array(texts, pa.string())], [*rows.schema.names, ids, decoded])
 
-    return map_arrow(source, run, schema)
+    return map_arrow(source, run, schema, _forget)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -21,11 +23,16 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``.  Where that is unset, as in
-    tests on one machine, a temporary folder is set for the session.
+    It is the session's ``spark.checkpoint.dir``.  Where that is unset, a
+    temporary folder is set for the session if driver and executors are one
+    process; on a cluster it is an error, since each machine would write to its
+    own folder and the driver would read back only a part.
     """
     path = spark.conf.get(CHECKPOINT_DIR, None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder that the driver and all executors share (master: {master})")
         path = "file://" + tempfile.mkdtemp(prefix="vellum-")
         spark.conf.set(CHECKPOINT_DIR, path)
         spark.sparkContext.setCheckpointDir(path)
@@ -49,10 +56,29 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow, with this package on the executors."""
+def give_back_memory() -> None:
+    """Hand memory that this Python worker no longer uses back to the system: workers wait idle while other stages run."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, done: Callable[[], None] | None = None) -> DataFrame:
+    """df.mapInArrow, with this package on the executors; after a task, ``done`` drops what it remembered."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if done is not None:
+                done()
+            give_back_memory()
+
+    return df.mapInArrow(whole, schema)
 
 
 def n_partitions(spark: SparkSession) -> int:
