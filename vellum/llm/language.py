@@ -9,7 +9,7 @@ codewords differ in many bits, a few wrong ones do no harm.  A text whose two
 best codewords are close is flagged as ambiguous.
 
 Fitting sees a bounded sample of labelled rows (``TRAIN_ROWS`` of each language,
-a parameter).  Their n-gram counts are made by the executors, from whole texts,
+``MOST_ROWS`` of all, parameters).  Their n-gram counts are made by the executors, from whole texts,
 as everywhere; only those counts come to the driver.  Predicting is one pass of
 ``mapInArrow`` without a shuffle.
 """
@@ -20,13 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vellum.llm.common import fresh, map_arrow
 
-TRAIN_ROWS = 600
+#: Rows of each language, and of all of them, that are used for fitting.
+TRAIN_ROWS, MOST_ROWS = 600, 24_000
 #: Hashed counts of character n-grams, in bytes of the lower-cased text.
 FEATURES, ORDERS = 1 << 12, (1, 2, 3)
 BITS, STEPS = 31, 150
@@ -109,21 +110,23 @@ def train(x: np.ndarray, y: list[str]) -> Coder:
     return Coder(languages, words, w, b, trust * BITS / trust.sum() / 3)
 
 
-def fit(df: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS) -> Coder:
-    """Train on at most ``rows`` rows of each language, taken by a hash of the id; null languages and letterless texts are left out.
+def fit(df: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "doc_id", rows: int = TRAIN_ROWS, most: int = MOST_ROWS) -> Coder:
+    """Train on at most ``rows`` rows of each language, those with the least hash of id and text; null languages and letterless texts are left out.
 
-    The hash bound is set from the languages' counts, a little wide, and what
-    comes beyond ``rows`` is cut.
+    Rows that are alike in id and text count once.  Languages share ``most`` rows
+    in all; with more languages than that the most frequent ones are learnt.
     """
-    body = F.col(f"`{text}`")
-    usable = df.where(F.col(f"`{lang}`").isNotNull() & body.rlike(_letters)).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.pmod(F.xxhash64(f"`{doc_id}`"), F.lit(1 << 40)).alias("h"), body.alias("text"))
-    sizes = {r[0]: r[1] for r in usable.groupBy("lang").count().collect()}
-    if not sizes:
+    body, name = F.col(f"`{text}`"), F.col(f"`{lang}`").cast("string").alias("lang")
+    usable = df.where(F.col(f"`{lang}`").isNotNull() & body.rlike(_letters)).select(name, F.xxhash64(f"`{doc_id}`", body).alias("h"), body.alias("text"))
+    sizes = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most)
+    n = sizes.count()
+    if not n:
         return train(np.zeros((0, FEATURES), np.float32), [])
-    within = F.lit(False)
-    for name, n in sizes.items():
-        within = within | ((F.col("lang") == name) & (F.col("h") < int((1 << 40) * min(1.0, 1.2 * rows / n))))
-    sample = usable.where(within)
+    each = max(1, min(rows, most // n))
+    # The hashes are chosen first, by partial limits; texts are then read for them alone: ``most`` rows at the most.
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    chosen = usable.select("lang", "h").distinct().withColumn("place", place).where(F.col("place") <= each).select("lang", "h")
+    sample = usable.join(F.broadcast(chosen.join(F.broadcast(sizes.select("lang")), "lang", "left_semi")), ["lang", "h"]).dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,13 +135,7 @@ def fit(df: DataFrame, lang: str = "lang", text: str = "text", doc_id: str = "do
                 x = counts(part.column(2).to_pylist()).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "h", "x"])
 
-    found = sorted(map_arrow(sample, run, "lang string, h bigint, x binary").collect(), key=lambda r: (r[0], r[1]))
-    kept: list = []
-    taken: dict[str, int] = {}
-    for r in found:
-        taken[r[0]] = taken.get(r[0], 0) + 1
-        if taken[r[0]] <= rows:
-            kept.append(r)
+    kept = sorted(map_arrow(sample, run, "lang string, h bigint, x binary").collect(), key=lambda r: (r[0], r[1]))
     return train(np.stack([np.frombuffer(r[2], np.float16) for r in kept]).astype(np.float32), [r[0] for r in kept])
 
 

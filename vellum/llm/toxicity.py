@@ -9,7 +9,7 @@ cover the whole text, however long; a document's score comes from its highest
 window, calibrated on labelled documents that the network hasn't been fitted to.
 
 Training sees a bounded sample of labelled rows (``TRAIN_ROWS`` of either
-class, a parameter of ``fit``), taken by a hash of the id.  Labels belong to documents,
+class, of ``TRAIN_CHARS`` characters in all, parameters of ``fit``), taken by a hash of the id.  Labels belong to documents,
 not windows: after a first pass in which each window has its document's label,
 toxic documents are trained on their highest windows and others on theirs.
 
@@ -27,7 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,9 +40,13 @@ TRAIN_ROWS, CALIBRATION = (3000, 1500), 0.25
 WORD_ROWS, WORD_DIM, GRAM_ROWS, GRAM_DIM = 1 << 14, 4, 1 << 15, 8
 HIDDEN, ATTENTION = 8, 8
 DIM = WORD_DIM + GRAM_DIM
-#: Distinct words that a Python worker remembers (about 350 bytes each) before it starts afresh.
-CACHE_WORDS = 500_000
+#: Of these, texts longer than this many characters are no training rows, and all together have at most so many.
+TRAIN_TEXT_CHARS, TRAIN_CHARS = 200_000, 24_000_000
+#: Distinct words that a task remembers (about 350 bytes each, so some 40 MB) before it starts afresh.
+CACHE_WORDS = 110_000
 WINDOWS_AT_ONCE = 4096
+#: Texts are scored in slices of about so many bytes.
+SLICE_BYTES = 500_000
 STEPS, ROUNDS, BATCH = 180, 3, 192
 
 _NOT_LETTERS = re.compile(r"[\W_]+")
@@ -314,8 +319,14 @@ def _calibrate(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(c)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS) -> Network:
-    """Train on at most ``rows`` labelled documents of either class (0, 1), those whose id has the least hash."""
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", rows: tuple[int, int] = TRAIN_ROWS, most_chars: int = TRAIN_CHARS) -> Network:
+    """Train on at most ``rows`` labelled documents of either class (0, 1), those whose id has the least hash.
+
+    An id labelled more than once counts as toxic if it is so once; of several
+    texts with one id the first in code point order counts.  Null texts and those
+    of more than TRAIN_TEXT_CHARS characters are left out, and in the order of
+    the hashes the sample ends where it would have more than most_chars.
+    """
     key, mark = fresh(docs.columns, "label_id"), fresh(docs.columns, "label")
     named = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(f"`{doc_id}`").alias(key)).agg(F.max(label).alias(mark))
     # The sample is chosen among the labels; texts are then read for it alone.
@@ -323,7 +334,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = [named.where(F.col(mark) == k).orderBy(order, key).limit(rows[k]) for k in (0, 1)]
     sample = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), F.col(f"`{doc_id}`") == F.col(key))
     body = F.col(f"`{text}`")
-    found = sample.where(body.isNotNull()).groupBy(key).agg(F.min(body).alias("text"), F.max(mark).alias(mark)).collect()
+    found = sample.where(F.length(body) <= TRAIN_TEXT_CHARS).groupBy(key).agg(F.min(body).alias("text"), F.max(mark).alias(mark))
+    upto = F.sum(F.length("text")).over(Window.orderBy(order, key).rowsBetween(Window.unboundedPreceding, 0))  # over the sample: sum(rows) rows at most
+    found = found.select(key, "text", mark, upto.alias("upto")).where(F.col("upto") <= most_chars).collect()
     found.sort(key=lambda r: r[0])
     return train([r[1] for r in found], [int(r[2]) for r in found])
 
@@ -336,9 +349,6 @@ class Scorer:
         self.table = np.zeros((1, 6 * HIDDEN), np.float32)
 
     def learn(self, words: list[str]) -> None:
-        if self.size + len(words) > CACHE_WORDS:
-            self.known.clear()
-            self.size = 1
         end = self.size + len(words)
         if end > len(self.table):  # memory that isn't written to yet costs nothing
             table = np.zeros((max(end, CACHE_WORDS + 1), 6 * HIDDEN), np.float32)
@@ -351,11 +361,11 @@ class Scorer:
     def scores(self, texts: list[str | None]) -> np.ndarray:
         split = [(t or "").split() for t in texts]
         new = list(dict.fromkeys(w for words in split for w in words if w not in self.known))
+        if self.size + len(new) > CACHE_WORDS:  # start afresh, with all words of these texts, however many they are
+            self.known, self.size, self.table = {}, 1, self.table[:1].copy()
+            new = list(dict.fromkeys(w for words in split for w in words))
         if new:
-            before = self.size
             self.learn(new)
-            if self.size < before:  # it started afresh, and has lost other words of these texts
-                self.learn(list(dict.fromkeys(w for words in split for w in words if w not in self.known)))
         known, numbers = self.known, [0]
         for words in split:
             numbers += [known[w] for w in words]
@@ -367,7 +377,7 @@ class Scorer:
         return np.where(counts > 0, found, np.minimum(found, 0.05))
 
 
-#: The scorer of the last model in a Python worker: what it remembers outlives a task.
+#: The scorer of the model that a Python worker is at work with.
 _SCORERS: dict[str, Scorer] = {}
 
 
@@ -391,11 +401,11 @@ def score(df: DataFrame, net: Network, text: str = "text", result: str = "toxic_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model.value)
         for batch in batches:
-            lengths = np.array([len(x) if x else 0 for x in batch.column(at).to_pylist()], np.int64)
-            slices = np.flatnonzero(np.diff(np.cumsum(lengths) // 500_000, prepend=0)).tolist()
+            lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            slices = np.flatnonzero(np.diff(np.cumsum(lengths) // SLICE_BYTES, prepend=0)).tolist()
             for a, b in zip([0, *slices], [*slices, batch.num_rows]):
                 if a < b:
                     rows = batch.slice(a, b - a)
                     yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(scorer.scores(rows.column(at).to_pylist()), pa.float64())], [*rows.schema.names, result])
 
-    return map_arrow(kept, run, T.StructType([*kept.schema.fields, T.StructField(result, T.DoubleType(), False)]))
+    return map_arrow(kept, run, T.StructType([*kept.schema.fields, T.StructField(result, T.DoubleType(), False)]), _SCORERS.clear)
