@@ -8,8 +8,8 @@ the covered lines of a document, merged over all its windows, are removed.
 A run of one or two lines of over ``LONG`` words is a window as well, in every
 document, so a long passage is found between differing neighbours.  Apart from
 that, a document of one or two lines has one window, of all its lines, that
-meets only windows of as many lines.  With ``long=None`` only the former count;
-the SQL below states that rule.  Lines are compared without the blanks at their
+meets only windows of as many lines.  With ``long=None`` only the former count.
+The SQL below states the whole rule.  Lines are compared without the blanks at their
 ends; what stays keeps them.
 
 A frequent passage is counted with partial sums before the shuffle, and the
@@ -32,15 +32,16 @@ LONG = 50
 def windows(text: Column, size: int = WINDOW, long: int | None = LONG) -> Column:
     """Array of structs (pos, n, h1, h2): first line from 0, number of lines, hash of the window's lines."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(x))  # F.btrim itself would take the index as what to trim
-    words = n_words if long is not None else lambda x: F.lit(0).cast("long")
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"), words(x).alias("w")))
+    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"), x.alias("t"), (F.length(x) + 1).alias("c")))
     span = lambda h: F.least(F.size(h), F.lit(size))
     one = lambda h, i, n: F.struct(i.alias("pos"), n.alias("n"), F.xxhash64(F.slice(h["a"], i + 1, n)).alias("h1"), F.xxhash64(F.slice(h["b"], i + 1, n)).alias("h2"))
     runs = lambda h, n: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: one(h, i, n))
 
     def short(h: Column, n: int) -> Column:
-        total = lambda i: sum((F.get(h["w"], i + k) for k in range(1, n)), F.get(h["w"], i))
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), lambda i: total(i) > long)
+        total = lambda of, i: sum((of(F.get(h, i + k)) for k in range(1, n)), of(F.get(h, i)))
+        # A word takes two characters with its blank: words are counted only where there can be enough of them.
+        enough = lambda i: (total(lambda x: x["c"], i) > 2 * long) & (total(lambda x: n_words(x["t"]), i) > long)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), enough)
         return F.when(F.size(h) > n, F.transform(starts, lambda i: one(h, i, F.lit(n)))).otherwise(F.slice(runs(h, span(h)), 1, 0))
 
     every = lambda h: runs(h, span(h)) if long is None else F.concat(runs(h, span(h)), *[short(h, n) for n in range(1, size)])
@@ -71,9 +72,10 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: st
     covered = later.select("doc_id", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("n") - 1)).alias("line"))
     covered = covered.groupBy("doc_id").agg(F.collect_set("line").alias(positions)).withColumnRenamed("doc_id", key)
     rows = kept.join(covered, F.col(f"`{doc_id}`").eqNullSafe(F.col(key)), "left")
-    held = F.map_from_arrays(F.col(positions), F.col(positions))
     lines = F.split(F.col(f"`{text}`"), "\n")
-    left = F.transform(F.array(held), lambda m: F.filter(lines, lambda x, i: ~F.map_contains_key(m, i)))[0]
+    # The difference is taken by hashing, so a text costs its lines and those covered, not their product.
+    stay = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(positions))
+    left = F.transform(F.array(lines), lambda x: F.transform(stay(x), lambda i: F.get(x, i)))[0]
     hit = F.col(positions).isNotNull() & F.col(f"`{text}`").isNotNull() & (F.col(f"`{text}`") != "")
     n = F.size(F.filter(F.col(positions), lambda i: i < F.size(lines)))
     new_text, new_n = fresh(kept.columns, "left_text"), fresh(kept.columns, "left_out")
@@ -83,13 +85,15 @@ def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", removed: st
 
 
 
-ORACLE = """
+ORACLE = r"""
 WITH lines AS (
   SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND text <> ''
+), trimmed AS (
+  SELECT doc_id, list_transform(ls, lambda x: trim(x, ' ')) AS ts, list_transform(ls, lambda x: len(regexp_extract_all(x, '[^\x20\x09-\x0D]+'))) AS ns, least(len(ls), 3) AS whole FROM lines
 ), spans AS (
-  SELECT doc_id, list_transform(ls, lambda x: trim(x, ' ')) AS ts, least(len(ls), 3) AS n, unnest(range(len(ls) - least(len(ls), 3) + 1)) AS pos FROM lines
+  SELECT doc_id, ts, ns, whole, n, unnest(range(len(ts) - n + 1)) AS pos FROM (SELECT *, unnest(range(1, whole + 1)) AS n FROM trimmed)
 ), win AS (
-  SELECT doc_id, pos, n, ts[pos + 1 : pos + n] AS w FROM spans
+  SELECT doc_id, pos, n, ts[pos + 1 : pos + n] AS w FROM spans WHERE n = whole OR list_sum(ns[pos + 1 : pos + n]) > 50
 ), rep AS (
   SELECT n, w, min(struct_pack(d := doc_id, p := pos)) AS f FROM win GROUP BY n, w HAVING count(*) > 1
 ), covered AS (
