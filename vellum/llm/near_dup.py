@@ -11,18 +11,23 @@ the threshold are then confirmed on the full sets.
 Documents with equal sets form one class and only its representative is banded.
 Candidates within a band's bucket are not paired with each other:
 
-* first each member looks for the closest odd sketch among the others, in
-  blocks of at most ``BLOCK`` members, so no task ever gets a whole bucket, and
-  that one pair is confirmed.  This joins most of a group of thousands of near
-  copies with no more pairs than it has members;
+* first each member looks for the closest odd sketch in its part of the bucket
+  (at most ``BLOCK`` members) and among a few leaders that all parts of a bucket
+  share, and that one pair is confirmed.  This joins most of a group of any number
+  of near copies, with work in proportion to its members;
 * then only buckets that still hold more than one component are looked at, and
-  in them only pairs across components, in the same blocks.  These are tested
-  where they are, the closest first, and a pair that has been joined meanwhile is
-  passed over, so a block gives no more links than it has components.
+  in them only pairs across components: the members of the largest component
+  meet the others, but not each other, in blocks of at most ``BLOCK``.  Members
+  without a candidate across are left out by their sketches; the full sets of the
+  others are sent, and pairs are tested where they are, the closest first.  A pair
+  that has been joined meanwhile is passed over, so a block gives no more links
+  than it has components.
 
 So each pair that shares a bucket is either tested or already in one component.
-A pair at the threshold shares no bucket with probability (1 - 0.75**5)**48,
-about 2 in a million.
+Two chances are left out of account: a pair at the threshold shares no bucket
+with probability (1 - 0.75**5)**48, about 2 in a million, and its sketches differ
+in more than ``MOST_BITS`` bits, five standard deviations above the mean, hardly
+ever.  With ``most_bits=SKETCH_BITS`` no sketch rules a pair out.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.common import complete_groups, fresh, map_arrow, saved
@@ -46,6 +51,8 @@ SKETCH_BITS = 1024
 #: Odd sketches of a pair at the threshold differ in about 107 bits; this is about five standard deviations above.
 MOST_BITS = 172
 BLOCK = 256
+#: Members of a large bucket that all its parts share (on average: they are chosen by a hash).
+LEADERS = 16
 
 _SEED = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _SEED.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -176,11 +183,12 @@ def similarity(bits: float) -> float:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b and other columns) that are linked by their full sets."""
+    """Those of pairs (a, b) that are linked by their full sets, each pair once."""
+    once = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shingles").alias("set_b"))
     both = F.size(F.array_intersect("set_a", "set_b"))
-    return pairs.join(left, "a").join(right, "b").where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * PERCENT).select(*pairs.columns)
+    return once.join(left, "a").join(right, "b").where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * PERCENT).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -204,11 +212,12 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select("node", "label")
 
 
-def _dealt(members: DataFrame, *columns: str) -> DataFrame:
-    """members (key, n_bucket, node and columns) dealt out by bucket, a large bucket as pairs (i, j) of blocks, and sorted so within tasks."""
-    blocks = F.ceil(F.col("n_bucket") / BLOCK).cast("int")
-    rows = members.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *columns)
+def _parts(n: str) -> Column:
+    return F.ceil(F.col(n) / BLOCK).cast("int")
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """Rows (key, i, j, own and others) by pair of blocks, sorted so within tasks."""
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
 
@@ -225,35 +234,70 @@ def _bits(cols: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray) ->
     """Differing bits of odd sketches; where sizes rule a pair out, or it is one row, more than any can be."""
     bits = np.bitwise_count(cols["sketch"][first][:, None] ^ cols["sketch"][second][None]).sum(axis=2, dtype=np.int32)
     n, m = cols["n"][first][:, None], cols["n"][second]
-    return np.where((np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT) & (first[:, None] != second), bits, SKETCH_BITS)
+    return np.where((np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT) & (cols["node"][first][:, None] != cols["node"][second]), bits, SKETCH_BITS + 1)
 
 
-def _nearest(members: DataFrame) -> DataFrame:
-    """For each node the one of its buckets with the closest odd sketch, if that is close enough: a, b, bits."""
+def _nearest(members: DataFrame, most_bits: int) -> DataFrame:
+    """For each node (key, n_bucket, node, n, sketch) the one with the closest odd sketch in its parts of buckets, if that is close enough: a, b."""
+    part = F.pmod(F.xxhash64("node"), _parts("n_bucket")).cast("int")
+    leads = (F.col("n_bucket") > BLOCK) & (F.pmod(F.xxhash64("node", "key"), F.col("n_bucket")) < LEADERS)
+    own = F.explode(F.when(leads, F.sequence(F.lit(0), _parts("n_bucket") - 1)).otherwise(F.array(part)))
+    dealt = members.select("key", own.alias("own"), "node", "n", "sketch").select("key", F.col("own").alias("i"), F.col("own").alias("j"), "own", "node", "n", "sketch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cols, _, s, split, e in _groups(batches):
-            first, second = np.arange(s, split), np.arange(s if split == e else split, e)
-            for r in range(0, len(first), 64):
-                some = first[r : r + 64]
+        for cols, _, s, _, e in _groups(batches):
+            second = np.arange(s, e)
+            for r in range(s, e, 64):
+                some = np.arange(r, min(r + 64, e))
                 bits = _bits(cols, some, second)
-                for x, best, axis in ((some, bits.argmin(axis=1), 1), (second, bits.argmin(axis=0), 0)):
-                    least = bits.min(axis=axis)
-                    other = (second if axis else some)[best]
-                    good = least <= MOST_BITS
-                    if good.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(cols["node"][x[good]]), pa.array(cols["node"][other[good]]), pa.array(least[good], pa.int32())], ["a", "b", "bits"])
-                    if split == e:
-                        break  # a block by itself: the other direction is the same again
-
-    found = map_arrow(_dealt(members, "n", "sketch"), run, "a bigint, b bigint, bits int")
+                best, least = second[bits.argmin(axis=1)], bits.min(axis=1)
+                good = least <= most_bits
+                if good.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(cols["node"][some[good]]), pa.array(cols["node"][best[good]]), pa.array(least[good], pa.int32())], ["a", "b", "bits"])
+
+    found = map_arrow(_gathered(dealt), run, "a bigint, b bigint, bits int")
     return found.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("best")).select("a", "best.b")
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Links between the components of buckets: (a, b), labels that are linked by a pair of members.
+def _apart(members: DataFrame) -> DataFrame:
+    """Members (key, n_bucket, node, label) of buckets with several components, dealt to pairs of blocks: key, i, j, own, node, label.
+
+    In a large bucket the blocks of the largest component, numbered after those of
+    the others, meet the others' blocks only.
+    """
+    labels = members.groupBy("key", "label").agg(F.count("*").alias("n_label"))
+    mixed = labels.groupBy("key").agg(F.max_by("label", F.struct("n_label", "label")).alias("main"), F.max("n_label").alias("n_main"), F.sum("n_label").alias("n_all")).where("n_main < n_all")
+    rows = members.join(saved(mixed, "mixed-buckets"), "key").withColumn("is_main", F.col("label") == F.col("main")).withColumn("n_rest", F.col("n_all") - F.col("n_main"))
+    rest, main, h = _parts("n_rest"), _parts("n_main"), F.xxhash64("node")
+    large = F.col("n_all") > BLOCK
+    own = F.when(~large, F.lit(0)).when(F.col("is_main"), rest + F.pmod(h, main)).otherwise(F.pmod(h, rest)).cast("int")
+    others = F.when(~large, F.array(F.lit(0))).when(F.col("is_main"), F.sequence(F.lit(0), rest - 1)).otherwise(F.sequence(F.lit(0), rest + main - 1))
+    rows = rows.select("key", own.alias("own"), F.explode(others).alias("other"), "node", "label")
+    return rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label")
+
+
+def _with_candidates(dealt: DataFrame, most_bits: int) -> DataFrame:
+    """Those rows of dealt (as from ``_apart``, with n and sketch) that have a candidate of another label in their group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, table, s, split, e in _groups(batches):
+            first, second, label = np.arange(s, split), np.arange(s if split == e else split, e), cols["label"]
+            hit = np.zeros(e - s, bool)
+            for r in range(0, len(first), 64):
+                some = first[r : r + 64]
+                near = (_bits(cols, some, second) <= most_bits) & (label[some][:, None] != label[second])
+                hit[some[near.any(axis=1)] - s] = True
+                hit[second[near.any(axis=0)] - s] = True
+            if hit.any():
+                yield from table.select(["key", "i", "j", "own", "node", "label"]).take(pa.array(np.flatnonzero(hit) + s)).combine_chunks().to_batches()
+
+    return map_arrow(_gathered(dealt), run, "key bigint, i int, j int, own int, node bigint, label bigint")
+
+
+def _across(candidates: DataFrame, most_bits: int) -> DataFrame:
+    """Links between components: (a, b), labels that are linked by a pair of members.
 
-    members: key, n_bucket, node, label, n, sketch, shingles.  Pairs of different
+    candidates: key, i, j, own, node, label, n, sketch, shingles.  Pairs of different
     labels come by their odd sketches, the closest first, and are tested on the
     full sets unless they have been joined before; so what leaves a group is no
     more than joins its components.
@@ -266,9 +310,9 @@ def _across(members: DataFrame) -> DataFrame:
             for r in range(0, len(first), 64):
                 some = first[r : r + 64]
                 bits = _bits(cols, some, second)
-                x, y = np.nonzero((bits <= MOST_BITS) & (label[some][:, None] != label[second]))
+                x, y = np.nonzero((bits <= most_bits) & (label[some][:, None] != label[second]))
                 found.append(np.stack([bits[x, y], some[x], second[y]]))
-            pairs = np.concatenate(found, axis=1)
+            pairs = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
             if not pairs.shape[1]:
                 continue
             parent: dict[int, int] = {}
@@ -278,26 +322,24 @@ def _across(members: DataFrame) -> DataFrame:
                     v = parent[v]
                 return v
 
-            sets: dict[int, np.ndarray] = {}
+            sets = table.column("shingles")
             out = []
             for _, a, b in pairs[:, np.argsort(pairs[0], kind="stable")].T.tolist():
                 p, q = root(int(label[a])), root(int(label[b]))
                 if p == q:
                     continue
-                for v in (a, b):
-                    if v not in sets:
-                        sets[v] = table.column("shingles")[v].values.to_numpy()
-                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if both * 100 >= (len(sets[a]) + len(sets[b]) - both) * PERCENT:
+                x, y = (sets[v].values.to_numpy() for v in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both * 100 >= (len(x) + len(y) - both) * PERCENT:
                     parent[max(p, q)] = min(p, q)
                     out.append((int(label[a]), int(label[b])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return map_arrow(_dealt(members, "label", "n", "sketch", "shingles"), run, "a bigint, b bigint").distinct()
+    return map_arrow(_gathered(candidates), run, "a bigint, b bigint").distinct()
 
 
-def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """One row for each row of df: doc_id, n_shingles, component_id, kept.
 
     component_id is the smallest doc_id that the document's links reach, its own
@@ -317,13 +359,12 @@ def link(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame
     sketches = classes.select("node", "n", "sketch")
     candidates = classes.select("node", "digest").join(members.select("node").distinct(), "node", "left_semi")
     sets = saved(full_sets(df, candidates, doc_id, text), "shingle-sets")
-    nearest = saved(_nearest(members.join(sketches, "node")), "nearest")
+    nearest = saved(_nearest(members.join(sketches, "node"), most_bits), "nearest")
     labels = components(saved(confirmed(nearest, sets), "links"))
     # What is still apart in a bucket, compared across components.
     labelled = saved(members.join(labels, "node", "left").select("key", "n_bucket", "node", F.coalesce("label", "node").alias("label")), "labelled-members")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    apart = saved(labelled.join(saved(mixed, "mixed-buckets"), "key"), "apart")
-    merged = components(_across(apart.join(sketches, "node").join(sets.select("node", "shingles"), "node")))
+    candidates = saved(_with_candidates(_apart(labelled).join(sketches, "node"), most_bits), "candidates-across")
+    merged = components(_across(candidates.join(sketches, "node").join(sets.select("node", "shingles"), "node"), most_bits))
     upper = merged.select(F.col("node").alias("label"), F.col("label").alias("upper"))
     named = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     named = named.join(upper, "label", "left").select("digest", F.coalesce("upper", "label").alias("component_id"))
