@@ -3,11 +3,15 @@
 A text is brought to a canonical form: lower case, copyright lines taken out,
 equivalent spellings made one, runs of anything but letters and digits made one
 space.  Its digest meets the digests of known licenses in an equi-join: the
-whole text of a document, and also each of its lines by itself, so that a
-license notice inside a longer document is found too.
-
-The known texts are a parameter, a table (license, text) of any size; the one
-here has short licenses and notices of common use.  Only digests are shuffled.
+whole text of a document, and also each of its lines and each of its blocks (the
+lines between blank ones, or between ones of comment marks only), so that a
+license or a notice inside a longer document is found too.
+
+What is known is a parameter of any size: a table (license, text), and a table
+(license, n_chars, digest) of canonical forms for texts too long to stand here,
+such as the full standard licenses.  Known digests are broadcast where they are
+at most ``BROADCAST`` rows; units of a length that no known form has are then
+left out before they are hashed.  With more of them the digests are shuffled.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import fresh
+from vellum.llm.common import fresh, saved
 
 #: Equivalent spellings, applied in this order to lower-cased text.
 SPELLINGS = (("licence", "license"), ("sub-licens", "sublicens"), ("https://", "http://"), ("organisation", "organization"), ("whilst", "while"), ("wilful", "willful"), ("merchantibility", "merchantability"))
@@ -57,24 +61,59 @@ KNOWN: tuple[tuple[str, str], ...] = (
 )
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text: words of a-z and 0-9, and letters beyond ASCII, one space between."""
+#: Full standard texts by their canonical form: (license, characters, MD5).
+STANDARD: tuple[tuple[str, int, str], ...] = (
+    ("Apache-2.0", 9701, "bb90ddb921a4bcfa8bbc590c5f5577e2"),
+    ("Artistic-1.0-Perl", 5683, "882c9d9e5b46fdd406c17541866e89a0"),
+    ("BSD-3-Clause", 1361, "ddcd765ed0a3236bf96e15f76c36983a"),
+    ("CC0-1.0", 6692, "93a180096f6cfcf2c0dd24f75c2eec48"),
+    ("GFDL-1.2", 19514, "fd920ddc37a3d7e8c50763b83c95353c"),
+    ("GFDL-1.3", 21882, "69253b6f159e4a07012cc5d95badaa85"),
+    ("GPL-1.0", 11765, "738cc3b112640d95d4cd79a58967ecea"),
+    ("GPL-2.0", 17053, "e374d0b43c25aed1a2b28951fe92a546"),
+    ("GPL-3.0", 33274, "4e2a5fb39fd6441859c05e128799e2e1"),
+    ("LGPL-2.0", 23937, "63ac11b5b2fcfe811ff161b9e5def0c5"),
+    ("LGPL-2.1", 25024, "b0e44c745072418c0ff11407a0bc4ffc"),
+    ("LGPL-3.0", 7104, "b31b7335bc37919e8cdd79154e04d88d"),
+    ("MPL-1.1", 22339, "a708f02208e9c42d3644490185833425"),
+    ("MPL-2.0", 14271, "35fb4d2625087f7fd780039aa7b4ebb2"),
+)
+#: Known digests that are sent to all tasks at most: some 60 bytes each.
+BROADCAST = 100_000
+
+
+def canonical_lines(text: Column) -> Column:
+    """The canonical form of each line of a text: words of a-z and 0-9, and letters beyond ASCII, one space between."""
     low = F.lower(text)
     rights = low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights reserved")
     low = F.when(rights, F.regexp_replace(F.regexp_replace(low, COPYRIGHT, ""), RIGHTS, "")).otherwise(low)
     for spelling, standard in SPELLINGS:
         low = F.replace(low, F.lit(spelling), F.lit(standard))
-    return F.btrim(F.regexp_replace(low, r"[\x00-/:-`{-\x7f]+", " "))
+    return F.transform(F.split(F.regexp_replace(low, r"[\x00-\x09\x0b-/:-`{-\x7f]+", " "), "\n"), lambda x: F.btrim(x))
+
+
+def joined(lines: Column) -> Column:
+    """The canonical form of a text from those of its lines."""
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
+def blocks(lines: Column) -> Column:
+    """The canonical forms of a text's blocks: lines between empty ones."""
+    marked = F.array_join(F.transform(lines, lambda x: F.when(x == "", "\n").otherwise(x)), " ")
+    return F.transform(F.split(marked, "\n"), lambda x: F.btrim(x))
 
 
-def known_digests(spark: SparkSession, known=KNOWN) -> DataFrame:
-    """(digest, license) of the known texts, one row for each digest."""
+def known_digests(spark: SparkSession, known=KNOWN, standard=STANDARD) -> DataFrame:
+    """(digest, n_chars, license) of the known texts and forms, one row for each digest; of several names the first."""
     table = known if isinstance(known, DataFrame) else spark.createDataFrame(known, "license string, text string")
-    return table.select(F.md5(canonical(F.col("text")).cast("binary")).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    ready = standard if isinstance(standard, DataFrame) else spark.createDataFrame(standard, "license string, n_chars int, digest string")
+    forms = table.select("license", joined(canonical_lines(F.col("text"))).alias("form")).where("form <> ''")
+    forms = forms.select("license", F.length("form").alias("n_chars"), F.md5(F.col("form").cast("binary")).alias("digest"))
+    return forms.unionByName(ready.select("license", "n_chars", "digest")).groupBy("digest").agg(F.min("license").alias("license"), F.min("n_chars").alias("n_chars"))
 
 
-def scan(df: DataFrame, known=KNOWN, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """df with ``license``, of the whole text, and ``notices``, of single lines: names in order, joined by a comma.
+def scan(df: DataFrame, known=KNOWN, doc_id: str = "doc_id", text: str = "text", standard=STANDARD) -> DataFrame:
+    """df with ``license``, of the whole text, and ``notices``, of single lines and blocks: names in order, joined by a comma.
 
     Where nothing is known, license is null and notices is empty.  Null and
     empty texts, and those of which nothing is left, match nothing.  Rows with
@@ -82,11 +121,17 @@ def scan(df: DataFrame, known=KNOWN, doc_id: str = "doc_id", text: str = "text")
     first by name.  Columns of df named as a result are replaced.
     """
     kept = df.select(*[f"`{c}`" for c in df.columns if c.lower() not in ("license", "notices")])
-    body = F.col(f"`{text}`")
-    lines = F.transform(F.split(body, "\n"), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("unit")))
-    units = kept.select(F.col(f"`{doc_id}`").alias("doc_id"), F.inline(F.concat(F.array(F.struct(F.lit(True).alias("whole"), body.alias("unit"))), lines)))
-    units = units.select("doc_id", "whole", canonical(F.col("unit")).alias("form")).where("form <> ''").select("doc_id", "whole", F.md5(F.col("form").cast("binary")).alias("digest"))
-    hits = units.join(known_digests(df.sparkSession, known), "digest")
+    digests = saved(known_digests(df.sparkSession, known, standard), "known-licenses")
+    few = digests.limit(BROADCAST + 1).count() <= BROADCAST
+    lengths = [r[0] for r in digests.select("n_chars").distinct().collect()] if few else None
+    # Names inside lambdas must not meet an alias of the same select.
+    rows = kept.select(F.col(f"`{doc_id}`").alias("doc_id"), canonical_lines(F.col(f"`{text}`")).alias("ls"))
+    usable = lambda x: x != "" if lengths is None else F.length(x).isin(*lengths)
+    unit = lambda whole: lambda x: F.struct(F.lit(whole).alias("whole"), x.alias("form"))
+    some = lambda xs, whole: F.transform(F.filter(xs, usable), unit(whole))
+    units = rows.select("doc_id", F.inline(F.concat(some(F.array(joined(F.col("ls"))), True), some(F.concat(F.col("ls"), blocks(F.col("ls"))), False))))
+    units = units.where("form <> ''").select("doc_id", "whole", F.md5(F.col("form").cast("binary")).alias("digest"))
+    hits = units.join(F.broadcast(digests.select("digest", "license")) if few else digests.select("digest", "license"), "digest")
     key, names = fresh(kept.columns, "license_id"), F.array_join(F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license")))), ",")
     found = hits.groupBy("doc_id").agg(F.min(F.when(F.col("whole"), F.col("license"))).alias("license"), names.alias("notices")).withColumnRenamed("doc_id", key)
     out = kept.join(found, F.col(f"`{doc_id}`").eqNullSafe(F.col(key)), "left")
@@ -94,25 +139,30 @@ def scan(df: DataFrame, known=KNOWN, doc_id: str = "doc_id", text: str = "text")
 
 
 def _sql(expression: str) -> str:
-    """The canonical form in DuckDB's SQL."""
+    """The canonical forms of a text's lines in DuckDB's SQL."""
     low = f"lower({expression})"
     for pattern in (COPYRIGHT, RIGHTS):
         low = f"regexp_replace({low}, '{pattern}', '', 'g')"
     for spelling, standard in SPELLINGS:
         low = f"replace({low}, '{spelling}', '{standard}')"
-    return f"trim(regexp_replace({low}, '[\\x00-/:-`{{-\\x7f]+', ' ', 'g'))"
+    return f"list_transform(string_split(regexp_replace({low}, '[\\x00-\\x09\\x0b-/:-`{{-\\x7f]+', ' ', 'g'), chr(10)), lambda x: trim(x, ' '))"
 
 
-def oracle(known=KNOWN) -> str:
+def oracle(known=KNOWN, standard=STANDARD) -> str:
     values = ", ".join("('" + name + "', '" + text.replace("'", "''") + "')" for name, text in known)
+    ready = ", ".join(f"('{digest}', '{name}')" for name, _, digest in standard)
+    whole = "array_to_string(list_filter(ls, lambda x: x <> ''), ' ')"
     return f"""
 WITH known(license, text) AS (VALUES {values}),
-digests AS (SELECT md5({_sql("text")}) AS digest, min(license) AS license FROM known GROUP BY 1),
+known_lines AS (SELECT license, {_sql("text")} AS ls FROM known),
+digests AS (SELECT digest, min(license) AS license FROM (SELECT md5({whole}) AS digest, license FROM known_lines UNION ALL SELECT * FROM (VALUES {ready}) t(digest, license)) GROUP BY 1),
+lines AS (SELECT doc_id, {_sql("text")} AS ls FROM documents),
 units AS (
-  SELECT doc_id, true AS whole, text AS unit FROM documents
-  UNION ALL SELECT doc_id, false, unnest(string_split(text, chr(10))) FROM documents
-), forms AS (SELECT doc_id, whole, {_sql("unit")} AS form FROM units),
-hits AS (SELECT doc_id, whole, license FROM forms JOIN digests ON md5(form) = digest WHERE form <> ''),
+  SELECT doc_id, true AS whole, {whole} AS form FROM lines
+  UNION ALL SELECT doc_id, false, unnest(ls) FROM lines
+  UNION ALL SELECT doc_id, false, trim(unnest(string_split(array_to_string(list_transform(ls, lambda x: CASE WHEN x = '' THEN chr(10) ELSE x END), ' '), chr(10))), ' ') FROM lines
+),
+hits AS (SELECT doc_id, whole, license FROM units JOIN digests ON md5(form) = digest WHERE form <> ''),
 found AS (
   SELECT doc_id, min(license) FILTER (WHERE whole) AS license, coalesce(string_agg(DISTINCT license, ',' ORDER BY license) FILTER (WHERE NOT whole), '') AS notices
   FROM hits GROUP BY doc_id
