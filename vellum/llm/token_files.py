@@ -10,12 +10,17 @@ occurs before a position) and ``select`` (where its k-th occurrence is), all
 from the compressed planes.  ``tokens`` reads a whole shard back, plane by
 plane from the lowest up.
 
-Shards hold the documents in ascending doc_id order: rows are dealt by range,
-and each task cuts its sorted run of documents into shards of about
-``SHARD_TOKENS`` tokens, so a task's memory is bounded by a shard.  Shards are
-rows of a Parquet table (place, documents and their lengths, payload), so that
-Spark's own committer writes them: a lost executor or a second attempt leaves
-no half-written file, and any file system that Spark knows will do.
+Shards hold the documents in ascending doc_id order: rows are dealt by range of
+id and text, and each task cuts its sorted run of documents into shards of about
+``SHARD_TOKENS`` tokens, so a task's memory is bounded by a shard.  A shard's
+documents, their ids and lengths, stand in its binary too (the end id may also
+occur within a text, so it doesn't mark them).  Shards are rows of a Parquet
+table (place and payload), so that Spark's own committer writes them: a lost
+executor or a second attempt leaves no half-written file, and any file system
+that Spark knows will do.
+
+``read`` gives the documents back, ``count`` how often tokens occur, and
+``locate`` where: the latter two by rank and select, without unpacking a shard.
 """
 
 from __future__ import annotations
@@ -29,12 +34,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vellum.llm.common import map_arrow, n_partitions
 
 SHARD_TOKENS = 1 << 20
-MAGIC = b"VWM1"
+MAGIC, SHARD_MAGIC = b"VWM1", b"VWS1"
 BLOCK = 512
 #: Pieces remembered by a Python worker before it starts afresh.
 CACHE_PIECES = 1_300_000
@@ -43,7 +47,7 @@ LEARN_TEXTS, LEARN_PIECES = 64, 100
 #: Rows are encoded in slices of so many.
 SLICE_ROWS = 256
 
-SHARD_SCHEMA = "part int, block int, before bigint, doc_ids array<bigint>, lengths array<int>, payload binary"
+SHARD_SCHEMA = "part int, block int, before bigint, n_tokens bigint, payload binary"
 _POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -167,6 +171,26 @@ class WaveletMatrix:
         return self.alphabet[now]
 
 
+class Shard:
+    """Documents end to end in a wavelet matrix: their ids (null ones masked), their lengths and the tokens."""
+
+    def __init__(self, doc_ids: list[int | None], lengths: np.ndarray, matrix: WaveletMatrix):
+        self.doc_ids, self.lengths, self.matrix = doc_ids, lengths, matrix
+
+    def dump(self) -> bytes:
+        known = np.array([i is not None for i in self.doc_ids], np.uint8)
+        ids = np.array([0 if i is None else i for i in self.doc_ids], "<i8")
+        return b"".join([SHARD_MAGIC, struct.pack("<I", len(ids)), known.tobytes(), ids.tobytes(), np.asarray(self.lengths, "<u4").tobytes(), self.matrix.dump()])
+
+    @classmethod
+    def load(cls, raw: bytes) -> Shard:
+        if raw[:4] != SHARD_MAGIC:
+            raise ValueError("not a shard")
+        (n,) = struct.unpack_from("<I", raw, 4)
+        known, ids, lengths = np.frombuffer(raw, np.uint8, n, 8), np.frombuffer(raw, "<i8", n, 8 + n), np.frombuffer(raw, "<u4", n, 8 + 9 * n)
+        return cls([int(i) if k else None for i, k in zip(ids, known)], lengths.astype(np.int64), WaveletMatrix.load(raw[8 + 13 * n :]))
+
+
 class PieceEncoder:
     """Whole texts to ids with the tokenizers library, remembering what it made of each piece.
 
@@ -279,8 +303,8 @@ def write(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, doc_id
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    dealt = docs.repartitionByRange(n_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("payload", pa.binary())])
+    dealt = docs.repartitionByRange(n_partitions(spark), F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -292,9 +316,9 @@ def write(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, doc_id
         before, held = 0, 0
 
         def shard() -> pa.RecordBatch:
-            payload = WaveletMatrix.build(np.frombuffer(b"".join(raw), coder.dtype)).dump()
-            lengths = [len(x) // coder.dtype.itemsize for x in raw]
-            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "before": before, "doc_ids": ids, "lengths": lengths, "payload": payload}], schema)
+            lengths = np.array([len(x) // coder.dtype.itemsize for x in raw], np.int64)
+            payload = Shard(ids, lengths, WaveletMatrix.build(np.frombuffer(b"".join(raw), coder.dtype))).dump()
+            return pa.RecordBatch.from_pylist([{"part": part, "block": block, "before": before, "n_tokens": int(lengths.sum()), "payload": payload}], schema)
 
         for batch in batches:
             for k in range(0, batch.num_rows, SLICE_ROWS):
@@ -316,28 +340,59 @@ def shards(spark, path: str) -> DataFrame:
     return spark.read.schema(SHARD_SCHEMA).parquet(path)
 
 
-def read(spark, path: str) -> DataFrame:
-    """Documents of the shards under path: doc_id, start (tokens of all documents before), n_tokens, token_ids as raw bytes.
+def _placed(spark, path: str) -> DataFrame:
+    """payload and start (tokens of all shards before) of each shard under path.
 
     A shard knows the tokens before it in its part.  Parts are few, one for each
     task that wrote, so the sums of those before a part go to all readers.
     """
     table = shards(spark, path)
-    n = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    parts = table.select("part", n.alias("n")).groupBy("part").agg(F.sum("n").alias("n"))
+    parts = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     earlier = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(parts.select("part", earlier.alias("earlier")))  # as many rows as shuffle partitions, at most
-    out = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+    return table.join(starts, "part").select("payload", (F.col("earlier") + F.col("before")).alias("start"))
+
+
+def read(spark, path: str) -> DataFrame:
+    """Documents of the shards under path: doc_id, start (tokens of all documents before), n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers)."""
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                doc_ids, lengths, payload, start = (batch.column(k)[row].as_py() for k in range(4))
-                tokens = WaveletMatrix.load(payload).tokens().astype("<u4")
-                ends = np.cumsum(lengths, dtype=np.int64)
-                begins = ends - lengths
+                shard, start = Shard.load(batch.column(0)[row].as_py()), batch.column(1)[row].as_py()
+                tokens = shard.matrix.tokens().astype("<u4")
+                ends = np.cumsum(shard.lengths)
+                begins = ends - shard.lengths
                 crcs = [zlib.crc32(tokens[a:b]) for a, b in zip(begins, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(begins + start), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(shard.doc_ids, pa.int64()), pa.array(begins + start), pa.array(shard.lengths), pa.array(crcs, pa.int64())], schema=schema)
+
+    return map_arrow(_placed(spark, path), run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
-    return map_arrow(table.join(starts, "part").select("doc_ids", "lengths", "payload", (F.col("earlier") + F.col("before")).alias("start")), run, out)
+
+def count(spark, path: str, tokens: list[int]) -> DataFrame:
+    """How often each of tokens occurs in the shards under path: token, n.  Two ranks a shard and token; end ids count as well."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                matrix = Shard.load(raw).matrix
+                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), pa.array([matrix.rank(t, matrix.n) for t in tokens], pa.int64())], ["token", "n"])
+
+    return map_arrow(shards(spark, path).select("payload"), run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def locate(spark, path: str, token: int) -> DataFrame:
+    """Where token occurs in the shards under path: doc_id, place (from 0 in the document), position (from 0 in all tokens)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard, start = Shard.load(batch.column(0)[row].as_py()), batch.column(1)[row].as_py()
+                at = np.array(shard.matrix.occurrences(token), np.int64)
+                ends = np.cumsum(shard.lengths)
+                own = np.searchsorted(ends, at, side="right")
+                doc_ids = [shard.doc_ids[k] for k in own.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(at - (ends - shard.lengths)[own] if len(at) else at), pa.array(at + start)], ["doc_id", "place", "position"])
+
+    return map_arrow(_placed(spark, path), run, "doc_id bigint, place bigint, position bigint")
