@@ -84,7 +84,15 @@ def test_look_up(spark):
 
 
 def test_product_name(spark):
-    rows = [("Product name: Acmedol Forte\n", "Acmedol Forte"), ("we took ibuprofen", "ibuprofen"), ("nothing", None)]
+    rows = [
+        ("Product name: Acmedol Forte\n", "Acmedol Forte"),
+        ("we took ibuprofen", "ibuprofen"),
+        ("nothing", None),
+        ("Name of the product: \n\n Table 1\nN/A\n  Vel  dorin 5 mg \nmore", "Vel dorin 5 mg"),
+        ("Proposed name: B\x20\nGamma\nProduct name: Alpha", "Gamma"),
+        ("product name:", None),
+        ("product name: n/a, ibuprofen", "n/a, ibuprofen"),
+    ]
     got = spark.createDataFrame(rows, "t string, want string").select("want", registry.product_in(F.col("t")).alias("p")).collect()
     assert all(r.p == r.want for r in got)
 
@@ -114,11 +122,82 @@ def test_unwrap_and_images(spark):
 
 
 def test_name_scores(spark):
-    rows = [("Report.pdf", "report.PDF", 100), ("report.docx", "report.pdf", 95), ("Re-port page 2.pdf", "report.pdf", 90), ("my report.pdf", "report.pdf", 80), ("annual stability x.pdf", "stability y.pdf", 1), ("a.pdf", "zz.pdf", -1)]
+    rows = [("Report.pdf (page 3)", "a\\report.PDF", 100), ("report.docx", "report.pdf", 95), ("Re-port.pdf", "report.pdf", 90), ("my report.pdf", "report.pdf", 80), ("annual stability stability x.pdf", "stability y.pdf", 2), ("a.pdf", "zz.docx", -1), ("map3.pdf", "ma.txt", -1), ("\u6587.\u66f8", "x.pdf", 80), ("", "x", -1)]
     got = spark.createDataFrame(rows, "a string, b string, want int").select("want", files.name_score(F.col("a"), F.col("b")).alias("s")).collect()
     assert [r.s for r in got] == [r.want for r in got]
 
 
+def test_best_files(spark):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 4)))
+    name = lambda: rnd.choice(["", "x/"]) + rnd.choice(["-", " ", "_"]).join(word() for _ in range(rnd.randrange(1, 4))) + rnd.choice([".pdf", ".docx", "", " (Page 2)", ".\u66f8"])
+    sources, names = [name() for _ in range(60)] + ["\u6587", ""], [name() for _ in range(40)] + ["\u6587.\u66f8", "annualreport2024.pdf"]
+    sources.append("report.pdf")
+    a, b = spark.createDataFrame([(x,) for x in sources], "source_name string"), spark.createDataFrame([(x, i) for i, x in enumerate(names)], "name string, ord int")
+    every = a.distinct().crossJoin(b).withColumn("score", files.name_score(F.col("source_name"), F.col("name"))).where("score > 0").collect()
+    want = {}
+    for r in sorted(every, key=lambda r: (-r.score, r.ord)):
+        want.setdefault(r.source_name, (r.name, r.score))
+    assert {r.source_name: (r.name, r.score) for r in files.best_files(a, b).collect()} == want
+
+
+def test_provenance(spark):
+    from vellum.operators import provenance as V
+
+    rnd = random.Random(6)
+    pick = lambda n: [rnd.choice(["alpha", "Beta", "beta\x01", "with", "gam", " ", "gamma\t", "", "delta x"]) for _ in range(n)]
+    cases_ = [(" ".join(pick(rnd.randrange(0, 5))), pick(rnd.randrange(0, 6))) for _ in range(150)]
+
+    def clean(x):
+        out, at, space = "", [], True
+        for i, c in enumerate(x):
+            if c.isspace() or ord(c) < 32 or ord(c) == 127:
+                if not space:
+                    out, at = out + " ", [*at, i]
+                space = True
+            else:
+                out, at, space = out + c.lower(), [*at, i], False
+        return (out[:-1], at[:-1]) if out.endswith(" ") else (out, at)
+
+    def brute(snippet, items):
+        needle, (hay, at) = clean(snippet)[0], clean(" ".join(items))
+        k = hay.find(needle) if needle else -1
+        if k >= 0 and needle:
+            a, b, cursor, strong = at[k], at[k + len(needle) - 1] + 1, 0, []
+            for i, x in enumerate(items):
+                if x.strip() and cursor + len(x) > a and cursor < b and clean(x)[0]:
+                    strong.append(i)
+                cursor += len(x) + 1
+            return strong, []
+        import re
+
+        words = [w for w in re.split("[^a-z0-9]+", snippet.lower()) if len(w) >= 4 and w not in V.STOP_WORDS]
+        return [], [i for i, x in enumerate(items) if x.strip() and sum(w in x.lower() for w in words) >= 2] if needle else []
+
+    frame = spark.createDataFrame([(i, s, x) for i, (s, x) in enumerate(cases_)], "i int, s string, x array<string>")
+    for r in frame.select("i", V.items_of(F.col("s"), F.col("x")).alias("o")).collect():
+        assert (r.o.strong, r.o.weak) == brute(*cases_[r.i]), cases_[r.i]
+    texts = spark.createDataFrame([(1, "One two  three four five six"), (2, "xone twoy"), (3, None), (4, "")], "doc_id int, text string")
+    passages = spark.createDataFrame([(1, "ne two thr"), (2, "o"), (3, "two three four five si"), (4, ""), (5, "one"), (6, "zz")], "item_id int, text string")
+    assert sorted((r.item_id, r.doc_id, r.pos) for r in V.located(passages, texts).collect()) == [(1, 1, 2), (2, 1, 1), (2, 2, 2), (3, 1, 5), (5, 1, 1), (5, 2, 2)]
+
+
+def test_cases_as_shown(spark):
+    one = spark.range(1)
+    value = lambda c: one.select(c.alias("v")).first().v
+    none, text = F.lit(None).cast("string"), lambda x: F.lit(x)
+    empty = F.array().cast("array<string>")
+    assert value(cases.narrative(none, text("fall"), text(""), none, none, text("X"), text("47"), none, [empty])) == "Event: fall. Suspected drug: X. Patient: 47"
+    snippets = [F.array(F.lit(" "), F.lit("Rule-Based engine output: x")), F.array(F.lit(" a "), F.lit("b"))]
+    assert value(cases.narrative(none, *[none] * 7, snippets)) == "a b"
+    assert value(cases.narrative(none, *[none] * 7, [empty])) == "No narrative available."
+    assert value(cases.eligibility_message(text("Generic Drug Application"))).startswith("This drug is already listed")
+    assert [value(cases.bucket(text(x))) for x in ("Hospitalization", "no DEATH", "x")] == ["Hospitalisation", "Death", "Others"]
+    assert value(consistency.line_value(text("ab\nSection 1"))) == "ab\nSection 1"
+    keys = [value(files.natural_key(text(x))) for x in ("a2", "a10", "a12345678901234567", "a012345678901234568")]
+    assert keys == sorted(keys)
+
+
 def word_file(paragraphs):
     ns = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
     body = "".join(f"<w:p><w:r><w:t>{p}</w:t></w:r></w:p>" for p in paragraphs)

@@ -13,14 +13,14 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def finditer(text: Column, pattern: str) -> Column:
+def finditer(text: Column, pattern: Column | str) -> Column:
     """All matches in order: array of structs start, end (code points, half open), full, value (group 1).
 
     The text between matches and the matches themselves add up to the offsets,
     so no position comes from the regex engine.  Group 1 must end its match.
     """
-    p = F.lit(pattern)
-    rows = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(1)), F.split(text, pattern, -1))
+    p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    rows = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(1)), F.split(text, p, -1))
     empty = F.array().cast("array<struct<start:int,end:int,full:string,value:string>>")
     start = lambda a, x: a["at"] + F.length(x["2"])
 
@@ -34,14 +34,19 @@ def finditer(text: Column, pattern: str) -> Column:
 
 
 def splice(text: Column, spans: Column, replacement) -> Column:
-    """text with each of disjoint spans (in order of start) replaced by replacement(span)."""
-    init = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """text with each of disjoint spans (in order of start) replaced by replacement(span).
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        return F.struct(s["end"].alias("at"), F.concat(a["out"], gap, replacement(s)).alias("out"))
+    Each span gives the gap before it and its replacement, and all pieces are
+    joined once, so a text costs its length, however many spans it has.
+    """
+
+    def pieces(all_: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(all_, i - 1)["end"]).otherwise(F.lit(0))
+        parts = F.transform(all_, lambda s, i: F.concat(F.substring(text, before(i) + 1, s["start"] - before(i)), replacement(s)))
+        last = F.coalesce(F.get(all_, F.size(all_) - 1)["end"], F.lit(0))
+        return F.concat(F.array_join(parts, ""), F.substring(text, last + 1, F.length(text)))
 
-    return F.aggregate(spans, init, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+    return F.when(text.isNotNull() & spans.isNotNull(), let(spans, pieces))
 
 
 def clean_cell(x: Column) -> Column:

@@ -25,9 +25,10 @@ def duplicates(cases: DataFrame, name: str = "file_name", signature: str = "sign
     are needed, so no window is made: a grouped minimum meets the cases in joins
     that Spark can split.  Null names and signatures match nothing.
     """
-    rows = cases.withColumn("_sig", F.lower(signature))
+    low = F.lower(signature)
+    rows = cases.withColumn("_sig", F.when(low != "", F.concat(F.md5(low.cast("binary")), F.length(low))))  # digests travel, not texts
     by_name = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("_n")).agg(F.min(order).alias("_first_name"))
-    by_sig = rows.where("_sig IS NOT NULL AND _sig <> ''").groupBy(F.col("_sig").alias("_s")).agg(F.min(order).alias("_first_sig"))
+    by_sig = rows.where("_sig IS NOT NULL").groupBy(F.col("_sig").alias("_s")).agg(F.min(order).alias("_first_sig"))
     rows = rows.join(by_name, F.col(name) == F.col("_n"), "left").join(by_sig, F.col("_sig") == F.col("_s"), "left")
     a, b = F.when(F.col("_first_name") < F.col(order), F.col("_first_name")), F.when(F.col("_first_sig") < F.col(order), F.col("_first_sig"))
     named = a.isNotNull() & (b.isNull() | (a <= b))
@@ -36,10 +37,10 @@ def duplicates(cases: DataFrame, name: str = "file_name", signature: str = "sign
 
 
 def detection_sample(pages: DataFrame) -> DataFrame:
-    """What a module is told from: the first 1,500 characters of a file's first two pages, 3,000 at most."""
+    """What a module is told from: the first 1,500 characters of a file's first two pages, end to end."""
     rows = pages.withColumn("rn", F.row_number().over(Window.partitionBy("file").orderBy("page"))).where("rn <= 2")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.left("raw_text", F.lit(1500)).alias("t")))), lambda x: x["t"]), "\n")
-    return rows.groupBy("file").agg(F.left(text, F.lit(3000)).alias("sample"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", F.left(F.coalesce("raw_text", F.lit("")), F.lit(1500)).alias("t")))), lambda x: x["t"]), "")
+    return rows.groupBy("file").agg(text.alias("sample"))
 
 
 def gated(cases: DataFrame, module: str = "module", applicable: str = "sae_applicable") -> DataFrame:
@@ -60,28 +61,48 @@ def priority(level: Column, seed: Column) -> Column:
     return F.round(score, 1)
 
 
-def bucket(level: Column) -> Column:
-    """A severity word's bucket."""
-    low = F.lower(F.coalesce(level, F.lit("")))
-    return F.when(low.contains("high"), "High").when(low.contains("medium"), "Medium").when(low.contains("low"), "Low").otherwise("Unknown")
+def bucket(seriousness: Column) -> Column:
+    """The bucket that a seriousness is shown in, by words in it; a missing one is among the others."""
+    low = F.lower(F.coalesce(seriousness, F.lit("")))
+    return F.when(low.contains("death"), "Death").when(low.contains("disability"), "Disability").when(low.contains("hospital"), "Hospitalisation").otherwise("Others")
 
 
 def case_id(n: Column, year: int = 2026) -> Column:
     return F.concat(F.lit(f"SAE-{year}-"), F.lpad(n.cast("string"), 3, "0"))
 
 
-def narrative(case_narrative: Column, parts: dict[str, Column], snippets: Column) -> Column:
-    """The narrative, or its labelled parts, or the snippets, or a constant."""
-    filled = lambda c: F.when(F.btrim(c) != "", F.btrim(c))
-    joined = F.array_join(F.filter(F.array(*[F.concat(F.lit(f"{k}: "), filled(v)) for k, v in parts.items()]), lambda x: x.isNotNull()), ". ")
-    return F.coalesce(filled(case_narrative), filled(joined), filled(F.array_join(snippets, " ")), F.lit("No narrative available."))
+def narrative(case_narrative: Column, event: Column, outcome: Column, causality: Column, onset: Column, drug: Column, age: Column, gender: Column, sources: list[Column]) -> Column:
+    """The narrative; or its labelled parts; or the snippets of the first source that has any; or a constant.
+
+    sources are arrays of snippets (of event, outcome and seriousness); empty ones
+    and what the rule engine has put out don't count.
+    """
+    given = lambda c: F.when(c != "", c)
+    labelled = lambda label, c: F.concat(F.lit(f"{label}: "), given(c))
+    present = lambda *cs: F.filter(F.array(*cs), lambda x: x.isNotNull())
+    patient = labelled("Patient", F.array_join(present(given(age), given(gender)), ", "))
+    parts = present(labelled("Event", event), labelled("Outcome", outcome), labelled("Causality", causality), labelled("Onset", onset), labelled("Suspected drug", drug), patient)
+    usable = lambda a: F.filter(F.transform(a, lambda x: F.btrim(x)), lambda x: (x != "") & ~F.lower(x).contains("rule-based engine output"))
+    snippets = [F.when(F.size(usable(a)) > 0, F.array_join(usable(a), " ")) for a in sources]
+    return F.coalesce(given(case_narrative), given(F.array_join(parts, ". ")), *snippets, F.lit("No narrative available."))
 
 
-def histogram(cases: DataFrame, level: str = "severity") -> DataFrame:
+def histogram(cases: DataFrame, seriousness: str = "seriousness") -> DataFrame:
     """Cases by bucket."""
-    return cases.groupBy(bucket(F.col(level)).alias("bucket")).agg(F.count("*").alias("n"))
+    return cases.groupBy(bucket(F.col(seriousness)).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+# What is told about a submission.
+GENERIC_MESSAGE = "This drug is already listed in CDSCO. You should submit this as a Generic Drug Application, not as an NDA."
+NEW_MESSAGE = "This is a new drug you can submit this application as NDA (new drug application)"
+
+
+def eligibility_message(submission_type: Column) -> Column:
+    """What is told about a type of submission."""
+    return F.when(submission_type == "Generic Drug Application", GENERIC_MESSAGE).otherwise(NEW_MESSAGE)
 
 
-def eligibility_message(kind: Column, found: Column) -> Column:
-    """What a registry look-up means for a submission."""
-    return F.when(found & (F.lower(kind) == "generic"), "eligible: an approved product was found").when(found, "an approved product was found").otherwise("no approved product was found")
+def result_of_status(status: Column) -> Column:
+    """A matcher's status as a verdict."""
+    low = F.lower(F.coalesce(status, F.lit("")))
+    return F.when(low == "matched", "CONSISTENT").when(low == "needs_user_confirmation", "NEEDS_REVIEW").otherwise("INCONSISTENT")

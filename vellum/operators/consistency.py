@@ -191,10 +191,10 @@ def snippets(text: Column, number: int) -> Column:
 
 
 def line_value(snippet: Column) -> Column:
-    """The first of up to twelve lines that says something: three characters or more, and no heading of a section, table or figure."""
+    """The first of up to twelve lines that says something: three characters or more, and no heading of a section, table or figure; without one, the first 500 characters."""
     lines = F.slice(F.filter(F.transform(F.split(snippet, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\n"))), lambda x: x != ""), 1, 12)
     good = F.filter(lines, lambda x: (F.length(x) >= 3) & ~x.rlike(r"(?i)^(section|table|figure)\b"))
-    return F.left(F.coalesce(F.get(good, F.lit(0)), F.lit("")), F.lit(500))
+    return F.coalesce(F.left(F.get(good, F.lit(0)), F.lit(500)), F.btrim(F.left(snippet, F.lit(500)), F.lit(" \t\r\n")))
 
 
 def extract_fields(modules: DataFrame) -> DataFrame:

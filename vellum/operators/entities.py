@@ -18,65 +18,55 @@ from vellum.functions.text import SPAN, canonical_type, display_label, finditer,
 HOOK_SCHEMA = "array<" + SPAN + ">"
 
 
-def valid(kind: str, value: Column) -> Column:
+def valid(kind: Column, value: Column) -> Column:
     """Whether a labelled value counts as an entity of its type."""
     low = F.lower(value)
-    rules = [~value.rlike(r"\.{4,}"), ~value.rlike(r"^[-–—.:;,\s\[\]()/_]+$"), ~low.rlike(r"\[(study|check[- ]?in|check[- ]?out|pre[- ]?enrollment|post[- ]?dose)\]")]
-    if kind in P.BROAD:
-        words = F.size(F.filter(F.split(value, r"\s+"), lambda w: w != ""))
-        rules += [F.length(F.regexp_replace(value, "[^A-Za-z0-9]+", "")) >= 4, ~value.rlike(r"^\d{1,3}$")]
-        rules += [~low.contains(n) for n in P.NOISE]
-        if kind in P.SHORT_REJECTED:
-            rules += [(words > 2) | (F.length(value) >= 18), F.length(value) <= 90]
-    hinted = lambda hints: any_of([low.contains(h) for h in hints])
-    if kind == "MEDICATION_DOSAGE":
-        rules.append(low.rlike(r"\b\d+(?:\.\d+)?\s*(?:mg|mcg|g|ml|iu|units?|mg/kg|mcg/kg)\b") | hinted(P.MEDICATION_HINTS))
-    elif kind == "VITAL_SIGNS":
-        rules.append(hinted(P.VITAL_HINTS) | value.rlike(r"\b\d{2,3}(?:/\d{2,3})?\b"))
-    elif kind == "DIAGNOSIS_CONDITION":
-        rules.append(low.rlike(P.DIAGNOSIS_WORDS))
-    elif kind == "AGE":
-        rules.append(F.regexp_extract(value, r"\d+", 0).try_cast("int").between(10, 120))
-    elif kind in P.NUMBERED_IDS:
-        rules += [~low.isin("yes", "no", "na", "n/a"), value.rlike(r"\d")]
-    return all_of([F.length(value) > 0, *rules])
-
-
-def all_of(rules: Sequence[Column]) -> Column:
-    out = F.lit(True)
-    for r in rules:
-        out = out & r
-    return out
-
-
-def any_of(rules: Sequence[Column]) -> Column:
-    out = F.lit(False)
-    for r in rules:
-        out = out | r
-    return out
-
-
-def _hits(text: Column, kind: str, label: str, value: str, score: float, word_bounded: bool) -> Column:
-    """Spans of one definition; texts without its label skip the search."""
-    if label and word_bounded:
-        label = rf"\b(?:{label})"
-    pattern = P.pattern(label, value)
-
-    def span(m: Column) -> Column:
+    among = lambda phrases: F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: low.contains(p))
+    words = F.size(F.filter(F.split(value, r"\s+"), lambda w: w != ""))
+    always = (F.length(value) > 0) & ~value.rlike(P.DOTS) & ~value.rlike(P.MARKS_ONLY) & ~low.rlike(P.BRACKETED)
+    broad = (F.length(F.regexp_replace(value, "[^A-Za-z0-9]+", "")) >= 4) & ~value.rlike(P.SHORT_NUMBER) & ~among(P.NOISE)
+    long = ((words > 2) | (F.length(value) >= 18)) & (F.length(value) <= 90)
+    own = (
+        F.when(kind == "MEDICATION_DOSAGE", low.rlike(P.DOSE) | among(P.MEDICATION_HINTS))
+        .when(kind == "VITAL_SIGNS", among(P.VITAL_HINTS) | value.rlike(P.READING))
+        .when(kind == "DIAGNOSIS_CONDITION", low.rlike(P.DIAGNOSIS_WORDS))
+        .when(kind == "AGE", F.coalesce(F.regexp_extract(value, r"\d+", 0).try_cast("int").between(10, 120), F.lit(False)))
+        .when(kind.isin(*P.NUMBERED_IDS), ~low.isin("yes", "no", "na", "n/a") & value.rlike(r"\d"))
+        .otherwise(F.lit(True))
+    )
+    return always & (~kind.isin(*P.BROAD) | broad) & (~kind.isin(*P.SHORT_REJECTED) | long) & own
+
+
+def regex_spans(text: Column, kinds: Sequence[str] | None = None, word_bounded: bool = False) -> Column:
+    """All valid spans of the definitions (or of some types), in the definitions' order.
+
+    The definitions are an array that the expression goes through, so the plan
+    stays small.  A definition is tried only on texts with a word that its label
+    needs, and then with the label itself; only these are searched for values.
+    """
+    chosen = [d for d in P.LABELLED if kinds is None or d[0] in kinds]
+    empty = F.array().cast(HOOK_SCHEMA)
+    if not chosen:
+        return F.when(text.isNotNull(), empty).otherwise(empty)
+    rows = []
+    for kind, label, value, score in chosen:
+        bounded = rf"\b(?:{label})" if label and word_bounded else label
+        gate = f"(?iU){bounded}" if label else {"EMAIL": "@", "IP_ADDRESS": r"\d\.\d"}[kind]
+        needed = F.array(*[F.array(*[F.lit(n) for n in a]) for a in P.needles(label)]).cast("array<array<string>>")
+        rows.append(F.struct(F.lit(kind).alias("kind"), F.lit(gate).alias("gate"), F.lit(P.pattern(bounded, value)).alias("pattern"), F.lit(score).alias("score"), needed.alias("needles")))
+    low = F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))  # the letters that a search without case takes for these
+
+    def span(m: Column, d: Column) -> Column:
         left = F.regexp_replace(m["value"], r"(?U)^\s+", "")
         both = F.regexp_replace(left, r"(?U)\s+$", "")
         start = m["end"] - F.length(left)
-        return F.struct(both.alias("text"), F.lit(kind).alias("entity_type"), start.alias("start"), (start + F.length(both)).alias("end"), F.lit(score).alias("score"), F.lit("regex").alias("source"))
-
-    found = F.filter(F.transform(finditer(text, pattern), span), lambda s: valid(kind, s["text"]))
-    gate = text.rlike(f"(?iU){label}" if label else {"EMAIL": "@", "IP_ADDRESS": r"\d\.\d"}[kind])
-    return F.when(gate, found.cast(HOOK_SCHEMA)).otherwise(F.array().cast(HOOK_SCHEMA))
+        return F.struct(both.alias("text"), d["kind"].alias("entity_type"), start.alias("start"), (start + F.length(both)).alias("end"), d["score"].alias("score"), F.lit("regex").alias("source"))
 
+    def found(low: Column) -> Column:
+        tried = F.filter(F.array(*rows), lambda d: ((F.size(d["needles"]) == 0) | F.exists(d["needles"], lambda a: F.forall(a, lambda n: low.contains(n)))) & F.rlike(text, d["gate"]))
+        return F.flatten(F.transform(tried, lambda d: F.filter(F.transform(finditer(text, d["pattern"]), lambda m: span(m, d)), lambda s: valid(d["kind"], s["text"]))))
 
-def regex_spans(text: Column, kinds: Sequence[str] | None = None, word_bounded: bool = False) -> Column:
-    """All valid spans of the definitions (or of some types), in the definitions' order."""
-    chosen = [d for d in P.LABELLED if kinds is None or d[0] in kinds]
-    return F.concat(*[_hits(text, *d, word_bounded) for d in chosen])
+    return let(low, found).cast(HOOK_SCHEMA)
 
 
 def recognised(spans: Column) -> Column:

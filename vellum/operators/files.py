@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.registry import containing
+
 
 def normalised(path: Column) -> Column:
     return F.btrim(F.replace(path, F.lit("\\"), F.lit("/")))
@@ -121,9 +125,10 @@ def tree(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def natural_key(name: Column) -> Column:
-    """Sorts digits as numbers and letters without case."""
+    """Sorts digits as numbers of any length (each behind the number of its digits) and letters without case."""
     parts = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 12, "0")).otherwise(F.lower(x))), "")
+    number = lambda x: F.ltrim(x, F.lit("0"))
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lpad(F.length(number(x)).cast("string"), 4, "0"), number(x))).otherwise(F.lower(x))), "")
 
 
 def siblings_ordered(nodes: DataFrame) -> DataFrame:
@@ -139,22 +144,35 @@ def leaf_image_folders(files: DataFrame, path: str = "path") -> DataFrame:
     return images.join(parents, "folder", "left_anti")
 
 
+def source_name(name: Column) -> Column:
+    """A file's name as a source gives it: without folders and a page in brackets at its end, in lower case."""
+    return F.lower(F.btrim(F.regexp_replace(F.element_at(F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/"), -1), r"(?i)\s*\(page\s*\d+\)\s*$", "")))
+
+
+def source_stem(name: Column) -> Column:
+    return F.regexp_replace(source_name(name), r"(?i)\.[a-z0-9]+$", "")
+
+
 def canonical_name(name: Column) -> Column:
-    """A file name without page suffix, extension and marks, in lower case."""
-    return F.regexp_replace(F.lower(F.regexp_replace(stem(name), r"(?i)[\s_-]*(?:page|p)[\s_-]*\d+$", "")), "[^a-z0-9]", "")
+    """A source's name, extension included, of a-z and 0-9 only."""
+    return F.regexp_replace(source_name(name), "[^a-z0-9]", "")
+
+
+def stem_words(name: Column) -> Column:
+    return F.filter(F.split(source_stem(name), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def name_score(wanted: Column, name: Column) -> Column:
-    """How well a source's name fits a file's: 100 exactly, 95 by stem, 90 in canonical form, 80 if one contains the other, else the number of shared words, or -1."""
-    a, b = F.lower(basename(wanted)), F.lower(basename(name))
-    ca, cb = canonical_name(wanted), canonical_name(name)
-    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(stem(x)), "[^a-z0-9]+"), lambda w: w != ""))
-    shared = F.size(F.array_intersect(words(wanted), words(name)))
+    """How well a source's name fits a file's: 100 exactly, 95 by stem, 90 in canonical form, 80 if one holds the other (any holds an empty one), else the source's words (repeats counted) that the file has, or -1."""
+    a, b, ca, cb = source_name(wanted), source_name(name), canonical_name(wanted), canonical_name(name)
+    has = F.map_from_arrays(F.array_distinct(stem_words(name)), F.transform(F.array_distinct(stem_words(name)), lambda w: F.lit(1)))
+    shared = F.size(F.filter(stem_words(wanted), lambda w: F.map_contains_key(has, w)))
     return (
-        F.when(a == b, 100)
-        .when(F.lower(stem(wanted)) == F.lower(stem(name)), 95)
-        .when((ca == cb) & (ca != ""), 90)
-        .when((ca != "") & (cb != "") & (ca.contains(cb) | cb.contains(ca)), 80)
+        F.when((a == "") | (b == ""), -1)
+        .when(a == b, 100)
+        .when(source_stem(wanted) == source_stem(name), 95)
+        .when(ca == cb, 90)
+        .when(ca.contains(cb) | cb.contains(ca), 80)
         .when(shared > 0, shared)
         .otherwise(-1)
     )
@@ -163,12 +181,34 @@ def name_score(wanted: Column, name: Column) -> Column:
 def best_files(sources: DataFrame, files: DataFrame) -> DataFrame:
     """For each source (source_name) the file (name, ord) that fits best, the first of equals; sources with none are left out.
 
-    Names meet over the words of their stems and over their canonical forms' first
-    three characters, so that not every pair is made.
+    Names are compared as distinct texts, and each rule brings together only the
+    pairs that it can score: equal names, stems and canonical forms by equi-joins,
+    contained ones over their rarest run of three characters, shared words by the
+    words.  Of each rule one file a source goes on.
     """
-    keys = lambda x: F.array_distinct(F.concat(F.filter(F.split(F.lower(stem(x)), "[^a-z0-9]+"), lambda w: w != ""), F.array(F.concat(F.lit("^"), F.left(canonical_name(x), F.lit(3))))))
-    a = sources.select("source_name", F.explode(keys(F.col("source_name"))).alias("k"))
-    b = files.select("name", "ord", F.explode(keys(F.col("name"))).alias("k"))
-    pairs = a.join(b, "k").select("source_name", "name", "ord").distinct().withColumn("score", name_score(F.col("source_name"), F.col("name"))).where("score >= 0")
+    a = sources.select("source_name").distinct().where(source_name(F.col("source_name")) != "")
+    b = files.where(source_name(F.col("name")) != "").select("name", "ord")
+
+    def met(f: Callable[[Column], Column]) -> DataFrame:
+        first = b.groupBy(f(F.col("name")).alias("k")).agg(F.min(F.struct("ord", "name")).alias("f"))
+        return a.withColumn("k", f(F.col("source_name"))).join(first, "k").select("source_name", "f")
+
+    canons = a.select("source_name", canonical_name(F.col("source_name")).alias("ca"))
+    first_of = b.groupBy(canonical_name(F.col("name")).alias("cb")).agg(F.min(F.struct("ord", "name")).alias("f"))
+    needles, hays = canons.where("ca <> ''").select("ca").distinct(), first_of.where("cb <> ''").select("cb")
+    inside = containing(needles.withColumnRenamed("ca", "needle"), hays.withColumnRenamed("cb", "hay")).select(F.col("needle").alias("ca"), F.col("hay").alias("cb"))
+    around = containing(hays.withColumnRenamed("cb", "needle"), needles.withColumnRenamed("ca", "hay")).select(F.col("hay").alias("ca"), F.col("needle").alias("cb"))
+    held = inside.unionByName(around).join(first_of, "cb").groupBy("ca").agg(F.min("f").alias("f"))
+    contained = canons.join(held, "ca").select("source_name", "f")
+    # An empty form is in all others: the first file for such a source, the first such file for all.
+    anything = F.broadcast(b.agg(F.min(F.struct("ord", "name")).alias("f")).where("f IS NOT NULL"))
+    nothing = F.broadcast(first_of.where("cb = ''").select("f"))
+    empty = canons.where("ca = ''").crossJoin(anything).unionByName(canons.crossJoin(nothing)).select("source_name", "f")  # one row each
+    words = a.select("source_name", F.explode(stem_words(F.col("source_name"))).alias("w")).groupBy("source_name", "w").agg(F.count("*").alias("times"))
+    named = b.select("name", "ord", F.explode(F.array_distinct(stem_words(F.col("name")))).alias("w"))
+    shared = named.join(words, "w").groupBy("source_name", "name", "ord").agg(F.sum("times").alias("n"))
+    shared = shared.groupBy("source_name").agg(F.min(F.struct((-F.col("n")).alias("n"), "ord", "name")).alias("s")).select("source_name", F.struct("s.ord", "s.name").alias("f"))
+    pairs = met(source_name).unionByName(met(source_stem)).unionByName(met(canonical_name)).unionByName(contained).unionByName(empty).unionByName(shared)
+    pairs = pairs.select("source_name", "f.name", "f.ord").distinct().withColumn("score", name_score(F.col("source_name"), F.col("name"))).where("score > 0")
     best = pairs.groupBy("source_name").agg(F.max_by(F.struct("name", "score"), F.struct(F.col("score"), -F.col("ord"))).alias("b"))
     return best.select("source_name", "b.name", F.col("b.score").cast("long").alias("score"))

@@ -151,13 +151,19 @@ def to_review(items: DataFrame, matched: DataFrame) -> DataFrame:
 def relevance(titles: DataFrame, texts: DataFrame, least: float = 0.35) -> DataFrame:
     """Pairs whose title shares enough of its words with the text: item_id, doc_id, overlap.
 
-    titles: item_id, title; texts: doc_id, text.  Pairs meet over shared words,
-    so only those that share one are ever made, and sums are taken before they
-    are shuffled.
+    titles: item_id, title; texts: doc_id, text.  A text with enough of a title's
+    n words has one of any n - enough + 1 of them, so both meet over the title's
+    rarest ones only; what they share is then counted on the whole sets of words.
     """
-    words = titles.select("item_id", tokens(F.col("title")).alias("ws")).where(F.size("ws") > 0).select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
+    named = titles.select("item_id", tokens(F.col("title")).alias("ws")).where(F.size("ws") > 0)
+    words = named.select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     found = texts.select("doc_id", F.explode(tokens(F.col("text"))).alias("w"))
-    pairs = found.join(words, "w").groupBy("item_id", "doc_id", "n").agg(F.count("*").alias("shared"))
+    often = found.join(words.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("often", F.lit(0)), "w"))
+    rare = words.join(often, "w", "left").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select("item_id", "w")
+    pairs = found.join(rare, "w").select("item_id", "doc_id").distinct()
+    pairs = pairs.join(texts.select("doc_id", tokens(F.col("text")).alias("found")), "doc_id").join(named, "item_id")
+    pairs = pairs.select("item_id", "doc_id", F.size("ws").alias("n"), F.size(F.array_intersect("ws", "found")).alias("shared"))
     return pairs.where(F.col("shared") >= least * F.col("n")).select("item_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
 
 

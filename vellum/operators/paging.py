@@ -88,27 +88,49 @@ def substantive_pages(pages: DataFrame, limit: int = 3) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(Window.partitionBy("file").orderBy("page"))).where(F.col("rn") <= limit).drop("rn", "any_good", "good")
 
 
-def lead_paragraphs(paragraphs: DataFrame, most: int = 4000, words: int = 15) -> DataFrame:
-    """Paragraphs (file, i, paragraph) from the first with so many words on, while fewer than ``most`` characters have been taken."""
+def limited_pages(pages: DataFrame, sections: DataFrame) -> DataFrame:
+    """Substantive pages with the limit of each file's section; sections: file, section (files without one have three)."""
+    rows = pages.join(sections.select("file", page_limit(F.coalesce("section", F.lit(""))).alias("_limit")), "file", "left")
+    most = substantive_pages(rows, 5).withColumn("_rn", F.row_number().over(Window.partitionBy("file").orderBy("page")))
+    return most.where(F.col("_rn") <= F.coalesce("_limit", F.lit(3))).drop("_rn", "_limit")
+
+
+def lead_paragraphs(paragraphs: DataFrame, most: int = 3000, words: int = 15) -> DataFrame:
+    """Paragraphs (file, i, paragraph) from the first with so many words on, while fewer than ``most`` characters have been taken; empty ones don't count."""
     n = F.size(F.filter(F.split("paragraph", r"\s+"), lambda w: w != ""))
     upto = Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    rows = paragraphs.withColumn("begun", F.max(n >= words).over(upto)).where("begun")
+    rows = paragraphs.where("paragraph <> ''").withColumn("begun", F.max(n >= words).over(upto)).where("begun")
     taken = F.coalesce(F.sum(F.length("paragraph")).over(Window.partitionBy("file").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return rows.withColumn("taken", taken).where(F.col("taken") < most).drop("begun", "taken")
 
 
+def lead_texts(paragraphs: DataFrame, most: int = 3000) -> DataFrame:
+    """One text for each file: its lead paragraphs, joined by line feeds and cut at ``most`` characters."""
+    rows = lead_paragraphs(paragraphs, most).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("i", "paragraph"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: x["paragraph"]), "\n")
+    return rows.select("file", F.btrim(F.left(text, F.lit(most)), F.lit(" \t\r\n\f\x0b")).alias("text"))
+
+
 def module_texts(files: DataFrame, per_file: int = 120_000, total: int = 400_000, least: int = 500) -> DataFrame:
     """One text for each module of files (module, path, text), in order of path, each behind its path.
 
-    Files are cut at per_file characters.  The text ends at total characters: a
-    last piece is kept if more than ``least`` of them are left.
+    Files are cut at per_file characters.  The text ends at total characters: the
+    first piece that doesn't fit is cut if more than ``least`` of them are left, and
+    nothing comes after it.
+
+    Which files are kept follows from their lengths; each has 15 characters at
+    least, so no more than total / 15 of a module come into its window, and texts
+    are fetched for the kept ones only.
     """
-    block = F.concat(F.lit("\n\n=== "), F.col("path"), F.lit(" ===\n"), F.left(F.coalesce("text", F.lit("")), F.lit(per_file)))
-    rows = files.select("module", "path", block.alias("block"))
-    before = F.coalesce(F.sum(F.length("block")).over(Window.partitionBy("module").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("left", F.lit(total) - before)
-    rows = rows.where((F.length("block") <= F.col("left")) | (F.col("left") > least)).withColumn("block", F.left("block", F.col("left").cast("int")))
-    return rows.groupBy("module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "block"))), lambda x: x["block"]), "").alias("text"), F.count("*").alias("n_files"))
+    head = F.concat(F.lit("\n\n===== "), F.col("path"), F.lit(" =====\n\n"))
+    body = F.left(F.coalesce("text", F.lit("")), F.lit(per_file))
+    order = Window.partitionBy("module").orderBy("path")
+    rows = files.select("module", "path", (F.length(head) + F.length(body)).alias("n")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= total // 15 + 1)
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("room", F.lit(total) - before).where((F.col("n") <= F.col("room")) | (F.col("room") > least))
+    kept = rows.select(F.col("module").alias("_module"), F.col("path").alias("_path"), F.col("room").cast("int").alias("room"))
+    found = files.join(kept, F.col("module").eqNullSafe(F.col("_module")) & (F.col("path") == F.col("_path"))).select("module", "path", F.left(F.concat(head, body), F.col("room")).alias("block"))
+    return found.groupBy("module").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "block"))), lambda x: x["block"]), "").alias("text"), F.count("*").alias("n_files"))
 
 
 def joined_texts(files: DataFrame, head: int | None = None) -> DataFrame:

@@ -5,16 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.functions.text import finditer, let
+
 # Results depend on each of them, and on their order.
-NAME_ANCHORS = (r"name\s+of\s+(?:the\s+)?(?:drug|product)", r"(?:drug|product)\s+name", r"proprietary\s+name", r"generic\s+name", r"active\s+ingredient")
-STOP_WORDS = ("the", "and", "of", "name", "product", "drug", "not", "applicable", "see", "section")
-COMMON_DRUGS = ("paracetamol", "ibuprofen", "amoxicillin", "metformin", "atorvastatin", "amlodipine", "omeprazole", "losartan", "azithromycin", "ciprofloxacin")
+NAME_ANCHORS = (
+    r"product\s+name\s*[:]",
+    r"name\s+of\s+(?:the\s+)?product\s*[:]",
+    r"proposed\s+name\s*[:]",
+    r"invented\s+name\s*[:]",
+    r"proprietary\s*[,]?\s*commercial\s*or\s*trade\s*name\s*[:]",
+)
+COMMON_DRUGS = ("Paracetamol", "Ibuprofen", "Aspirin", "Metformin", "Omeprazole", "Amlodipine", "Atorvastatin", "Ciprofloxacin", "Levofloxacin", "Metronidazole", "Losartan", "Ranitidine", "Ceftriaxone", "Azithromycin", "Prednisone", "Dexamethasone", "Pantoprazole", "Cephalexin", "Amoxicillin", "Amphotericin")
+NOISE_LINES = ("ovations", "table", "content", "page", "module", "not applicable", "n/a")
+MOST_ANCHORS, AHEAD, MOST_CHARS = 25, 1000, 500
+BLANKS = " \t\r\n\f\x0b"
+
+
+def grams(x: Column, n: int) -> Column:
+    """Distinct runs of n characters; none of a shorter text."""
+    return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1))), lambda i: F.length(x) >= n), lambda i: F.substring(x, i, F.lit(n))))
 
 
-def trigrams(x: Column) -> Column:
-    """Distinct runs of three characters of a lower-cased text."""
-    low = F.lower(x)
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3))))
+def containing(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """Pairs (needle, hay) of distinct texts where hay contains needle; needles: needle, hays: hay; empty needles meet nothing.
+
+    A contained text has all its runs of three characters (or itself, if it is
+    shorter) in the other one.  Each needle meets the hays over the one of its
+    runs that the fewest hays have, so a common run gathers nothing.
+    """
+    needles = needles.where(F.length("needle") > 0).distinct()
+    hays = hays.where(F.col("hay").isNotNull()).distinct()
+    of = lambda x: F.when(F.length(x) >= 3, grams(x, 3)).otherwise(F.array(x))
+    wanted = needles.select("needle", F.explode(of(F.col("needle"))).alias("gram"))
+    sizes = [r[0] for r in needles.select(F.least(F.length("needle"), F.lit(3)).alias("n")).distinct().collect()]  # of 1, 2, 3
+    if not sizes:
+        return needles.select("needle", F.lit(None).cast("string").alias("hay")).limit(0)
+    held = hays.select("hay", F.explode(F.concat(*[grams(F.col("hay"), n) for n in sorted(sizes)])).alias("gram"))
+    often = held.join(wanted.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = wanted.join(often, "gram").groupBy("needle").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    return rarest.join(held, "gram").where(F.col("hay").contains(F.col("needle"))).select("needle", "hay")
 
 
 def look_up(queries: DataFrame, registry: DataFrame) -> DataFrame:
@@ -22,32 +51,45 @@ def look_up(queries: DataFrame, registry: DataFrame) -> DataFrame:
 
     With a strength, the row's name or strength must contain that as well; a
     missing value of the registry reads "nan".  Empty names match nothing, and a
-    query without a match has nulls.
-
-    A contained name shares its first three characters with the row, so both
-    sides meet over trigrams.  Shorter names meet the registry as a table, which
-    is small.
+    query without a match has nulls.  Names are looked up once, however many
+    queries ask for them.
     """
     text = lambda c: F.lower(F.coalesce(c.cast("string"), F.lit("nan")))
-    db = registry.select("row_id", text(F.col("drug_name")).alias("db_name"), text(F.col("strength")).alias("db_strength"))
-    q = queries.select("query_id", F.lower(F.btrim(F.coalesce("name", F.lit("")))).alias("q_name"), F.lower(F.btrim(F.coalesce("strength", F.lit("")))).alias("q_strength"))
-    fits = F.col("db_name").contains(F.col("q_name")) & ((F.col("q_strength") == "") | F.col("db_name").contains(F.col("q_strength")) | F.col("db_strength").contains(F.col("q_strength")))
-    long = q.where(F.length("q_name") >= 3).withColumn("gram", F.left("q_name", F.lit(3)))
-    met = long.join(db.withColumn("gram", F.explode(trigrams(F.col("db_name")))), "gram").where(fits).select("query_id", "row_id")
-    short = q.where(F.length("q_name").between(1, 2)).join(db, fits).select("query_id", "row_id")
-    best = met.unionByName(short).groupBy("query_id").agg(F.min("row_id").alias("row_id"))
-    return queries.select("query_id").join(best, "query_id", "left").join(registry.select("row_id", "drug_name", F.col("strength").alias("db_strength")), "row_id", "left").select("query_id", "row_id", "drug_name", "db_strength", F.col("row_id").isNotNull().alias("eligible"))
+    given = lambda c: F.lower(F.coalesce(F.col(c), F.lit("")))
+    db = registry.select("row_id", text(F.col("drug_name")).alias("hay"), text(F.col("strength")).alias("db_strength"))
+    asked = queries.select("query_id", given("name").alias("needle"), given("strength").alias("q_strength"))
+    distinct = asked.select("needle", "q_strength").distinct()
+    met = containing(distinct.select("needle"), db.select("hay")).join(distinct, "needle").join(db, "hay")
+    met = met.where((F.col("q_strength") == "") | F.col("hay").contains(F.col("q_strength")) | F.col("db_strength").contains(F.col("q_strength")))
+    best = met.groupBy("needle", "q_strength").agg(F.min("row_id").alias("row_id"))
+    known = registry.select("row_id", "drug_name", F.col("strength").alias("db_strength"))
+    return asked.join(best, ["needle", "q_strength"], "left").join(known, "row_id", "left").select("query_id", "row_id", "drug_name", "db_strength", F.col("row_id").isNotNull().alias("eligible"))
 
 
 def product_in(text: Column) -> Column:
-    """A product's name from a text: what follows the first anchor, else the first common drug; or null."""
-    found = []
-    for a in NAME_ANCHORS:
-        value = F.btrim(F.regexp_extract(text, rf"(?i){a}\s*[:\-]?\s*([A-Za-z][A-Za-z0-9 \-]{{2,60}})", 1))
-        words = F.filter(F.split(value, r"\s+"), lambda w: (w != "") & ~F.lower(w).isin(*STOP_WORDS))
-        found.append(F.nullif(F.array_join(F.slice(words, 1, 4), " "), F.lit("")))
-    common = F.nullif(F.regexp_extract(F.lower(text), r"\b(" + "|".join(COMMON_DRUGS) + r")\b", 1), F.lit(""))
-    return F.coalesce(*found, common)
+    """A product's name from a text; or null.
+
+    Anchors count in order of their place.  Of the lines within 1,000 characters
+    from one, without the anchors themselves, the first counts that has three
+    characters or more, is no heading of a section, table or figure and no noise.
+    Only a text without any anchor is searched for a common drug.
+    """
+    starts = F.array_sort(F.transform(F.concat(*[finditer(text, f"(?iU)({a})") for a in NAME_ANCHORS]), lambda m: m["start"]))
+
+    def cleaned(x: Column) -> Column:
+        for a in NAME_ANCHORS:
+            x = F.btrim(F.regexp_replace(x, f"(?iU){a}", ""), F.lit(BLANKS))
+        return x
+
+    lines = lambda at: F.transform(F.split(F.substring(text, at + 1, F.lit(AHEAD)), r"\r\n|[\n\r\x0b\f\x1c-\x1e\x85\u2028\u2029]"), cleaned)
+    good = lambda x: (F.length(x) >= 3) & ~x.rlike(r"(?iU)^(section|table|figure)\b") & ~F.lower(x).isin(*NOISE_LINES)
+
+    def first(found: Column) -> Column:
+        names = F.flatten(F.transform(F.slice(found, 1, MOST_ANCHORS), lambda at: F.filter(lines(at), good)))
+        common = F.nullif(F.regexp_extract(text, r"(?iU)\b(" + "|".join(COMMON_DRUGS) + r")\b", 1), F.lit(""))
+        return F.when(F.size(found) > 0, F.regexp_replace(F.left(F.get(names, F.lit(0)), F.lit(MOST_CHARS)), r"(?U)\s+", " ")).otherwise(common)
+
+    return let(starts, first)
 
 
 def headings_check(text: Column, headings: dict[str, str]) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import cases, consistency, entities, files, geometry, matching, paging, registry
+from vellum.operators import cases, consistency, entities, files, geometry, matching, paging, provenance, registry
 from vellum.plans import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,15 +268,33 @@ def page_substantive_filter(spark, sf_dir):
     return paging.substantive_pages(pages(spark, sf_dir)).select("file", "page")
 
 
-@query(rf"""WITH {_PAGES}, b AS (SELECT *, max(CAST(len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda x: x <> '')) >= 15 AS INTEGER)) OVER (PARTITION BY file ORDER BY page ROWS UNBOUNDED PRECEDING) AS begun FROM pages_),
+@query(rf"""WITH {_PAGES}, b AS (SELECT *, max(CAST(len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda x: x <> '')) >= 15 AS INTEGER)) OVER (PARTITION BY file ORDER BY page ROWS UNBOUNDED PRECEDING) AS begun FROM pages_ WHERE raw_text <> ''),
 t AS (SELECT *, coalesce(sum(length(raw_text)) OVER (PARTITION BY file ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM b WHERE begun = 1)
-SELECT file, CAST(page AS INTEGER) AS i FROM t WHERE taken < 4000""")
+SELECT file, CAST(page AS INTEGER) AS i FROM t WHERE taken < 18000""")
 def docx_prefix_filter(spark, sf_dir):
     rows = pages(spark, sf_dir).select("file", F.col("page").alias("i"), F.col("raw_text").alias("paragraph"))
-    return paging.lead_paragraphs(rows).select("file", "i")
+    return paging.lead_paragraphs(rows, 18_000).select("file", "i")
 
 
-@query("""WITH f AS (SELECT source AS module, CAST(doc_id AS VARCHAR) AS path, chr(10) || chr(10) || '=== ' || doc_id || ' ===' || chr(10) || left(text, 120000) AS block FROM documents),
+@query(rf"""WITH {_PAGES}, b AS (SELECT *, max(CAST(len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda x: x <> '')) >= 15 AS INTEGER)) OVER (PARTITION BY file ORDER BY page ROWS UNBOUNDED PRECEDING) AS begun FROM pages_ WHERE raw_text <> ''),
+t AS (SELECT file, string_agg(raw_text, chr(10) ORDER BY page) AS t FROM b WHERE begun = 1 GROUP BY file)
+SELECT file, md5(trim(left(t, 3000), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS text_md5 FROM t""")
+def docx_prefix_text(spark, sf_dir):
+    """The lead text of each file, as its digest: the last paragraph is cut."""
+    rows = pages(spark, sf_dir).select("file", F.col("page").alias("i"), F.col("raw_text").alias("paragraph"))
+    return paging.lead_texts(rows).select("file", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query(rf"""WITH {_PAGES}, g AS (SELECT file, page, len(list_filter(regexp_split_to_array(raw_text, '\s+'), lambda x: x <> '')) > 80 AND length(trim(raw_text)) > 40 AS good FROM pages_),
+a AS (SELECT *, bool_or(good) OVER (PARTITION BY file) AS any_good FROM g), r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY page) AS rn FROM a WHERE good OR NOT any_good)
+SELECT file, CAST(page AS INTEGER) AS page FROM r WHERE rn <= CASE WHEN file % 4 = 0 THEN 5 ELSE 3 END""")
+def page_limit_by_section(spark, sf_dir):
+    """Substantive pages with the limit of their document's section; every fourth document is a quality section."""
+    sections = documents(spark, sf_dir).select(F.col("doc_id").alias("file"), F.when(F.col("doc_id") % 4 == 0, "3.2.S.1").otherwise("1.2").alias("section"))
+    return paging.limited_pages(pages(spark, sf_dir), sections).select("file", "page")
+
+
+@query("""WITH f AS (SELECT source AS module, CAST(doc_id AS VARCHAR) AS path, chr(10) || chr(10) || '===== ' || doc_id || ' =====' || chr(10) || chr(10) || left(text, 120000) AS block FROM documents),
 s AS (SELECT *, 400000 - coalesce(sum(length(block)) OVER (PARTITION BY module ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM f),
 k AS (SELECT module, path, left(block, CAST(room AS BIGINT)) AS block FROM s WHERE length(block) <= room OR room > 500)
 SELECT module, md5(string_agg(block, '' ORDER BY path)) AS text_md5, count(*) AS n_files FROM k GROUP BY 1""")
@@ -396,17 +414,29 @@ def relevance_join(spark, sf_dir):
 @query("""WITH b AS (SELECT item_id, trim(regexp_replace(lower(text), '[\\s]+', ' ', 'g')) AS t FROM benchmark), d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\\s]+', ' ', 'g')) AS t FROM documents)
 SELECT item_id, doc_id, strpos(d.t, b.t) AS pos FROM b JOIN d ON contains(d.t, b.t)""".replace("\\\\", "\\"))
 def snippet_locate(spark, sf_dir):
-    """Where passages of the benchmark stand in normalised documents; both meet over a passage's first five words."""
-    norm = lambda c: F.btrim(F.regexp_replace(F.lower(c), r"[\s]+", " "))
-    words = lambda c: F.split(c, " ")
-    b = table(spark, sf_dir, "benchmark").select("item_id", norm(F.col("text")).alias("b")).where("b <> ''")
-    b = b.withColumn("key", F.slice(words(F.col("b")), 2, 4))  # inner words: the first one may end another word of the text
-    b = b.where(F.size(words(F.col("b"))) > 5).withColumn("key", F.xxhash64(F.array_join("key", " ")))
-    d = documents(spark, sf_dir).select("doc_id", norm(F.col("text")).alias("d"))
-    grams = T.let(words(F.col("d")), lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 3, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(w, i, F.lit(4)), " ")))))
-    hits = d.select("doc_id", F.explode(grams).alias("key")).join(F.broadcast(b.select("item_id", "key")), "key").select("doc_id", "item_id").distinct()
-    at = F.instr(F.col("d"), F.col("b"))
-    return d.join(hits, "doc_id").join(b.select("item_id", "b"), "item_id").where(F.col("d").contains(F.col("b"))).select("item_id", "doc_id", at.cast("long").alias("pos"))
+    """Where passages of the benchmark stand in normalised documents."""
+    return provenance.located(table(spark, sf_dir, "benchmark"), documents(spark, sf_dir))
+
+
+@query(r"""WITH b AS (SELECT item_id, unnest([0, 1, 2, 4]) AS extra, regexp_split_to_array(trim(regexp_replace(lower(text), '[\s]+', ' ', 'g')), ' ') AS ws FROM benchmark),
+s AS (SELECT item_id * 10 + extra AS item_id, array_to_string(ws[2 : 2 + extra], ' ') AS t FROM b WHERE len(ws) > 6),
+d AS (SELECT doc_id, trim(regexp_replace(lower(text), '[\s]+', ' ', 'g')) AS t FROM documents)
+SELECT item_id, doc_id, strpos(d.t, s.t) AS pos FROM s JOIN d ON contains(d.t, s.t)""")
+def snippet_locate_short(spark, sf_dir):
+    """The same for passages of one, two, three and five words: the second word of each item, and those behind it."""
+    words = F.split(provenance.normal(F.col("text")), " ")
+    b = table(spark, sf_dir, "benchmark").select("item_id", words.alias("ws")).where(F.size("ws") > 6).withColumn("extra", F.explode(F.array(*[F.lit(k) for k in (0, 1, 2, 4)])))
+    short = b.select((F.col("item_id") * 10 + F.col("extra")).alias("item_id"), F.array_join(F.slice("ws", F.lit(2), F.col("extra") + 1), " ").alias("text"))
+    return provenance.located(short, documents(spark, sf_dir))
+
+
+@query()
+def snippet_items(spark, sf_dir):
+    """The lines of each document that hold the snippet of the benchmark item with its number, strongly or weakly; tested against brute force."""
+    pairs = documents(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("items"), (F.col("doc_id") % 40).alias("n"))
+    snippets = table(spark, sf_dir, "benchmark").select(F.pmod("item_id", F.lit(40)).alias("n"), "item_id", F.col("text").alias("snippet"))
+    found = pairs.join(snippets, "n").select("doc_id", "item_id", provenance.items_of(F.col("snippet"), F.col("items")).alias("o"))
+    return found.select("doc_id", "item_id", "o.strong", "o.weak").where((F.size("strong") > 0) | (F.size("weak") > 0))
 
 
 # --- files ------------------------------------------------------------------------------------------------------------------------
@@ -431,9 +461,9 @@ def path_tree(spark, sf_dir):
     return files.tree(_members(spark, sf_dir))
 
 
-@query(f"WITH {_URLS}, k AS (SELECT page_id, path, array_to_string(list_transform(regexp_extract_all(path, '(\\d+|\\D+)', 1), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(x, 12, '0') ELSE lower(x) END), '') AS key FROM u) SELECT page_id, key, CAST(row_number() OVER (ORDER BY key, page_id) AS BIGINT) AS place FROM k")
+@query(f"WITH {_URLS}, k AS (SELECT page_id, path, array_to_string(list_transform(regexp_extract_all(path, '(\\d+|\\D+)', 1), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 4, '0') || ltrim(x, '0') ELSE lower(x) END), '') AS key FROM u) SELECT page_id, key, CAST(row_number() OVER (ORDER BY key, page_id) AS BIGINT) AS place FROM k")
 def natural_sort(spark, sf_dir):
-    """Places of paths in natural order: a sort by range, counts of its parts, then places within a part."""
+    """Places of paths in natural order: counts by the first eight characters of the key, then places within these."""
     rows = _members(spark, sf_dir).select("page_id", files.natural_key(F.col("path")).alias("key"))
     dealt = rows.withColumn("bucket", F.left("key", F.lit(8)))
     counts = dealt.groupBy("bucket").agg(F.count("*").alias("n"))
@@ -447,7 +477,12 @@ def file_names(spark, sf_dir):
     return _members(spark, sf_dir).select("page_id", F.lower(files.basename(F.col("path"))).alias("base"), files.extension(F.col("path")).alias("extension"))
 
 
-@query()
+@query(rf"""WITH {_URLS}, n AS (SELECT page_id, lower(trim(regexp_replace(regexp_extract(replace(path, '\\', '/'), '[^/]*$'), '(?i)\\s*\\(page\\s*\\d+\\)\\s*$', ''))) AS nm, regexp_extract(replace(path, '\\', '/'), '[^/]*$') AS name FROM u),
+x AS (SELECT *, regexp_replace(nm, '\\.[a-z0-9]+$', '') AS st, regexp_replace(nm, '[^a-z0-9]', '', 'g') AS cn FROM n WHERE nm <> ''),
+y AS (SELECT *, list_filter(string_split_regex(st, '[^a-z0-9]+'), lambda w: w <> '') AS ws FROM x),
+a AS (SELECT DISTINCT upper(name) AS source_name, nm, st, cn, ws FROM y WHERE page_id % 2 = 0), b AS (SELECT * FROM y WHERE page_id % 2 = 1),
+p AS (SELECT a.source_name, b.name, b.page_id, CASE WHEN a.nm = b.nm THEN 100 WHEN a.st = b.st THEN 95 WHEN a.cn = b.cn THEN 90 WHEN contains(a.cn, b.cn) OR contains(b.cn, a.cn) THEN 80 ELSE len(list_filter(a.ws, lambda w: list_contains(b.ws, w))) END AS score FROM a, b)
+SELECT source_name, arg_max(name, struct_pack(s := score, o := -page_id)) AS name, max(score) AS score FROM p WHERE score > 0 GROUP BY 1""".replace("\\\\", "\\"))
 def filename_fuzzy_match(spark, sf_dir):
     names = _members(spark, sf_dir).select("page_id", files.basename(F.col("path")).alias("name"))
     sources = names.where(F.col("page_id") % 2 == 0).select(F.upper("name").alias("source_name")).distinct()
@@ -481,9 +516,13 @@ def severity_rules(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", cases.severity(F.col("text")).alias("s")).select("doc_id", "s.event", "s.severity")
 
 
-@query(f"{_SEVERITY} SELECT coalesce(severity, 'Unknown') AS bucket, count(*) AS n FROM v GROUP BY 1")
+@query(f"""{_SEVERITY}, s2 AS (SELECT lower(coalesce(event, 'Others') || ' ' || CASE doc_id % 3 WHEN 0 THEN 'Disability' WHEN 1 THEN 'prolonged hospital stay' ELSE '' END) AS s FROM v)
+SELECT CASE WHEN contains(s, 'death') THEN 'Death' WHEN contains(s, 'disability') THEN 'Disability' WHEN contains(s, 'hospital') THEN 'Hospitalisation' ELSE 'Others' END AS bucket, count(*) AS n FROM s2 GROUP BY 1""")
 def severity_histogram(spark, sf_dir):
-    return cases.histogram(documents(spark, sf_dir).select(cases.severity(F.col("text"))["severity"].alias("severity")))
+    """Cases by what their seriousness says: the event found in the text, with a remark by number."""
+    remark = F.when(F.col("doc_id") % 3 == 0, "Disability").when(F.col("doc_id") % 3 == 1, "prolonged hospital stay").otherwise("")
+    rows = documents(spark, sf_dir).select(F.concat(F.coalesce(cases.severity(F.col("text"))["event"], F.lit("Others")), F.lit(" "), remark).alias("seriousness"))
+    return cases.histogram(rows)
 
 
 @query("""WITH c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY lower(text)) AS first_sig, min(doc_id) OVER (PARTITION BY source || '-' || (n_chars // 10)) AS first_name FROM documents)
@@ -508,7 +547,7 @@ def module_gate(spark, sf_dir):
     return cases.gated(rows).select("doc_id", "classified")
 
 
-@query("SELECT doc_id AS file, left(string_agg(left(l, 1500), chr(10) ORDER BY i), 3000) AS sample FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE i < 2 GROUP BY 1")
+@query("SELECT doc_id AS file, string_agg(left(l, 1500), '' ORDER BY i) AS sample FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents) WHERE i < 2 GROUP BY 1")
 def module_sample(spark, sf_dir):
     return cases.detection_sample(pages(spark, sf_dir))
 
