@@ -263,6 +263,8 @@ def brute_passages(texts, size=3, long=50):
     """Lines left and removed where runs of fewer lines count too if they have over so many words."""
     places, wins = {}, []
     for i, t in enumerate(texts):
+        if not t:
+            continue
         ls = [x.strip(" ") for x in t.split("\n")]
         whole = min(len(ls), size)
         for n in range(1, whole + 1):
@@ -275,7 +277,7 @@ def brute_passages(texts, size=3, long=50):
     for w, i, p in wins:
         if (i, p) > places[w]:
             gone[i].update(range(p, p + len(w)))
-    return [("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i])) for i, t in enumerate(texts)]
+    return [("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i]), len(gone[i])) if t else (t, 0) for i, t in enumerate(texts)]
 
 
 def test_line_dedup_finds_long_passages_between_other_lines(spark):

@@ -11,7 +11,7 @@ from the compressed planes.  ``tokens`` reads a whole shard back, plane by
 plane from the lowest up.
 
 Shards hold the documents in ascending doc_id order: rows are dealt by range of
-id and text, and each task cuts its sorted run of documents into shards of about
+id and of a hash of the text, and each task cuts its sorted run of documents into shards of about
 ``SHARD_TOKENS`` tokens, so a task's memory is bounded by a shard.  A shard's
 documents, their ids and lengths, stand in its binary too (the end id may also
 occur within a text, so it doesn't mark them).  Shards are rows of a Parquet
@@ -296,14 +296,15 @@ def write(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, doc_id
     """Write the ids of all whole texts, each followed by end_id, as shards under path.
 
     Documents stand in ascending doc_id order, null ids first; rows with the
-    same id stand beside each other, ordered by text.  A null text counts as
+    same id stand beside each other, ordered by a hash of the text.  A null text counts as
     empty: its document is end_id alone.  An empty table gives no shards.
     """
     spark = df.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())
-    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-    dealt = docs.repartitionByRange(n_partitions(spark), F.col("doc_id").asc_nulls_first(), F.col("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
+    order = (F.col("doc_id").asc_nulls_first(), F.col("h"))  # no texts among the bounds of ranges, which the driver samples
+    dealt = docs.repartitionByRange(n_partitions(spark), *order).sortWithinPartitions(*order).select("doc_id", "text")
     schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
