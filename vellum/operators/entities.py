@@ -72,7 +72,7 @@ def regex_spans(text: Column, kinds: Sequence[str] | None = None, word_bounded:
 def recognised(spans: Column) -> Column:
     """A recogniser's spans with canonical types: too short, uncertain and spurious ones and plain dates are left out."""
     names = F.create_map(*[F.lit(x) for pair in P.RECOGNISER_LABELS.items() for x in pair])
-    kept = F.filter(spans, lambda s: (s["score"] >= 0.75) & (F.length(F.btrim(s["text"])) >= 2) & ~F.lower(F.btrim(s["text"])).isin(P.RECOGNISER_SPURIOUS))
+    kept = F.filter(spans, lambda s: (s["score"] >= 0.75) & (F.length(F.btrim(s["text"])) >= 2) & ~F.lower(F.btrim(s["text"])).isin(*P.RECOGNISER_SPURIOUS))
     named = F.transform(kept, lambda s: s.withField("entity_type", F.coalesce(F.try_element_at(names, s["entity_type"]), s["entity_type"])))
     return F.filter(named, lambda s: s["entity_type"] != "DATE")
 
