@@ -32,16 +32,15 @@ LONG = 50
 def windows(text: Column, size: int = WINDOW, long: int | None = LONG) -> Column:
     """Array of structs (pos, n, h1, h2): first line from 0, number of lines, hash of the window's lines."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.btrim(x))  # F.btrim itself would take the index as what to trim
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"), x.alias("t"), (F.length(x) + 1).alias("c")))
+    words = n_words if long is not None else lambda x: F.lit(0).cast("long")
+    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b"), words(x).alias("w")))
     span = lambda h: F.least(F.size(h), F.lit(size))
     one = lambda h, i, n: F.struct(i.alias("pos"), n.alias("n"), F.xxhash64(F.slice(h["a"], i + 1, n)).alias("h1"), F.xxhash64(F.slice(h["b"], i + 1, n)).alias("h2"))
     runs = lambda h, n: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: one(h, i, n))
 
     def short(h: Column, n: int) -> Column:
-        total = lambda of, i: sum((of(F.get(h, i + k)) for k in range(1, n)), of(F.get(h, i)))
-        # A word takes two characters with its blank: words are counted only where there can be enough of them.
-        enough = lambda i: (total(lambda x: x["c"], i) > 2 * long) & (total(lambda x: n_words(x["t"]), i) > long)
-        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), enough)
+        total = lambda i: sum((F.get(h["w"], i + k) for k in range(1, n)), F.get(h["w"], i))
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0))), lambda i: total(i) > long)
         return F.when(F.size(h) > n, F.transform(starts, lambda i: one(h, i, F.lit(n)))).otherwise(F.slice(runs(h, span(h)), 1, 0))
 
     every = lambda h: runs(h, span(h)) if long is None else F.concat(runs(h, span(h)), *[short(h, n) for n in range(1, size)])
@@ -51,6 +50,7 @@ def windows(text: Column, size: int = WINDOW, long: int | None = LONG) -> Column
 def later_windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = WINDOW, long: int | None = LONG) -> DataFrame:
     """Windows that occur earlier in the corpus: doc_id, pos, n."""
     found = df.where(F.col(f"`{text}`").isNotNull() & (F.col(f"`{text}`") != "")).select(F.col(f"`{doc_id}`").alias("doc_id"), F.inline(windows(F.col(f"`{text}`"), size, long)))
+    found = saved(found, "line-windows")  # read twice: hashing the lines again would cost more
     first = F.min(F.struct("doc_id", "pos"))
     repeated = found.groupBy("n", "h1", "h2").agg(F.count("*").alias("times"), first.alias("first")).where("times > 1").drop("times")
     repeated = saved(repeated, "repeated-windows")
