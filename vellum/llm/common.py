@@ -58,7 +58,6 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 def give_back_memory() -> None:
     """Hand memory that this Python worker no longer uses back to the system: workers wait idle while other stages run."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -76,6 +75,7 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
         finally:
             if done is not None:
                 done()
+                gc.collect()
             give_back_memory()
 
     return df.mapInArrow(whole, schema)
