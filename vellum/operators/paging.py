@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.session import ship
+
 #: Pages in a window, and pages from one window's start to the next.
 SIZE, STRIDE = 20, 19
 
@@ -147,6 +149,7 @@ def map_windows(windows: DataFrame, model: Callable[[pd.Series], pd.Series]) ->
         for batch in batches:
             yield batch.assign(partial=model(batch["text"]))
 
+    ship(windows.sparkSession)
     fields = ", ".join(f"`{n}` {t}" for n, t in windows.drop("mapping").dtypes)
     return windows.drop("mapping").mapInPandas(run, f"{fields}, partial string")
 

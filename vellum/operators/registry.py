@@ -22,8 +22,14 @@ BLANKS = " \t\r\n\f\x0b"
 
 
 def grams(x: Column, n: int) -> Column:
-    """Distinct runs of n characters; none of a shorter text."""
-    return F.array_distinct(F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(x) - (n - 1), F.lit(1))), lambda i: F.length(x) >= n), lambda i: F.substring(x, i, F.lit(n))))
+    """Distinct runs of n characters; none of a shorter text.  The text is cut into characters once, so the cost is linear in its length."""
+
+    def runs(chars: Column) -> Column:
+        last = F.size(chars) - (n - 1)
+        found = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(chars, i, F.lit(n)), "")))
+        return F.when(last > 0, found).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), runs)
 
 
 def containing(needles: DataFrame, hays: DataFrame) -> DataFrame:
