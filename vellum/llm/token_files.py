@@ -29,6 +29,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -225,34 +226,38 @@ class PieceEncoder:
         at = np.flatnonzero(np.frombuffer(raw, self.dtype) == np.frombuffer(feed, self.dtype)) * self.dtype.itemsize
         return [raw[a:b] for a, b in zip([0, *(at + len(feed)).tolist()], [*at.tolist(), len(raw)])]
 
-    def joined(self, text: str) -> bytes | None:
-        """Ids of a text, if all its pieces are known."""
-        known, (head, *pieces) = self.known, text.split(" ")
+    def joined(self, pieces: list[str]) -> bytes | None:
+        """Ids of a text cut before each space, if all its pieces are known."""
         try:
-            return self.heads[head] + b"".join([known[p] for p in pieces])
+            return self.heads[pieces[0]] + b"".join(map(self.known.__getitem__, pieces[1:]))
         except KeyError:
             return None
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian integers of self.dtype."""
-        out = [self.joined(t) for t in texts]
+        out: list[bytes] = []
         for k in range(0, len(texts), LEARN_TEXTS):
-            missed = [i for i in range(k, min(k + LEARN_TEXTS, len(texts))) if out[i] is None]
-            self.learn([texts[i] for i in missed])
+            some = texts[k : k + LEARN_TEXTS]
+            cut = [t.split(" ") for t in some]
+            found = list(map(self.joined, cut))
+            missed = [i for i, x in enumerate(found) if x is None]
+            self.learn([cut[i] for i in missed])
             for i in missed:
-                found = self.joined(texts[i])
-                out[i] = self.library(texts[i]) if found is None else found
+                ids = self.joined(cut[i])
+                found[i] = self.library(some[i]) if ids is None else ids
+            out += found
         return out
 
-    def learn(self, texts: list[str]) -> None:
+    def learn(self, texts: list[list[str]]) -> None:
         """Encode the unknown pieces of texts, many in a call: each starts at a token with a leading space."""
         heads, new, broken = {}, {}, {}
-        for t in texts:
-            head, *pieces = t.split(" ")
+        for head, *pieces in texts:
             if not head or not head[-1].isspace():
                 heads[head] = None
-            for p in set(pieces).difference(self.known):
-                if p and not p[0].isspace() and not p[-1].isspace():
+            for p in set(filterfalse(self.known.__contains__, pieces)):
+                if p.isalnum():  # no white space in it
+                    new[p] = None
+                elif p and not p[0].isspace() and not p[-1].isspace():
                     first, *rest = lines = p.split("\n")
                     if rest and all(x and not x[0].isspace() and not x[-1].isspace() for x in lines):
                         broken[p] = lines  # a line feed between two such characters is a token of its own
