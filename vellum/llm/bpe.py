@@ -36,8 +36,8 @@ from vellum.llm.common import map_arrow
 #: Unicode White_Space: what the vocabulary's normaliser collapses.
 SPACE = "\t-\r \x85\xa0  -     　"
 LONG_WORD = 64
-#: Words, and pieces of words, in each of the two generations that a task remembers: some 220 bytes each, 60 MB at most.
-CACHE_WORDS, CACHE_PIECES = 90_000, 50_000
+#: Words, and pieces of words, in each of the two generations that a task remembers: some 220 bytes each, 160 MB at most.
+CACHE_WORDS, CACHE_PIECES = 220_000, 140_000
 #: Rows leave a task in slices of about so many characters.
 SLICE_CHARS = 4_000_000
 NO_RANK = 1 << 60
