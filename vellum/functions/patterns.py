@@ -215,3 +215,6 @@ def needles(label: str) -> list[list[str]]:
             return []
         out.append(runs)
     return out
+
+#: Parts of a document in reading order.
+PARTS = ("body", "table", "header", "first_page_header", "even_page_header", "footer", "first_page_footer", "even_page_footer")

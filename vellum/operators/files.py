@@ -212,3 +212,40 @@ def best_files(sources: DataFrame, files: DataFrame) -> DataFrame:
     pairs = pairs.select("source_name", "f.name", "f.ord").distinct().withColumn("score", name_score(F.col("source_name"), F.col("name"))).where("score > 0")
     best = pairs.groupBy("source_name").agg(F.max_by(F.struct("name", "score"), F.struct(F.col("score"), -F.col("ord"))).alias("b"))
     return best.select("source_name", "b.name", F.col("b.score").cast("long").alias("score"))
+
+
+def snippets(members: DataFrame, pages: int = 5, most: int = 14_000) -> DataFrame:
+    """What a reviewer sees of members: path, snippet (null with an error), error.
+
+    members: path, pages (texts of a PDF's pages), lead (a Word file's lead text),
+    read_error and extract_error (messages, null if all went well).
+    """
+    ext = extension(F.col("path"))
+    head = F.left(F.regexp_replace(F.array_join(F.slice("pages", 1, pages), "\n"), r"(?U)^\s+|\s+$", ""), F.lit(most))
+    error = (
+        F.when(F.col("read_error").isNotNull(), F.concat(F.lit("read_failed: "), "read_error"))
+        .when(~ext.isin("pdf", "docx"), "unsupported_type")
+        .when(F.col("extract_error").isNotNull(), F.concat(ext, F.lit("_extract_failed: "), "extract_error"))
+    )
+    return members.withColumn("error", error).select("path", F.when(F.col("error").isNull(), F.when(ext == "pdf", head).otherwise(F.col("lead"))).alias("snippet"), "error")
+
+
+def job_listing(files: DataFrame, results: str = "json", assets: str = "assets", sources: str = "pdf") -> DataFrame:
+    """Jobs that have a result, from all files (path, size) of the three folders: job_name, json_file, pdf_file (null if there is none), asset_count, json_size_bytes."""
+    job = lambda form: F.regexp_extract("path", form, 1)
+    found = [job(rf"^{results}/([^/]+)\.json$"), job(rf"^{assets}/([^/]+)/[^/]+\.png$"), job(rf"^{sources}/([^/]+)\.pdf$")]
+    name = F.coalesce(*[F.nullif(x, F.lit("")) for x in found])
+    rows = files.select(name.alias("job_name"), F.when(found[0] != "", F.col("size")).alias("size"), (found[1] != "").alias("asset"), (found[2] != "").alias("source")).where("job_name IS NOT NULL")
+    jobs = rows.groupBy("job_name").agg(F.max("size").alias("json_size_bytes"), F.count_if("asset").alias("asset_count"), F.bool_or("source").alias("source")).where("json_size_bytes IS NOT NULL")
+    return jobs.select("job_name", F.concat("job_name", F.lit(".json")).alias("json_file"), F.when(F.col("source"), F.concat("job_name", F.lit(".pdf"))).alias("pdf_file"), "asset_count", "json_size_bytes")
+
+
+def count_files(nodes: DataFrame) -> DataFrame:
+    """One row with the number of files in a tree."""
+    return nodes.agg(F.count_if(F.col("type") == "file").alias("files"))
+
+
+def one_per_module(files: DataFrame, module: str = "module", order: str = "ord") -> DataFrame:
+    """The last file of each module, by order."""
+    columns = [c for c in files.columns if c != module]
+    return files.groupBy(module).agg(F.max_by(F.struct(*columns), order).alias("f")).select(module, "f.*")

@@ -190,3 +190,23 @@ def embedded(df: DataFrame, text: str, model) -> DataFrame:
 
     ship(df.sparkSession)
     return df.mapInPandas(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", vector array<float>")
+
+
+def result_of(status: Column) -> Column:
+    """A status as a reviewer's result, whatever its case."""
+    s = F.lower(F.coalesce(status, F.lit("")))
+    return F.when(s == "matched", "CONSISTENT").when(s == "needs_user_confirmation", "NEEDS_REVIEW").otherwise("INCONSISTENT")
+
+
+def flattened(reports: DataFrame, modules: str = "modules") -> DataFrame:
+    """Items of nested reports (a map from a module to its report with ``items``), one row each."""
+    rows = reports.select(F.explode(modules).alias("_name", "_report"))
+    return rows.select(F.inline("_report.items"))
+
+
+def upsert(index: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
+    """index with the last change (by order) of each key in place of its row, or added to it; both have the same other columns."""
+    columns = [c for c in index.columns if c != key]
+    last = changes.groupBy(key).agg(F.max_by(F.struct(*columns), order).alias("new"))
+    rows = index.select(key, F.struct(*columns).alias("old")).join(last, key, "full")
+    return rows.select(key, F.coalesce("new", "old").alias("row")).select(key, "row.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -169,3 +169,9 @@ def run_until(files: DataFrame, hit: Column, doc: str = "dossier") -> DataFrame:
     """Files of each dossier (dossier, ord, ...) up to the first where ``hit`` holds; all of them where it never does."""
     first = F.min(F.when(hit, F.col("ord"))).over(Window.partitionBy(doc))
     return files.withColumn("_first", first).where(F.col("_first").isNull() | (F.col("ord") <= F.col("_first"))).drop("_first")
+
+
+def ordered_sections(sections: DataFrame, name: str, order: Sequence[str], within: str) -> DataFrame:
+    """sections with ``place`` (from 1) among those of ``within``: names of a fixed order first, then the others by name."""
+    place = F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col(name)), F.lit(0))
+    return sections.withColumn("place", F.row_number().over(Window.partitionBy(within).orderBy(place.asc_nulls_last(), name)))

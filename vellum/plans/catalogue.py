@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import cases, consistency, entities, files, geometry, matching, paging, provenance, registry
+from vellum.operators import cases, consistency, entities, files, geometry, matching, paging, paragraphs, provenance, registry
 from vellum.plans import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -638,3 +638,75 @@ def json_extract(spark, sf_dir):
     events = table(spark, sf_dir, "events").where(F.col("props").contains("{"))
     answer = F.concat(F.lit("Here it is:\n```json\n"), "props", F.lit("\n```\nDone."))
     return events.select("event_id", F.get(F.json_object_keys(T.outer_json(answer)), F.lit(0)).alias("first_key"))
+
+
+# --- paragraphs, reports, listings ------------------------------------------------------------------------------------------------
+
+
+@query(rf"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS para FROM documents),
+f AS (SELECT doc_id, para, 'EMAIL' AS entity_type, unnest(regexp_extract_all(line, '\b({_EMAIL})\b', 1)) AS v FROM p
+ UNION ALL SELECT doc_id, para, 'IP_ADDRESS', unnest(regexp_extract_all(line, '\b({_IP})\b', 1)) FROM p)
+SELECT doc_id, v AS original_value, entity_type, CAST(min(para) AS INTEGER) AS first_para, count(*) AS occurrences FROM f GROUP BY ALL""")
+def pii_paragraph_vault(spark, sf_dir):
+    """Values of documents, once each over all their paragraphs, with the paragraph in which they are first met."""
+    spans = paragraphs.spans_by_paragraph(detected(spark, sf_dir, _SQL_KINDS))
+    return paragraphs.vault(spans).select("doc_id", "original_value", "entity_type", "first_para", "occurrences")
+
+
+@query()
+def pii_paragraphs_anonymised_all(spark, sf_dir):
+    return paragraphs.anonymise_paragraphs(detected(spark, sf_dir), SALT).select("doc_id", "pseudo_text", "full_text", F.size("mapping").alias("n_values"))
+
+
+@query(r"""WITH m AS (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' ELSE 'txt' END AS ext FROM documents)
+SELECT 'd' || doc_id || '.' || ext AS path, CASE ext WHEN 'pdf' THEN left(regexp_replace(array_to_string(string_split(text, chr(10))[1:5], chr(10)), '^\s+|\s+$', '', 'g'), 14000) WHEN 'docx' THEN left(text, 3000) END AS snippet,
+ CASE ext WHEN 'txt' THEN 'unsupported_type' END AS error FROM m""")
+def version_snippets(spark, sf_dir):
+    none = F.lit(None).cast("string")
+    ext = F.when(F.col("doc_id") % 3 == 0, "pdf").when(F.col("doc_id") % 3 == 1, "docx").otherwise("txt")
+    members = documents(spark, sf_dir).select(F.concat(F.lit("d"), "doc_id", F.lit("."), ext).alias("path"), F.split("text", "\n").alias("pages"), F.left("text", F.lit(3000)).alias("lead"), none.alias("read_error"), none.alias("extract_error"))
+    return files.snippets(members)
+
+
+@query("""SELECT source AS job_name, source || '.json' AS json_file, CASE WHEN bool_or(lang = 'en') THEN source || '.pdf' END AS pdf_file, count(*) AS asset_count, CAST(sum(n_chars) AS BIGINT) AS json_size_bytes
+FROM documents WHERE source <> '' AND NOT contains(source, '/') GROUP BY source""")
+def job_listing(spark, sf_dir):
+    """Documents as the assets of their source, whose result holds them all; sources with English ones have a PDF."""
+    docs = documents(spark, sf_dir).withColumn("size", F.col("n_chars").cast("long"))
+    assets = docs.select(F.concat(F.lit("assets/"), "source", F.lit("/"), "doc_id", F.lit(".png")).alias("path"), "size")
+    results = docs.groupBy("source").agg(F.sum("size").alias("size")).select(F.concat(F.lit("json/"), "source", F.lit(".json")).alias("path"), "size")
+    pdfs = docs.where("lang = 'en'").select(F.concat(F.lit("pdf/"), "source", F.lit(".pdf")).alias("path"), "size")
+    return files.job_listing(assets.unionByName(results).unionByName(pdfs))
+
+
+@query(f"""WITH {_URLS}, f AS (SELECT DISTINCT array_to_string(list_filter(string_split(path, '/'), lambda x: x <> ''), '/') AS p FROM u)
+SELECT count(*) AS files FROM f a WHERE p <> '' AND NOT EXISTS (SELECT 1 FROM f b WHERE starts_with(b.p, a.p || '/'))""")
+def file_count(spark, sf_dir):
+    return files.count_files(files.tree(_members(spark, sf_dir)))
+
+
+@query("SELECT source, max(doc_id) AS doc_id FROM documents GROUP BY source")
+def one_file_per_module(spark, sf_dir):
+    return files.one_per_module(documents(spark, sf_dir).select("source", "doc_id", "text", F.col("doc_id").alias("ord")), "source").select("source", "doc_id")
+
+
+@query("""SELECT lang, source, count(*) AS n, CAST(row_number() OVER (PARTITION BY lang ORDER BY CASE source WHEN 'wiki' THEN 1 WHEN 'forum' THEN 2 ELSE 3 END, source) AS INTEGER) AS place FROM documents GROUP BY lang, source""")
+def section_order(spark, sf_dir):
+    return paging.ordered_sections(documents(spark, sf_dir).groupBy("lang", "source").agg(F.count("*").alias("n")), "source", ("wiki", "forum"), "lang")
+
+
+@query(f"{_MATCH} SELECT module, item, CASE status WHEN 'matched' THEN 'CONSISTENT' WHEN 'needs_user_confirmation' THEN 'NEEDS_REVIEW' ELSE 'INCONSISTENT' END AS result FROM matched")
+def match_results(spark, sf_dir):
+    """Results of all items, by way of one nested report a module, as they are sent."""
+    items = F.struct("module", "item", "status")
+    nested = matched(spark, sf_dir).groupBy("module").agg(F.collect_list(items).alias("items"))
+    reports = nested.select(F.create_map("module", F.struct("items")).alias("modules"))
+    return matching.flattened(reports).select("module", "item", matching.result_of(F.col("status")).alias("result"))
+
+
+@query("SELECT coalesce(s_suppkey, c_custkey) AS id, CASE WHEN s_suppkey IS NULL THEN c_name ELSE s_name END AS name, CASE WHEN s_suppkey IS NULL THEN c_nationkey ELSE s_nationkey END AS nation FROM customer FULL JOIN supplier ON c_custkey = s_suppkey")
+def index_upsert(spark, sf_dir):
+    """Suppliers put into an index of customers under their own keys."""
+    index = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    changes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("at"))
+    return matching.upsert(index, changes, "id", "at")
