@@ -482,3 +482,45 @@ def test_token_files(spark, monkeypatch):
     path = common.new_path(spark, "test-shards")
     token_files.write(spark.createDataFrame([(2, "b"), (2, "a"), (None, "n"), (2, "a")], "doc_id long, text string"), BYTES, path)
     assert [(r.doc_id, r.start) for r in token_files.read(spark, path).orderBy("start").collect()] == [(None, 0), (2, 2), (2, 4), (2, 6)]
+
+
+def test_language_equals_brute_force(spark):
+    """Counts, margins, losses and decoding in plain loops."""
+    import math
+
+    docs = [("der hund und die katze gehen", "de"), ("the dog and the cat are going", "en"), ("le chien et le chat vont", "fr")]
+    learnt = language.train(language.counts([t for t, _ in docs] * 4), [n for _, n in docs] * 4)
+    texts = ["der Hund", "the cat and", "chien", "x", "Ünïcode 47 über", None, "", "12 34", "le chat und the dog " * 300]
+
+    def features(text):
+        raw, mask = (" " + text.lower() + " ").encode(), (1 << 32) - 1
+        out = [0] * language.FEATURES
+        for n in language.ORDERS:
+            for i in range(len(raw) - n + 1):
+                h = 0
+                for k in range(n):
+                    h = ((h * 0x01000193 & mask) ^ (raw[i + k] + (k + 1) * 257)) * 0x9E3779B1 & mask
+                out[h >> 20] += 1
+        length = math.sqrt(sum(out))
+        return [math.sqrt(c) / length for c in out]
+
+    def decode(text):
+        x = features(text)
+        used = [i for i, v in enumerate(x) if v]
+        margins = [sum(x[i] * float(learnt.weights[i, b]) for i in used) + float(learnt.bias[b]) for b in range(language.BITS)]
+        loss = [sum(t * math.log1p(math.exp(-m * w)) for m, w, t in zip(margins, word, learnt.trust)) for word in learnt.words]
+        p = [math.exp(min(loss) - v) for v in loss]
+        best = p.index(max(p))
+        second = sorted(p)[-2]
+        return learnt.languages[best], p[best] / sum(p), (p[best] - second) / sum(p) < language.AMBIGUOUS
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in language.identify(rows, learnt).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        if t is None or not any(c.isalpha() for c in t):
+            assert (got[i].lang_pred, got[i].score, got[i].ambiguous) == ("und", 0.0, False)
+            continue
+        name, score, flag = decode(t)
+        assert got[i].lang_pred == name and got[i].ambiguous == flag
+        assert abs(got[i].score - score) < 1e-4
