@@ -524,3 +524,20 @@ def test_language_equals_brute_force(spark):
         name, score, flag = decode(t)
         assert got[i].lang_pred == name and got[i].ambiguous == flag
         assert abs(got[i].score - score) < 1e-4
+
+
+def test_pieces_equal_the_library():
+    """Texts in batches of 64 with white space of all kinds first, last and between, after tasks of others."""
+    from tokenizers import Tokenizer
+
+    with open(BYTES, encoding="utf-8") as f:
+        spec = f.read()
+    coder, lib, rng = token_files.PieceEncoder(spec), Tokenizer.from_str(spec), random.Random(3)
+    spaces = [" ", "\n", "\n\n", "\t", "\r\n", " \n", " ", "　", "\x1c", "\x85", "", "  ", "\n\n\n", " ", "\x0b"]
+    words = ["Plain", "words", "here", "Title", "of", "text", "don't", "x1", "é", "9", "...", "日本", "a\tb"]
+    assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(["Plain words here", "\n\nTitle of text"])] == [lib.encode(t, add_special_tokens=False).ids for t in ("Plain words here", "\n\nTitle of text")]
+    for n in range(60):
+        texts = [rng.choice(spaces) + "".join(rng.choice(words) + rng.choice(spaces) for _ in range(rng.randrange(6))) for _ in range(64)]
+        assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        if n % 7 == 0:
+            coder.forget()

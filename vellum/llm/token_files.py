@@ -29,7 +29,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import filterfalse
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ MAGIC, SHARD_MAGIC = b"VWM1", b"VWS1"
 BLOCK = 512
 #: Pieces remembered by a Python worker before it starts afresh.
 CACHE_PIECES = 1_300_000
+#: Pieces that it keeps between tasks: the first ones met, among which the frequent ones are.
+KEEP_PIECES = 150_000
 #: Texts whose unknown pieces are learnt together, and pieces in one call of the library.
 LEARN_TEXTS, LEARN_PIECES = 64, 100
 #: Rows are encoded in slices of so many.
@@ -252,8 +254,7 @@ class PieceEncoder:
         """Encode the unknown pieces of texts, many in a call: each starts at a token with a leading space."""
         heads, new, broken = {}, {}, {}
         for head, *pieces in texts:
-            if not head or not head[-1].isspace():
-                heads[head] = None
+            heads[head] = None
             for p in set(filterfalse(self.known.__contains__, pieces)):
                 if p.isalnum():  # no white space in it
                     new[p] = None
@@ -269,9 +270,14 @@ class PieceEncoder:
             self.known.clear()
             self.heads.clear()
         feed = self.library("\n")
-        heads = [h for h in heads if h not in self.heads]
-        for k in range(0, len(heads), LEARN_PIECES):
-            some = heads[k : k + LEARN_PIECES]
+        whole: list[str] = []  # words without any white space: a line feed between two of them is a token of its own
+        for h in filterfalse(self.heads.__contains__, heads):
+            if len(h.split()) == 1 and h == h.strip():
+                whole.append(h)
+            elif not h or not h[-1].isspace():  # white space at its end may join the space that follows
+                self.heads[h] = self.library(h)
+        for k in range(0, len(whole), LEARN_PIECES):
+            some = whole[k : k + LEARN_PIECES]
             found = self.cut(self.library("\n".join(some)), feed)
             self.heads |= dict(zip(some, found if len(found) == len(some) else map(self.library, some)))
         new = list(new)
@@ -287,6 +293,13 @@ class PieceEncoder:
         self.known |= {p: feed.join([self.known[first], *(self.heads[x] for x in rest)]) for p, (first, *rest) in broken.items() if first in self.known}
 
 
+    def forget(self) -> None:
+        """Keep a bounded part of the pieces; heads are of one text mostly."""
+        self.heads.clear()
+        if len(self.known) > KEEP_PIECES:
+            self.known = dict(islice(self.known.items(), KEEP_PIECES))
+
+
 _ENCODERS: dict[int, PieceEncoder] = {}
 
 
@@ -297,6 +310,11 @@ def _encoder(spec: str) -> PieceEncoder:
     return _ENCODERS[key]
 
 
+def _forget() -> None:
+    for coder in _ENCODERS.values():
+        coder.forget()
+
+
 def write(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, doc_id: str = "doc_id", text: str = "text") -> None:
     """Write the ids of all whole texts, each followed by end_id, as shards under path.
 
@@ -339,7 +357,7 @@ def write(df: DataFrame, tokenizer_path: str, path: str, end_id: int = 0, doc_id
         if raw:
             yield shard()
 
-    map_arrow(dealt, run, SHARD_SCHEMA).write.mode("overwrite").parquet(path)
+    map_arrow(dealt, run, SHARD_SCHEMA, _forget).write.mode("overwrite").parquet(path)
 
 
 def shards(spark, path: str) -> DataFrame:
