@@ -32,6 +32,7 @@ long can hold is given as the nearest long.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,10 +62,12 @@ def usable(df: DataFrame, asked: Column, vec_id: str, vector: str, label: Column
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """floor(SCALE x) of rows of doubles as integers, and the bits that each row's components need, sign included."""
-    x = np.floor(x * SCALE) if np.abs(x, initial=0).max() < 1e300 else np.array([[int(v) * SCALE for v in r] for r in x.tolist()], object)
-    most = np.abs(x).max(axis=1, initial=0)
-    bits = np.array([int(m).bit_length() + 1 for m in most.tolist()], np.int64)
-    return (x.astype(np.int64) if bits.max(initial=1) < 62 else np.array([[int(v) for v in r] for r in x.tolist()], object).reshape(x.shape)), bits
+    most = np.abs(x).max(axis=1, initial=0).tolist()
+    bits = np.array([(int(m) * SCALE + SCALE).bit_length() + 1 for m in most], np.int64)
+    if bits.max(initial=1) < 53:
+        q = np.floor(x * SCALE).astype(np.int64)
+        return q, np.array([int(m).bit_length() + 1 for m in np.abs(q).max(axis=1, initial=0).tolist()], np.int64)
+    return np.array([[math.floor(v * SCALE) if abs(v) < 1e300 else int(v) * SCALE for v in r] for r in x.tolist()], object).reshape(x.shape), bits
 
 
 def sliced(q: np.ndarray, width: int) -> bytes:
@@ -102,7 +105,7 @@ class Rows:
     def __init__(self, dim: int, ids: bytes, labels: bytes, width: int, planes: bytes):
         self.ids, self.labels, self.width = np.frombuffer(ids, np.int64), np.frombuffer(labels, np.int64), width
         n = len(self.ids)
-        raw = np.frombuffer(planes, np.uint8).reshape(width, -1)
+        raw = np.frombuffer(planes, np.uint8).reshape(width, -(-n * dim // 8))
         self.planes = np.unpackbits(raw, axis=1, count=n * dim).reshape(width, n, dim)
 
     def integers(self) -> np.ndarray:
@@ -247,11 +250,22 @@ def _other_labels(anchors: Rows, a: np.ndarray, least: np.ndarray, most: np.ndar
         best.add(r[keep] * least.shape[1] + t, product[keep], rows.ids[c[keep]])
 
 
+class _Pair:
+    """A row of a batch, whose values are made when they are asked for."""
+
+    def __init__(self, batch: pa.RecordBatch, i: int):
+        self.batch, self.i = batch, i
+
+    def __getitem__(self, name: str):
+        return self.batch.column(name)[self.i].as_py()
+
+
 def _streamed(batches: Iterator[pa.RecordBatch], open_: Callable, meet: Callable, close: Callable) -> Iterator[pa.RecordBatch]:
     """Runs over the pairs of chunk and block; the state of a chunk is kept while its pairs follow each other."""
     now, state = None, None
     for batch in batches:
-        for pair in (dict(zip(batch.schema.names, [c[i].as_py() for c in batch.columns])) for i in range(batch.num_rows)):
+        for i in range(batch.num_rows):
+            pair = _Pair(batch, i)
             if state is None or pair["chunk"] != now:
                 if state is not None:
                     yield from close(now, state)
@@ -269,7 +283,7 @@ def _pairs(chunks: DataFrame, rows: DataFrame, groups: int, parts: int) -> DataF
     return left.join(right.hint("merge"), ["dim", "grp", "part"]).drop("grp", "part")
 
 
-def _anchor_arrays(pair: dict) -> tuple[Rows, np.ndarray]:
+def _anchor_arrays(pair: _Pair) -> tuple[Rows, np.ndarray]:
     chunk = Rows(pair["dim"], pair["a_ids"], pair["a_labels"], pair["a_width"], pair["a_planes"])
     return chunk, chunk.integers()
 
@@ -278,7 +292,7 @@ def positives(pairs: DataFrame, k: int) -> DataFrame:
     """chunk, anchor (place in it), id, score: the k best of a part for each anchor."""
     schema = pa.schema([("chunk", pa.int64()), ("anchor", pa.int32()), ("id", pa.int64()), ("score", pa.int64())])
 
-    def open_(pair: dict) -> tuple:
+    def open_(pair: _Pair) -> tuple:
         chunk, a = _anchor_arrays(pair)
         return chunk, a, Best(len(chunk.ids), k)
 
@@ -296,12 +310,13 @@ def negatives(pairs: DataFrame, k: int) -> DataFrame:
     """For each anchor and positive of ``found`` in a chunk, the k best of a part: chunk, anchor, positive (place), anchor_id, positive_id, positive_score, id, score."""
     names = ["chunk", "anchor", "positive", "anchor_id", "positive_id", "positive_score", "id", "score"]
 
-    def open_(pair: dict) -> tuple:
+    def open_(pair: _Pair) -> tuple:
         chunk, a = _anchor_arrays(pair)
-        n, width = len(chunk.ids), max(f["place"] for f in pair["found"])
+        found = pair["found"]
+        n, width = len(chunk.ids), max(f["place"] for f in found)
         score, ids = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)
         there = np.zeros((n, width), bool)
-        for f in pair["found"]:
+        for f in found:
             score[f["anchor"], f["place"] - 1], ids[f["anchor"], f["place"] - 1], there[f["anchor"], f["place"] - 1] = f["score"], f["id"], True
         least, most = windows(score)
         return chunk, a, np.where(there, least, 1), np.where(there, most, 0), score, ids, Best(n * width, k)
@@ -337,11 +352,11 @@ def mine(df: DataFrame, asked: Column, vec_id: str = "vec_id", vector: str = "em
     packed = saved(packed.withColumn("block", F.monotonically_increasing_id()), "hn-blocks")
     anchors = rows.where("asked").select("id", "label", "vector")
     n = anchors.count()
-    dealt = anchors.repartition(max(1, -(-n // ANCHORS)), F.xxhash64("id", "label", "vector"))
+    dealt = anchors.repartition(max(1, -(-n // ANCHORS)))
     chunks = map_arrow(dealt, lambda batches: blocks(batches, ANCHORS), BLOCK).toDF("dim", "a_ids", "a_labels", "a_width", "a_planes")
     chunks = saved(chunks.withColumn("chunk", F.monotonically_increasing_id()), "hn-anchors")
     groups = max(1, -(-chunks.count() // GROUP_CHUNKS))
-    parts = max(1, -(-n_partitions(spark) // groups))
+    parts = max(1, -(-2 * n_partitions(spark) // groups))
     near = positives(_pairs(chunks, packed, groups, parts), n_positives)
     place = F.row_number().over(Window.partitionBy("chunk", "anchor").orderBy(F.desc("score"), "id"))
     near = near.withColumn("place", place).where(F.col("place") <= n_positives)

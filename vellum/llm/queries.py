@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, common, fingerprints, language, licenses, line_dedup, mixing, near_dup, neighbours, token_files, toxicity
+from vellum.llm import bpe, common, fingerprints, hard_negatives, language, licenses, line_dedup, mixing, near_dup, neighbours, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,11 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_bpe_round_trip,
@@ -115,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_language,
         op10_wavelet_shards,
+        op11_hard_negatives,
     )
 }
 
@@ -123,4 +129,5 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup": line_dedup.ORACLE,
     "op6_line_dedup_passages": line_dedup.ORACLE,
     "op8_license_scan": licenses.oracle(),
+    "op11_hard_negatives": hard_negatives.ORACLE,
 }
