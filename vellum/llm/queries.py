@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, common, fingerprints, hard_negatives, language, licenses, line_dedup, mixing, near_dup, neighbours, token_files, toxicity
+from vellum.llm import bpe, common, conversations, fingerprints, hard_negatives, language, licenses, line_dedup, mixing, near_dup, neighbours, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,10 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_bpe_round_trip,
@@ -121,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language,
         op10_wavelet_shards,
         op11_hard_negatives,
+        op13_conversation_repair,
     )
 }
 
@@ -130,4 +135,5 @@ ORACLES: dict[str, str] = {
     "op6_line_dedup_passages": line_dedup.ORACLE,
     "op8_license_scan": licenses.oracle(),
     "op11_hard_negatives": hard_negatives.ORACLE,
+    "op13_conversation_repair": conversations.ORACLE,
 }
