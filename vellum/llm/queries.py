@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import bpe, common, conversations, fingerprints, hard_negatives, language, licenses, line_dedup, mixing, near_dup, neighbours, token_files, toxicity
+from vellum.llm import bpe, common, conversations, fingerprints, hard_negatives, language, licenses, line_dedup, mixing, near_dup, neighbours, personal_data, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,6 +107,14 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label=label)
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = personal_data.find(docs, personal_data.fit(docs))
+    base = F.col("base_spans")
+    counts = [personal_data.count(base, kind).alias(f"n_{kind}") for kind in personal_data.KINDS]
+    return found.select("doc_id", *counts, _sha256(personal_data.listed(base)).alias("base_sha256"), personal_data.listed(F.col("pii_spans")).alias("spans"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
 
@@ -125,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_language,
         op10_wavelet_shards,
         op11_hard_negatives,
+        op12_personal_data,
         op13_conversation_repair,
     )
 }
