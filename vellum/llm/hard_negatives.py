@@ -336,26 +336,27 @@ def negatives(pairs: DataFrame, k: int) -> DataFrame:
     return map_arrow(pairs, run, "chunk bigint, anchor int, positive int, anchor_id bigint, positive_id bigint, positive_score bigint, id bigint, score bigint")
 
 
-def mine(df: DataFrame, asked: Column, vec_id: str = "vec_id", vector: str = "embedding", label: Column | None = None, n_positives: int = POSITIVES, n_negatives: int = NEGATIVES) -> DataFrame:
+def mine(df: DataFrame, asked: Column, vec_id: str = "vec_id", vector: str = "embedding", label: Column | None = None, n_positives: int = POSITIVES, n_negatives: int = NEGATIVES, block: int = ROWS, chunk: int = ANCHORS, group: int = GROUP_CHUNKS) -> DataFrame:
     """Hard negatives of the rows where ``asked`` holds, against all rows.
 
     An anchor's positives are the n_positives other rows of its label with the
     highest scores; for each, the n_negatives rows of other labels with the
     highest scores from half to 95 hundredths of the positive's.  Ties go to
     the smaller id; where fewer rows qualify, all of them are returned.
+    block: rows of a block; chunk: anchors of a chunk; group: chunks that a part gets at most.
     Columns: anchor_id, positive_id, rank (from 1), negative_id, positive_score, negative_score.
     An empty table, or one without anchors, gives no rows.
     """
     spark = df.sparkSession
     rows = usable(df, asked, vec_id, vector, F.col("label") if label is None else label)
-    packed = map_arrow(rows.select("id", "label", "vector"), lambda batches: blocks(batches, ROWS), BLOCK)
+    packed = map_arrow(rows.select("id", "label", "vector"), lambda batches: blocks(batches, block), BLOCK)
     packed = saved(packed.withColumn("block", F.monotonically_increasing_id()), "hn-blocks")
     anchors = rows.where("asked").select("id", "label", "vector")
     n = anchors.count()
-    dealt = anchors.repartition(max(1, -(-n // ANCHORS)))
-    chunks = map_arrow(dealt, lambda batches: blocks(batches, ANCHORS), BLOCK).toDF("dim", "a_ids", "a_labels", "a_width", "a_planes")
+    dealt = anchors.repartition(max(1, -(-n // chunk)))
+    chunks = map_arrow(dealt, lambda batches: blocks(batches, chunk), BLOCK).toDF("dim", "a_ids", "a_labels", "a_width", "a_planes")
     chunks = saved(chunks.withColumn("chunk", F.monotonically_increasing_id()), "hn-anchors")
-    groups = max(1, -(-chunks.count() // GROUP_CHUNKS))
+    groups = max(1, -(-chunks.count() // group))
     parts = max(1, -(-2 * n_partitions(spark) // groups))
     near = positives(_pairs(chunks, packed, groups, parts), n_positives)
     place = F.row_number().over(Window.partitionBy("chunk", "anchor").orderBy(F.desc("score"), "id"))

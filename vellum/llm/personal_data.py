@@ -121,7 +121,7 @@ def candidates(text: str) -> list[Span]:
         for m in _AT.finditer(text):
             left = _SPELT_LEFT.search(text[max(0, m.start() - 66) : m.start()])
             right = _SPELT_RIGHT.match(text, m.end(), m.end() + 330) if left else None
-            if right:
+            if right and (m.group()[0] not in "aA" or "dot" in right.group().lower()):  # a bare "at" is mostly a word
                 out.append((m.start() - len(left.group()), right.end(), EMAIL))
     for m in _NUMBERS.finditer(text):
         s = m.group()
