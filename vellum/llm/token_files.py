@@ -44,7 +44,7 @@ BLOCK = 512
 #: Pieces remembered by a Python worker before it starts afresh.
 CACHE_PIECES = 1_300_000
 #: Pieces that it keeps between tasks: the first ones met, among which the frequent ones are.
-KEEP_PIECES = 150_000
+KEEP_PIECES = 600_000
 #: Texts whose unknown pieces are learnt together, and pieces in one call of the library.
 LEARN_TEXTS, LEARN_PIECES = 64, 100
 #: Rows are encoded in slices of so many.
