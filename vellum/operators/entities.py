@@ -266,10 +266,19 @@ def paragraph_offsets(df: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return rows.withColumn("p_start", before.cast("int")).withColumn("p_end", (F.col("p_start") + F.length("paragraph")).cast("int"))
 
 
-def words_under_spans(words: DataFrame, spans: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """Words (w_start, w_end and a box on a page) that overlap spans, as one box for each span and page."""
-    meet = (words["w_start"] < spans["end"]) & (spans["start"] < words["w_end"])
-    rows = spans.join(words, (spans[doc_id] == words[doc_id]) & meet).drop(words[doc_id])
+def words_under_spans(words: DataFrame, spans: DataFrame, doc_id: str = "doc_id", width: int = 64) -> DataFrame:
+    """Words (w_start, w_end and a box on a page) that overlap spans, as one box for each span and page.
+
+    Both sides are dealt to stretches of ``width`` characters that they touch, so
+    a span meets the words near it only; a pair that shares several counts in the
+    first.  Rows without an id meet each other.
+    """
+    stretch = lambda a, b: F.sequence(F.floor(a / width), F.floor((F.greatest(b, a + 1) - 1) / width))
+    w = words.select(F.col(doc_id).alias("_doc"), "page", "x0", "y0", "x1", "y1", "w_start", "w_end", F.explode(stretch(F.col("w_start"), F.col("w_end"))).alias("_at"))
+    s = spans.select(doc_id, "start", "end", F.explode(stretch(F.col("start"), F.col("end"))).alias("bin"))
+    first = F.greatest(F.floor(F.col("w_start") / width), F.floor(F.col("start") / width)) == F.col("bin")
+    meet = (F.col("w_start") < F.col("end")) & (F.col("start") < F.col("w_end"))
+    rows = s.join(w, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("bin") == F.col("_at")) & first & meet)
     return rows.groupBy(doc_id, "start", "end", "page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 

@@ -62,6 +62,35 @@ def module_folders(folders: DataFrame, keys: tuple[str, ...] = ("m1", "m2", "m3"
     return rows.groupBy("module").agg(pick.alias("folder"))
 
 
+def expected_module(name: Column, keys: tuple[str, ...]) -> Column:
+    """The module that a folder's name gives, by the first of its marks that is among the expected keys; or null."""
+    low = F.lower(F.btrim(name))
+
+    def by(pattern: str) -> Column:
+        digits = F.regexp_extract(low, pattern, 1)
+        key = F.concat(F.lit("m"), F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.lit("0")))
+        return F.when((digits != "") & key.isin(*keys), key)
+
+    return F.coalesce(by(r"^m(\d+)$"), by(r"(?:^|[^a-z0-9])m(\d+)(?:[^a-z0-9]|$)"), by(r"module[\s_-]*(\d+)"))
+
+
+def detected_modules(members: DataFrame, keys: tuple[str, ...] = ("m1", "m2", "m3", "m4", "m5")) -> DataFrame:
+    """The folder of each module of dossiers (dossier, path of a file below its root): dossier, module, folder.
+
+    The root comes first: if its name gives a module, it is that module's folder
+    and nothing else counts.  Otherwise its folders do, in the order of their
+    names, and of several with one module the later takes it.  Files beside them
+    give none.  Empty paths are left out; repeated ones change nothing.
+    """
+    parts = members.select("dossier", F.filter(F.split(normalised(F.col("path")), "/"), lambda s: s != "").alias("p")).where(F.size("p") > 1)
+    levels = parts.select("dossier", F.explode(F.slice(F.transform("p", lambda s, i: F.struct(i.alias("level"), F.array_join(F.slice("p", 1, i + 1), "/").alias("folder"), s.alias("name"))), 1, F.least(F.size("p") - 1, F.lit(2)))).alias("f"))
+    found = levels.select("dossier", "f.level", "f.folder", "f.name", expected_module(F.col("f.name"), keys).alias("module")).where("module IS NOT NULL")
+    best = found.groupBy("dossier", "module").agg(F.min("level").alias("level"), F.min_by("folder", F.struct("level", "folder")).alias("root"), F.max_by("folder", F.struct(F.when(F.col("level") == 1, F.col("name")))).alias("last"))
+    rooted = F.max(F.when(F.col("level") == 0, 1).otherwise(0)).over(Window.partitionBy("dossier"))
+    best = best.withColumn("rooted", rooted)
+    return best.where((F.col("rooted") == 0) | (F.col("level") == 0)).select("dossier", "module", F.when(F.col("level") == 0, F.col("root")).otherwise(F.col("last")).alias("folder"))
+
+
 def is_module_folder(name: Column) -> Column:
     return F.lower(F.btrim(name)).rlike(r"^m[1-5]$|^module[\s_-]*[1-5]$")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,6 +130,58 @@ def rows_of_words(words: DataFrame, reach: float = 3.2, gap: float = 16.0) -> Da
     return rows.select("page_id", F.col("row_no").cast("long").alias("row_no"), line.alias("row_text"))
 
 
+WORDS_PLACED = "{doc} {kind}, page int, row_no int, x0 double, y0 double, x1 double, y1 double, text string, sep string, at int"
+
+
+def placed_words(words: DataFrame, doc_id: str = "doc_id", reach: float = 3.2, gap: float = 16.0) -> DataFrame:
+    """Words (doc_id, page from 0, x0, y0, x1, y1, text) with the place of each in its document's text.
+
+    Rows of a page are found as in ``rows_of_words``; in a row words stand from
+    the left, a blank between them, or a tab where the gap is wide.  Rows and pages end with a
+    line feed, pages without words too (but for the last page with words).
+    Adds row_no, sep (what stands before the word), w_start and w_end.  Blank
+    words are left out.  A page is a group; documents are summed up by pages.
+    """
+    kind = words.schema[doc_id].dataType.simpleString()
+    rows = words.select(doc_id, F.col("page").cast("int").alias("page"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], F.btrim("text", F.lit(" \t\n\x0b\f\r")).alias("text")).where("text <> ''")
+
+    def place(page: pd.DataFrame) -> pd.DataFrame:
+        page = page.assign(cy=(page["y0"] + page["y1"]) / 2).sort_values(["cy", "x0", "x1", "text"], kind="stable")
+        row_no, mean, n, numbers = -1, 0.0, 0, []
+        for cy in page["cy"].tolist():
+            if row_no >= 0 and abs(cy - mean) <= reach:
+                n += 1
+                mean = (mean * (n - 1) + cy) / n
+            else:
+                row_no, mean, n = row_no + 1, cy, 1
+            numbers.append(row_no)
+        page = page.assign(row_no=numbers).sort_values(["row_no", "x0"], kind="stable")
+        first = page["row_no"].ne(page["row_no"].shift())
+        wide = (page["x0"] - page["x1"].shift()) >= gap
+        page["sep"] = np.where(first, np.where(page["row_no"] == 0, "", "\n"), np.where(wide, "\t", " "))
+        sizes = page["sep"].str.len() + page["text"].str.len()
+        page["at"] = sizes.cumsum() - page["text"].str.len()
+        return page[[doc_id, "page", "row_no", "x0", "y0", "x1", "y1", "text", "sep", "at"]]
+
+    placed = rows.groupBy(doc_id, "page").applyInPandas(place, WORDS_PLACED.format(doc=doc_id, kind=kind))
+    pages = placed.groupBy(doc_id, "page").agg(F.max(F.col("at") + F.length("text")).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(doc_id).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = pages.select(F.col(doc_id).alias("_doc"), F.col("page").alias("_page"), (before + F.col("page")).cast("int").alias("_start"))
+    both = placed.join(starts, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("page") == F.col("_page")))
+    start = F.col("_start") + F.col("at")
+    return both.select(doc_id, "page", "row_no", "x0", "y0", "x1", "y1", "text", "sep", start.alias("w_start"), (start + F.length("text")).alias("w_end"))
+
+
+def stream_of(placed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The text of each document from its placed words: doc_id, text."""
+    ordered = F.array_sort(F.collect_list(F.struct("w_start", F.concat("sep", "text").alias("t"))))
+    pages = placed.groupBy(doc_id, "page").agg(F.array_join(F.transform(ordered, lambda w: w["t"]), "").alias("t"))
+    back = F.coalesce(F.lag("page").over(Window.partitionBy(doc_id).orderBy("page")), F.lit(0))
+    pages = pages.withColumn("t", F.concat(F.repeat(F.lit("\n"), F.col("page") - back), F.col("t")))
+    whole = F.array_sort(F.collect_list(F.struct("page", "t")))
+    return pages.groupBy(doc_id).agg(F.array_join(F.transform(whole, lambda p: p["t"]), "").alias("text"))
+
+
 def text_stream(rows: DataFrame) -> DataFrame:
     """Rows of text with the offset of each in its page's text, a line feed between."""
     before = F.coalesce(F.sum(F.length("row_text") + 1).over(Window.partitionBy("page_id").orderBy("row_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -15,6 +15,8 @@ from vellum.session import ship
 STRICT, PARTIAL = 0.78, 0.65
 RANKED_STRICT, RANKED_GAP = 0.62, 0.10
 HINT_BOOST, NOMINATION_BOOST, LEAST_NOMINATIONS = 0.20, 0.12, 2
+#: Words of titles that are sent to all tasks at most.
+BROADCAST_WORDS = 500_000
 PENALTY, LEAST_CLARITY, FALLBACK = 0.88, 0.08, 0.48
 
 
@@ -41,8 +43,13 @@ def greedy(sims: DataFrame, strict: float = STRICT, partial: float = PARTIAL) ->
 
     Only a similarity above zero counts, and of equal ones the earlier document.
     A document is used up from ``partial`` on.  Order matters, so a module is one
-    group; only pairs that can ever be taken come into it.
+    group.  Of its n items the others use up n - 1 documents at most, so an item
+    needs its best n only: a group has n times n pairs, however many documents
+    there are.
     """
+    n_items = sims.groupBy("module").agg(F.count_distinct("item_ord", "item").alias("_n"))
+    place = F.row_number().over(Window.partitionBy("module", "item_ord", "item").orderBy(F.desc_nulls_last("sim"), "doc_ord"))
+    sims = sims.withColumn("_place", place).join(n_items, "module").where(F.col("_place") <= F.col("_n")).drop("_place", "_n")
 
     def assign(group: pd.DataFrame) -> pd.DataFrame:
         used: set = set()
@@ -149,23 +156,28 @@ def to_review(items: DataFrame, matched: DataFrame) -> DataFrame:
     return rows.groupBy("module").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
-def relevance(titles: DataFrame, texts: DataFrame, least: float = 0.35) -> DataFrame:
+def relevance(titles: DataFrame, texts: DataFrame, least: float = 0.35, most_broadcast: int = BROADCAST_WORDS) -> DataFrame:
     """Pairs whose title shares enough of its words with the text: item_id, doc_id, overlap.
 
-    titles: item_id, title; texts: doc_id, text.  A text with enough of a title's
-    n words has one of any n - enough + 1 of them, so both meet over the title's
-    rarest ones only; what they share is then counted on the whole sets of words.
+    titles: item_id, title; texts: doc_id, text.  Where the titles have at most
+    most_broadcast words, they go to all tasks, and a text's task counts what it
+    shares with each; only counts are shuffled.  Beyond that, a text with enough
+    of a title's n words has one of any n - enough + 1 of them, so both meet over
+    the title's rarest ones, and words are counted for the pairs that met.
     """
     named = titles.select("item_id", tokens(F.col("title")).alias("ws")).where(F.size("ws") > 0)
     words = named.select("item_id", F.size("ws").alias("n"), F.explode("ws").alias("w"))
     found = texts.select("doc_id", F.explode(tokens(F.col("text"))).alias("w"))
-    often = found.join(words.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("often", F.lit(0)), "w"))
-    rare = words.join(often, "w", "left").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select("item_id", "w")
-    pairs = found.join(rare, "w").select("item_id", "doc_id").distinct()
-    pairs = pairs.join(texts.select("doc_id", tokens(F.col("text")).alias("found")), "doc_id").join(named, "item_id")
-    pairs = pairs.select("item_id", "doc_id", F.size("ws").alias("n"), F.size(F.array_intersect("ws", "found")).alias("shared"))
-    return pairs.where(F.col("shared") >= least * F.col("n")).select("item_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
+    if words.limit(most_broadcast + 1).count() <= most_broadcast:
+        met = found.join(F.broadcast(words), "w")
+    else:
+        often = found.join(words.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("often"))
+        place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.coalesce("often", F.lit(0)), "w"))
+        rare = words.join(often, "w", "left").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(least * F.col("n")) + 1).select("item_id", "w")
+        pairs = found.join(rare, "w").select("item_id", "doc_id").distinct()
+        met = pairs.join(found, "doc_id").join(words, ["item_id", "w"])
+    shared = met.groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    return shared.where(F.col("shared") >= least * F.col("n")).select("item_id", "doc_id", F.round(F.col("shared") / F.col("n"), 6).alias("overlap"))
 
 
 def query_text(title: Column, anchor: Column, purpose: Column, evidence: Column) -> Column:

@@ -83,3 +83,61 @@ def items_of(snippet: Column, items: Column) -> Column:
     found = F.when((needle != "") & (F.size(items) > 0), F.instr(hay, needle)).otherwise(F.lit(0))
     usable = (needle != "") & (F.size(items) > 0)
     return F.struct(F.when(found > 0, let(found, strong)).otherwise(none).alias("strong"), F.when((found == 0) & usable, weak).otherwise(none).alias("weak"))
+
+
+def alnum_form(text: Column) -> Column:
+    """Letters and digits of ASCII in lower case, with runs of anything else as one blank."""
+    return F.btrim(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^a-zA-Z0-9]+", " ")))
+
+
+def original_range(text: Column, form: Column, needle: Column) -> Column:
+    """Where needle's first place in form, the alnum_form of text, stands in text itself: struct of start and end (code points, half open); null if nowhere.
+
+    Letters and digits of the form are those of the text, in order, so the place
+    of the n-th one in the text maps a place back.
+    """
+    letters = lambda x: F.length(F.translate(x, " ", ""))
+    at = F.instr(form, needle)
+    own = F.filter(F.transform(F.split(text, ""), lambda c, i: F.when(c.rlike("^[a-zA-Z0-9]"), i)), lambda i: i.isNotNull())
+    first = letters(F.left(form, at - 1))
+    pair = lambda places: F.struct(F.get(places, first).cast("int").alias("start"), (F.get(places, first + letters(needle) - 1) + 1).cast("int").alias("end"))
+    return F.when((needle != "") & (at > 0), let(own, pair))
+
+
+def in_word_files(snippets: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Where snippets (doc_id, snippet_id, snippet, page) stand in Word files, given as blocks (doc_id, block, page, text) in order.
+
+    The look-up has three stages: the whole document, its blocks without a
+    separator between them; then the first block that holds the snippet; then the page that was asked
+    for, if there is one.  Letter case and all characters but ASCII letters and
+    digits are no difference, in dots for what is left out neither.  Gives
+    doc_id, snippet_id, stage (document, block, page, none), start and end in the document's
+    text (null for a page), and block, the first that is touched or the page's
+    first.  Rows that share doc_id and snippet_id are taken for one: the one with
+    the least snippet and page counts.  Rows without doc_id are one document.
+
+    A document is put together only where a snippet asks for it, in one row, as its reader shows it.
+    """
+    asked = snippets.groupBy("doc_id", "snippet_id").agg(F.min(F.struct(F.coalesce("snippet", F.lit("")).alias("snippet"), "page")).alias("a"))
+    asked = asked.select(F.col("doc_id").alias("_doc"), "snippet_id", alnum_form(F.col("a.snippet")).alias("needle"), F.col("a.page").alias("asked_page"))
+    used = blocks.join(asked.select(F.col("_doc").alias("_d")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    whole = F.array_sort(F.collect_list(F.struct("block", F.coalesce("text", F.lit("")).alias("text"), "page")))
+    docs = used.groupBy("doc_id").agg(whole.alias("bs"))
+    docs = docs.withColumn("text", F.array_join(F.transform("bs", lambda b: b["text"]), "")).withColumn("form", alnum_form(F.col("text")))
+    rows = asked.join(docs, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    rows = rows.withColumn("found", original_range(F.col("text"), F.col("form"), F.col("needle")))
+    holds = F.filter("bs", lambda b: alnum_form(b["text"]).contains(F.col("needle")))
+    rows = rows.withColumn("held", F.when(F.col("found").isNull() & (F.col("needle") != ""), F.get(holds, F.lit(0))))
+    of_page = F.get(F.filter("bs", lambda b: b["page"] == F.col("asked_page")), F.lit(0))
+    rows = rows.withColumn("shown", F.when(F.col("found").isNull() & F.col("held").isNull(), of_page))
+    before = lambda i: F.aggregate(F.filter("bs", lambda b: b["block"] < i), F.lit(0), lambda n, b: n + F.length(b["text"]))
+    inside = original_range(F.col("held.text"), alnum_form(F.col("held.text")), F.col("needle"))
+    shifted = F.when(F.col("held").isNotNull(), let(before(F.col("held.block")), lambda n: F.struct((inside["start"] + n).alias("start"), (inside["end"] + n).alias("end"))))
+    rows = rows.withColumn("at", F.coalesce("found", shifted))
+    # The first block that reaches beyond the start.
+    step = lambda a, b: F.struct((a["n"] + F.length(b["text"])).alias("n"), F.when(a["block"].isNull() & (a["n"] + F.length(b["text"]) > F.col("found.start")), b["block"]).otherwise(a["block"]).alias("block"))
+    kind = blocks.schema["block"].dataType.simpleString()
+    touched = F.aggregate("bs", F.struct(F.lit(0).alias("n"), F.lit(None).cast(kind).alias("block")), step, lambda a: a["block"])
+    stage = F.when(F.col("found").isNotNull(), "document").when(F.col("held").isNotNull(), "block").when(F.col("shown").isNotNull(), "page").otherwise("none")
+    block = F.when(F.col("found").isNotNull(), touched).otherwise(F.coalesce("held.block", "shown.block"))
+    return rows.select(F.col("_doc").alias("doc_id"), "snippet_id", stage.alias("stage"), "at.start", "at.end", block.alias("block"))

@@ -710,3 +710,6 @@ def index_upsert(spark, sf_dir):
     index = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
     changes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("at"))
     return matching.upsert(index, changes, "id", "at")
+
+
+from vellum.plans import extended  # noqa: E402, F401  (registers its queries here)

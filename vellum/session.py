@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,3 +29,15 @@ def ship(spark: SparkSession) -> None:
             z.write(source, source.relative_to(PACKAGE.parent))
     context.addPyFile(str(path))
     context._vellum_shipped = True
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; only in one process may it be unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that the driver and all executors share (master: {master})")
+        base = "file://" + tempfile.mkdtemp(prefix="vellum-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/vellum/{label}-{uuid.uuid4().hex}"
