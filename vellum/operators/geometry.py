@@ -110,24 +110,10 @@ def rows_of_words(words: DataFrame, reach: float = 3.2, gap: float = 16.0) -> Da
     Words come by height of their centre; one joins the current row while it lies
     within ``reach`` of the row's running mean.  A wide gap in a row is a tab.
     """
-    one = F.struct(((F.col("y0") + F.col("y1")) / 2).alias("cy"), *[F.col(c) for c in ("x0", "x1", "text")])
-    pages = words.groupBy("page_id").agg(F.array_sort(F.collect_list(one)).alias("ws"))
-    item = F.struct(F.col("ws")[0]["x0"].alias("x0"), F.col("ws")[0]["x1"].alias("x1"), F.col("ws")[0]["text"].alias("text"))
-    first = F.struct(F.array(F.array(item)).alias("rows"), F.col("ws")[0]["cy"].alias("mean"), F.lit(1.0).alias("n"))
-
-    def step(a: Column, w: Column) -> Column:
-        new = F.array(F.struct(w["x0"].alias("x0"), w["x1"].alias("x1"), w["text"].alias("text")))
-        joins = F.abs(w["cy"] - a["mean"]) <= reach
-        last, rest = F.element_at(a["rows"], -1), F.slice(a["rows"], 1, F.size(a["rows"]) - 1)
-        rows = F.when(joins, F.concat(rest, F.array(F.concat(last, new)))).otherwise(F.concat(a["rows"], F.array(new)))
-        n = F.when(joins, a["n"] + 1).otherwise(F.lit(1.0))
-        return F.struct(rows.alias("rows"), F.when(joins, a["mean"] + (w["cy"] - a["mean"]) / n).otherwise(w["cy"]).alias("mean"), n.alias("n"))
-
-    rows = pages.select("page_id", F.posexplode(F.aggregate(F.slice("ws", F.lit(2), F.size("ws")), first, step, lambda a: a["rows"])).alias("row_no", "r"))
-    put = lambda s, w: F.struct(F.concat(s["t"], F.when(w["x0"] - s["x1"] >= gap, "\t").otherwise(" "), w["text"]).alias("t"), w["x1"].alias("x1"))
-    r = F.array_sort("r")
-    line = F.aggregate(F.slice(r, F.lit(2), F.size("r")), F.struct(r[0]["text"].alias("t"), r[0]["x1"].alias("x1")), put, lambda s: s["t"])
-    return rows.select("page_id", F.col("row_no").cast("long").alias("row_no"), line.alias("row_text"))
+    placed = placed_words(words.withColumn("page", F.lit(0)), "page_id", reach, gap)
+    parts = F.array_sort(F.collect_list(F.struct("w_start", F.concat("sep", "text").alias("t"))))
+    rows = placed.groupBy("page_id", "row_no").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("t"))
+    return rows.select("page_id", F.col("row_no").cast("long").alias("row_no"), F.ltrim("t", F.lit("\n")).alias("row_text"))
 
 
 WORDS_PLACED = "{doc} {kind}, page int, row_no int, x0 double, y0 double, x1 double, y1 double, text string, sep string, at int"

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.operators.ordering import running
 from vellum.session import ship
 
 #: Pages in a window, and pages from one window's start to the next.
@@ -23,16 +24,17 @@ def with_order(pages: DataFrame, across_files: bool = False) -> DataFrame:
     """pages with ``ord`` (from 0) and ``n``: within their file, or over all files in order.
 
     Over all files, the first ordinal of a file comes from its predecessors'
-    page counts, one row for each file.
+    page counts, summed by ranges of files.
     """
     within = Window.partitionBy("file").orderBy("page")
     rows = pages.withColumn("ord", (F.row_number().over(within) - 1).cast("long")).withColumn("n", F.count("*").over(Window.partitionBy("file")))
     if not across_files:
         return rows
     counts = pages.groupBy("file").agg(F.count("*").alias("own"))
-    before = F.coalesce(F.sum("own").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select(F.col("file").alias("f"), before.alias("before"), F.sum("own").over(Window.partitionBy(F.lit(0))).alias("all"))
-    return rows.join(counts, F.col("file") == F.col("f")).withColumn("ord", F.col("ord") + F.col("before")).withColumn("n", F.col("all")).drop("f", "before", "all")
+    counts = running(counts, [F.col("file")], F.col("own"), "before")
+    total = counts.agg(F.sum("own").alias("all"))  # one row
+    counts = counts.select(F.col("file").alias("f"), "before").join(F.broadcast(total))
+    return rows.join(counts, F.col("file").eqNullSafe(F.col("f"))).withColumn("ord", F.col("ord") + F.col("before")).withColumn("n", F.col("all")).drop("f", "before", "all")
 
 
 def window_members(pages: DataFrame, across_files: bool = False, size: int = SIZE, stride: int = STRIDE) -> DataFrame:

@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.functions import text as T
-from vellum.operators import cases, consistency, entities, files, geometry, matching, paging, paragraphs, provenance, registry
-from vellum.plans import fixtures
+from vellum.operators import cases, entities, files, matching, ordering, paging, paragraphs, provenance, registry
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -382,11 +381,6 @@ def match_status(spark, sf_dir):
     return matched(spark, sf_dir).withColumn("doc", F.coalesce("doc", F.lit(-1)).cast("long"))
 
 
-@query(f"{_MATCH} SELECT module, item FROM matched WHERE status = 'missing' AND applicability = 'Mandatory'")
-def missing_items(spark, sf_dir):
-    return matching.missing_mandatory(checklist(spark, sf_dir), matched(spark, sf_dir)).select("module", "item")
-
-
 @query(f"{_MATCH} SELECT 'm' || (vec_id % 5 + 1) AS module, vec_id AS doc FROM embeddings WHERE vec_id >= 50 AND vec_id NOT IN (SELECT doc FROM matched WHERE doc IS NOT NULL)")
 def extra_docs(spark, sf_dir):
     return matching.extras(_vectors(spark, sf_dir)[1].select("module", "doc"), matched(spark, sf_dir))
@@ -463,13 +457,9 @@ def path_tree(spark, sf_dir):
 
 @query(f"WITH {_URLS}, k AS (SELECT page_id, path, array_to_string(list_transform(regexp_extract_all(path, '(\\d+|\\D+)', 1), lambda x: CASE WHEN regexp_matches(x, '^\\d') THEN lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 4, '0') || ltrim(x, '0') ELSE lower(x) END), '') AS key FROM u) SELECT page_id, key, CAST(row_number() OVER (ORDER BY key, page_id) AS BIGINT) AS place FROM k")
 def natural_sort(spark, sf_dir):
-    """Places of paths in natural order: counts by the first eight characters of the key, then places within these."""
+    """Places of paths in natural order over the whole table."""
     rows = _members(spark, sf_dir).select("page_id", files.natural_key(F.col("path")).alias("key"))
-    dealt = rows.withColumn("bucket", F.left("key", F.lit(8)))
-    counts = dealt.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    place = F.col("before") + F.row_number().over(Window.partitionBy("bucket").orderBy("key", "page_id"))
-    return dealt.join(counts.select("bucket", before.alias("before")), "bucket").select("page_id", "key", place.cast("long").alias("place"))
+    return ordering.numbered(rows, [F.col("key"), F.col("page_id")])
 
 
 @query(f"WITH {_URLS} SELECT page_id, lower(regexp_extract(path, '[^/]*$')) AS base, lower(regexp_extract(regexp_extract(path, '[^/]*$'), '\\.([^.]+)$', 1)) AS extension FROM u")
@@ -489,11 +479,6 @@ def filename_fuzzy_match(spark, sf_dir):
     return files.best_files(sources, names.where(F.col("page_id") % 2 == 1).select("name", F.col("page_id").alias("ord")))
 
 
-@query(fixtures.values("paths_out") + " SELECT path, m AS module, usable FROM paths_out")
-def module_detection(spark, sf_dir):
-    return fixtures.frame(spark, "paths").select("path", files.module_of(F.col("path")).alias("module"), files.safe(F.col("path")).alias("usable"))
-
-
 # --- registry, cases --------------------------------------------------------------------------------------------------------------
 
 
@@ -552,83 +537,6 @@ def module_sample(spark, sf_dir):
     return cases.detection_sample(pages(spark, sf_dir))
 
 
-# --- consistency ------------------------------------------------------------------------------------------------------------------
-
-
-def _fields(spark: SparkSession) -> DataFrame:
-    return consistency.with_normal(fixtures.frame(spark, "fields"))
-
-
-@query(fixtures.values("fields_out") + " SELECT * FROM fields_out")
-def field_normal_forms(spark, sf_dir):
-    return _fields(spark).select("dossier_id", "module", "field_number", F.col("v.canonical").alias("canonical"))
-
-
-@query(fixtures.values("verdicts_out") + " SELECT * FROM verdicts_out")
-def field_compare(spark, sf_dir):
-    rows = _fields(spark)
-    return consistency.refined(consistency.compare(rows), rows).select("dossier_id", "field_number", "result")
-
-
-@query(fixtures.values("verdicts_out") + " SELECT dossier_id, count(*) FILTER (WHERE result = 'CONSISTENT') AS consistent, count(*) AS total FROM verdicts_out GROUP BY 1")
-def consistent_ratio(spark, sf_dir):
-    rows = _fields(spark)
-    return consistency.consistent_ratio(consistency.refined(consistency.compare(rows), rows), "dossier_id")
-
-
-@query()
-def anchor_fields(spark, sf_dir):
-    """Fields found by their anchors in the modules of dossiers."""
-    rows = fixtures.frame(spark, "dossiers")
-    return consistency.extract_fields(rows).where("raw <> ''")
-
-
-# --- geometry ---------------------------------------------------------------------------------------------------------------------
-
-_BOXES = fixtures.values("blocks", "lines")
-
-
-@query(_BOXES + """, p AS (SELECT a.page_id, a.block_id AS a, b.block_id AS b, greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i,
- (a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s FROM blocks a JOIN blocks b ON a.page_id = b.page_id AND a.block_ord < b.block_ord)
-SELECT page_id, a, b, round(i / (s - i + 1e-6), 6) AS iou FROM p""")
-def box_iou(spark, sf_dir):
-    a = fixtures.frame(spark, "blocks").select("page_id", F.col("block_id").alias("a"), F.col("block_ord").alias("ao"), geometry.box().alias("x"))
-    b = fixtures.frame(spark, "blocks").select("page_id", F.col("block_id").alias("b"), F.col("block_ord").alias("bo"), geometry.box().alias("y"))
-    return a.join(b, "page_id").where("ao < bo").select("page_id", "a", "b", F.round(geometry.iou(F.col("x"), F.col("y")), 6).alias("iou"))
-
-
-@query(_BOXES + """, n AS (SELECT DISTINCT a.page_id, a.block_id FROM blocks a JOIN blocks b ON a.page_id = b.page_id AND a.type = b.type AND a.block_id <> b.block_id
- WHERE (a.x2 - a.x1) * (a.y2 - a.y1) < (b.x2 - b.x1) * (b.y2 - b.y1)
- AND greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) / ((a.x2 - a.x1) * (a.y2 - a.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) - greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) + 1e-6) > 0.8)
-SELECT page_id, block_id FROM blocks WHERE (page_id, block_id) NOT IN (SELECT (page_id, block_id) FROM n)""")
-def nested_blocks(spark, sf_dir):
-    return geometry.without_nested(fixtures.frame(spark, "blocks")).select("page_id", "block_id")
-
-
-@query(_BOXES + """, p AS (SELECT l.page_id, l.line_ord, b.block_id, b.block_ord, greatest(0, least(l.x2, b.x2) - greatest(l.x1, b.x1)) * greatest(0, least(l.y2, b.y2) - greatest(l.y1, b.y1)) AS i,
- (l.x2 - l.x1) * (l.y2 - l.y1) + (b.x2 - b.x1) * (b.y2 - b.y1) AS s, (l.x1 + l.x2) / 2 BETWEEN b.x1 AND b.x2 AND (l.y1 + l.y2) / 2 BETWEEN b.y1 AND b.y2 AS c FROM lines l JOIN blocks b ON l.page_id = b.page_id),
-q AS (SELECT *, i / (s - i + 1e-6) + CASE WHEN c THEN 0.5 ELSE 0 END AS score FROM p), r AS (SELECT page_id, line_ord, arg_max(block_id, struct_pack(a := score, b := -block_ord)) AS block_id FROM q WHERE score > 0.3 GROUP BY ALL)
-SELECT l.page_id, l.line_ord, r.block_id FROM lines l LEFT JOIN r USING (page_id, line_ord)""")
-def line_assignment(spark, sf_dir):
-    return geometry.assigned(fixtures.frame(spark, "lines"), fixtures.frame(spark, "blocks")).select("page_id", "line_ord", "block_id")
-
-
-@query()
-def line_dedup_boxes(spark, sf_dir):
-    return geometry.assigned_once(geometry.deduplicated_strictly(geometry.deduplicated(fixtures.frame(spark, "lines"))), fixtures.frame(spark, "blocks")).select("page_id", "line_ord", "block_id")
-
-
-@query(_BOXES + """, o AS (SELECT page_id, block_id, CASE type WHEN 'table' THEN 0 WHEN 'image' THEN 1 WHEN 'seal' THEN 1 WHEN 'unassigned' THEN 3 ELSE 2 END AS layer, y1, x1 FROM blocks)
-SELECT page_id, block_id, row_number() OVER (PARTITION BY page_id ORDER BY layer, y1, x1, block_id) AS place FROM o""")
-def draw_order(spark, sf_dir):
-    return geometry.draw_list(fixtures.frame(spark, "blocks")).select("page_id", "block_id", "place")
-
-
-@query("SELECT * FROM (VALUES (1, 0, 'Name John'), (1, 1, 'Age' || chr(9) || '47 years')) t(page_id, row_no, row_text)")
-def row_cluster(spark, sf_dir):
-    return geometry.rows_of_words(fixtures.frame(spark, "words")).select(F.col("page_id").cast("int").alias("page_id"), F.col("row_no").cast("int").alias("row_no"), "row_text")
-
-
 # --- JSON -------------------------------------------------------------------------------------------------------------------------
 
 
@@ -710,6 +618,3 @@ def index_upsert(spark, sf_dir):
     index = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
     changes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("at"))
     return matching.upsert(index, changes, "id", "at")
-
-
-from vellum.plans import extended  # noqa: E402, F401  (registers its queries here)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.operators import entities, geometry, provenance, recogniser
+from vellum.operators import cases, consistency, entities, files, geometry, matching, models, paging, paragraphs, provenance, recogniser, registry
+from vellum.plans import catalogue
 from vellum.plans.catalogue import documents, query, table
 from vellum.session import scratch
 from vellum.sources import archives
+from vellum.sources import files as sources
 
 # --- a tagger's windows -----------------------------------------------------------------------------------------------------------
 
@@ -116,3 +118,111 @@ def span_boxes(spark, sf_dir):
     spans = entities.exploded(entities.detect(geometry.stream_of(words), kinds=("EMAIL", "IP_ADDRESS")))
     boxes = entities.words_under_spans(words, spans)
     return spans.join(boxes, ["doc_id", "start", "end"]).select("doc_id", "entity_type", F.col("text").alias("value"), "page", "x0", "y0", "x1", "y1")
+
+
+# --- model calls and batches ------------------------------------------------------------------------------------------------------
+
+
+def _reply(prompt: str) -> str:
+    """Stands in for a model: the role and length of a turn as JSON, prose for short ones, an error for those that begin with T."""
+    if prompt.startswith("T"):
+        raise RuntimeError("refused")
+    if len(prompt) % 7 == 0:
+        return f"I have {len(prompt)} characters."
+    return f'Here it is: {{"length": {len(prompt)}}}'
+
+
+_REPLIES = """WITH t AS (SELECT conv_id, turn, text, CASE WHEN starts_with(text, 'T') THEN 'RuntimeError: refused' END AS failure, length(text) AS n FROM conversations WHERE text IS NOT NULL)"""
+
+
+@query(_REPLIES + """ SELECT conv_id, turn, failure, CASE WHEN failure IS NULL AND n % 7 <> 0 THEN n END AS length, CASE WHEN failure IS NULL AND n % 7 = 0 THEN 'Failed to parse JSON' END AS error,
+ CASE WHEN failure IS NULL AND n % 7 = 0 THEN 'I have ' || n || ' characters.' END AS raw_response FROM t""")
+def model_answers(spark, sf_dir):
+    """A stand-in's answers to all turns: errors and prose become rows, JSON becomes values."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").where(F.col("text").isNotNull())
+    rows = models.called(turns, "text", _reply, "answer", "failure").withColumn("j", models.json_answer(F.col("answer")))
+    return rows.select("conv_id", "turn", "failure", F.try_variant_get(F.col("j.value"), "$.length", "bigint").alias("length"), "j.error", "j.raw_response")
+
+
+@query(_REPLIES + """ SELECT conv_id, turn, CASE WHEN failure IS NULL AND n % 7 <> 0 THEN 'answered' ELSE 'Error generating overall summary.' END AS value, CASE WHEN failure IS NULL AND n % 7 <> 0 THEN 'high' ELSE 'low' END AS confidence FROM t""")
+def overall_summaries(spark, sf_dir):
+    """Overall summaries of all turns, with the fixed value where the call failed."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text").where(F.col("text").isNotNull())
+    rows = models.called(turns, "text", _reply)
+    said = F.when(F.col("answer").contains("{"), F.lit('{"value": "answered", "confidence": "high", "source": []}')).otherwise(F.col("answer"))
+    return rows.select("conv_id", "turn", models.overall_summary(said, F.col("error")).alias("s")).select("conv_id", "turn", "s.value", "s.confidence")
+
+
+@query("""WITH p AS (SELECT page_id, url, html, coalesce(ends_with(lower(url), '.html'), false) AS taken FROM pages)
+SELECT page_id, NOT taken AS skipped, CASE WHEN taken AND NOT contains(lower(html), '</html>') THEN 'ValueError: page is cut off' END AS error, CASE WHEN taken AND contains(lower(html), '</html>') THEN length(html) END AS size FROM p""")
+def page_batch(spark, sf_dir):
+    """A batch of pages that goes on after failures: those with another ending are skipped, and cut-off ones are errors."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rows, _ = models.batch(pages, "url", lambda f: models.called(f, "html", _size_of_page), ".html")
+    return rows.select("page_id", "skipped", "error", F.col("answer").cast("bigint").alias("size"))
+
+
+def _size_of_page(html: str) -> str:
+    if "</html>" not in html.lower():
+        raise ValueError("page is cut off")
+    return str(len(html))
+
+
+@query("""WITH o AS (SELECT doc_id, sha256(text) AS d FROM documents WHERE lang <> 'de'), n AS (SELECT doc_id, sha256(CASE WHEN contains(text, '@') THEN 'new ' || text ELSE text END) AS d FROM documents WHERE lang <> 'fr')
+SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'gone' WHEN o.doc_id IS NULL THEN 'new' WHEN n.d = o.d THEN 'same' ELSE 'changed' END AS status FROM n FULL JOIN o ON n.doc_id = o.doc_id""")
+def index_changes(spark, sf_dir):
+    """What an index of documents lacks after some came, went and changed (those with an at sign)."""
+    docs = documents(spark, sf_dir)
+    index = docs.where("lang <> 'de'").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.lit("m").alias("model"))
+    now = docs.where("lang <> 'fr'").select("doc_id", F.when(F.col("text").contains("@"), F.concat(F.lit("new "), "text")).otherwise(F.col("text")).alias("content"))
+    return models.changes(now.withColumnRenamed("doc_id", "key"), index.withColumnRenamed("doc_id", "key"), "m").select(F.col("key").alias("doc_id"), "status")
+
+
+@query("""SELECT event_id, CASE WHEN value > 50 THEN NULL ELSE value END AS value, list_transform([value, value / 2], lambda v: CASE WHEN v > 50 THEN NULL ELSE v END) AS pair, base64(encode(event_type)) AS raw, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts FROM events""")
+def json_safe_events(spark, sf_dir):
+    """Events as JSON can hold them: infinite values (those above 50), also in arrays, as null, bytes as Base64, times as text."""
+    big = lambda v: F.when(v > 50, F.lit(float("inf"))).otherwise(v)
+    rows = table(spark, sf_dir, "events").select("event_id", big(F.col("value")).alias("value"), F.array(big(F.col("value")), big(F.col("value") / 2)).alias("pair"), F.col("event_type").cast("binary").alias("raw"), "ts")
+    return models.json_safe(rows)
+
+
+# --- folders, exports, reading ----------------------------------------------------------------------------------------------------
+
+
+@query(r"""WITH p AS (SELECT DISTINCT o_custkey AS dossier, CASE o_orderstatus WHEN 'F' THEN 'Module ' || o_orderpriority WHEN 'O' THEN 'm' || left(o_orderpriority, 1) || '_' || lower(o_orderstatus) ELSE 'part ' || o_orderpriority END AS name FROM orders),
+k AS (SELECT dossier, name, 'm' || regexp_extract(lower(name), '^(?:m|module )([1-5])', 1) AS module FROM p WHERE regexp_matches(lower(name), '^(?:m|module )[1-5]'))
+SELECT dossier, module, 'dossier/' || max(name) AS folder FROM k GROUP BY ALL""")
+def module_folders_found(spark, sf_dir):
+    """Orders as files of customers' dossiers, in folders named by priority and status: the folder of each module, the later name where two give one."""
+    o = table(spark, sf_dir, "orders")
+    name = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("Module "), "o_orderpriority")).when(F.col("o_orderstatus") == "O", F.concat(F.lit("m"), F.left("o_orderpriority", F.lit(1)), F.lit("_"), F.lower("o_orderstatus"))).otherwise(F.concat(F.lit("part "), "o_orderpriority"))
+    members = o.select(F.col("o_custkey").alias("dossier"), F.concat(F.lit("dossier/"), name, F.lit("/"), "o_orderkey", F.lit(".pdf")).alias("path"))
+    return files.detected_modules(members)
+
+
+@query("SELECT url AS name, CAST(row_number() OVER (ORDER BY url DESC, page_id) AS BIGINT) AS place FROM pages WHERE ends_with(url, '.html') QUALIFY place <= 20")
+def newest_exports(spark, sf_dir):
+    """The twenty last names of pages."""
+    names = table(spark, sf_dir, "pages").select(F.col("url").alias("name"), "page_id")
+    return sources.newest_first(names, ".html").limit(20).select("name", F.row_number().over(Window.orderBy(F.desc("name"), "page_id")).cast("long").alias("place"))
+
+
+@query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), c AS (SELECT *, list_transform(range(0, len(ls)), lambda i: CAST(coalesce(list_sum(list_transform(ls[1:i], lambda x: length(x))), 0) AS BIGINT)) AS before FROM p),
+n AS (SELECT doc_id, ls, least(80, len(list_filter(before, lambda b: b < 4000))) AS k FROM c)
+SELECT CAST(doc_id AS VARCHAR) AS path, k AS n_pages, md5(left(array_to_string(ls[1:k], chr(10)), 4000)) AS text_md5 FROM n""")
+def capped_reading(spark, sf_dir):
+    """Texts read page by page (a line each), no further than 80 pages or 4,000 characters."""
+    docs = documents(spark, sf_dir).where(F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("content"))
+    rows = sources.pdf_texts(docs, _lines, most_chars=4000)
+    return rows.select("path", F.col("n_pages").cast("long").alias("n_pages"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+def _lines(content: bytes):
+    yield from content.decode().split("\n")
+
+
+@query(catalogue._MATCH + " SELECT module, item, applicability, status FROM matched")
+def completeness_projection(spark, sf_dir):
+    """What the user interface is sent of the matching: module, item, applicability and status."""
+    found = catalogue.matched(spark, sf_dir).drop("applicability").join(catalogue.checklist(spark, sf_dir), ["module", "item"])
+    return found.select("module", "item", "applicability", "status")
