@@ -107,6 +107,8 @@ LABELLED: tuple[tuple[str, str, str, float], ...] = (
 )
 
 PHI_DATES = ("DATE_OF_BIRTH", "HOSPITALIZATION_ADMISSION_DATE", "INFORMED_CONSENT_DATE", "SCREENING_ENROLLMENT_DATE", "FOLLOW_UP_WITHDRAWAL_DATE", "DEATH_DATE", "STUDY_DATES")
+#: Types of which every value has a digit.
+NUMERIC = (*PHI_DATES, "EUDRACT_NUMBER", "IND_NDA_NUMBER", "AADHAAR", "PAN", "PHONE", "IP_ADDRESS", "AGE")
 BROAD = ("VITAL_SIGNS", "LAB_RESULTS", "LAB_RESULTS_SUMMARY_TABLES", "MEDICATION_DOSAGE", "DIAGNOSIS_CONDITION", "ADVERSE_EVENT_NARRATIVE", "MENTAL_HEALTH_INFO", "SUBSTANCE_USE", "SURGERY_DETAILS", "PREGNANCY_STATUS", "GENETIC_INFORMATION")
 SHORT_REJECTED = ("VITAL_SIGNS", "MEDICATION_DOSAGE", "SUBSTANCE_USE", "DIAGNOSIS_CONDITION")
 NUMBERED_IDS = ("SUBJECT_ID", "PATIENT_SUBJECT_ID", "PATIENT_ID", "MEDICAL_RECORD_NUMBER")
@@ -218,3 +220,14 @@ def needles(label: str) -> list[list[str]]:
 
 #: Parts of a document in reading order.
 PARTS = ("body", "table", "header", "first_page_header", "even_page_header", "footer", "first_page_footer", "even_page_footer")
+
+
+def main_words(alternatives: list[list[str]]) -> list[str]:
+    """Few words of which each alternative needs one: always the one that most of those left need."""
+    left, out = [set(a) for a in alternatives], []
+    while left:
+        words = sorted({w for a in left for w in a})
+        best = max(words, key=lambda w: (sum(w in a for a in left), len(w)))
+        out.append(best)
+        left = [a for a in left if best not in a]
+    return out

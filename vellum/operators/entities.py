@@ -41,20 +41,25 @@ def regex_spans(text: Column, kinds: Sequence[str] | None = None, word_bounded:
     """All valid spans of the definitions (or of some types), in the definitions' order.
 
     The definitions are an array that the expression goes through, so the plan
-    stays small.  A definition is tried only on texts with a word that its label
-    needs, and then with the label itself; only these are searched for values.
+    stays small.  A text is first searched for a few words of which each label needs one,
+    and for a digit; a definition is tried only on texts with a main word, then
+    all words that its label needs, and then with the label itself; only these are searched for values.
     """
     chosen = [d for d in P.LABELLED if kinds is None or d[0] in kinds]
     empty = F.array().cast(HOOK_SCHEMA)
     if not chosen:
         return F.when(text.isNotNull(), empty).otherwise(empty)
     rows = []
+    mains = P.main_words([a for _, label, _, _ in chosen for a in P.needles(label)])
     for kind, label, value, score in chosen:
         bounded = rf"\b(?:{label})" if label and word_bounded else label
         gate = f"(?iU){bounded}" if label else {"EMAIL": "@", "IP_ADDRESS": r"\d\.\d"}[kind]
-        needed = F.array(*[F.array(*[F.lit(n) for n in a]) for a in P.needles(label)]).cast("array<array<string>>")
-        rows.append(F.struct(F.lit(kind).alias("kind"), F.lit(gate).alias("gate"), F.lit(P.pattern(bounded, value)).alias("pattern"), F.lit(score).alias("score"), needed.alias("needles")))
-    low = F.lower(F.translate(text, "\u017f\u0131\u0130\u212a", "siik"))  # the letters that a search without case takes for these
+        needles = P.needles(label)
+        needed = F.array(*[F.array(*[F.lit(n) for n in a]) for a in needles]).cast("array<array<string>>")
+        main = F.array(*[F.lit(next(i for i, m in enumerate(mains) if m in a)) for a in needles]).cast("array<int>")
+        rows.append(F.struct(F.lit(kind).alias("kind"), F.lit(gate).alias("gate"), F.lit(P.pattern(bounded, value)).alias("pattern"), F.lit(score).alias("score"), needed.alias("needles"), main.alias("mains"), F.lit(kind in P.NUMERIC).alias("numeric")))
+    odd = "\u017f\u0131\u0130\u212a"  # the letters that a search without case takes for s, i and k
+    low = F.lower(F.when(text.rlike(f"[{odd}]"), F.translate(text, odd, "siik")).otherwise(text))
 
     def span(m: Column, d: Column) -> Column:
         left = F.regexp_replace(m["value"], r"(?U)^\s+", "")
@@ -62,11 +67,18 @@ def regex_spans(text: Column, kinds: Sequence[str] | None = None, word_bounded:
         start = m["end"] - F.length(left)
         return F.struct(both.alias("text"), d["kind"].alias("entity_type"), start.alias("start"), (start + F.length(both)).alias("end"), d["score"].alias("score"), F.lit("regex").alias("source"))
 
-    def found(low: Column) -> Column:
-        tried = F.filter(F.array(*rows), lambda d: ((F.size(d["needles"]) == 0) | F.exists(d["needles"], lambda a: F.forall(a, lambda n: low.contains(n)))) & F.rlike(text, d["gate"]))
-        return F.flatten(F.transform(tried, lambda d: F.filter(F.transform(finditer(text, d["pattern"]), lambda m: span(m, d)), lambda s: valid(d["kind"], s["text"]))))
+    def found(s: Column) -> Column:
+        full = lambda d: F.exists(d["needles"], lambda a: F.forall(a, lambda n: s["low"].contains(n)))
+        stands = lambda d: (F.size(d["mains"]) == 0) | (F.exists(d["mains"], lambda i: F.get(s["flags"], i)) & full(d))
+        able = lambda d: (s["digit"] | ~d["numeric"]) & stands(d) & F.rlike(text, d["gate"])
+        tried = F.filter(F.array(*rows), able)
+        return F.flatten(F.transform(tried, lambda d: F.filter(F.transform(finditer(text, d["pattern"]), lambda m: span(m, d)), lambda x: valid(d["kind"], x["text"]))))
 
-    return let(low, found).cast(HOOK_SCHEMA)
+    def seen(low: Column) -> Column:
+        flags = F.array(*[low.contains(m) for m in mains]).cast("array<boolean>")
+        return F.struct(low.alias("low"), flags.alias("flags"), text.rlike(r"(?U)\d").alias("digit"))
+
+    return let(low, lambda x: let(seen(x), found)).cast(HOOK_SCHEMA)
 
 
 def recognised(spans: Column) -> Column:
