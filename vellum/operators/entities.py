@@ -49,15 +49,25 @@ def regex_spans(text: Column, kinds: Sequence[str] | None = None, word_bounded:
     empty = F.array().cast(HOOK_SCHEMA)
     if not chosen:
         return F.when(text.isNotNull(), empty).otherwise(empty)
-    rows = []
     mains = P.main_words([a for _, label, _, _ in chosen for a in P.needles(label)])
+    rows, able = [], []
     for kind, label, value, score in chosen:
         bounded = rf"\b(?:{label})" if label and word_bounded else label
         gate = f"(?iU){bounded}" if label else {"EMAIL": "@", "IP_ADDRESS": r"\d\.\d"}[kind]
-        needles = P.needles(label)
-        needed = F.array(*[F.array(*[F.lit(n) for n in a]) for a in needles]).cast("array<array<string>>")
-        main = F.array(*[F.lit(next(i for i, m in enumerate(mains) if m in a)) for a in needles]).cast("array<int>")
-        rows.append(F.struct(F.lit(kind).alias("kind"), F.lit(gate).alias("gate"), F.lit(P.pattern(bounded, value)).alias("pattern"), F.lit(score).alias("score"), needed.alias("needles"), main.alias("mains"), F.lit(kind in P.NUMERIC).alias("numeric")))
+        rows.append(F.struct(F.lit(kind).alias("kind"), F.lit(P.pattern(bounded, value)).alias("pattern"), F.lit(score).alias("score")))
+        able.append((gate, P.needles(label), kind in P.NUMERIC))
+
+    def may(s: Column, gate: str, needles: list[list[str]], numeric: bool) -> Column:
+        """Whether a text has a definition's label, cheap signs first; the pattern is a constant, so it is compiled once."""
+        stands = F.lit(not needles)
+        for a in needles:
+            main = next(i for i, m in enumerate(mains) if m in a)
+            whole = F.get(s["flags"], F.lit(main))
+            for n in a:
+                whole = whole if n == mains[main] else whole & s["low"].contains(n)
+            stands = stands | whole
+        return F.when(stands & (s["digit"] if numeric else F.lit(True)), F.rlike(text, F.lit(gate))).otherwise(False)
+
     odd = "\u017f\u0131\u0130\u212a"  # the letters that a search without case takes for s, i and k
     low = F.lower(F.when(text.rlike(f"[{odd}]"), F.translate(text, odd, "siik")).otherwise(text))
 
@@ -68,10 +78,8 @@ def regex_spans(text: Column, kinds: Sequence[str] | None = None, word_bounded:
         return F.struct(both.alias("text"), d["kind"].alias("entity_type"), start.alias("start"), (start + F.length(both)).alias("end"), d["score"].alias("score"), F.lit("regex").alias("source"))
 
     def found(s: Column) -> Column:
-        full = lambda d: F.exists(d["needles"], lambda a: F.forall(a, lambda n: s["low"].contains(n)))
-        stands = lambda d: (F.size(d["mains"]) == 0) | (F.exists(d["mains"], lambda i: F.get(s["flags"], i)) & full(d))
-        able = lambda d: (s["digit"] | ~d["numeric"]) & stands(d) & F.rlike(text, d["gate"])
-        tried = F.filter(F.array(*rows), able)
+        gates = F.array(*[may(s, *x) for x in able])
+        tried = let(gates, lambda g: F.filter(F.array(*rows), lambda d, i: F.get(g, i)))
         return F.flatten(F.transform(tried, lambda d: F.filter(F.transform(finditer(text, d["pattern"]), lambda m: span(m, d)), lambda x: valid(d["kind"], x["text"]))))
 
     def seen(low: Column) -> Column:
@@ -196,10 +204,12 @@ def reidentified(text: Column, mapping: Column) -> Column:
 
 def change_report(df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """One row for each value of a document (anonymised in mode both), in order of first occurrence, with its count."""
-    rows = df.select(doc_id, "mapping", F.posexplode("entities").alias("ord", "e"))
-    once = rows.groupBy(doc_id, F.col("e.text").alias("original_value")).agg(F.min(F.struct("ord", "e.entity_type", "e.source", "e.score")).alias("f"), F.count("*").alias("occurrences"), F.first("mapping").alias("mapping"))
+    tokens = F.map_from_arrays(F.transform("mapping", lambda m: m["original_value"]), F.transform("mapping", lambda m: m["token"]))
+    own = let(tokens, lambda t: F.transform("entities", lambda e: F.struct(e.alias("e"), F.try_element_at(t, e["text"]).alias("token"))))
+    rows = df.select(doc_id, F.posexplode_outer(own).alias("ord", "x")).where("ord IS NOT NULL").select(doc_id, "ord", "x.e", "x.token")
+    once = rows.groupBy(doc_id, F.col("e.text").alias("original_value")).agg(F.min(F.struct("ord", "e.entity_type", "e.source", "e.score")).alias("f"), F.count("*").alias("occurrences"), F.max("token").alias("pseudo_value"))
     serial = F.row_number().over(Window.partitionBy(doc_id).orderBy("f.ord"))
-    pseudo = F.get(F.transform(F.filter("mapping", lambda m: m["original_value"] == F.col("original_value")), lambda m: m["token"]), F.lit(0))
+    pseudo = F.col("pseudo_value")
     return once.select(
         doc_id,
         serial.cast("int").alias("serial_no"),
@@ -214,8 +224,12 @@ def change_report(df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def exploded(df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """One row for each span."""
-    return df.select(doc_id, F.inline("entities"))
+    """One row for each span.
+
+    The outer form, since the plain one lets Spark filter by the array's size
+    first, for which it would detect everything twice.
+    """
+    return df.select(doc_id, F.inline_outer("entities")).where("entity_type IS NOT NULL")
 
 
 def type_summary(spans: DataFrame) -> DataFrame:
