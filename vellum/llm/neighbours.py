@@ -236,9 +236,15 @@ def search(edges: DataFrame, codes: DataFrame, queries: DataFrame, beam: int = B
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two arrays of doubles."""
+    """Cosine of two arrays of doubles, none of them zero.
+
+    Where squares leave the range of doubles, both vectors are scaled by their largest component first.
+    """
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    scaled = lambda x: F.transform(x, lambda v: v / F.array_max(F.transform(x, lambda w: F.abs(w))))
+    of = lambda x, y: dot(x, y) / (F.sqrt(dot(x, x)) * F.sqrt(dot(y, y)))
+    fits = lambda x: dot(x, x).between(1e-290, 1e290)
+    return F.when(fits(a) & fits(b), of(a, b)).otherwise(of(scaled(a), scaled(b)))
 
 
 def nearest(df: DataFrame, asked: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
