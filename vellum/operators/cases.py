@@ -100,9 +100,3 @@ NEW_MESSAGE = "This is a new drug you can submit this application as NDA (new dr
 def eligibility_message(submission_type: Column) -> Column:
     """What is told about a type of submission."""
     return F.when(submission_type == "Generic Drug Application", GENERIC_MESSAGE).otherwise(NEW_MESSAGE)
-
-
-def result_of_status(status: Column) -> Column:
-    """A matcher's status as a verdict."""
-    low = F.lower(F.coalesce(status, F.lit("")))
-    return F.when(low == "matched", "CONSISTENT").when(low == "needs_user_confirmation", "NEEDS_REVIEW").otherwise("INCONSISTENT")
