@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import entities, files, geometry, matching, provenance
+from vellum.operators import entities, files, geometry, matching, ordering, paging, provenance
 from vellum.sources import files as sources
 
 # --- words in text ---
@@ -254,3 +254,36 @@ def test_relevance_by_either_way(spark):
     want = {(i, j, round(len(a & b) / len(a), 6)) for i, x in titles for j, y in texts if (a := words(x)) and len(a & (b := words(y))) >= 0.35 * len(a) and a & b}
     for most in (10**6, 0):
         assert {(r.item_id, r.doc_id, r.overlap) for r in matching.relevance(t, d, most_broadcast=most).collect()} == want
+
+
+def test_names_lose_two_pages(spark):
+    rows = [("Report (page 1) (page 2)", "report.pdf", 95), ("x/Report.pdf (Page 3)", "report.pdf", 100), ("a.pdf", "b.pdf", -1)]
+    df = spark.createDataFrame(rows, "a string, b string, want int").select("want", files.name_score(F.col("a"), F.col("b")).alias("got"))
+    assert all(r.want == r.got for r in df.collect())
+
+
+def test_passages_in_texts_without_an_id(spark):
+    texts = spark.createDataFrame([(None, "A b  C d e f g"), (1, "nothing of it"), (2, "x a b c d e f")], "doc_id long, text string")
+    passages = spark.createDataFrame([(7, "b c D e")], "item_id long, text string")
+    assert sorted(((r.item_id, r.doc_id, r.pos) for r in provenance.located(passages, texts).collect()), key=repr) == [(7, 2, 5), (7, None, 3)]
+
+
+def test_places_and_sums_over_a_whole_table(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice([None, "a", "b", "c"]), rng.choice([None, 1, 2, 5])) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, k string, v long").repartition(5)
+    order = [F.col("k").asc_nulls_first(), F.col("id")]
+    want, at = {}, 0
+    for n, (i, k, v) in enumerate(sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0])), 1):
+        want[i] = (n, at)
+        at += v or 0
+    out = ordering.numbered(ordering.running(df, order, F.col("v"), "before"), order)
+    assert {r.id: (r.place, r.before) for r in out.collect()} == want
+    assert ordering.numbered(df.limit(0), order).count() == 0
+
+
+def test_order_across_files(spark):
+    rows = [(f, p) for f in (3, 1, 2) for p in range(1, f + 3)]
+    df = spark.createDataFrame([(f, p, "t") for f, p in rows], "file long, page int, raw_text string")
+    got = {(r.file, r.page): (r.ord, r.n) for r in paging.with_order(df, across_files=True).collect()}
+    assert got == {fp: (i, len(rows)) for i, fp in enumerate(sorted(rows))}

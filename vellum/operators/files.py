@@ -179,12 +179,13 @@ def source_name(name: Column) -> Column:
 
 
 def source_stem(name: Column) -> Column:
-    return F.regexp_replace(source_name(name), r"(?i)\.[a-z0-9]+$", "")
+    """A source's name without its extension, after a second page in brackets has gone too."""
+    return F.regexp_replace(source_name(source_name(name)), r"(?i)\.[a-z0-9]+$", "")
 
 
 def canonical_name(name: Column) -> Column:
-    """A source's name, extension included, of a-z and 0-9 only."""
-    return F.regexp_replace(source_name(name), "[^a-z0-9]", "")
+    """A source's name, extension included, of a-z and 0-9 only, after a second page in brackets has gone too."""
+    return F.regexp_replace(source_name(source_name(name)), "[^a-z0-9]", "")
 
 
 def stem_words(name: Column) -> Column:

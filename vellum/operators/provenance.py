@@ -32,7 +32,7 @@ def located(passages: DataFrame, texts: DataFrame) -> DataFrame:
     A passage may begin and end within words, so it meets texts over words from
     its inside, up to four of them.  One of one or two words has no inside: it
     meets them over its first three characters (or all, if there are fewer).
-    Empty passages are nowhere.
+    Empty passages are nowhere.  Texts without an id are met as others are.
     """
     words = lambda c: F.split(c, " ")
     b = passages.select("item_id", normal(F.col("text")).alias("b")).where("b <> ''")
@@ -52,8 +52,8 @@ def located(passages: DataFrame, texts: DataFrame) -> DataFrame:
         hashed = lambda n: F.transform(grams(text, n), lambda g: F.xxhash64(F.lit(-n), g))
         return F.concat(runs, *[hashed(n) for n in sorted(by_chars)])
 
-    hits = d.select("doc_id", F.explode(keys(F.col("d"))).alias("key")).join(sent(b.select("item_id", "key")), "key").select("doc_id", "item_id").distinct()
-    met = d.join(hits, "doc_id").join(sent(b.select("item_id", "b")), "item_id").where(F.col("d").contains(F.col("b")))
+    hits = d.select("doc_id", F.explode(keys(F.col("d"))).alias("key")).join(sent(b.select("item_id", "key")), "key").select(F.col("doc_id").alias("_doc"), "item_id").distinct()
+    met = d.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(sent(b.select("item_id", "b")), "item_id").where(F.col("d").contains(F.col("b")))
     return met.select("item_id", "doc_id", F.instr(F.col("d"), F.col("b")).cast("long").alias("pos"))
 
 
