@@ -54,11 +54,14 @@ def hash31(text: Column) -> Column:
 
 
 def priority(level: Column, seed: Column) -> Column:
-    """A score within the band of a severity, spread by a hash of the seed."""
+    """A score within the band of a severity, spread by a hash of the seed.
+
+    Tenths are rounded after the multiplication by ten, not by the decimal digits of the score: 1.5 + 3.5 * 0.7 gives 4.0.
+    """
     t = (hash31(seed) % 1000) / F.lit(1000.0)
     low = F.lower(level)
     score = F.when(low == "high", 8.5 + 1.5 * t).when(low == "medium", 5.5 + 2.5 * t).when(low == "low", 1.5 + 3.5 * t).otherwise(F.lit(2.0))
-    return F.round(score, 1)
+    return F.floor(score * 10 + 0.5) / 10
 
 
 def bucket(seriousness: Column) -> Column:
