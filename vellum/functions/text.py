@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A noncharacter that stands around matches while they are found.
+_MARK = "\ufdd0"
 SPAN = "struct<text:string,entity_type:string,start:int,end:int,score:double,source:string>"
 
 
@@ -18,9 +20,15 @@ def finditer(text: Column, pattern: Column | str) -> Column:
 
     The text between matches and the matches themselves add up to the offsets,
     so no position comes from the regex engine.  Group 1 must end its match.
+    The pattern goes over the text once, with marks around what it finds; texts
+    that hold such a mark themselves are gone over three times.
     """
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    rows = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(1)), F.split(text, p, -1))
+    marked = F.split(F.regexp_replace(text, p, F.lit(f"{_MARK}$0{_MARK}$1{_MARK}")), _MARK, -1)
+    row = lambda m, i: F.struct(F.get(m, 3 * i + 1).alias("0"), F.get(m, 3 * i + 2).alias("1"), F.get(m, 3 * i).alias("2"))
+    once = let(marked, lambda m: F.transform(F.slice(F.sequence(F.lit(0), F.size(m)), F.lit(1), ((F.size(m) - 1) / 3).cast("int")), lambda i: row(m, i)))
+    thrice = F.arrays_zip(F.regexp_extract_all(text, p, F.lit(0)), F.regexp_extract_all(text, p, F.lit(1)), F.split(text, p, -1))
+    rows = F.when(text.contains(_MARK), thrice).otherwise(once)
     empty = F.array().cast("array<struct<start:int,end:int,full:string,value:string>>")
     start = lambda a, x: a["at"] + F.length(x["2"])
 

@@ -20,7 +20,10 @@ HOOK_SCHEMA = "array<" + SPAN + ">"
 
 def valid(kind: Column, value: Column) -> Column:
     """Whether a labelled value counts as an entity of its type."""
-    low = F.lower(value)
+    return let(F.lower(value), lambda low: _valid(kind, value, low))
+
+
+def _valid(kind: Column, value: Column, low: Column) -> Column:
     among = lambda phrases: F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: low.contains(p))
     words = F.size(F.filter(F.split(value, r"\s+"), lambda w: w != ""))
     always = (F.length(value) > 0) & ~value.rlike(P.DOTS) & ~value.rlike(P.MARKS_ONLY) & ~low.rlike(P.BRACKETED)
@@ -123,12 +126,20 @@ def isolated(text: Column, spans: Column) -> Column:
     return F.array_sort(free, lambda a, b: a["start"] - b["start"])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in tasks for all cores: all definitions take long for a text, and a file of few row groups would give few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def detect(df: DataFrame, text: str = "text", kinds: Sequence[str] | None = None, word_bounded: bool = False, recogniser: Callable[[Column], Column] | None = None) -> DataFrame:
     """df with ``entities``: disjoint, isolated spans of its text.
 
     recogniser is a hook: a function of the text column that gives an array of
     spans of its own, such as a pandas UDF around a model.
     """
+    if kinds is None:
+        df = spread(df)
     body = F.coalesce(F.col(text), F.lit(""))
     found = regex_spans(body, kinds, word_bounded)
     if recogniser is not None:
