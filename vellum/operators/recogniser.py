@@ -11,9 +11,11 @@ where spans are fused.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +34,22 @@ TOKENS = "array<struct<start:int,end:int>>"
 TAGS = "array<struct<label:string,score:double>>"
 
 
-def _pieces(texts: pd.Series) -> pd.Series:
+def _pieces(texts: pa.Array) -> pa.Array:
+    """Places as flat integers, not as objects: a batch of long texts has millions."""
     piece = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D]")
-    return texts.map(lambda t: None if t is None else [{"start": m.start(), "end": m.end()} for m in piece.finditer(t)])
+    starts, ends, upto = array("i"), array("i"), array("i", [0])
+    for t in texts:
+        for m in piece.finditer(t.as_py() or ""):
+            starts.append(m.start())
+            ends.append(m.end())
+        upto.append(len(starts))
+    flat = [pa.array(np.frombuffer(x, np.int32)) if x else pa.array([], pa.int32()) for x in (starts, ends)]
+    return pa.ListArray.from_arrays(pa.array(np.frombuffer(upto, np.int32)), pa.StructArray.from_arrays(flat, ["start", "end"]))
 
 
 def word_offsets(text: Column) -> Column:
     """Runs of letters and digits, and single other characters, with their places: stands in for a tagger's own tokenizer."""
-    return F.pandas_udf(_pieces, TOKENS)(text)
+    return F.when(text.isNotNull(), F.arrow_udf(_pieces, TOKENS)(text))
 
 
 def windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = word_offsets, window: int = WINDOW - SPECIAL, stride: int = STRIDE) -> DataFrame:
