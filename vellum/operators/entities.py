@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import patterns as P
 from vellum.functions.text import SPAN, canonical_type, display_label, finditer, let, splice
+from vellum.session import tasks
 
 HOOK_SCHEMA = "array<" + SPAN + ">"
 
@@ -128,8 +129,7 @@ def isolated(text: Column, spans: Column) -> Column:
 
 def spread(df: DataFrame) -> DataFrame:
     """df in tasks for all cores: all definitions take long for a text, and a file of few row groups would give few tasks."""
-    spark = df.sparkSession
-    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+    return df.repartition(tasks(df.sparkSession))
 
 
 def detect(df: DataFrame, text: str = "text", kinds: Sequence[str] | None = None, word_bounded: bool = False, recogniser: Callable[[Column], Column] | None = None) -> DataFrame:

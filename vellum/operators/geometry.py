@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellum.functions.text import let
+from vellum.session import ship
+
 BOX = ("x1", "y1", "x2", "y2")
 
 
@@ -104,19 +109,58 @@ def assigned_once(lines: DataFrame, blocks: DataFrame, threshold: float = 0.85)
     return deduplicated(found.where("block_id IS NOT NULL"), threshold).unionByName(found.where("block_id IS NULL"))
 
 
-def rows_of_words(words: DataFrame, reach: float = 3.2, gap: float = 16.0) -> DataFrame:
-    """Rows of text from words (page_id, x0, y0, x1, y1, text): page_id, row_no, row_text.
+def rows_of_words(words: DataFrame, reach: float = 3.2, gap: float = 16.0, doc_id: str | None = None) -> DataFrame:
+    """Rows of text from words (page_id, x0, y0, x1, y1, text): page_id, row_no, row_text; with doc_id, words and rows have it and page in place of page_id.
 
     Words come by height of their centre; one joins the current row while it lies
     within ``reach`` of the row's running mean.  A wide gap in a row is a tab.
     """
-    placed = placed_words(words.withColumn("page", F.lit(0)), "page_id", reach, gap)
-    parts = F.array_sort(F.collect_list(F.struct("w_start", F.concat("sep", "text").alias("t"))))
-    rows = placed.groupBy("page_id", "row_no").agg(F.array_join(F.transform(parts, lambda p: p["t"]), "").alias("t"))
-    return rows.select("page_id", F.col("row_no").cast("long").alias("row_no"), F.ltrim("t", F.lit("\n")).alias("row_text"))
-
-
-WORDS_PLACED = "{doc} {kind}, page int, row_no int, x0 double, y0 double, x1 double, y1 double, text string, sep string, at int"
+    if doc_id is None:
+        return rows_of_words(words.withColumn("page", F.lit(0)), reach, gap, "page_id").drop("page")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("place", F.translate("sep", "\n", "").alias("sep"), "text"))), lambda p: F.concat(p["sep"], p["text"]))
+    rows = _in_rows(words, doc_id, reach, gap).groupBy(doc_id, "page", "row_no").agg(F.array_join(parts, "").alias("row_text"))
+    return rows.withColumn("row_no", F.col("row_no").cast("long"))
+
+
+def _row_numbers(pages: pa.Array, reach: float) -> pa.Array:
+    """Numbers of rows from the sorted heights of each page's words; a word without a height is a row of its own."""
+    numbers, upto = array("i"), array("i", [0])
+    for page in pages:
+        row_no, mean, n = -1, 0.0, 0
+        for cy in page.values.to_numpy(zero_copy_only=False).tolist():
+            if row_no >= 0 and abs(cy - mean) <= reach:
+                n += 1
+                mean = (mean * (n - 1) + cy) / n
+            else:
+                row_no, mean, n = row_no + 1, cy, 1
+            numbers.append(row_no)
+        upto.append(len(numbers))
+    values = pa.array(np.frombuffer(numbers, np.int32)) if numbers else pa.array([], pa.int32())
+    return pa.ListArray.from_arrays(pa.array(np.frombuffer(upto, np.int32)), values)
+
+
+def _in_rows(words: DataFrame, doc_id: str, reach: float, gap: float) -> DataFrame:
+    """Words that are not blank, with row_no, sep (what stands before them) and place (their order in the page)."""
+    ship(words.sparkSession)
+
+    def numbers(heights: pa.Array) -> pa.Array:
+        return _row_numbers(heights, reach)
+
+    number = F.arrow_udf(numbers, "array<int>")
+    last = lambda c: F.coalesce(c, F.lit(float("nan")))  # noqa: E731 (nulls stand behind all numbers)
+    sizes = [F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in ("x0", "y0", "x1", "y1")]
+    rows = words.select(doc_id, F.col("page").cast("int").alias("page"), *sizes, F.btrim("text", F.lit(" \t\n\x0b\f\r")).alias("text")).where("text <> ''")
+    word = F.struct(last((F.col("y0") + F.col("y1")) / 2).alias("cy"), last(F.col("x0")).alias("left"), last(F.col("x1")).alias("right"), "text", "x0", "y0", "x1", "y1")
+    pages = rows.groupBy(doc_id, "page").agg(F.sort_array(F.collect_list(word)).alias("ws"))
+    pages = pages.withColumn("numbers", number(F.transform("ws", lambda w: w["cy"])))
+    # In a row words stand from the left; those that begin alike stay in order of height.
+    kept = ("x0", "y0", "x1", "y1", "text")
+    own = lambda w: [w[c].alias(c) for c in kept]
+    placed = F.sort_array(F.transform("ws", lambda w, i: F.struct(F.get("numbers", i).alias("row_no"), w["left"].alias("left"), i.alias("i"), *own(w))))
+    before = lambda a, i: F.get(a, i - 1)
+    sep = lambda a, w, i: F.when(i == 0, "").when(before(a, i)["row_no"] != w["row_no"], "\n").when(w["x0"] - before(a, i)["x1"] >= gap, "\t").otherwise(" ")
+    told = let(placed, lambda a: F.transform(a, lambda w, i: F.struct(w["row_no"].alias("row_no"), i.alias("place"), *own(w), sep(a, w, i).alias("sep"))))
+    return pages.select(doc_id, "page", F.explode(told).alias("w")).select(doc_id, "page", "w.*")
 
 
 def placed_words(words: DataFrame, doc_id: str = "doc_id", reach: float = 3.2, gap: float = 16.0) -> DataFrame:
@@ -126,36 +170,13 @@ def placed_words(words: DataFrame, doc_id: str = "doc_id", reach: float = 3.2, g
     the left, a blank between them, or a tab where the gap is wide.  Rows and pages end with a
     line feed, pages without words too (but for the last page with words).
     Adds row_no, sep (what stands before the word), w_start and w_end.  Blank
-    words are left out.  A page is a group; documents are summed up by pages.
+    words are left out.  A page is a row's array, of which only the heights go to
+    Python; a document's words are summed up as a stream.
     """
-    kind = words.schema[doc_id].dataType.simpleString()
-    rows = words.select(doc_id, F.col("page").cast("int").alias("page"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], F.btrim("text", F.lit(" \t\n\x0b\f\r")).alias("text")).where("text <> ''")
-
-    def place(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(cy=(page["y0"] + page["y1"]) / 2).sort_values(["cy", "x0", "x1", "text"], kind="stable")
-        row_no, mean, n, numbers = -1, 0.0, 0, []
-        for cy in page["cy"].tolist():
-            if row_no >= 0 and abs(cy - mean) <= reach:
-                n += 1
-                mean = (mean * (n - 1) + cy) / n
-            else:
-                row_no, mean, n = row_no + 1, cy, 1
-            numbers.append(row_no)
-        page = page.assign(row_no=numbers).sort_values(["row_no", "x0"], kind="stable")
-        first = page["row_no"].ne(page["row_no"].shift())
-        wide = (page["x0"] - page["x1"].shift()) >= gap
-        page["sep"] = np.where(first, np.where(page["row_no"] == 0, "", "\n"), np.where(wide, "\t", " "))
-        sizes = page["sep"].str.len() + page["text"].str.len()
-        page["at"] = sizes.cumsum() - page["text"].str.len()
-        return page[[doc_id, "page", "row_no", "x0", "y0", "x1", "y1", "text", "sep", "at"]]
-
-    placed = rows.groupBy(doc_id, "page").applyInPandas(place, WORDS_PLACED.format(doc=doc_id, kind=kind))
-    pages = placed.groupBy(doc_id, "page").agg(F.max(F.col("at") + F.length("text")).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(doc_id).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = pages.select(F.col(doc_id).alias("_doc"), F.col("page").alias("_page"), (before + F.col("page")).cast("int").alias("_start"))
-    both = placed.join(starts, F.col(doc_id).eqNullSafe(F.col("_doc")) & (F.col("page") == F.col("_page")))
-    start = F.col("_start") + F.col("at")
-    return both.select(doc_id, "page", "row_no", "x0", "y0", "x1", "y1", "text", "sep", start.alias("w_start"), (start + F.length("text")).alias("w_end"))
+    order = Window.partitionBy(doc_id).orderBy("page", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = (F.sum(F.length(F.concat("sep", "text"))).over(order) + F.col("page")).cast("int")
+    rows = _in_rows(words, doc_id, reach, gap).withColumn("w_end", end)
+    return rows.select(doc_id, "page", "row_no", "x0", "y0", "x1", "y1", "text", "sep", (F.col("w_end") - F.length("text")).alias("w_start"), "w_end")
 
 
 def stream_of(placed: DataFrame, doc_id: str = "doc_id") -> DataFrame:

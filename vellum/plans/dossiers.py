@@ -219,8 +219,8 @@ SELECT doc_id, CAST(line // 40 AS INTEGER) AS page, CAST(row_number() OVER (PART
 def row_cluster(spark, sf_dir):
     """Rows of the words of laid-out documents, found by the heights of the words."""
     words = laid_out(documents(spark, sf_dir))
-    rows = geometry.rows_of_words(words.withColumn("page_id", F.struct("doc_id", "page")).drop("page"))
-    return rows.select("page_id.doc_id", "page_id.page", F.col("row_no").cast("int").alias("row_no"), "row_text")
+    rows = geometry.rows_of_words(words, doc_id="doc_id")
+    return rows.select("doc_id", "page", F.col("row_no").cast("int").alias("row_no"), "row_text")
 
 
 # --- tables and parts of Word files -----------------------------------------------------------------------------------------------

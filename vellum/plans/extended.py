@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vellum.operators import cases, consistency, entities, files, geometry, matching, models, paging, paragraphs, provenance, recogniser, registry
 from vellum.plans import catalogue
 from vellum.plans.catalogue import documents, query, table
-from vellum.session import scratch
+from vellum.session import scratch, tasks
 from vellum.sources import archives
 from vellum.sources import files as sources
 
@@ -94,7 +94,11 @@ def docx_provenance(spark, sf_dir):
 
 
 def laid_out(docs: DataFrame) -> DataFrame:
-    """Documents as words on pages: 40 lines to a page, 14 units high each, and 6 units for a character."""
+    """Documents as words on pages: 40 lines to a page, 14 units high each, and 6 units for a character.
+
+    Texts are dealt to tasks by their ids before they become words, so that words are shuffled only once behind Python.
+    """
+    docs = docs.select("doc_id", "text").repartition(tasks(docs.sparkSession), "doc_id")
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     pieces = lines.select("doc_id", "line", F.regexp_extract_all("t", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)).alias("ps"))
     words = pieces.select("doc_id", "line", F.posexplode("ps").alias("i", "p"))
@@ -114,9 +118,12 @@ f AS (SELECT *, 'EMAIL' AS entity_type, unnest(regexp_extract_all(text, '\b({_EM
 SELECT doc_id, entity_type, value, CAST(line // 40 AS INTEGER) AS page, (e - length(text)) * 6.0::DOUBLE AS x0, (line % 40) * 14.0::DOUBLE AS y0, e * 6.0::DOUBLE AS x1, (line % 40) * 14.0::DOUBLE + 10 AS y1 FROM f""")
 def span_boxes(spark, sf_dir):
     """Addresses in the text that the words of laid-out documents give, with the boxes to cover on each page."""
-    words = geometry.placed_words(laid_out(documents(spark, sf_dir)))
-    spans = entities.exploded(entities.detect(geometry.stream_of(words), kinds=("EMAIL", "IP_ADDRESS")))
-    boxes = entities.words_under_spans(words, spans)
+    docs, path = documents(spark, sf_dir), scratch(spark, "spans")
+    words = geometry.placed_words(laid_out(docs))
+    entities.exploded(entities.detect(geometry.stream_of(words), kinds=("EMAIL", "IP_ADDRESS"))).write.parquet(path)
+    spans = spark.read.parquet(path)
+    some = docs.join(spans.select(F.col("doc_id").alias("_d")).distinct(), F.col("doc_id").eqNullSafe(F.col("_d")), "left_semi")
+    boxes = entities.words_under_spans(geometry.placed_words(laid_out(some)), spans)
     return spans.join(boxes, ["doc_id", "start", "end"]).select("doc_id", "entity_type", F.col("text").alias("value"), "page", "x0", "y0", "x1", "y1")
 
 

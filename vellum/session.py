@@ -31,6 +31,11 @@ def ship(spark: SparkSession) -> None:
     context._vellum_shipped = True
 
 
+def tasks(spark: SparkSession) -> int:
+    """Tasks for work that takes long for its size: enough for all cores."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; only in one process may it be unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
