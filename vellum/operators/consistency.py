@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import finditer, let, lower_alnum
+from vellum.session import tasks
 
 # Results depend on each of them, and on their order.
 NOT_FOUND = "Not found"
@@ -197,10 +200,13 @@ def line_value(snippet: Column) -> Column:
     return F.coalesce(F.left(F.get(good, F.lit(0)), F.lit(500)), F.btrim(F.left(snippet, F.lit(500)), F.lit(" \t\r\n")))
 
 
-def extract_fields(modules: DataFrame) -> DataFrame:
-    """modules (dossier_id, module, text) to rows dossier_id, module, field_number, raw."""
-    found = F.array(*[F.struct(F.lit(n).alias("field_number"), line_value(snippets(F.col("text"), n)).alias("raw")) for n in FIELDS])
-    return modules.select("dossier_id", "module", F.inline(found))
+def extract_fields(modules: DataFrame, numbers: Iterable[int] = tuple(FIELDS)) -> DataFrame:
+    """modules (dossier_id, module, text) to rows dossier_id, module, field_number, raw, of all fields or of those that are asked for.
+
+    Anchors are cheap only for short texts, so rows are dealt to tasks for all cores, whatever file they come from.
+    """
+    found = F.array(*[F.struct(F.lit(n).alias("field_number"), let(snippets(F.col("text"), n), line_value).alias("raw")) for n in numbers])
+    return modules.repartition(tasks(modules.sparkSession)).select("dossier_id", "module", F.inline_outer(found))
 
 
 def compare(fields: DataFrame) -> DataFrame:

@@ -85,7 +85,7 @@ def headings_checked(spark, sf_dir):
 def anchor_fields(spark, sf_dir):
     """Shelf lives that stand behind their anchors in texts made of parts, in months."""
     rows = _specifications(spark, sf_dir).select(F.col("p_partkey").alias("dossier_id"), F.lit("M3").alias("module"), "text")
-    found = consistency.extract_fields(rows).where("field_number = 9 AND raw <> ''")
+    found = consistency.extract_fields(rows, (9,)).where("raw <> ''")
     return found.select(F.col("dossier_id").alias("p_partkey"), "field_number", consistency.months(F.col("raw")).alias("months"))
 
 
