@@ -79,6 +79,10 @@ def strength(t: Column) -> Column:
     s = F.regexp_replace(F.translate(F.lower(t), "µμ", "uu"), r"\s+", " ")
     for pattern, unit in ((r"milligrams?", "mg"), (r"micrograms?", "mcg"), (r"\bgrams?\b", "g")):
         s = F.regexp_replace(s, pattern, unit)
+    return let(s, lambda s: _strength(t, s))
+
+
+def _strength(t: Column, s: Column) -> Column:
     p = r"(\d+(?:\.\d+)?)\s*(mg|mcg|g|iu|units?|%|w/w|w/v|ml)\b"
     number, unit = F.nullif(F.regexp_extract(s, p, 1), F.lit("")).cast("double"), F.nullif(F.regexp_extract(s, p, 2), F.lit(""))
     shown = F.when(number == F.floor(number), F.floor(number).cast("string")).otherwise(number.cast("string"))
@@ -137,7 +141,10 @@ def indication(t: Column) -> Column:
 
 def months(t: Column) -> Column:
     """The first duration of a text, in months; of several kinds, months before years before days before "36M"."""
-    s = F.btrim(F.lower(t))
+    return let(F.btrim(F.lower(t)), _months)
+
+
+def _months(s: Column) -> Column:
     part = lambda p: F.nullif(F.regexp_extract(s, p, 1), F.lit("")).cast("double")
     days = part(r"(\d+(?:\.\d+)?)\s*(?:day|days)\b")
     return F.coalesce(
