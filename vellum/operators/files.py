@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.operators.registry import containing
+from vellum.session import scratch
 
 
 def normalised(path: Column) -> Column:
@@ -208,37 +209,77 @@ def name_score(wanted: Column, name: Column) -> Column:
     )
 
 
+#: A word that more files have is common: files meet sources over their sets of common words, not one by one.
+COMMON = 200
+
+
+def most_shared(sources: DataFrame, files: DataFrame) -> DataFrame:
+    """Files (name, ord, ws: distinct words) with the most words of each source (source_name, ws; repeats count), as source_name and f, a struct of ord and name.
+
+    Up to two files a source, the first of those with the most words among them.
+    Files that share a rare word with the source are met one by one.  Of all
+    others only the common words count, so the first file of each set of common
+    words stands for its like, and sources with the same common words ask once.
+    """
+    common = files.select(F.explode("ws").alias("w")).groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("w", F.lit(True).alias("common"))
+
+    def marked(rows: DataFrame, key: str, *columns: str) -> DataFrame:
+        """A row for each word, and the common ones of its row in order, as one text."""
+        words = rows.select(key, *columns, F.explode("ws").alias("w")).join(common, "w", "left")
+        own = F.array_join(F.array_sort(F.collect_list(F.when(F.col("common"), F.col("w")))), " ")
+        return words.groupBy(key, *columns).agg(own.alias("own"), F.filter(F.collect_list(F.when(F.col("common").isNull(), F.col("w"))), lambda w: w.isNotNull()).alias("rare"))
+
+    times = lambda ws, w: F.size(F.filter(ws, lambda x: x == w))
+    split = lambda c: F.split(c, " ")
+    of_common = lambda mine, other: F.aggregate(split(other), F.lit(0), lambda n, w: n + times(split(mine), w))
+    a, b = marked(sources, "source_name"), marked(files, "name", "ord")
+    # By rare words: their number, and the common ones of the pair.
+    met = a.select("source_name", F.explode("rare").alias("w")).join(b.select("name", "ord", F.explode("rare").alias("w")), "w").groupBy("source_name", "name", "ord").agg(F.count("*").alias("n"))
+    met = met.join(a.select("source_name", F.col("own").alias("mine")), "source_name").join(b.select("name", "ord", "own"), ["name", "ord"])
+    met = met.withColumn("n", F.col("n") + F.when((F.col("mine") != "") & (F.col("own") != ""), of_common(F.col("mine"), F.col("own"))).otherwise(0))
+    best = lambda rows, key: rows.groupBy(key).agg(F.min(F.struct((-F.col("n")).alias("n"), "ord", "name")).alias("s")).select(key, F.struct("s.ord", "s.name").alias("f"))
+    # By sets of common words.
+    firsts = b.where("own <> ''").groupBy("own").agg(F.min(F.struct("ord", "name")).alias("f")).select("own", "f.ord", "f.name")
+    asked = a.where("own <> ''").select(F.col("own").alias("mine")).distinct()
+    kinds = asked.select("mine", F.explode(split(F.col("mine"))).alias("w")).join(firsts.select("own", "ord", "name", F.explode(split(F.col("own"))).alias("w")), "w").groupBy("mine", "own", "ord", "name").agg(F.count("*").alias("n"))
+    others = a.select("source_name", F.col("own").alias("mine")).join(best(kinds, "mine"), "mine").select("source_name", "f")
+    return best(met, "source_name").unionByName(others)
+
+
 def best_files(sources: DataFrame, files: DataFrame) -> DataFrame:
     """For each source (source_name) the file (name, ord) that fits best, the first of equals; sources with none are left out.
 
     Names are compared as distinct texts, and each rule brings together only the
     pairs that it can score: equal names, stems and canonical forms by equi-joins,
-    contained ones over their rarest run of three characters, shared words by the
-    words.  Of each rule one file a source goes on.
+    contained ones over their rarest run of up to six characters, shared words by
+    the words.  Of each rule one file a source goes on.
     """
-    a = sources.select("source_name").distinct().where(source_name(F.col("source_name")) != "")
-    b = files.where(source_name(F.col("name")) != "").select("name", "ord")
+    spark = sources.sparkSession
+    forms = lambda c: (source_name(c).alias("k1"), source_stem(c).alias("k2"), canonical_name(c).alias("k3"), stem_words(c).alias("ws"))
+    kept = {"a": sources.select("source_name").distinct().select("source_name", *forms(F.col("source_name"))), "b": files.select("name", "ord", *forms(F.col("name")))}
+    path = scratch(spark, "names")  # forms are asked for many times and computed once
+    for side, rows in kept.items():
+        rows.where("k1 <> ''").write.parquet(f"{path}/{side}")
+    a, b = (spark.read.parquet(f"{path}/{side}") for side in kept)
+
+    def first(key: str) -> DataFrame:
+        return b.groupBy(key).agg(F.min(F.struct("ord", "name")).alias("f"))
 
-    def met(f: Callable[[Column], Column]) -> DataFrame:
-        first = b.groupBy(f(F.col("name")).alias("k")).agg(F.min(F.struct("ord", "name")).alias("f"))
-        return a.withColumn("k", f(F.col("source_name"))).join(first, "k").select("source_name", "f")
+    def met(key: str) -> DataFrame:
+        return a.select("source_name", key).join(first(key), key).select("source_name", "f")
 
-    canons = a.select("source_name", canonical_name(F.col("source_name")).alias("ca"))
-    first_of = b.groupBy(canonical_name(F.col("name")).alias("cb")).agg(F.min(F.struct("ord", "name")).alias("f"))
+    canons, first_of = a.select("source_name", F.col("k3").alias("ca")), first("k3").withColumnRenamed("k3", "cb")
     needles, hays = canons.where("ca <> ''").select("ca").distinct(), first_of.where("cb <> ''").select("cb")
-    inside = containing(needles.withColumnRenamed("ca", "needle"), hays.withColumnRenamed("cb", "hay")).select(F.col("needle").alias("ca"), F.col("hay").alias("cb"))
-    around = containing(hays.withColumnRenamed("cb", "needle"), needles.withColumnRenamed("ca", "hay")).select(F.col("hay").alias("ca"), F.col("needle").alias("cb"))
+    inside = containing(needles.withColumnRenamed("ca", "needle"), hays.withColumnRenamed("cb", "hay"), most=6).select(F.col("needle").alias("ca"), F.col("hay").alias("cb"))
+    around = containing(hays.withColumnRenamed("cb", "needle"), needles.withColumnRenamed("ca", "hay"), most=6).select(F.col("hay").alias("ca"), F.col("needle").alias("cb"))
     held = inside.unionByName(around).join(first_of, "cb").groupBy("ca").agg(F.min("f").alias("f"))
     contained = canons.join(held, "ca").select("source_name", "f")
     # An empty form is in all others: the first file for such a source, the first such file for all.
     anything = F.broadcast(b.agg(F.min(F.struct("ord", "name")).alias("f")).where("f IS NOT NULL"))
     nothing = F.broadcast(first_of.where("cb = ''").select("f"))
     empty = canons.where("ca = ''").crossJoin(anything).unionByName(canons.crossJoin(nothing)).select("source_name", "f")  # one row each
-    words = a.select("source_name", F.explode(stem_words(F.col("source_name"))).alias("w")).groupBy("source_name", "w").agg(F.count("*").alias("times"))
-    named = b.select("name", "ord", F.explode(F.array_distinct(stem_words(F.col("name")))).alias("w"))
-    shared = named.join(words, "w").groupBy("source_name", "name", "ord").agg(F.sum("times").alias("n"))
-    shared = shared.groupBy("source_name").agg(F.min(F.struct((-F.col("n")).alias("n"), "ord", "name")).alias("s")).select("source_name", F.struct("s.ord", "s.name").alias("f"))
-    pairs = met(source_name).unionByName(met(source_stem)).unionByName(met(canonical_name)).unionByName(contained).unionByName(empty).unionByName(shared)
+    shared = most_shared(a.select("source_name", "ws"), b.select("name", "ord", F.array_distinct("ws").alias("ws")))
+    pairs = met("k1").unionByName(met("k2")).unionByName(met("k3")).unionByName(contained).unionByName(empty).unionByName(shared)
     pairs = pairs.select("source_name", "f.name", "f.ord").distinct().withColumn("score", name_score(F.col("source_name"), F.col("name"))).where("score > 0")
     best = pairs.groupBy("source_name").agg(F.max_by(F.struct("name", "score"), F.struct(F.col("score"), -F.col("ord"))).alias("b"))
     return best.select("source_name", "b.name", F.col("b.score").cast("long").alias("score"))

@@ -32,18 +32,19 @@ def grams(x: Column, n: int) -> Column:
     return let(F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0)), runs)
 
 
-def containing(needles: DataFrame, hays: DataFrame) -> DataFrame:
+def containing(needles: DataFrame, hays: DataFrame, most: int = 3) -> DataFrame:
     """Pairs (needle, hay) of distinct texts where hay contains needle; needles: needle, hays: hay; empty needles meet nothing.
 
-    A contained text has all its runs of three characters (or itself, if it is
+    A contained text has all its runs of ``most`` characters (or itself, if it is
     shorter) in the other one.  Each needle meets the hays over the one of its
-    runs that the fewest hays have, so a common run gathers nothing.
+    runs that the fewest hays have, so a common run gathers nothing.  Where texts
+    are mainly numbers, all runs of three are common, and longer ones are needed.
     """
     needles = needles.where(F.length("needle") > 0).distinct()
     hays = hays.where(F.col("hay").isNotNull()).distinct()
-    of = lambda x: F.when(F.length(x) >= 3, grams(x, 3)).otherwise(F.array(x))
+    of = lambda x: F.when(F.length(x) >= most, grams(x, most)).otherwise(F.array(x))
     wanted = needles.select("needle", F.explode(of(F.col("needle"))).alias("gram"))
-    sizes = [r[0] for r in needles.select(F.least(F.length("needle"), F.lit(3)).alias("n")).distinct().collect()]  # of 1, 2, 3
+    sizes = [r[0] for r in needles.select(F.least(F.length("needle"), F.lit(most)).alias("n")).distinct().collect()]  # of 1 to most
     if not sizes:
         return needles.select("needle", F.lit(None).cast("string").alias("hay")).limit(0)
     held = hays.select("hay", F.explode(F.concat(*[grams(F.col("hay"), n) for n in sorted(sizes)])).alias("gram"))
