@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.functions.text import let
 from vellum.operators.registry import grams
+from vellum.session import tasks
 
 #: Words of a passage between its first and its last one that texts are searched for, at most.
 KEY_WORDS = 4
 #: Rows and characters of passages that are sent to all tasks at most.
 BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 50_000_000
+#: Distinct passages without inside words that texts are searched for one after the other, at most; more of them meet texts over runs of characters.
+SCANNED = 1_000
 # Words that don't count as hits.
 STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "were", "was", "are", "have", "has", "had", "into", "onto", "about", "after", "before", "report")
 
@@ -38,23 +43,34 @@ def located(passages: DataFrame, texts: DataFrame) -> DataFrame:
     b = passages.select("item_id", normal(F.col("text")).alias("b")).where("b <> ''")
     size = F.least(F.size(words(F.col("b"))) - 2, F.lit(KEY_WORDS))
     b = b.withColumn("n", F.when(size > 0, size).otherwise(-F.least(F.length("b"), F.lit(3)))).withColumn("key", F.when(F.col("n") > 0, F.xxhash64("n", F.array_join(F.slice(words(F.col("b")), F.lit(2), F.greatest("n", F.lit(1))), " "))).otherwise(F.xxhash64("n", F.left("b", F.lit(3)))))
-    stats = b.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("b")), F.lit(0)).alias("chars"), F.collect_set("n").alias("sizes")).first()
+    stats = b.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.length("b")), F.lit(0)).alias("chars"), F.collect_set("n").alias("sizes"), F.count_if(F.col("n") < 0).alias("brief")).first()
     small = stats["rows"] <= BROADCAST_ROWS and stats["chars"] <= BROADCAST_CHARS
     sent = F.broadcast if small else lambda df: df
     d = texts.select("doc_id", normal(F.col("text")).alias("d"))
     if not stats["sizes"]:
         return b.select("item_id", F.lit(None).cast(dict(texts.dtypes)["doc_id"]).alias("doc_id"), F.lit(0).cast("long").alias("pos")).limit(0)
+    place = F.instr(F.col("d"), F.col("b")).cast("long").alias("pos")
+    brief = b.where("n < 0").select("b").distinct()
+    scanned = small and stats["brief"] > 0 and brief.count() <= SCANNED
     by_words = [n for n in stats["sizes"] if n > 0]
-    by_chars = [-n for n in stats["sizes"] if n < 0]
+    by_chars = [] if scanned else [-n for n in stats["sizes"] if n < 0]
+    parts = []
+    if scanned:
+        dealt = texts.select("doc_id", "text").repartition(tasks(texts.sparkSession)).select("doc_id", normal(F.col("text")).alias("d"))
+        found = dealt.join(F.broadcast(brief), F.col("d").contains(F.col("b"))).select("doc_id", "b", place)
+        parts.append(found.join(F.broadcast(b.where("n < 0").select("item_id", "b")), "b").select("item_id", "doc_id", "pos"))
+        b = b.where("n > 0")
 
     def keys(text: Column) -> Column:
         runs = let(words(text), lambda w: F.concat(*[_runs(w, n) for n in sorted(by_words)])) if by_words else F.array().cast("array<bigint>")
         hashed = lambda n: F.transform(grams(text, n), lambda g: F.xxhash64(F.lit(-n), g))
         return F.concat(runs, *[hashed(n) for n in sorted(by_chars)])
 
-    hits = d.select("doc_id", F.explode(keys(F.col("d"))).alias("key")).join(sent(b.select("item_id", "key")), "key").select(F.col("doc_id").alias("_doc"), "item_id").distinct()
-    met = d.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(sent(b.select("item_id", "b")), "item_id").where(F.col("d").contains(F.col("b")))
-    return met.select("item_id", "doc_id", F.instr(F.col("d"), F.col("b")).cast("long").alias("pos"))
+    if by_words or by_chars:
+        hits = d.select("doc_id", F.explode(keys(F.col("d"))).alias("key")).join(sent(b.select("item_id", "key")), "key").select(F.col("doc_id").alias("_doc"), "item_id").distinct()
+        met = d.join(hits, F.col("doc_id").eqNullSafe(F.col("_doc"))).join(sent(b.select("item_id", "b")), "item_id").where(F.col("d").contains(F.col("b")))
+        parts.append(met.select("item_id", "doc_id", place))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def items_of(snippet: Column, items: Column) -> Column:
