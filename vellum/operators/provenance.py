@@ -73,18 +73,26 @@ def located(passages: DataFrame, texts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def items_of(snippet: Column, items: Column) -> Column:
+_BLANK = r"[\s\x00-\x1f\x7f]+"
+
+
+def page_of(items: Column) -> Column:
+    """What items_of compares with any snippet: struct of ``hay``, the items joined and normalised, and ``low``, each in lower case."""
+    return F.struct(F.ltrim(F.regexp_replace(F.lower(F.array_join(items, " ")), _BLANK, " ")).alias("hay"), F.transform(items, F.lower).alias("low"))
+
+
+def items_of(snippet: Column, items: Column, page: Column | None = None) -> Column:
     """Struct of ``strong`` and ``weak``: places (from 0) of the items of a page that hold a snippet.
 
     Items are joined by blanks.  If the snippet, normalised, stands in them, all
     items that it touches are strong.  Otherwise an item with two hits or more is
     weak: a hit is a word of the snippet, of four characters or more and no stop
     word, that stands anywhere in the item; words count as often as they occur.
+    ``page`` is page_of(items), where it is at hand for several snippets.
     """
-    blank = r"[\s\x00-\x1f\x7f]+"
-    plain = lambda x: F.regexp_replace(F.lower(x), blank, " ")
+    page = page_of(items) if page is None else page
+    plain = lambda x: F.regexp_replace(F.lower(x), _BLANK, " ")
     needle = F.btrim(plain(snippet))
-    hay = F.ltrim(plain(F.array_join(items, " ")))
 
     def strong(at: Column) -> Column:
         # In normalised text, item i begins behind all items before it; one of blanks only has no characters and is never touched.
@@ -92,13 +100,15 @@ def items_of(snippet: Column, items: Column) -> Column:
         own = lambda x: F.length(F.btrim(plain(x)))
         return F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: (own(F.get(items, i)) > 0) & (upto(i) < at - 1 + F.length(needle)) & (upto(i) + own(F.get(items, i)) > at - 1))
 
-    tokens = F.filter(F.split(F.lower(snippet), "[^a-z0-9]+"), lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
-    hits = lambda x: F.size(F.filter(tokens, lambda w: F.lower(x).contains(w)))
+    wanted = F.filter(F.split(F.lower(snippet), "[^a-z0-9]+"), lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS))
     none = F.array().cast("array<int>")
-    weak = F.filter(F.sequence(F.lit(0), F.size(items) - 1), lambda i: (F.btrim(F.get(items, i)) != "") & (hits(F.get(items, i)) >= 2))
-    found = F.when((needle != "") & (F.size(items) > 0), F.instr(hay, needle)).otherwise(F.lit(0))
+    enough = lambda x, tokens: (F.btrim(x) != "") & (F.size(F.filter(tokens, lambda w: x.contains(w))) >= 2)
+    held = lambda tokens: F.filter(F.transform(page["low"], lambda x, i: F.when(enough(x, tokens), i)), lambda i: i.isNotNull())
     usable = (needle != "") & (F.size(items) > 0)
-    return F.struct(F.when(found > 0, let(found, strong)).otherwise(none).alias("strong"), F.when((found == 0) & usable, weak).otherwise(none).alias("weak"))
+    # Words of the snippet and the place are each worked out once, not for each use.
+    weak = F.when(F.size(items) > 0, let(wanted, lambda tokens: F.when(F.size(tokens) >= 2, held(tokens)).otherwise(none)))
+    place = F.when(usable, F.instr(page["hay"], needle)).otherwise(F.lit(0))
+    return let(place, lambda found: F.struct(F.when(found > 0, strong(found)).otherwise(none).alias("strong"), F.when((found == 0) & usable, weak).otherwise(none).alias("weak")))
 
 
 def alnum_form(text: Column) -> Column:

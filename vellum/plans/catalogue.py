@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vellum.functions import text as T
 from vellum.operators import cases, entities, files, matching, ordering, paging, paragraphs, provenance, registry
+from vellum.session import tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -427,10 +428,10 @@ def snippet_locate_short(spark, sf_dir):
 @query()
 def snippet_items(spark, sf_dir):
     """The lines of each document that hold the snippet of the benchmark item with its number, strongly or weakly; tested against brute force."""
-    pairs = documents(spark, sf_dir).select("doc_id", F.split("text", "\n").alias("items"), (F.col("doc_id") % 40).alias("n"))
+    pairs = documents(spark, sf_dir).select("doc_id", "text").repartition(tasks(spark)).select("doc_id", F.split("text", "\n").alias("items"), (F.col("doc_id") % 40).alias("n")).withColumn("page", provenance.page_of(F.col("items")))
     snippets = table(spark, sf_dir, "benchmark").select(F.pmod("item_id", F.lit(40)).alias("n"), "item_id", F.col("text").alias("snippet"))
-    found = pairs.join(snippets, "n").select("doc_id", "item_id", provenance.items_of(F.col("snippet"), F.col("items")).alias("o"))
-    return found.select("doc_id", "item_id", "o.strong", "o.weak").where((F.size("strong") > 0) | (F.size("weak") > 0))
+    found = pairs.join(F.broadcast(snippets), "n").select("doc_id", "item_id", F.inline(F.array(provenance.items_of(F.col("snippet"), F.col("items"), F.col("page")))))
+    return found.where((F.size("strong") > 0) | (F.size("weak") > 0))
 
 
 # --- files ------------------------------------------------------------------------------------------------------------------------
