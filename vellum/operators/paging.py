@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,8 @@ from vellum.session import ship
 
 #: Pages in a window, and pages from one window's start to the next.
 SIZE, STRIDE = 20, 19
+#: Windows that a model gets at once, as Python texts; the rest of a batch stays as it came.
+SLICE_ROWS = 100
 
 
 def lines_as_pages(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -147,13 +150,16 @@ def joined_texts(files: DataFrame, head: int | None = None) -> DataFrame:
 def map_windows(windows: DataFrame, model: Callable[[pd.Series], pd.Series]) -> DataFrame:
     """windows with ``partial``: what a model (a function of a batch of texts) makes of each."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.assign(partial=model(batch["text"]))
+            for k in range(0, batch.num_rows, SLICE_ROWS):
+                some = batch.slice(k, SLICE_ROWS)
+                found = pa.array(model(some.column("text").to_pandas()), pa.string(), from_pandas=True)
+                yield pa.RecordBatch.from_arrays([*some.columns, found], names=[*some.schema.names, "partial"])
 
     ship(windows.sparkSession)
     fields = ", ".join(f"`{n}` {t}" for n, t in windows.drop("mapping").dtypes)
-    return windows.drop("mapping").mapInPandas(run, f"{fields}, partial string")
+    return windows.drop("mapping").mapInArrow(run, f"{fields}, partial string")
 
 
 def reduced(partials: DataFrame, keys: tuple[str, ...] = ("file",), separator: str = "\n") -> DataFrame:
