@@ -15,7 +15,7 @@ from vellum.session import tasks
 KEY_WORDS = 4
 #: Rows and characters of passages that are sent to all tasks at most.
 BROADCAST_ROWS, BROADCAST_CHARS = 100_000, 50_000_000
-#: Distinct passages without inside words that texts are searched for one after the other, at most; more of them meet texts over runs of characters.
+#: Distinct passages that texts are searched for one after the other, at most; more of them meet texts over runs of words or, without inside words, of characters.
 SCANNED = 1_000
 # Words that don't count as hits.
 STOP_WORDS = ("the", "and", "for", "with", "from", "that", "this", "were", "was", "are", "have", "has", "had", "into", "onto", "about", "after", "before", "report")
@@ -50,16 +50,18 @@ def located(passages: DataFrame, texts: DataFrame) -> DataFrame:
     if not stats["sizes"]:
         return b.select("item_id", F.lit(None).cast(dict(texts.dtypes)["doc_id"]).alias("doc_id"), F.lit(0).cast("long").alias("pos")).limit(0)
     place = F.instr(F.col("d"), F.col("b")).cast("long").alias("pos")
-    brief = b.where("n < 0").select("b").distinct()
-    scanned = small and stats["brief"] > 0 and brief.count() <= SCANNED
-    by_words = [n for n in stats["sizes"] if n > 0]
+    every = small and b.select("b").distinct().count() <= SCANNED
+    which = F.lit(True) if every else F.col("n") < 0
+    sought = b.where(which).select("b").distinct()
+    scanned = every or small and stats["brief"] > 0 and sought.count() <= SCANNED
+    by_words = [] if every else [n for n in stats["sizes"] if n > 0]
     by_chars = [] if scanned else [-n for n in stats["sizes"] if n < 0]
     parts = []
     if scanned:
         dealt = texts.select("doc_id", "text").repartition(tasks(texts.sparkSession)).select("doc_id", normal(F.col("text")).alias("d"))
-        found = dealt.join(F.broadcast(brief), F.col("d").contains(F.col("b"))).select("doc_id", "b", place)
-        parts.append(found.join(F.broadcast(b.where("n < 0").select("item_id", "b")), "b").select("item_id", "doc_id", "pos"))
-        b = b.where("n > 0")
+        found = dealt.join(F.broadcast(sought), F.col("d").contains(F.col("b"))).select("doc_id", "b", place)
+        parts.append(found.join(F.broadcast(b.where(which).select("item_id", "b")), "b").select("item_id", "doc_id", "pos"))
+        b = b.where(~which)
 
     def keys(text: Column) -> Column:
         runs = let(words(text), lambda w: F.concat(*[_runs(w, n) for n in sorted(by_words)])) if by_words else F.array().cast("array<bigint>")
