@@ -1,6 +1,7 @@
 """Edge cases and brute-force versions of the operators on documents."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -541,3 +542,32 @@ def test_pieces_equal_the_library():
         assert [np.frombuffer(x, coder.dtype).tolist() for x in coder.encode(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
         if n % 7 == 0:
             coder.forget()
+
+
+def test_toxicity_is_trained_on_an_executor(spark, monkeypatch):
+    texts, labels = toxic_corpus(60, 5)
+    given = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    want = toxicity.train(texts, labels)
+    net = toxicity.fit(given, marks)
+    assert np.allclose((net.a, net.c), (want.a, want.c), rtol=1e-3)
+
+    def train(texts, labels):
+        net = toxicity.Network()
+        net.name = os.getpid()
+        return net
+
+    monkeypatch.setattr(toxicity, "train", train)
+    assert toxicity.fit(given, marks).name != os.getpid()  # this process is the driver, whose memory the sample must not fill
+
+
+def test_toxicity_windows_and_features_in_parts(monkeypatch):
+    texts, _ = toxic_corpus(50, 6)
+    words, numbers, counts = toxicity._numbered([*texts, "", "a b"])
+    places, first = toxicity.windows(counts)
+    monkeypatch.setattr(toxicity, "TEXTS_AT_ONCE", 7)
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 11)
+    index, before = toxicity._indexed(numbers, counts)
+    assert (before == first).all() and (index == np.concatenate([[0], numbers])[places]).all()
+    for a, b in zip(toxicity._features(words), toxicity.word_features(words)):
+        assert (a == b).all()

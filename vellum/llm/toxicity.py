@@ -11,7 +11,8 @@ window, calibrated on labelled documents that the network hasn't been fitted to.
 Training sees a bounded sample of labelled rows (``TRAIN_ROWS`` of either
 class, of ``TRAIN_CHARS`` characters in all, parameters of ``fit``), taken by a hash of the id.  Labels belong to documents,
 not windows: after a first pass in which each window has its document's label,
-toxic documents are trained on their highest windows and others on theirs.
+toxic documents are trained on their highest windows and others on theirs.  The
+sample meets in one task of an executor, which hands the driver the network alone.
 
 Scoring is one pass of ``mapInArrow`` without a shuffle.  In a task, each
 distinct word's input is projected once and remembered; windows go through the
@@ -20,9 +21,11 @@ recurrence thousands at a time.
 
 from __future__ import annotations
 
+import pickle
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +50,8 @@ CACHE_WORDS = 110_000
 WINDOWS_AT_ONCE = 4096
 #: Texts are scored in slices of about so many bytes.
 SLICE_BYTES = 500_000
+#: In training, texts are cut into windows so many at a time, and words are looked at so many at a time.
+TEXTS_AT_ONCE, WORDS_AT_ONCE = 64, 20_000
 STEPS, ROUNDS, BATCH = 180, 3, 192
 
 _NOT_LETTERS = re.compile(r"[\W_]+")
@@ -118,8 +123,10 @@ class Network:
 
     def project(self, x: np.ndarray) -> np.ndarray:
         """What words give to both directions' gates; row 0 is for the places after a text's end."""
-        g = np.concatenate([x @ self.p["xf"] + self.p["cf"], x @ self.p["xb"] + self.p["cb"]], axis=1)
-        return np.concatenate([np.zeros((1, g.shape[1]), np.float32), g]).astype(np.float32)
+        out = np.zeros((len(x) + 1, 6 * HIDDEN), np.float32)
+        out[1:, : 3 * HIDDEN] = x @ self.p["xf"] + self.p["cf"]
+        out[1:, 3 * HIDDEN :] = x @ self.p["xb"] + self.p["cb"]
+        return out
 
     def _run(self, g: np.ndarray, mask: np.ndarray, d: str, keep: list | None) -> np.ndarray:
         """States (steps, windows, HIDDEN) of one direction; g: (steps, windows, 3 * HIDDEN)."""
@@ -237,15 +244,34 @@ def _numbered(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Distinct canonical words, the number (from 1) of each word of the texts, and words in each text."""
     known: dict[str, int] = {}
     raw: dict[str, int] = {}
-    numbers, counts = [], []
+    numbers, counts = array("i"), []
     for t in texts:
         found = t.split()
         for w in found:
             if w not in raw:
                 raw[w] = known.setdefault(canonical(w), len(known) + 1)
-        numbers += [raw[w] for w in found]
+        numbers.extend([raw[w] for w in found])
         counts.append(len(found))
-    return list(known), np.array([0, *numbers], np.int64), np.array(counts, np.int64)
+    return list(known), np.array(numbers, np.int32), np.array(counts, np.int64)
+
+
+def _indexed(numbers: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows as rows of word numbers (0 past a text's end), and windows before each text."""
+    base = np.concatenate([[0], np.cumsum(counts)])
+    index, first = [], [np.zeros(1, np.int64)]
+    for k in range(0, len(counts), TEXTS_AT_ONCE):
+        some = counts[k : k + TEXTS_AT_ONCE]
+        places, before = windows(some)
+        index.append(np.concatenate([np.zeros(1, np.int32), numbers[base[k] : base[k + len(some)]]])[places])
+        first.append(before[1:] + first[-1][-1])
+    return np.concatenate(index), np.concatenate(first)
+
+
+def _features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_features`` of many words, some at a time."""
+    parts = [word_features(words[k : k + WORDS_AT_ONCE]) for k in range(0, max(1, len(words)), WORDS_AT_ONCE)]
+    ends = np.cumsum([0, *(p[2][-1] for p in parts)])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([[0], *(p[2][1:] + e for p, e in zip(parts, ends))])
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
@@ -257,14 +283,14 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Network:
         return net
     rng = np.random.default_rng(seed)
     words, numbers, counts = _numbered(texts)
-    places, first = windows(counts)
-    index, text = numbers[places], np.repeat(np.arange(len(texts)), np.diff(first))
+    index, first = _indexed(numbers, counts)
+    text = np.repeat(np.arange(len(texts)), np.diff(first))
     held = rng.random(len(texts)) < CALIBRATION
     for k in (0, 1):  # both classes on both sides, if there are two of them
         own = np.flatnonzero(y == k)
         if len(own) > 1:
             held[own[0]], held[own[1]] = False, True
-    features = word_features(words)
+    features = _features(words)
     adam = Adam(net.p, 0.01)
 
     def learn(chosen: np.ndarray, steps: int) -> None:
@@ -336,9 +362,14 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     body = F.col(f"`{text}`")
     found = sample.where(F.length(body) <= TRAIN_TEXT_CHARS).groupBy(key).agg(F.min(body).alias("text"), F.max(mark).alias(mark))
     upto = F.sum(F.length("text")).over(Window.orderBy(order, key).rowsBetween(Window.unboundedPreceding, 0))  # over the sample: sum(rows) rows at most
-    found = found.select(key, "text", mark, upto.alias("upto")).where(F.col("upto") <= most_chars).collect()
-    found.sort(key=lambda r: r[0])
-    return train([r[1] for r in found], [int(r[2]) for r in found])
+    found = found.select(key, "text", mark, upto.alias("upto")).where(F.col("upto") <= most_chars).select(key, "text", mark)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns))), key=lambda r: r[0])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([r[1] for r in rows], [int(r[2]) for r in rows]))], pa.binary())], ["model"])
+
+    model = map_arrow(found.coalesce(1), learn, "model binary").collect()  # a bounded sample in one task; the driver gets 1.4 MB
+    return pickle.loads(model[0][0]) if model else train([], [])
 
 
 class Scorer:
