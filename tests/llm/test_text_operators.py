@@ -571,3 +571,24 @@ def test_toxicity_windows_and_features_in_parts(monkeypatch):
     assert (before == first).all() and (index == np.concatenate([[0], numbers])[places]).all()
     for a, b in zip(toxicity._features(words), toxicity.word_features(words)):
         assert (a == b).all()
+
+
+def test_planes_cost_less_than_masks():
+    import time
+
+    now = np.random.default_rng(0).integers(0, 30_000, 1 << 20).astype(np.uint16)
+    bit = (now & 256) != 0
+
+    def least(f):
+        took = []
+        for _ in range(3):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    masks = least(lambda: [(now[~bit], now[bit]) for _ in range(15)])  # as many planes
+    matrix = token_files.WaveletMatrix.build(now)
+    assert len(matrix.planes) == 15 and (matrix.tokens() == now).all()
+    assert least(lambda: token_files.WaveletMatrix.build(now)) < 0.8 * masks
+    assert least(matrix.tokens) < 0.8 * masks

@@ -76,9 +76,9 @@ class WaveletMatrix:
             counts = _POPCOUNT[plane].reshape(-1, BLOCK // 8).sum(axis=1, dtype=np.uint32)
             ones.append(np.concatenate([[0], np.cumsum(counts, dtype=np.uint32)[:-1]]).astype(np.uint32))
             planes.append(plane)
-            low = now[~bit]
+            low = now.compress(~bit)  # several times as fast as now[~bit]
             zeros.append(len(low))
-            now = np.concatenate([low, now[bit]])
+            now = np.concatenate([low, now.compress(bit)])
         return cls(n, alphabet, zeros, planes, ones)
 
     def dump(self) -> bytes:
@@ -168,8 +168,8 @@ class WaveletMatrix:
         for k in range(width - 1, -1, -1):
             bit = np.unpackbits(self.planes[k], count=self.n).view(bool)
             up = np.empty_like(now)
-            up[~bit] = now[: self.zeros[k]]
-            up[bit] = now[self.zeros[k] :] | now.dtype.type(1 << (width - 1 - k))
+            up[np.flatnonzero(~bit)] = now[: self.zeros[k]]
+            up[np.flatnonzero(bit)] = now[self.zeros[k] :] | now.dtype.type(1 << (width - 1 - k))
             now = up
         return self.alphabet[now]
 
