@@ -79,3 +79,17 @@ def test_outliers_get_all_rows(spark, monkeypatch):
     out = neighbours.nearest(frame(spark, list(enumerate(x.tolist()))), F.col("vec_id") < 30).collect()
     assert len(out) == 30 * 5
     assert share(out, exact(x, list(range(30)))) > 0.9
+
+
+def test_reached_nodes_meet_the_pool_without_an_anti_join(spark, monkeypatch):
+    plans, scored = [], neighbours._scored
+
+    def seen(pairs):
+        plans.append(pairs._jdf.queryExecution().optimizedPlan().toString())
+        return scored(pairs)
+
+    monkeypatch.setattr(neighbours, "_scored", seen)
+    x = np.random.default_rng(6).standard_normal((300, 8)).astype(np.float32)
+    out = neighbours.nearest(frame(spark, list(enumerate(x.tolist()))), F.col("vec_id") % 50 == 0).collect()
+    assert share(out, exact(x, list(range(0, 300, 50)))) > 0.9
+    assert len(plans) > 1 and not any("LeftAnti" in p for p in plans[1:])  # the first is of the nodes that all begin with

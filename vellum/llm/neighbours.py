@@ -227,8 +227,9 @@ def search(edges: DataFrame, codes: DataFrame, queries: DataFrame, beam: int = B
         front = pool.where("NOT expanded").select("q", "node")
         if front.isEmpty():
             break
-        reached = front.join(around, "node").select("q", F.col("next").alias("node")).where("q <> node").distinct()
-        reached = reached.join(pool.select("q", "node"), ["q", "node"], "left_anti")
+        reached = front.join(around, "node").select("q", F.col("next").alias("node"), F.lit(False).alias("known")).where("q <> node")
+        reached = reached.unionByName(pool.select("q", "node", F.lit(True).alias("known")))
+        reached = reached.groupBy("q", "node").agg(F.bool_or("known").alias("known")).where("NOT known").drop("known")
         scored = _scored(reached.join(codes, "node").join(asked, "q")).withColumn("expanded", F.lit(False))
         pool = pool.withColumn("expanded", F.lit(True)).unionByName(scored)
         pool = saved(pool.withColumn("place", place).where(F.col("place") <= beam).drop("place"), "nn-beam")
