@@ -93,3 +93,20 @@ def test_reached_nodes_meet_the_pool_without_an_anti_join(spark, monkeypatch):
     out = neighbours.nearest(frame(spark, list(enumerate(x.tolist()))), F.col("vec_id") % 50 == 0).collect()
     assert share(out, exact(x, list(range(0, 300, 50)))) > 0.9
     assert len(plans) > 1 and not any("LeftAnti" in p for p in plans[1:])  # the first is of the nodes that all begin with
+
+
+def test_a_hop_expands_the_nearest_only(spark, monkeypatch):
+    """Rows that meet their neighbours: before, every node of the beam at once, most of which leave it soon."""
+    monkeypatch.setattr(neighbours, "CELL", 64)
+    monkeypatch.setattr(neighbours, "FRONT", 8, raising=False)
+    sizes, scored = [], neighbours._scored
+    monkeypatch.setattr(neighbours, "_scored", lambda pairs: sizes.append(pairs.count()) or scored(pairs))
+    x = np.random.default_rng(7).standard_normal((3000, 48)).astype(np.float32)
+    out = neighbours.nearest(frame(spark, list(enumerate(x.tolist()))), F.col("vec_id") % 50 == 0).collect()
+    assert share(out, exact(x, list(range(0, 3000, 50)))) > 0.95
+    assert sum(sizes[1:]) < 60 * 2100  # rows scored for 60 queries
+
+
+def test_beam_grows_slower_than_the_root(spark):
+    assert neighbours.beam_for(100) == neighbours.beam_for(neighbours.BEAM_NODES) == neighbours.BEAM
+    assert neighbours.beam_for(8 * neighbours.BEAM_NODES) == 2 * neighbours.BEAM

@@ -6,7 +6,7 @@ them by iterated Spark joins: a node's neighbours, in both directions, are
 brought together, those that are new are compared with the others, and a pair
 closer than what one of the two has so far enters its list.  It ends when few
 entries change.  A query then searches the graph greedily: it keeps a beam of
-the nearest nodes found and expands those not yet expanded, until the beam
+the nearest nodes found and expands the nearest of those not yet expanded, until the beam
 stays as it is.  The answers' cosines are computed on the original vectors in
 double precision.
 
@@ -30,19 +30,21 @@ from pyspark.sql import functions as F
 from vellum.llm.common import complete_groups, map_arrow, saved
 
 #: Neighbours that a node keeps, and nodes taken from those that have it in their lists.
-DEGREE, REVERSE = 24, 24
-TABLES, CELL = 6, 512
+DEGREE, REVERSE = 40, 24
+TABLES, CELL = 6, 2048
 #: NN-descent ends when under this share of all entries is new, or after so many rounds.
 SETTLED, ROUNDS = 0.02, 8
-#: Nodes in a query's beam, for up to ``BEAM_NODES`` nodes (it grows with the root of their number), and most hops.
-BEAM, BEAM_NODES, HOPS = 96, 10_000, 24
+#: Nodes in a query's beam, for up to ``BEAM_NODES`` nodes (it grows with the cube root of their number), and most hops.
+BEAM, BEAM_NODES, HOPS = 64, 10_000, 24
+#: Nodes that a query expands in a hop: the nearest ones, a third of its beam, but not fewer than these.
+FRONT = 32
 #: Nodes by hash that every query's beam starts with, beside the query's own neighbours.
 ENTRIES = 32
 
 
 def beam_for(count: int) -> int:
     """Nodes in a query's beam over a graph of count nodes: a fixed beam loses recall as the graph grows."""
-    return max(BEAM, math.ceil(BEAM * math.sqrt(count / BEAM_NODES)))
+    return max(BEAM, math.ceil(BEAM * math.cbrt(count / BEAM_NODES)))
 
 
 def usable(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -219,20 +221,27 @@ def search(edges: DataFrame, codes: DataFrame, queries: DataFrame, beam: int = B
     around = saved(_both_ways(edges, 2 * REVERSE).select(F.col("u").alias("node"), F.col("v").alias("next")), "nn-around")
     asked = queries.select(F.col("node").alias("q")).join(codes, F.col("q") == F.col("node")).select("q", F.col("code").alias("code_q"))
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("sim"), "node"))
+    turn = F.row_number().over(Window.partitionBy("q").orderBy("expanded", F.desc("sim"), "node"))
+    most = max(FRONT, math.ceil(beam / 3))
+
+    def kept(pool: DataFrame) -> DataFrame:
+        """The beam; those of it that are to be expanded next are marked: the nearest first, as far ones leave it before their turn."""
+        pool = pool.withColumn("place", place).where(F.col("place") <= beam).drop("place")
+        return saved(pool.withColumn("next", ~F.col("expanded") & (turn <= most)), "nn-beam")
+
     begin = edges.join(queries.select(F.col("node").alias("u")), "u", "left_semi").select(F.col("u").alias("q"), F.col("v").alias("node"), "sim")
     entries = codes.orderBy(F.xxhash64(F.lit("entry"), "node"), "node").limit(ENTRIES)
     shared = _scored(asked.crossJoin(F.broadcast(entries)).where("q <> node").join(begin.select("q", "node"), ["q", "node"], "left_anti"))
-    pool = saved(begin.unionByName(shared).withColumn("expanded", F.lit(False)), "nn-beam")
+    pool = kept(begin.unionByName(shared).withColumn("expanded", F.lit(False)))
     for _ in range(HOPS):
-        front = pool.where("NOT expanded").select("q", "node")
+        front = pool.where("next").select("q", "node")
         if front.isEmpty():
             break
         reached = front.join(around, "node").select("q", F.col("next").alias("node"), F.lit(False).alias("known")).where("q <> node")
         reached = reached.unionByName(pool.select("q", "node", F.lit(True).alias("known")))
         reached = reached.groupBy("q", "node").agg(F.bool_or("known").alias("known")).where("NOT known").drop("known")
         scored = _scored(reached.join(codes, "node").join(asked, "q")).withColumn("expanded", F.lit(False))
-        pool = pool.withColumn("expanded", F.lit(True)).unionByName(scored)
-        pool = saved(pool.withColumn("place", place).where(F.col("place") <= beam).drop("place"), "nn-beam")
+        pool = kept(pool.select("q", "node", "sim", (F.col("expanded") | F.col("next")).alias("expanded")).unionByName(scored))
     return pool.select("q", "node", "sim")
 
 
