@@ -10,6 +10,7 @@ where spans are fused.
 
 from __future__ import annotations
 
+import math
 import re
 from array import array
 from collections.abc import Callable
@@ -26,8 +27,8 @@ from vellum.session import ship
 
 #: Tokens of a window, with the ``SPECIAL`` ones that a tagger puts at its ends, and tokens that two windows share.
 WINDOW, SPECIAL, STRIDE = 512, 2, 64
-#: Longer texts are left to the definitions.
-MOST_CHARS = 25_000
+#: Texts of any length are cut into windows.
+MOST_CHARS = math.inf
 LEAST_SCORE = 0.75
 
 TOKENS = "array<struct<start:int,end:int>>"
@@ -56,16 +57,16 @@ def windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokens: C
     """Windows of tokens: doc_id, window (from 0), tokens (places in the text), words (their characters).
 
     A window begins ``window - stride`` tokens after the one before, and the last
-    one reaches the end.  Null texts and those of more than MOST_CHARS characters
-    have none; a text without tokens neither.  Equal rows have the same windows,
-    and equal windows come once.
+    one reaches the end, however long the text is.  Null texts have none; a text
+    without tokens neither.  Equal rows have the same windows, and equal windows
+    come once.
     """
     ship(df.sparkSession)
     if not 0 <= stride < window:
         raise ValueError("a window must be longer than its stride")
     step = window - stride
     body = F.col(f"`{text}`")
-    found = df.where(F.length(body) <= MOST_CHARS).select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("text")).withColumn("all", tokens(F.col("text"))).where(F.size("all") > 0)
+    found = df.where(body.isNotNull()).select(F.col(f"`{doc_id}`").alias("doc_id"), body.alias("text")).withColumn("all", tokens(F.col("text"))).where(F.size("all") > 0)
     last = F.greatest(F.lit(0), F.ceil((F.size("all") - window) / step)).cast("int")
 
     def cut(w: Column) -> Column:

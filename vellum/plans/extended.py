@@ -23,7 +23,7 @@ def _stand_in(windows: DataFrame) -> DataFrame:
     return windows.withColumn("tags", F.transform("words", lambda w: F.struct(label(w).alias("label"), score(w).cast("double").alias("score"))))
 
 
-@query(r"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*(?:[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D])') AS ps FROM documents WHERE length(text) <= 25000),
+@query(r"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*(?:[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D])') AS ps FROM documents),
 t AS (SELECT doc_id, i, ps[i] AS raw, ltrim(ps[i], E' \t\n\x0b\x0c\r') AS w, len(ps) AS n, CAST(sum(length(ps[i])) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM p, unnest(range(1, len(ps) + 1)) AS r(i)),
 m AS (SELECT *, unnest(range(greatest(0, CAST(ceil((i - 510) / 446.0) AS BIGINT)), least((i - 1) // 446, greatest(0, CAST(ceil((n - 510) / 446.0) AS BIGINT))) + 1)) AS win FROM t),
 g AS (SELECT *, e - length(w) AS s, CASE WHEN w IN ('.', '@', '-') THEN 0.8 ELSE 0.7 + length(w) / 50.0 END AS score,
