@@ -143,7 +143,7 @@ def detect(df: DataFrame, text: str = "text", kinds: Sequence[str] | None = None
     body = F.coalesce(F.col(text), F.lit(""))
     found = regex_spans(body, kinds, word_bounded)
     if recogniser is not None:
-        found = F.concat(found, recognised(F.when(F.length(body) <= 25_000, recogniser(body)).otherwise(F.array().cast(HOOK_SCHEMA))))
+        found = F.concat(found, recognised(recogniser(body)))
     df = df.withColumn("_spans", found).withColumn("_spans", fused(F.col("_spans")))
     return df.withColumn("entities", isolated(body, F.col("_spans"))).drop("_spans")
 
