@@ -12,9 +12,10 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from vellum.functions import detection
 from vellum.functions import patterns as P
 from vellum.functions.text import SPAN, canonical_type, display_label, finditer, let, splice
-from vellum.session import tasks
+from vellum.session import ship, tasks
 
 HOOK_SCHEMA = "array<" + SPAN + ">"
 
@@ -41,56 +42,35 @@ def _valid(kind: Column, value: Column, low: Column) -> Column:
     return always & (~kind.isin(*P.BROAD) | broad) & (~kind.isin(*P.SHORT_REJECTED) | long) & own
 
 
+def _chosen(kinds: Sequence[str] | None) -> tuple[tuple[str, str, str, float], ...]:
+    return tuple(d for d in P.LABELLED if kinds is None or d[0] in kinds)
+
+
 def regex_spans(text: Column, kinds: Sequence[str] | None = None, word_bounded: bool = False) -> Column:
     """All valid spans of the definitions (or of some types), in the definitions' order.
 
-    The definitions are an array that the expression goes through, so the plan
-    stays small.  A text is first searched for a few words of which each label needs one,
-    and for a digit; a definition is tried only on texts with a main word, then
-    all words that its label needs, and then with the label itself; only these are searched for values.
+    Definitions with a label are found in batches, in Python (``detection``); a
+    text is searched for the others only if it has a sign of them.
     """
-    chosen = [d for d in P.LABELLED if kinds is None or d[0] in kinds]
+    chosen = _chosen(kinds)
     empty = F.array().cast(HOOK_SCHEMA)
     if not chosen:
         return F.when(text.isNotNull(), empty).otherwise(empty)
-    mains = P.main_words([a for _, label, _, _ in chosen for a in P.needles(label)])
-    rows, able = [], []
-    for kind, label, value, score in chosen:
-        bounded = rf"\b(?:{label})" if label and word_bounded else label
-        gate = f"(?iU){bounded}" if label else {"EMAIL": "@", "IP_ADDRESS": r"\d\.\d"}[kind]
-        rows.append(F.struct(F.lit(kind).alias("kind"), F.lit(P.pattern(bounded, value)).alias("pattern"), F.lit(score).alias("score")))
-        able.append((gate, P.needles(label), kind in P.NUMERIC))
-
-    def may(s: Column, gate: str, needles: list[list[str]], numeric: bool) -> Column:
-        """Whether a text has a definition's label, cheap signs first; the pattern is a constant, so it is compiled once."""
-        stands = F.lit(not needles)
-        for a in needles:
-            main = next(i for i, m in enumerate(mains) if m in a)
-            whole = F.get(s["flags"], F.lit(main))
-            for n in a:
-                whole = whole if n == mains[main] else whole & s["low"].contains(n)
-            stands = stands | whole
-        return F.when(stands & (s["digit"] if numeric else F.lit(True)), F.rlike(text, F.lit(gate))).otherwise(False)
-
-    odd = "\u017f\u0131\u0130\u212a"  # the letters that a search without case takes for s, i and k
-    low = F.lower(F.when(text.rlike(f"[{odd}]"), F.translate(text, odd, "siik")).otherwise(text))
-
-    def span(m: Column, d: Column) -> Column:
+    if any(label for _, label, _, _ in chosen):
+        return F.arrow_udf(lambda t: detection.spans_of(t, chosen, word_bounded), HOOK_SCHEMA)(F.coalesce(text, F.lit("")))
+
+    def span(m: Column, kind: str, score: float) -> Column:
         left = F.regexp_replace(m["value"], r"(?U)^\s+", "")
         both = F.regexp_replace(left, r"(?U)\s+$", "")
         start = m["end"] - F.length(left)
-        return F.struct(both.alias("text"), d["kind"].alias("entity_type"), start.alias("start"), (start + F.length(both)).alias("end"), d["score"].alias("score"), F.lit("regex").alias("source"))
-
-    def found(s: Column) -> Column:
-        gates = F.array(*[may(s, *x) for x in able])
-        tried = let(gates, lambda g: F.filter(F.array(*rows), lambda d, i: F.get(g, i)))
-        return F.flatten(F.transform(tried, lambda d: F.filter(F.transform(finditer(text, d["pattern"]), lambda m: span(m, d)), lambda x: valid(d["kind"], x["text"]))))
+        return F.struct(both.alias("text"), F.lit(kind).alias("entity_type"), start.alias("start"), (start + F.length(both)).alias("end"), F.lit(score).alias("score"), F.lit("regex").alias("source"))
 
-    def seen(low: Column) -> Column:
-        flags = F.array(*[low.contains(m) for m in mains]).cast("array<boolean>")
-        return F.struct(low.alias("low"), flags.alias("flags"), text.rlike(r"(?U)\d").alias("digit"))
+    def found(kind: str, value: str, score: float) -> Column:
+        sign = {"EMAIL": "@", "IP_ADDRESS": r"\d\.\d"}[kind]
+        spans = F.filter(F.transform(finditer(text, P.pattern("", value)), lambda m: span(m, kind, score)), lambda x: valid(F.lit(kind), x["text"])).cast(HOOK_SCHEMA)
+        return F.when(F.rlike(text, F.lit(f"(?iU){sign}")), spans).otherwise(empty)
 
-    return let(low, lambda x: let(seen(x), found)).cast(HOOK_SCHEMA)
+    return F.concat(*[found(kind, value, score) for kind, _, value, score in chosen]).cast(HOOK_SCHEMA)
 
 
 def recognised(spans: Column) -> Column:
@@ -140,7 +120,11 @@ def detect(df: DataFrame, text: str = "text", kinds: Sequence[str] | None = None
     """
     if kinds is None:
         df = spread(df)
-    body = F.coalesce(F.col(text), F.lit(""))
+    body, chosen = F.coalesce(F.col(text), F.lit("")), _chosen(kinds)
+    if any(label for _, label, _, _ in chosen):
+        ship(df.sparkSession)
+        if recogniser is None:
+            return df.withColumn("entities", F.arrow_udf(lambda t: detection.entities_of(t, chosen, word_bounded), HOOK_SCHEMA)(body))
     found = regex_spans(body, kinds, word_bounded)
     if recogniser is not None:
         found = F.concat(found, recognised(recogniser(body)))
@@ -234,6 +218,35 @@ def change_report(df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     )
 
 
+def full_texts(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with ``full_text``, as ``anonymise`` in mode full makes it of what all definitions find, in one pass over batches."""
+    chosen = _chosen(None)
+    ship(df.sparkSession)
+    return spread(df).withColumn("full_text", F.arrow_udf(lambda t: detection.full_texts(t, chosen), "string")(F.coalesce(F.col(text), F.lit(""))))
+
+
+def reported(df: DataFrame, salt: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The ``change_report`` of what all definitions find, in one pass over batches.
+
+    Texts are shuffled once, by their ids, so that rows of one id are read one
+    behind the other; neither spans nor values are.
+    """
+    if not salt:
+        raise ValueError("a salt is needed for tokens that stay the same")
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    chosen = _chosen(None)
+    ship(df.sparkSession)
+    rest = "serial_no int, entity_type string, original_value string, pseudo_value string, full_anon_value string, detection_source string, confidence double, occurrences long"
+    schema = StructType([df.schema[doc_id], *StructType.fromDDL(rest)])
+    columns: pa.Schema = to_arrow_schema(schema)
+    rows = df.select(doc_id, F.coalesce(F.col(text), F.lit("")).alias("text")).repartition(tasks(df.sparkSession), doc_id).sortWithinPartitions(doc_id)
+    found = rows.mapInArrow(lambda batches: detection.reports(batches, chosen, salt, columns), schema)
+    return found.withColumn("confidence", F.round("confidence", 4))
+
+
 def exploded(df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """One row for each span.
 

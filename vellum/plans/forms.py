@@ -134,7 +134,7 @@ def form_generalised(spark, sf_dir):
  source AS detection_source, score AS confidence, 1::BIGINT AS occurrences FROM p WHERE valid""")
 def form_change_report(spark, sf_dir):
     """The report of changes of forms, numbered by first occurrence, with tokens and general forms."""
-    return entities.change_report(entities.anonymise(_detected(spark, sf_dir), SALT))
+    return entities.reported(forms(spark, sf_dir), SALT)
 
 
 @query(_SPAN_ROWS + " SELECT entity_type, count(*) AS n, count(DISTINCT value) AS n_values FROM p WHERE valid GROUP BY 1")
