@@ -127,7 +127,7 @@ def form_pseudonymised(spark, sf_dir):
 @query(_SPAN_ROWS + f""" SELECT doc_id, string_agg(before || CASE WHEN valid THEN {_GENERAL} ELSE value END, chr(10) ORDER BY i) AS full_text FROM p GROUP BY doc_id""")
 def form_generalised(spark, sf_dir):
     """Forms with the general forms of their values."""
-    return entities.anonymise(_detected(spark, sf_dir), SALT, "full").select("doc_id", "full_text")
+    return entities.full_texts(forms(spark, sf_dir)).select("doc_id", "full_text")
 
 
 @query(_SPAN_ROWS + f""" SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) AS INTEGER) AS serial_no, entity_type, value AS original_value, {_TOKEN} AS pseudo_value, {_GENERAL} AS full_anon_value,
