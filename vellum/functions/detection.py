@@ -28,7 +28,6 @@ Definition = tuple[str, str, str, float]
 SPACES = "\t\n\x0b\x0c\r \x85\xa0 " + "".join(map(chr, range(0x2000, 0x200B))) + "    　"
 #: Letters outside ASCII that a search without case takes for s, i, i and k.
 FOLDED = {0x17F: "s", 0x131: "i", 0x130: "i", 0x212A: "k"}
-_FOLD = {**{c: chr(c + 32) for c in range(65, 91)}, **{c: s for c, s in FOLDED.items()}}
 SPAN_TYPE = pa.list_(pa.struct([("text", pa.string()), ("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("source", pa.string())]))
 #: Bytes of texts that are gone through at once.
 SLICE_BYTES = 1 << 20
@@ -128,6 +127,14 @@ def written_out(pattern: str) -> str:
     return "".join(out)
 
 
+def folded(text: str) -> str:
+    """text in lower case, each character still one; only the capital i with a dot would become two."""
+    if not text.isascii():
+        for c, plain in FOLDED.items():
+            text = text.replace(chr(c), plain)
+    return text.lower()
+
+
 def alternatives(label: str) -> list[str]:
     """A label's alternatives at its outermost level."""
     out, depth, now = [], 0, ""
@@ -229,7 +236,7 @@ class _Detector:
                 continue
             whole = "\n".join([texts[i] for i in rows])
             ends = np.cumsum([len(texts[i]) + 1 for i in rows])
-            low = whole.lower() if ascii_ else whole.translate(_FOLD)
+            low = folded(whole)
             body = low if ascii_ else whole
             for n, places in self._places(low, body, ascii_).items():
                 if not places:

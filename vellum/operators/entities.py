@@ -42,7 +42,8 @@ def _valid(kind: Column, value: Column, low: Column) -> Column:
     return always & (~kind.isin(*P.BROAD) | broad) & (~kind.isin(*P.SHORT_REJECTED) | long) & own
 
 
-def _chosen(kinds: Sequence[str] | None) -> tuple[tuple[str, str, str, float], ...]:
+def definitions(kinds: Sequence[str] | None) -> tuple[tuple[str, str, str, float], ...]:
+    """All definitions, or those of some types."""
     return tuple(d for d in P.LABELLED if kinds is None or d[0] in kinds)
 
 
@@ -52,7 +53,7 @@ def regex_spans(text: Column, kinds: Sequence[str] | None = None, word_bounded:
     Definitions with a label are found in batches, in Python (``detection``); a
     text is searched for the others only if it has a sign of them.
     """
-    chosen = _chosen(kinds)
+    chosen = definitions(kinds)
     empty = F.array().cast(HOOK_SCHEMA)
     if not chosen:
         return F.when(text.isNotNull(), empty).otherwise(empty)
@@ -120,7 +121,7 @@ def detect(df: DataFrame, text: str = "text", kinds: Sequence[str] | None = None
     """
     if kinds is None:
         df = spread(df)
-    body, chosen = F.coalesce(F.col(text), F.lit("")), _chosen(kinds)
+    body, chosen = F.coalesce(F.col(text), F.lit("")), definitions(kinds)
     if any(label for _, label, _, _ in chosen):
         ship(df.sparkSession)
         if recogniser is None:
@@ -220,7 +221,7 @@ def change_report(df: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 def full_texts(df: DataFrame, text: str = "text") -> DataFrame:
     """df with ``full_text``, as ``anonymise`` in mode full makes it of what all definitions find, in one pass over batches."""
-    chosen = _chosen(None)
+    chosen = definitions(None)
     ship(df.sparkSession)
     return spread(df).withColumn("full_text", F.arrow_udf(lambda t: detection.full_texts(t, chosen), "string")(F.coalesce(F.col(text), F.lit(""))))
 
@@ -237,7 +238,7 @@ def reported(df: DataFrame, salt: str, doc_id: str = "doc_id", text: str = "text
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    chosen = _chosen(None)
+    chosen = definitions(None)
     ship(df.sparkSession)
     rest = "serial_no int, entity_type string, original_value string, pseudo_value string, full_anon_value string, detection_source string, confidence double, occurrences long"
     schema = StructType([df.schema[doc_id], *StructType.fromDDL(rest)])

@@ -19,11 +19,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from vellum.functions import patterns as P
+from vellum.functions import tagging
 from vellum.functions.text import SPAN, let
 from vellum.operators import entities
-from vellum.session import ship
+from vellum.session import ship, tasks
 
 #: Tokens of a window, with the ``SPECIAL`` ones that a tagger puts at its ends, and tokens that two windows share.
 WINDOW, SPECIAL, STRIDE = 512, 2, 64
@@ -53,6 +56,23 @@ def word_offsets(text: Column) -> Column:
     return F.when(text.isNotNull(), F.arrow_udf(_pieces, TOKENS)(text))
 
 
+class InArrow:
+    """A tagger from the words of windows (lists of strings) to their tags (as many structs of label and score), both in Arrow.
+
+    It can be used like any tagger; ``window_spans`` and ``entity_rows`` go over
+    the texts with it in one pass, in which windows are no rows of Spark.
+    """
+
+    def __init__(self, tag: tagging.Tag) -> None:
+        self.tag = tag
+
+    def __call__(self, windows: DataFrame) -> DataFrame:
+        ship(windows.sparkSession)
+        tag = self.tag
+        kind = pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64())]))
+        return windows.withColumn("tags", F.arrow_udf(lambda words: tag(words).cast(kind), TAGS)("words"))
+
+
 def windows(df: DataFrame, doc_id: str = "doc_id", text: str = "text", tokens: Callable[[Column], Column] = word_offsets, window: int = WINDOW - SPECIAL, stride: int = STRIDE) -> DataFrame:
     """Windows of tokens: doc_id, window (from 0), tokens (places in the text), words (their characters).
 
@@ -145,3 +165,33 @@ def detect(df: DataFrame, tagger: Callable[[DataFrame], DataFrame], doc_id: str
     none = F.array().cast(f"array<{SPAN}>")
     done = entities.detect(both, text, kinds=kinds, recogniser=lambda body: F.coalesce(F.col("recognised"), none))
     return done.drop("recognised")
+
+
+def _schema(df: DataFrame, doc_id: str, rest: str) -> tuple[StructType, pa.Schema]:
+    found = StructType([df.schema[doc_id], *StructType.fromDDL(rest)])
+    return found, to_arrow_schema(found)
+
+
+def window_spans(df: DataFrame, tagger: InArrow, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW - SPECIAL, stride: int = STRIDE) -> DataFrame:
+    """What a tagger finds in each window, in one pass: doc_id, win, entity_type, value, start, end, score."""
+    if not 0 <= stride < window:
+        raise ValueError("a window must be longer than its stride")
+    ship(df.sparkSession)
+    schema, columns = _schema(df, doc_id, "win int, entity_type string, value string, start int, end int, score double")
+    tag, least = tagger.tag, LEAST_SCORE
+    return entities.spread(df.select(doc_id, text)).mapInArrow(lambda batches: tagging.window_rows(batches, tag, window, stride, least, columns), schema)
+
+
+def entity_rows(df: DataFrame, tagger: InArrow, doc_id: str = "doc_id", text: str = "text", kinds=None, window: int = WINDOW - SPECIAL, stride: int = STRIDE) -> DataFrame:
+    """What ``detect`` finds, as rows and in one pass: doc_id and a span's text, entity_type, start, end, score, source.
+
+    Texts are shuffled once, by their ids, so that rows of one id are read one
+    behind the other; spans are not shuffled.
+    """
+    if not 0 <= stride < window:
+        raise ValueError("a window must be longer than its stride")
+    ship(df.sparkSession)
+    schema, columns = _schema(df, doc_id, SPAN.removeprefix("struct<").removesuffix(">"))
+    tag, least, chosen = tagger.tag, LEAST_SCORE, entities.definitions(kinds)
+    rows = df.select(doc_id, text).repartition(tasks(df.sparkSession), doc_id).sortWithinPartitions(doc_id)
+    return rows.mapInArrow(lambda batches: tagging.entity_rows(batches, tag, chosen, window, stride, least, columns), schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,12 +18,23 @@ from vellum.sources import files as sources
 # --- a tagger's windows -----------------------------------------------------------------------------------------------------------
 
 
-def _stand_in(windows: DataFrame) -> DataFrame:
-    """A tagger by rule: words with a capital are persons or places by their length, numbers organisations; scores by length."""
-    n = lambda w: F.length(w)
-    label = lambda w: F.when(w.rlike("^[A-Z]"), F.when(n(w) % 3 == 0, "B-PER").when(n(w) % 3 == 1, "I-LOC").otherwise("E-PER")).when(w.rlike("^[0-9]"), "ORG").when(w.isin(".", "@", "-"), "I-ORG").otherwise("O")
-    score = lambda w: F.when(w.isin(".", "@", "-"), F.lit(0.8)).otherwise(F.lit(0.7) + n(w) / 50.0)
-    return windows.withColumn("tags", F.transform("words", lambda w: F.struct(label(w).alias("label"), score(w).cast("double").alias("score"))))
+def _by_rule(words: pa.ListArray) -> pa.ListArray:
+    """Words with a capital are persons or places by their length, numbers organisations; scores by length."""
+    flat = words.flatten()
+    _, offsets, data = flat.buffers()
+    begin = np.frombuffer(offsets, np.int32)[flat.offset : flat.offset + len(flat) + 1]
+    n = pc.utf8_length(flat).to_numpy()
+    first = np.append(np.frombuffer(data or b"", np.uint8), np.uint8(0))[begin[:-1]]
+    mark = (n == 1) & np.isin(first, np.frombuffer(b".@-", np.uint8))
+    capital, digit = (first >= 65) & (first <= 90), (first >= 48) & (first <= 57)
+    which = np.select([capital & (n % 3 == 0), capital & (n % 3 == 1), capital, digit, mark], range(5), 5).astype(np.int8)
+    label = pa.DictionaryArray.from_arrays(pa.array(which), pa.array(["B-PER", "I-LOC", "E-PER", "ORG", "I-ORG", "O"]))
+    tags = pa.StructArray.from_arrays([label, pa.array(np.where(mark, 0.8, 0.7 + n / 50.0))], ["label", "score"])
+    upto = words.offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(upto - upto[0]), tags)
+
+
+_stand_in = recogniser.InArrow(_by_rule)
 
 
 @query(r"""WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '[\x20\x09-\x0D]*(?:[A-Za-z0-9]+|[^A-Za-z0-9\x20\x09-\x0D])') AS ps FROM documents),
@@ -36,16 +50,13 @@ SELECT z.doc_id, CAST(z.win AS INTEGER) AS win, kind AS entity_type, substring(d
 FROM z JOIN documents d USING (doc_id) WHERE "end" - "start" >= 2 AND lower(substring(d.text, "start" + 1, "end" - "start")) NOT IN ({spurious})""".replace("{spurious}", ", ".join(f"'{w}'" for w in recogniser.P.RECOGNISER_SPURIOUS)))
 def recogniser_spans(spark, sf_dir):
     """What a tagger by rule finds in windows of 512 tokens, touching tokens joined; common parts of windows give the same span twice."""
-    tagged = _stand_in(recogniser.windows(documents(spark, sf_dir)))
-    found = tagged.select("doc_id", F.col("window").alias("win"), F.inline(recogniser.joined(F.col("tokens"), F.col("tags"), F.col("part"))))
-    return found.select("doc_id", "win", "entity_type", F.col("text").alias("value"), "start", "end", "score")
+    return recogniser.window_spans(documents(spark, sf_dir), _stand_in)
 
 
 @query()
 def pii_fused_recognised(spark, sf_dir):
     """Definitions and a tagger by rule, fused; tested against plain loops."""
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return recogniser.detect(docs, _stand_in, kinds=("EMAIL", "IP_ADDRESS")).select("doc_id", F.inline("entities"))
+    return recogniser.entity_rows(documents(spark, sf_dir), _stand_in, kinds=("EMAIL", "IP_ADDRESS"))
 
 
 # --- archives ---------------------------------------------------------------------------------------------------------------------
