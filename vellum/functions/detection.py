@@ -15,7 +15,6 @@ import sys
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -185,9 +184,18 @@ class _Detector:
                 else:  # a single letter stands everywhere, so what follows is looked at too; white space and digits of any script may
                     tail = written_out(lowered(rest))
                     searches.setdefault(h + tail, (re.compile(f"{h}(?={tail})"), []))[1].append(n)
-        # A longer literal that begins with another is found where that one is.
         self.literals = [(h, sorted(set(ns))) for h, ns in literals.items()]
         self.searches = list(searches.values())
+        self.longest = max((len(h) for h in literals), default=0) + 2
+        self.pairs = np.zeros(1 << 16, np.int16)
+        self.by_pair: list[list[tuple[int, bytes]]] = []
+        for i, (h, _) in enumerate(self.literals):
+            raw = h.encode()
+            pair = raw[0] << 8 | raw[1]
+            if not self.pairs[pair]:
+                self.by_pair.append([])
+                self.pairs[pair] = len(self.by_pair)
+            self.by_pair[self.pairs[pair] - 1].append((i, raw[2:]))
 
     def pattern(self, n: int) -> re.Pattern:
         """A definition's pattern for texts of any characters; writing classes out takes long, so it waits for such a text."""
@@ -203,17 +211,38 @@ class _Detector:
             return (i for m in _DOTTED.finditer(body) for i in range(max(0, m.start() - 2), m.end()))
         return (m.start() for m in re.compile(f"(?={p.pattern})", p.flags & ~re.UNICODE).finditer(body))
 
+    def _literals_in(self, low: str, ascii_: bool) -> Iterator[tuple[int, list[int]]]:
+        """Literals that stand in a folded text, with their places."""
+        if not ascii_:
+            for h, (literal, _) in enumerate(self.literals):
+                places, at = [], low.find(literal)
+                while at >= 0:
+                    places.append(at)
+                    at = low.find(literal, at + 1)
+                if places:
+                    yield h, places
+            return
+        b = np.frombuffer(low.encode() + bytes(self.longest), np.uint8)
+        pairs = b[:-1].astype(np.uint16) << 8 | b[1:]
+        at = np.flatnonzero(self.pairs[pairs])  # places of a literal's first two characters, by these
+        kind = self.pairs[pairs[at]]
+        order = np.argsort(kind, kind="stable")
+        at = at[order]
+        bounds = np.searchsorted(kind[order], np.arange(1, len(self.by_pair) + 2))
+        for own, first, last in zip(self.by_pair, bounds.tolist(), bounds[1:].tolist()):
+            for h, tail in own if last > first else ():
+                places = at[first:last]
+                for i, c in enumerate(tail, 2):
+                    places = places[b[places + i] == c]
+                if len(places):
+                    yield h, places.tolist()
+
     def _places(self, low: str, body: str, ascii_: bool) -> dict[int, list[int]]:
         """By definition, places where it may begin."""
         out: dict[int, list[int]] = {}
-        for h, ns in self.literals:
-            places, at = [], low.find(h)
-            while at >= 0:
-                places.append(at)
-                at = low.find(h, at + 1)
-            if places:
-                for n in ns:
-                    out.setdefault(n, []).extend(places)
+        for h, places in self._literals_in(low, ascii_):
+            for n in self.literals[h][1]:
+                out.setdefault(n, []).extend(places)
         for p, ns in self.searches:
             places = [m.start() for m in p.finditer(low)]
             for n in ns if places else ():
@@ -228,7 +257,7 @@ class _Detector:
         Texts are searched as one, with line feeds between them, which are neither
         letters nor digits to a pattern that looks back; no match goes beyond its text.
         """
-        found = []
+        row, which, start, value = [], [], [], []
         plain = [t.isascii() for t in texts]
         for ascii_ in (True, False):
             rows = [i for i, a in enumerate(plain) if a == ascii_]
@@ -236,6 +265,7 @@ class _Detector:
                 continue
             whole = "\n".join([texts[i] for i in rows])
             ends = np.cumsum([len(texts[i]) + 1 for i in rows])
+            firsts, numbers = np.append(0, ends[:-1]), np.array(rows)
             low = folded(whole)
             body = low if ascii_ else whole
             for n, places in self._places(low, body, ascii_).items():
@@ -244,22 +274,28 @@ class _Detector:
                 kind, match = self.kinds[n], (self.whole[n] if ascii_ else self.pattern(n)).match
                 at = np.unique(np.array(places, np.int64))
                 of = np.searchsorted(ends, at, side="right")
-                upto = 0
-                for i, r, last in zip(at.tolist(), of.tolist(), (ends[of] - 1).tolist()):
+                before, upto = len(row), 0
+                for i, r, first, last in zip(at.tolist(), numbers[of].tolist(), firsts[of].tolist(), (ends[of] - 1).tolist()):
                     if i < upto or not (m := match(body, i, last)):
                         continue
                     a, upto = m.span(1)
-                    left = whole[a:upto].lstrip(SPACES)
-                    value = left.rstrip(SPACES)
-                    if valid(kind, value):
-                        first = upto - len(left) - (last - len(texts[rows[r]]))
-                        found.append((rows[r], n, first, first + len(value), value))
-        found.sort(key=_ORDER)
-        row, which, start, end, value = zip(*found) if found else ((),) * 5
-        return *(np.array(x, np.int64) for x in (row, which, start, end)), list(value)
+                    v = whole[a:upto]
+                    if not "!" <= v[0] <= "~":
+                        a += len(v) - len(v := v.lstrip(SPACES))
+                    if v and not "!" <= v[-1] <= "~":
+                        v = v.rstrip(SPACES)
+                    if valid(kind, v):
+                        row.append(r)
+                        start.append(a - first)
+                        value.append(v)
+                which += [n] * (len(row) - before)
+        row, which, start = (np.array(x, np.int64) for x in (row, which, start))
+        order = np.lexsort((start, which, row))
+        value = [value[i] for i in order.tolist()]
+        row, which, start = row[order], which[order], start[order]
+        return row, which, start, start + np.array([len(v) for v in value], np.int64), value
 
 
-_ORDER = itemgetter(0, 1, 2)
 _DOTTED = re.compile(r"\d(?=\.\d+\.\d+\.\d)")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.+-")
 
@@ -545,7 +581,7 @@ class Tokens:
         inner, outer = self.inner.copy(), self.outer.copy()
         inner.update(value.encode())
         outer.update(inner.digest())
-        return f"{P.PREFIXES.get(kind, 'ENT')}_{outer.hexdigest()[:8].upper()}"
+        return f"{P.PREFIXES.get(kind, 'ENT')}_{outer.digest()[:4].hex().upper()}"
 
 
 def _entities(texts: pa.Array, definitions: tuple[Definition, ...]) -> Iterator[tuple[list[str], list[list[tuple[str, str, int, int, float, str]]]]]:
