@@ -163,12 +163,12 @@ class _Detector:
     def __init__(self, definitions: Sequence[Definition], word_bounded: bool) -> None:
         self.kinds = [d[0] for d in definitions]
         self.scores = [d[3] for d in definitions]
-        self.whole, self.any_, self.rows = [], [], []
+        self.whole, self.any_ = [], []
         literals: dict[str, list[int]] = {}
         searches: dict[str, tuple[re.Pattern, list[int]]] = {}
         self.scans = []
         self._source = []
-        for n, (kind, label, value, _) in enumerate(definitions):
+        for n, (_, label, value, _) in enumerate(definitions):
             bounded = rf"\b(?:{label})" if label and word_bounded else label
             source = rf"(?:{bounded})\s*[:#]?\s*({value})" if label else value
             self._source.append(source)

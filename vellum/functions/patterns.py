@@ -5,8 +5,6 @@ The values in this module are fixed: results depend on each of them.
 
 from __future__ import annotations
 
-import re
-
 DATE = r"(?:\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*[-.,\s]+\d{2,4})"
 PHONE_US = r"(?:\+1[\s\-.]?\(?\d{3}\)?[\s\-.]?\d{3}[\s\-.]?\d{4})\b"
 PHONE_IN = r"(?:\+91[\s\-]?[6-9]\d{9})\b"
@@ -97,8 +95,6 @@ LABELLED: tuple[tuple[str, str, str, float], ...] = (
 )
 
 PHI_DATES = ("DATE_OF_BIRTH", "HOSPITALIZATION_ADMISSION_DATE", "INFORMED_CONSENT_DATE", "SCREENING_ENROLLMENT_DATE", "FOLLOW_UP_WITHDRAWAL_DATE", "DEATH_DATE", "STUDY_DATES")
-#: Types of which every value has a digit.
-NUMERIC = (*PHI_DATES, "EUDRACT_NUMBER", "IND_NDA_NUMBER", "AADHAAR", "PAN", "PHONE", "IP_ADDRESS", "AGE")
 BROAD = ("VITAL_SIGNS", "LAB_RESULTS", "LAB_RESULTS_SUMMARY_TABLES", "MEDICATION_DOSAGE", "DIAGNOSIS_CONDITION", "ADVERSE_EVENT_NARRATIVE", "MENTAL_HEALTH_INFO", "SUBSTANCE_USE", "SURGERY_DETAILS", "PREGNANCY_STATUS", "GENETIC_INFORMATION")
 SHORT_REJECTED = ("VITAL_SIGNS", "MEDICATION_DOSAGE", "SUBSTANCE_USE", "DIAGNOSIS_CONDITION")
 NUMBERED_IDS = ("SUBJECT_ID", "PATIENT_SUBJECT_ID", "PATIENT_ID", "MEDICAL_RECORD_NUMBER")
@@ -192,39 +188,5 @@ def pattern(label: str, value: str) -> str:
     return f"(?iU)(?:{label})\\s*[:#]?\\s*({value})" if label else f"(?iU){value}"
 
 
-def needles(label: str) -> list[list[str]]:
-    """Lower-case literals of each alternative of a label: a text that matches has all of one alternative.
-
-    Literals are the runs of two letters and digits or more that are neither in a
-    group nor in a class nor optional; no list at all if an alternative has none.
-    """
-    alternatives, depth, start = [], 0, 0
-    for i, c in enumerate(label):
-        depth += (c in "([") - (c in ")]")
-        if c == "|" and depth == 0:
-            alternatives.append(label[start:i])
-            start = i + 1
-    out = []
-    for a in [*alternatives, label[start:]]:
-        while (flat := re.sub(r"\((?:[^()\\]|\\.)*\)[?*+]?", " ", a)) != a:
-            a = flat
-        a = re.sub(r"\[[^\]]*\][?*+]?|\\.[?*+]?|[A-Za-z0-9][?*]", " ", a)
-        runs = sorted({r.lower() for r in re.findall(r"[A-Za-z0-9]{2,}", a)}, key=len, reverse=True)
-        if not runs:
-            return []
-        out.append(runs)
-    return out
-
 #: Parts of a document in reading order.
 PARTS = ("body", "table", "header", "first_page_header", "even_page_header", "footer", "first_page_footer", "even_page_footer")
-
-
-def main_words(alternatives: list[list[str]]) -> list[str]:
-    """Few words of which each alternative needs one: always the one that most of those left need."""
-    left, out = [set(a) for a in alternatives], []
-    while left:
-        words = sorted({w for a in left for w in a})
-        best = max(words, key=lambda w: (sum(w in a for a in left), len(w)))
-        out.append(best)
-        left = [a for a in left if best not in a]
-    return out
